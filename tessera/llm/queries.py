@@ -68,7 +68,7 @@ ORACLES = {
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
         ), u AS (
             SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v
-            WHERE label IS NOT NULL AND len(list_filter(x, e -> e IS NULL OR NOT isfinite(e))) = 0
+            WHERE label IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
               AND list_dot_product(x, x) > 0
         ), link AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -84,7 +84,7 @@ ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-               list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)),
                    'string_agg', '') AS payload_digest,
                CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
