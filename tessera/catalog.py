@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.queries import elementwise, factors, fields, networks, products, reductions
 
-
-def flagship_axis_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    value = F.exp(-F.col("l_discount")) * F.col("l_extendedprice")
-    return lines.groupBy("l_returnflag").agg(F.round(F.sum(value), 2).alias("v"))
-
-
-QUERIES = {"flagship_axis_sum": flagship_axis_sum}
-ORACLES = {
-    "flagship_axis_sum": "SELECT l_returnflag, round(sum(exp(-l_discount) * l_extendedprice), 2) AS v FROM lineitem GROUP BY l_returnflag"
-}
+_PARTS = (reductions, elementwise, products, networks, fields, factors)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

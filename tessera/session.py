@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +21,19 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark
+
+
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame, written to the folder that ``spark.checkpoint.dir`` names; a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or _own_dir())
+    return df.checkpoint(eager=True)
