@@ -34,7 +34,7 @@ BLOCK = 1024
 ROLES = ("system", "user", "assistant")
 KNOWN = {"system": 0, "developer": 0, "user": 1, "human": 1, "prompter": 1, "assistant": 2, "gpt": 2, "bot": 2, "model": 2}
 OTHER = 3
-COSTS = {"merge": 1, "relabel": 2, "relabel_unknown": 1, "insert": 3}
+COSTS = {"merge": 1, "relabel": 4, "relabel_unknown": 1, "insert": 3}
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}  # the state after a role is role + 1
 FAR = 1 << 40

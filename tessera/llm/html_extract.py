@@ -77,7 +77,7 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             if m[1]:
                 tags += 1
-                if m[1].lower() != "svg":
+                if m[1].lower() == "title":
                     now = None
             continue
         name = name.lower()

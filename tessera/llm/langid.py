@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample
+from tessera.llm.common import bounded_sample, fresh
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -122,8 +122,8 @@ def train(docs: DataFrame, use: Column, bound: int = TRAIN_ROWS) -> Model:
     return Model(languages, table[:BUCKETS], table[BUCKETS + 1])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``lang_pred string`` and ``score double``; all their own columns stay."""
+def predict(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """The documents with a struct of that name, ``lang_pred string`` and ``score double``; their own columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -131,17 +131,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names, score = shared.value.predict(list(text))
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    return docs.withColumn("_lang", scored(F.col("text").cast("string")))
+    return docs.withColumn(name, scored(F.col("text").cast("string")))
 
 
 def identify(docs: DataFrame, use: Column) -> DataFrame:
     """``doc_id, lang_pred, score`` of every document, learned from the rows in use."""
-    return predict(docs.select("doc_id", "text"), train(docs, use)).select("doc_id", "_lang.lang_pred", "_lang.score")
+    return predict(docs.select("doc_id", "text"), train(docs, use), "found").select("doc_id", "found.lang_pred", "found.score")
 
 
 def keep_identified(docs: DataFrame, use: Column, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with at least that score; ``und`` goes."""
-    found = predict(docs, train(docs, use))
-    return found.filter((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= least)).select(*docs.columns)
-
-
+    name = fresh(docs, "_lang")
+    found = predict(docs, train(docs, use), name)
+    return found.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)

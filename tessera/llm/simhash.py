@@ -210,5 +210,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id are copies too; rows without a doc_id stay, as nothing tells them apart.
     """
     kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns)).dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, cut_lineage
+from tessera.llm.common import bounded_sample, cut_lineage, fresh
 
 HASH_BITS = 18
 TERMS = 4096
@@ -149,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, bound: int = TRAIN_RO
     return machine.fit(np.repeat(np.arange(len(rows)), lengths), np.searchsorted(buckets, flat), rows["toxic"].to_numpy(dtype=float))
 
 
-def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """The documents with a column ``_toxicity``; all their own columns stay."""
+def scored(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:
+    """The documents with their score in a column of that name; their own columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
@@ -160,15 +160,16 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             parts = [texts.iloc[at : at + 256] for at in range(0, len(texts), 256)]
             yield pd.Series(np.concatenate([own.score([terms.of(t) for t in p]) if own else np.zeros(len(p)) for p in parts] or [np.zeros(0)]))
 
-    return docs.withColumn("_toxicity", of(F.col("text").cast("string")))
+    return docs.withColumn(name, of(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
     """``doc_id, score, predicted`` of every document."""
-    found = scored(docs.select("doc_id", "text"), train(docs, labels, use))
-    return found.select("doc_id", F.col("_toxicity").alias("score"), (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), train(docs, labels, use), "score")
+    return found.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
     """The documents that score below the threshold."""
-    return scored(docs, train(docs, labels, use)).filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "_toxicity")
+    return scored(docs, train(docs, labels, use), name).filter(F.col(name) < THRESHOLD).drop(name)
