@@ -167,6 +167,11 @@ COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+def as_u32(x: Column) -> Column:
+    """An unsigned 32-bit value in a long; anything else is an error, as Spark has no unsigned type."""
+    return F.when(x.isNull() | x.between(0, (1 << 32) - 1), x.cast("long")).otherwise(F.raise_error(F.lit("not an unsigned 32-bit value")).cast("long"))
+
+
 def rpow(base: float, x: Column) -> Column:
     """base ** x for a positive constant base."""
     if not base > 0:

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ACTIVATIONS, COMPARE, PARAMETERIZED, UNARY, erf, ieee_div, lgamma, ln, rpow
+from tessera.functions import ACTIVATIONS, COMPARE, PARAMETERIZED, UNARY, as_u32, erf, ieee_div, lgamma, ln, rpow
 
 NAN, INF = float("nan"), float("inf")
 
@@ -79,3 +79,19 @@ def test_power_of_a_constant(spark):
     same(values(spark, [0.0, 2.0], rpow(3.0, F.col("a")))[0], [1, 9], 1e-12)
     with pytest.raises(ValueError):
         rpow(0.0, F.lit(1.0))
+
+
+def test_unsigned(spark):
+    assert values(spark, [0.0, 4294967295.0], as_u32(F.col("a")))[0] == [0, 4294967295]
+    with pytest.raises(Exception, match="unsigned"):
+        values(spark, [-1.0], as_u32(F.col("a")))
+    with pytest.raises(Exception, match="unsigned"):
+        values(spark, [4294967296.0], as_u32(F.col("a")))
+
+
+def test_unsigned_and_signed_comparisons(spark):
+    pairs = [(0.0, 0.0), (1.0, 2.0), (7.0, 7.0), (7.0, 3.0), (4294967295.0, 0.0)]
+    got = values(spark, pairs, *(COMPARE[o](F.col("a").cast("long"), F.col("b").cast("long")) for o in ("eq", "ne", "lt", "le", "gt", "ge")))
+    assert got == [[1, 0, 1, 0, 0], [0, 1, 0, 1, 1], [0, 1, 0, 0, 0], [1, 1, 1, 0, 0], [0, 0, 0, 1, 1], [1, 0, 1, 1, 1]]
+    got = values(spark, [(-5.0, 2.0), (-1.0, -1.0), (0.0, 0.0), (3.0, -3.0), (-2147483648.0, 2147483647.0)], *(COMPARE[o](F.col("a").cast("int"), F.col("b").cast("int")) for o in ("lt", "gt")))
+    assert got == [[1, 0, 0, 0, 1], [0, 0, 0, 1, 0]]

@@ -317,3 +317,25 @@ def test_fdtd_keeps_the_edges_at_zero(spark):
     assert side.vx == -0.05 and math.isclose(centre.p, 1 - 0.1 * 3 * 0.05)
     with pytest.raises(ShapeError):
         field.fdtd_step(cells, (2, 5, 5), 0.1, 1.0)
+
+
+def test_tables(spark, tmp_path):
+    from tessera import sources
+
+    a = np.arange(12.0).reshape(4, 3)
+    path = str(tmp_path / "m")
+    sources.write(tensor(spark, a), path)
+    assert np.array_equal(sources.read(spark, path, ("i", "j"), (4, 3)).to_numpy(), a)
+    assert np.array_equal(sources.read_range(spark, path, ("i", "j"), (4, 3), 1, 3).to_numpy(), a[1:3])
+    plan = sources.read_range(spark, path, ("i", "j"), (4, 3), 1, 3).df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(i), GreaterThanOrEqual(i,1), LessThan(i,3)]" in plan
+    new = Tensor(tensor(spark, [[9.0, 9.0, 9.0]]).df.withColumn("i", F.lit(2).cast("long")), ("i", "j"), (4, 3))
+    a[2] = 9
+    assert np.array_equal(sources.overwrite(sources.read(spark, path, ("i", "j"), (4, 3)), new).to_numpy(), a)
+
+
+def test_maps_stay_in_one_stage(spark):
+    """Maps, reductions and slices: one scan, one exchange, no Python."""
+    t = Tensor.full(spark, (100, 8), 1.0)
+    plan = reduce.axis((t * 2 + 1).slice("i", 10, 20), "i", "sum").df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Pandas" not in plan
