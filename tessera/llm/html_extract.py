@@ -4,7 +4,7 @@ A page is read once into blocks of text with the tags between them.  Every word
 odds, squeezed into (-1, 1), that a block with such ancestors is content; every tag has a negative score.  One linear
 scan finds the contiguous run of words and tags with the largest sum: the content region.  Blocks next to it that look
 like content belong to it too (a headline of one word does not pay for its tags), and so do content blocks beyond an
-advert whose ancestors are those of a block in the region; blocks within it that look like boilerplate do not.
+advert with the surroundings of a block in the region; blocks within it that look like boilerplate do not.
 
 The weights come from labelled pages: :func:`labelled_pages` gives small pages in many layouts whose fragments are
 marked as content or not, and :func:`learn` fits a logistic model on the tags, classes, ids and roles above a block, on
@@ -44,10 +44,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("features", "links", "tags", "text", "words")
+    __slots__ = ("around", "features", "links", "tags", "text", "words")
 
-    def __init__(self, features: frozenset[str], tags: int):
-        self.features, self.tags, self.text, self.words, self.links = features, tags, [], 0, 0
+    def __init__(self, features: frozenset[str], around: frozenset[str], tags: int):
+        self.features, self.around, self.tags, self.text, self.words, self.links = features, around, tags, [], 0, 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -62,7 +62,7 @@ def blocks(page: str) -> list[Block]:
         if not text or (now is None and text.isspace()):
             return
         if now is None:
-            now = Block(stack[-1][1], tags)
+            now = Block(stack[-1][1], stack[-2][1] if len(stack) > 1 else stack[-1][1], tags)
             out.append(now)
             tags = 0
         now.text.append(text)
@@ -136,25 +136,22 @@ def _features(found: list[Block]) -> list[set[str]]:
     return out
 
 
-# The layouts that the weights are learned from, as (fragment, is content); {} is filled with words.
-_TOPS = [
-    '<header><a href="/">{}</a></header>', '<header class="masthead"><p>{}</p></header>', '<div class="header"><span>{}</span></div>',
-    '<div id="site-header" class="banner"><p>{}</p></div>', '<nav><ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li></ul></nav>',
-    '<div class="navbar"><a href="/a">{}</a></div>', '<div class="nav navigation" role="navigation"><ul><li><a href="/a">{}</a></li></ul></div>',
-    '<ul class="menu"><li><a href="/a">{}</a></li><li>{}</li></ul>', '<div id="menu">{}</div>', '<div class="breadcrumb breadcrumbs"><a href="/a">{}</a></div>',
-    '<div class="cookie-notice">{}</div>', '<div class="cookie consent">{}</div>', '<div class="notice">{}</div>', '<div role="alert" class="alert">{}</div>',
-    '<div class="gdpr popup modal overlay">{}</div>', '<form action="/s"><label>{}</label><input name="q"></form>', '<div class="search"><p>{}</p></div>',
-    '<div class="ad">{}</div>', '<div class="ads advert">{}</div>', '<div class="advertisement">{}</div>', '<div role="banner">{}</div>', '<div class="topbar toolbar">{}</div>',
-    '<p class="skip">{}</p>', '<div class="disclaimer notification">{}</div>', '<dialog>{}</dialog>',
+# What the weights are learned from.  Names of parts that are no content, the shapes that carry such a
+# name (X), fragments that are no content whatever their names, and bodies; {} is filled with words, ~ splits a body.
+_NAMES = """nav navbar navigation menu breadcrumb breadcrumbs header masthead banner topbar toolbar skip cookie cookies consent gdpr
+    notice notices notification alert popup modal overlay disclaimer search searchbox ad ads advert adverts advertisement sponsor
+    sponsored promo promotion footer copyright legal sidebar widget aside related recommended trending popular comments comment
+    commentlist reply replies respond responses discussion disqus feedback share sharing social follow newsletter subscribe
+    subscription signup login register account pagination pager rail teaser form""".split()
+_SHAPES = [
+    '<div class="X">{}</div>', '<div id="X"><p>{}</p></div>', '<p class="X">{}</p>', '<section class="X"><h3>{}</h3><p>{}</p></section>', '<ul class="X"><li>{}</li><li>{}</li></ul>',
+    '<div class="X"><a href="/a">{}</a></div>', '<div class="user-X box"><div><p>{}</p></div></div>', '<ol id="X"><li><p>{}</p></li></ol>', '<div class="post-X"><h4>{}</h4><span>{}</span></div>',
 ]
-_ENDS = [
-    '<footer><p>{}</p></footer>', '<div class="footer">{}</div>', '<div id="footer"><p>{}</p></div>', '<aside><p>{}</p></aside>', '<aside class="sidebar"><h3>{}</h3><p>{}</p></aside>',
-    '<div class="sidebar">{}</div>', '<div class="widget">{}</div>', '<div class="related"><h4>{}</h4><p>{}</p></div>', '<div id="comments" class="comments"><h3>{}</h3><p>{}</p></div>',
-    '<section class="comments"><div class="comment"><p>{}</p></div></section>', '<div class="comment-list"><p>{}</p></div>', '<ol class="commentlist"><li>{}</li></ol>',
-    '<div class="reply respond">{}</div>', '<div class="sponsor sponsored promo">{}</div>', '<div class="share social">{}</div>', '<div class="newsletter subscribe signup"><p>{}</p></div>',
-    '<form><p>{}</p><button>{}</button></form>', '<div class="copyright legal">{}</div>', '<div class="pagination pager">{}</div>', '<div class="recommended trending popular">{}</div>',
-    '<div role="complementary">{}</div>', '<div role="contentinfo">{}</div>', '<div class="user-comments reader">{}</div>', '<div hidden>{}</div>', '<div class="login account">{}</div>',
-    '<div class="discussion feedback responses">{}</div>', '<div class="rail teaser">{}</div>', '<button>{}</button>', '<menu><li>{}</li></menu>',
+_PLAIN = [
+    '<header><a href="/">{}</a></header>', '<header><p>{}</p></header>', '<nav><ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li></ul></nav>', '<nav><p>{}</p></nav>',
+    '<div role="navigation"><ul><li><a href="/a">{}</a></li></ul></div>', '<div role="alert"><p>{}</p></div>', '<form action="/s"><label>{}</label><input name="q"></form>', '<form><p>{}</p><button>{}</button></form>',
+    '<div role="banner">{}</div>', '<div role="search">{}</div>', '<dialog>{}</dialog>', '<footer><p>{}</p></footer>', '<footer>{}</footer>', '<aside><p>{}</p></aside>', '<aside><h3>{}</h3><ul><li>{}</li></ul></aside>',
+    '<div role="complementary"><p>{}</p></div>', '<div role="contentinfo">{}</div>', '<div hidden><p>{}</p></div>', '<button>{}</button>', '<menu><li>{}</li></menu>',
 ]
 _BODIES = [
     '<article><h1>{}</h1><p>{}</p>~<p>{}</p></article>', '<main><h1>{}</h1><p>{}</p>~<p><b>{}</b></p></main>', '<main id="main"><article class="post"><h2>{}</h2>~<p>{}</p></article></main>',
@@ -166,16 +163,15 @@ _BODIES = [
 
 
 def labelled_pages() -> Iterator[tuple[str, list[bool]]]:
-    """Pages, and for each of their blocks whether it is content."""
-    for i, body in enumerate(_BODIES):
-        for j in range(30):
-            before, after = _TOPS[(i + 7 * j) % len(_TOPS)], _ENDS[(i + 5 * j) % len(_ENDS)]
-            within = [*_TOPS, *_ENDS][(2 * i + 11 * j) % (len(_TOPS) + len(_ENDS))] if j % 2 else ""
-            first, second = body.split("~")
-            parts = [(before, False), (first, True), (within, False), (second, True), (after, False)]
-            marks = [c for fragment, c in parts for _ in range(fragment.count("{}"))]
-            page = "".join(fragment for fragment, _ in parts)
-            yield page.replace("{}", "some plain words"), marks
+    """Pages, and for each of their blocks whether it is content: every name in every shape, and every plain fragment,
+    before, within and after some body."""
+    fragments = [shape.replace("X", name) for name in _NAMES for shape in _SHAPES] + _PLAIN * 6
+    for i, fragment in enumerate(f for f in fragments for _ in range(3)):
+        first, second = _BODIES[(i * 7 + i // len(_BODIES)) % len(_BODIES)].split("~")
+        other = fragments[(i * 31 + 17) % len(fragments)]
+        parts = [[(first, True), (second, True)], [(fragment, False), (first, True), (second, True), (other, False)], [(first, True), (fragment, False), (second, True)], [(other, False), (first, True), (second, True), (fragment, False)]][i % 4]
+        marks = [c for text, c in parts for _ in range(text.count("{}"))]
+        yield "".join(text for text, _ in parts).replace("{}", "some plain words"), marks
 
 
 @functools.cache
@@ -193,17 +189,24 @@ def learn() -> tuple[dict[str, float], float, float]:
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, [column[n] for n in r]] = 1
-    y, w, b = np.array(labels, dtype=float), np.zeros(len(names)), 0.0
-    for _ in range(3000):
-        slope = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= 0.5 * (x.T @ slope / len(y) * 10 + 1e-3 * w)
-        b -= 0.5 * slope.mean()
+    # Equal rows are one row with a count.
+    x, count = np.unique(np.hstack([x, np.ones((len(rows), 1)), np.array(labels, dtype=float)[:, None]]), axis=0, return_counts=True)
+    x, y, w = x[:, :-1], x[:, -1], np.zeros(len(names) + 1)
+    ridge = 0.05 * np.append(np.ones(len(names)), 0)
+    for _ in range(15):  # Newton's method for the logistic loss
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (count * (p - y)) + ridge * w)
+    w, b = w[:-1], w[-1]
     return {n: float(v) for n, v in zip(names, w, strict=True)}, float(b), -0.25 * min(1.0, words / tags)
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page."""
-    weights, bias, tag = learn()
+def _within(block: Block, around: set[frozenset[str]]) -> bool:
+    return block.around in around or any(a and a <= block.features for a in around)
+
+
+def extract(page: str | None, model: tuple[dict[str, float], float, float] | None = None) -> str:
+    """The main text of a page, by these weights or the learned ones."""
+    weights, bias, tag = model or learn()
     found = blocks(page or "")
     odds = [bias + sum(weights.get(f, 0.0) for f in sorted(own)) for own in _features(found)]
     # The linear scan: the best run that ends here either goes on or starts anew.
@@ -218,13 +221,13 @@ def extract(page: str | None) -> str:
         elif run < 0:
             run, start = 0.0, i + 1
     first, last = region
-    # Content goes on in the blocks next to the region, and beyond boilerplate in blocks with the ancestors of its own.
-    kinds = {b.features for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0}
-    for i in range(first - 1, -1, -1) if kinds else ():
-        if odds[i] > 0 and (i == first - 1 or found[i].features in kinds):
+    # Content goes on in the blocks next to the region, and beyond boilerplate in blocks within the same surroundings.
+    around = {b.around for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0}
+    for i in range(first - 1, -1, -1) if around else ():
+        if odds[i] > 0 and (i == first - 1 or _within(found[i], around)):
             first = i
-    for i in range(last, len(found)) if kinds else ():
-        if odds[i] > 0 and (i == last or found[i].features in kinds):
+    for i in range(last, len(found)) if around else ():
+        if odds[i] > 0 and (i == last or _within(found[i], around)):
             last = i + 1
     texts = (_SPACE.sub(" ", entities.unescape("".join(b.text))).strip() for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0)
     return "\n".join(t for t in texts if t)
@@ -233,9 +236,11 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page ``(page_id, url, html)``."""
 
+    model = learn()  # on the driver, once: a few kilobytes go with the tasks
+
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [extract(h) for h in batch["html"]]
+            text = [extract(h, model) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
