@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
     r"|<[!?/][^>]*>",
@@ -37,6 +37,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 _PART = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+_UNSHOWN = frozenset("datalist noscript select svg template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
@@ -50,16 +51,17 @@ class Block:
         self.features, self.around, self.tags, self.text, self.words, self.links = features, around, tags, [], 0, 0
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, with the number of tags before each."""
+def blocks(page: str, hide: bool = True) -> list[Block]:
+    """The page's blocks of text, with the number of tags before each.  Text of elements that are not shown is left out,
+    unless one is never closed: then hiding would take the rest of the page."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
     now: Block | None = None
-    tags, links, end = 0, 0, 0
+    tags, links, end, hidden = 0, 0, 0, 0
 
     def add(text: str) -> None:
         nonlocal now, tags
-        if not text or (now is None and text.isspace()):
+        if not text or hidden or (now is None and text.isspace()):
             return
         if now is None:
             now = Block(stack[-1][1], stack[-2][1] if len(stack) > 1 else stack[-1][1], tags)
@@ -82,6 +84,12 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         tags += 1
+        if name in _UNSHOWN:
+            if hide and not attributes.endswith("/"):
+                hidden = max(0, hidden - 1) if close else hidden + 1
+            continue
+        if hidden:
+            continue
         if name == "a":
             links = 0 if close else 1
         if name in _INLINE:
@@ -110,7 +118,7 @@ def blocks(page: str) -> list[Block]:
         if name not in _VOID:
             stack.append((name, stack[-1][1] | {f"tag:{name}"} | _own(name, attributes)))
     add(page[end:])
-    return [b for b in out if b.words]
+    return blocks(page, hide=False) if hidden else [b for b in out if b.words]
 
 
 def _own(name: str, attributes: str) -> frozenset[str]:

@@ -392,6 +392,8 @@ def test_toxicity_odd_rows(spark):
     ("<body><div class='cookie-notice'>we use cookies</div><main><p>real text here</p><form><label>mail</label></form></main><aside>more</aside></body>", "real text here"),
     ("<p>a &lt;b&gt; c<script>var x = '<p>no</p>';</script><style>p{}</style><!-- no --> d</p>", "a <b> c d"),
     ("<article><p title='a > b'>kept</p></article><script>unclosed", "kept"),
+    ("<article><p>a <svg><text>no</text></svg>b<svg/> c</p><noscript><p>no</p></noscript><p>d <select><option>no</select></p></article>", "a b c\nd"),
+    ("<article><p>a</p><template><p>b</p></article>", "a\nb"),
 ])
 def test_html(page, want):
     assert html_extract.extract(page) == want
