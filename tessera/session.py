@@ -28,12 +28,24 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tessera-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder that ``spark.checkpoint.dir`` names; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only where a session on this machine names none (tests, a trial) does a temporary folder take its place.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or _own_dir())
+        named = _own_dir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder: later jobs read it again instead of recomputing it, and losing an
+    executor loses nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
