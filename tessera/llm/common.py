@@ -1,41 +1,14 @@
-"""What the corpus operators share: where lineage is cut, hash folds, range buckets and connected components."""
+"""What the corpus operators share: written tables, hash folds, samples, range buckets and connected components."""
 
 from __future__ import annotations
 
-import functools
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="tessera-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (a local run, tests) a folder of this machine takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + _own_dir()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder: later jobs read it again instead of recomputing it, and losing an
-    executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from tessera.session import cut_lineage, shared_dir
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:

@@ -126,7 +126,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """``doc_id, component_id``: documents connected by pairs of a Jaccard similarity of at least the threshold.
 
-    Equal shingle sets are one candidate.  The members of a band's bucket are compared with the ones before them in
+    Pairs are found by their bands: at the threshold a pair shares one of 25 bands of 5 minima with a probability above
+    0.9999, and every found pair is verified on its whole shingle sets.  Equal shingle sets are one candidate.  The members of a band's bucket are compared with the ones before them in
     blocks of ``CHUNK``, so a bucket of any size is whole but never meets in one task; a bucket yields links to one
     root per block, not pairs.
     """
