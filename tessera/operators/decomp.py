@@ -335,8 +335,9 @@ def solve(matrices: DataFrame, right: DataFrame, least_squares: bool = False) ->
 
 
 def tsqr(rows: DataFrame, column: str, fan_in: int = 64) -> np.ndarray:
-    """R of a tall matrix of packed rows: a QR in every task, then QRs of at most ``fan_in`` triangles stacked, in
-    rounds, until few are left.  Nothing but triangles of the matrix's width is shuffled."""
+    """R of a tall matrix of packed rows: a QR in every task, then QRs of stacked triangles in rounds, each with
+    ``fan_in`` times fewer tasks, until one is left.  Nothing but triangles of the matrix's width is shuffled, and every
+    round starts with a shuffle, so the scan keeps its own number of tasks."""
 
     def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = None
@@ -349,10 +350,10 @@ def tsqr(rows: DataFrame, column: str, fan_in: int = 64) -> np.ndarray:
 
     triangles = rows.select(F.col(column).cast("array<double>").alias("x")).mapInPandas(local, "x array<double>")
     n = rows.sparkSession.sparkContext.defaultParallelism
-    while n > fan_in:
-        n = math.ceil(n / fan_in)
+    while n > 1:
         triangles = triangles.repartition(n).mapInPandas(local, "x array<double>")
-    found = triangles.coalesce(1).mapInPandas(local, "x array<double>").collect()  # one triangle
+        n //= fan_in
+    found = triangles.repartition(1).mapInPandas(local, "x array<double>").collect()  # one triangle
     r = np.array([row["x"] for row in found])
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None] if len(r) else r
 

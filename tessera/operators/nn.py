@@ -239,13 +239,15 @@ def adagrad(lr: float, eps: float) -> Rule:
 
 
 def momentum_fold(df: DataFrame, key: str, order: str, gradient: str, start: float, lr: float, momentum: float) -> DataFrame:
-    """Many ordered SGD steps per key in one fold over the key's gradients."""
-    line = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(gradient).alias("g"))))
-    initial = F.struct(F.lit(float(start)).alias("p"), F.lit(0.0).alias("s"))
+    """Many ordered SGD steps per key: ``key, p, s`` after the last one.
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["s"] * momentum + x["g"]
-        return F.struct((acc["p"] - lr * s).alias("p"), s.alias("s"))
-
-    folded = F.aggregate("_line", initial, step)
-    return df.groupBy(key).agg(line.alias("_line")).select(key, folded.alias("_f")).select(key, "_f.p", "_f.s")
+    The steps are linear in the gradients, so the gradient with k steps after it has the weight momentum^k in the state
+    and their geometric sum in the parameter.  Only its place in the order is needed: a window that streams and spills,
+    and partial sums, whatever the number of a key's gradients.
+    """
+    _checked(lr, {"momentum": momentum})
+    after = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())) - 1
+    weight = F.pow(F.lit(float(momentum)), F.col("_after"))
+    reach = (1 - weight * momentum) / (1 - momentum)
+    g = F.col(gradient)
+    return df.withColumn("_after", after).groupBy(key).agg((F.lit(float(start)) - lr * F.sum(g * reach)).alias("p"), F.sum(g * weight).alias("s"))

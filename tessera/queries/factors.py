@@ -6,7 +6,7 @@ whether they are right; tests compare triangularity, orthogonality and permutati
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import decomp
@@ -134,11 +134,9 @@ def solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normal equations hold: A^T (A x - b) is zero."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null and vec_id < 400").select(F.col("label").cast("long").alias("m"), F.col("vec_id").alias("i"), F.slice("embedding", 1, 3).alias("x"))
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("m").orderBy("i")) - 1)
-    a = ranked.select("m", F.col("i").cast("long").alias("i"), F.posexplode("x").alias("j", "v")).select("m", "i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
-    b = ranked.select("m", F.col("i").cast("long").alias("i"), (F.col("i") % 7).cast("double").alias("v"))
+    """The first columns of each label's matrix as a tall system.  The normal equations hold: A^T (A x - b) is zero."""
+    a = _lopsided(spark, sf_dir).filter("j < 3")
+    b = a.filter("j = 0").select("m", "i", (F.col("i") % 4 + 1).cast("double").alias("v"))
     x = decomp.solve(a, b, least_squares=True)
     ax = a.join(x.select("m", F.col("i").alias("j"), F.col("v").alias("x")), ["m", "j"]).groupBy("m", "i").agg(F.sum(F.col("v") * F.col("x")).alias("ax"))
     rest = ax.join(b, ["m", "i"]).select("m", "i", (F.col("ax") - F.col("v")).alias("r"))
@@ -183,7 +181,7 @@ ORACLES = {
     "eigenvalue_sums": f"""WITH {LOPSIDED} SELECT l.m, round(sum(l.v) FILTER (l.i = l.j), 6) AS general, round(sum(s.v) FILTER (s.i = s.j), 6) AS symmetric,
         round(sum(s.v * s.v), 6) AS symmetric_squares, round(sum(l.v * l.v), 6) AS singular_squares FROM l JOIN s ON l.m = s.m AND l.i = s.i AND l.j = s.j GROUP BY l.m""",
     "solve": f"WITH {SPD} SELECT m, i, (i + 1)::DOUBLE AS v FROM s WHERE j = 0",
-    "least_squares": "SELECT m, range AS j, 0::DOUBLE AS v FROM (SELECT DISTINCT label AS m FROM embeddings WHERE label IS NOT NULL AND vec_id < 400) CROSS JOIN range(3)",
+    "least_squares": "SELECT m, range AS j, 0::DOUBLE AS v FROM (SELECT DISTINCT label AS m FROM embeddings WHERE label IS NOT NULL) CROSS JOIN range(3)",
     "tall_qr": """WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS a FROM embeddings)
         SELECT x.i, y.i AS j, round(sum(x.a * y.a), 6) + 0 AS v FROM c x JOIN c y ON x.vec_id = y.vec_id GROUP BY ALL""",
     "matrix_exponential": f"WITH {LOPSIDED} SELECT m, round(exp(sum(v / 10)), 6) AS det FROM l WHERE i = j AND i < 2 GROUP BY m",

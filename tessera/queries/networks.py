@@ -113,7 +113,7 @@ RULES = {
 
 def optimizer_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of each rule over line items."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber <= 2").select(
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", (F.col("l_extendedprice") / 1e4).alias("p"), F.col("l_discount").alias("g"), F.col("l_tax").alias("s0"), (F.col("l_quantity") / 50).alias("s1")
     )
     out = None
@@ -126,7 +126,7 @@ def optimizer_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def momentum_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of a customer's orders as ordered gradients, folded: the closed form is a weighted sum."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("g"))
-    return nn.momentum_fold(rows, "o_custkey", "o_orderkey", "g", 1.0, 0.1, 0.0).select("o_custkey", F.round("p", 9).alias("p"), F.round("s", 9).alias("s"))
+    return nn.momentum_fold(rows, "o_custkey", "o_orderkey", "g", 1.0, 0.1, 0.9).select("o_custkey", F.round("p", 6).alias("p"), F.round("s", 6).alias("s"))
 
 
 SERIES = f"""SELECT list_position(['A', 'N', 'R'], l_returnflag) - 1 AS b, list_position(['F', 'O'], l_linestatus) - 1 AS c,
@@ -186,7 +186,7 @@ ORACLES = {
         UNION ALL SELECT 'v', w.b, w.k, g.d, round(sum(w.w * g.v), 6) FROM w JOIN vv g ON g.b = w.b AND g.p = w.q GROUP BY ALL""",
     "cross_entropy": f"WITH {LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t",
     "cross_entropy_backward": f"WITH {LOGITS} SELECT n, c, round(2 * (exp(v - m) / s - (c = t)::INT) / 100, 6) AS v FROM y",
-    "optimizer_steps": "WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice / 1e4 AS p, l_discount AS g, l_tax AS s0, l_quantity / 50 AS s1 FROM lineitem WHERE l_linenumber <= 2) "
+    "optimizer_steps": "WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice / 1e4 AS p, l_discount AS g, l_tax AS s0, l_quantity / 50 AS s1 FROM lineitem) "
     + " UNION ALL ".join(
         _STEP.format(*x)
         for x in (
@@ -197,5 +197,8 @@ ORACLES = {
             ("adagrad", "p - 0.01 * g / (sqrt(s0 + g * g) + 1e-6)", "s0 + g * g", "s1"),
         )
     ),
-    "momentum_fold": "SELECT o_custkey, round(1 - 0.1 * sum(o_totalprice / 1e5), 9) AS p, round(arg_max(o_totalprice / 1e5, o_orderkey), 9) AS s FROM orders GROUP BY o_custkey",
+    "momentum_fold": """WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice / 1e5 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        f AS (SELECT o_custkey, n, 1 - 0.1::DOUBLE * g AS p, g AS s FROM o WHERE n = 1
+            UNION ALL SELECT o.o_custkey, o.n, f.p - 0.1::DOUBLE * (f.s * 0.9::DOUBLE + o.g), f.s * 0.9::DOUBLE + o.g FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
+        SELECT o_custkey, round(arg_max(p, n), 6) AS p, round(arg_max(s, n), 6) AS s FROM f GROUP BY o_custkey""",
 }

@@ -36,10 +36,14 @@ def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.gram(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding"), "embedding").df.select("i", "j", F.round("v", 6).alias("v"))
 
 
+def _square(spark: SparkSession, sf_dir: str) -> Tensor:
+    """The Gram matrix of all embeddings, divided by 100."""
+    return linalg.gram(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").map(lambda v: v / 100).rename(i="k", j="c")
+
+
 def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings times the first 64 as a square matrix."""
-    e = _embeddings(spark, sf_dir)
-    return linalg.matmul(e, e.slice("i", 0, 64).rename(i="k", j="c")).df.select("i", "j", F.round("v", 6).alias("v"))
+    """All embeddings times a square matrix."""
+    return linalg.matmul(_embeddings(spark, sf_dir), _square(spark, sf_dir)).df.select("i", "j", F.round("v", 6).alias("v"))
 
 
 def matmul_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,18 +52,16 @@ def matmul_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matmul_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _embeddings(spark, sf_dir)
-    out = linalg.matmul_blocked(e, e.slice("i", 0, 64).rename(i="k", j="c"), block=64).df
+    out = linalg.matmul_blocked(_embeddings(spark, sf_dir), _square(spark, sf_dir), block=64).df
     return out.select("i", "j", F.round("v", 6).alias("v"))
 
 
 def batched_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of matrices, one per label, times a single broadcast matrix."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 200 and label is not null")
-    cells = rows.select("label", F.floor(F.col("vec_id") / 10).alias("i"), F.posexplode("embedding").alias("k", "v")).filter("k < 8").groupBy("label", "i", "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
-    a = from_table(cells, {"b": "label", "i": "i", "k": "k"}, "v", (10, 20, 8))
-    square = _embeddings(spark, sf_dir).slice("i", 0, 8).slice("j", 0, 8)
-    one = Tensor(square.df.select(F.lit(0).cast("long").alias("b"), "i", "j", "v"), ("b", "i", "j"), (1, 8, 8))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
+    cells = rows.select("label", F.floor(F.col("vec_id") / 10).alias("i"), F.posexplode("embedding").alias("k", "v")).groupBy("label", "i", "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    a = from_table(cells, {"b": "label", "i": "i", "k": "k"}, "v", (10, 1 << 40, 64))
+    one = Tensor(_square(spark, sf_dir).df.select(F.lit(0).cast("long").alias("b"), "k", "c", "v"), ("b", "k", "c"), (1, 64, 64))
     return linalg.batched_matmul(a, one).df.select("b", "i", "j", F.round("v", 6).alias("v"))
 
 
@@ -72,9 +74,11 @@ def matpow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> Tensor:
-    """User by event type: how often."""
-    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 3 <> 0").groupBy(F.col("user_id").alias("i"), (F.length("event_type") % 7).alias("j")).agg(F.count("*").alias("v"))
-    return from_table(kinds, {"i": "i", "j": "j"}, "v", (151, 7))
+    """User by event type: how many events of a large value.  Some users have none."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    users = (events.agg(F.max("user_id")).first()[0] or 0) + 1
+    kinds = events.filter("value > 150").groupBy(F.col("user_id").alias("i"), (F.length("event_type") % 7).alias("j")).agg(F.count("*").alias("v"))
+    return from_table(kinds, {"i": "i", "j": "j"}, "v", (users, 7))
 
 
 def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +118,10 @@ def vector_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGIONS = "SELECT n_regionkey AS i, n_nationkey % 5 AS j, count(*) / 4 AS v FROM nation GROUP BY ALL"
 SEGMENT = f"SELECT c_nationkey AS i, list_position({list(SEGMENTS)}, c_mktsegment) - 1 AS j, count(*)::DOUBLE AS v FROM customer WHERE list_contains({list(SEGMENTS)}, c_mktsegment) GROUP BY ALL"
-EVENTS = "SELECT user_id AS i, length(event_type) % 7 AS j, count(*)::DOUBLE AS v FROM events WHERE user_id % 3 <> 0 GROUP BY ALL"
-BY_64 = f"WITH m AS ({CELLS}) SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL"
+EVENTS = "SELECT user_id AS i, length(event_type) % 7 AS j, count(*)::DOUBLE AS v FROM events WHERE value > 150 GROUP BY ALL"
+USERS = "(SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS i)"
+SQUARE = f"m AS ({CELLS}), g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / 100 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL)"
+BY_SQUARE = f"WITH {SQUARE} SELECT m.i, g.j, round(sum(m.v * g.v), 6) AS v FROM m JOIN g ON m.j = g.i GROUP BY ALL"
 _SQUARE = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {0} a JOIN {1} b ON a.j = b.i GROUP BY ALL"
 QUERIES = {
     f.__name__: f
@@ -123,21 +129,21 @@ QUERIES = {
 }
 ORACLES = {
     "gram": f"WITH m AS ({CELLS}) SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
-    "matmul": BY_64,
-    "matmul_blocked": BY_64,
+    "matmul": BY_SQUARE,
+    "matmul_blocked": BY_SQUARE,
     "matmul_transposed": f"WITH m AS ({SEGMENT}) SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
-    "batched_matmul": f"""WITH m AS ({CELLS}), a AS (SELECT label AS b, m.i // 10 AS i, j AS k, sum(v) AS v FROM m JOIN embeddings e ON e.vec_id = m.i
-        WHERE m.i < 200 AND j < 8 AND label IS NOT NULL GROUP BY ALL)
-        SELECT a.b, a.i, m.j, round(sum(a.v * m.v), 6) AS v FROM a JOIN m ON a.k = m.i WHERE m.j < 8 GROUP BY ALL""",
+    "batched_matmul": f"""WITH {SQUARE}, a AS (SELECT label AS b, m.i // 10 AS i, j AS k, sum(v) AS v FROM m JOIN embeddings e ON e.vec_id = m.i
+        WHERE label IS NOT NULL GROUP BY ALL)
+        SELECT a.b, a.i, g.j, round(sum(a.v * g.v), 6) AS v FROM a JOIN g ON a.k = g.i GROUP BY ALL""",
     "kron": f"WITH a AS ({SEGMENT}), b AS ({REGIONS}) SELECT a.i * 5 + b.i AS i, a.j * 5 + b.j AS j, a.v * b.v AS v FROM a, b",
     "matpow": f"WITH m AS ({REGIONS}), m2 AS ({_SQUARE.format('m', 'm')}), m4 AS ({_SQUARE.format('m2', 'm2')}) {_SQUARE.format('m', 'm4')}",
-    "spmv": f"WITH m AS ({EVENTS}) SELECT r.i, coalesce(sum(m.v * (m.j + 0.5)), 0)::DOUBLE AS v FROM (SELECT range AS i FROM range(151)) r LEFT JOIN m ON m.i = r.i GROUP BY r.i",
+    "spmv": f"WITH m AS ({EVENTS}) SELECT r.i, coalesce(sum(m.v * (m.j + 0.5)), 0)::DOUBLE AS v FROM {USERS} r LEFT JOIN m ON m.i = r.i GROUP BY r.i",
     "spmm": f"""WITH m AS ({EVENTS}) SELECT r.i, c.j, coalesce(sum(m.v * (m.j * 3 + c.j)), 0)::DOUBLE AS v
-        FROM (SELECT range AS i FROM range(151)) r CROSS JOIN (SELECT range AS j FROM range(3)) c LEFT JOIN m ON m.i = r.i GROUP BY r.i, c.j""",
+        FROM {USERS} r CROSS JOIN (SELECT range AS j FROM range(3)) c LEFT JOIN m ON m.i = r.i GROUP BY r.i, c.j""",
     "sparse_violations": """SELECT sum(CASE WHEN l_linenumber >= 7 THEN n ELSE 0 END)::BIGINT AS out_of_bounds, sum(n - 1)::BIGINT AS repeated, sum(z)::BIGINT AS zeros
         FROM (SELECT l_orderkey, l_linenumber, count(*) AS n, sum((l_discount = 0)::INT) AS z FROM lineitem GROUP BY ALL)""",
     "csr_rows": EVENTS,
-    "to_dense": f"WITH m AS ({EVENTS}) SELECT r.i, c.j, coalesce(m.v, 0) AS v FROM (SELECT range AS i FROM range(151)) r CROSS JOIN (SELECT range AS j FROM range(7)) c LEFT JOIN m ON m.i = r.i AND m.j = c.j",
+    "to_dense": f"WITH m AS ({EVENTS}) SELECT r.i, c.j, coalesce(m.v, 0) AS v FROM {USERS} r CROSS JOIN (SELECT range AS j FROM range(7)) c LEFT JOIN m ON m.i = r.i AND m.j = c.j",
     "vector_updates": " UNION ALL ".join(
         f"SELECT '{n}' AS name, p_partkey AS i, round({x}, 4) AS v FROM (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
         for n, x in {"axpy": "2 * a + b", "xpay": "a + 2 * b", "add": "a + b", "sub": "a - b", "mul": "a * b", "div": "a / b", "scale": "2 * a"}.items()
