@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,7 @@ def _matrix(kind: int) -> np.ndarray:
 
 
 MATRIX = np.stack([_matrix(k) for k in range(4)])
+_ROWS = MATRIX.tolist()
 
 
 def kind_of(role: str | None) -> int:
@@ -79,13 +81,13 @@ def kind_of(role: str | None) -> int:
 
 def best_path(kinds: list[int], entry: int, exit: int) -> list[tuple[int, int, int, bool, int]]:
     """The cheapest choices that lead from one state to another over these turns."""
-    to_go = np.full((len(kinds) + 1, 4), FAR, dtype=np.int64)
-    to_go[-1, exit] = 0
-    for i in range(len(kinds) - 1, -1, -1):
-        to_go[i] = (MATRIX[kinds[i]] + to_go[i + 1]).min(axis=1)
+    to_go = [[FAR] * 4 for _ in range(len(kinds) + 1)]
+    to_go[-1][exit] = 0
+    for i in range(len(kinds) - 1, -1, -1):  # plain numbers: numpy is slower on four at a time
+        to_go[i] = [min(map(add, row, to_go[i + 1])) for row in _ROWS[kinds[i]]]
     out, state = [], entry
-    for i, kind in enumerate(kinds):
-        choice = min(CHOICES[kind, state], key=lambda c: (c[0] + to_go[i + 1, c[2]], c))
+    for kind, rest in zip(kinds, to_go[1:], strict=True):
+        choice = min(CHOICES[kind, state], key=lambda c: (c[0] + rest[c[2]], c))
         out.append(choice)
         state = choice[2]
     return out
@@ -105,28 +107,23 @@ def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Whole groups of rows that come sorted by the keys."""
-    held: list[pd.DataFrame] = []
-    at = None
-
-    def same(a: tuple, b: tuple) -> bool:
-        return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
+def _runs(batches: Iterable[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Whole groups of rows that come sorted by the keys: the key, and the columns of every row.
 
+    Ids and turns come as text, since a null would turn the others in its batch into floating point.
+    """
+    at: tuple | None = None
+    held: list[tuple] = []
     for batch in batches:
-        columns = [batch[k].tolist() for k in keys]
-        start = 0
-        for i, key in enumerate(zip(*columns, strict=True)):
-            if at is None or not same(key, at):
-                if i > start:
-                    held.append(batch.iloc[start:i])
+        own, rest = ([batch[c].tolist() for c in names] for names in (keys, columns))
+        for key, row in zip(zip(*own, strict=True), zip(*rest, strict=True), strict=True):
+            if key != at:
                 if held:
-                    yield at, pd.concat(held, ignore_index=True)
-                held, start, at = [], i, key
-        if start < len(batch):
-            held.append(batch.iloc[start:])
+                    yield at, held
+                at, held = key, []
+            held.append(row)
     if held:
-        yield at, pd.concat(held, ignore_index=True)
+        yield at, held
 
 
 def blocked(turns: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -158,40 +155,41 @@ def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
 
     def matrices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (conv, place, part), rows in _runs(batches, key):
+        for (conv, place, part), rows in _runs(batches, key, ["role"]):
             m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
-            for role in rows["role"]:
+            for (role,) in rows:
                 m = np.minimum((m[:, :, None] + MATRIX[kind_of(role)][None]).min(axis=1), FAR)
             out.append((conv, place, part, m.ravel()))
             if len(out) >= 5000:
-                yield _frame(out, [*key, "m"])
+                yield pd.DataFrame(out, columns=[*key, "m"])
                 out = []
-        yield _frame(out, [*key, "m"])
+        yield pd.DataFrame(out, columns=[*key, "m"])
 
-    thin = placed.select(*key, "turn", "tie", "role").repartition(*key).sortWithinPartitions(*key, "turn", "tie")
-    found = cut_lineage(thin.mapInPandas(matrices, "conv_id long, place long, part long, m array<long>"))
+    conv, turn = F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn")
+    thin = placed.select(*key, "turn", "tie", "role").repartition(*key).sortWithinPartitions(*key, "turn", "tie").select(conv, "place", "part", "role")
+    found = cut_lineage(thin.mapInPandas(matrices, "conv_id string, place long, part long, m array<long>"))
 
     def chained(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (conv,), rows in _runs(batches, ["conv_id"]):
-            ends = chain([np.asarray(m).reshape(4, 4) for m in rows["m"]])
-            for i, (place, part) in enumerate(zip(rows["place"], rows["part"], strict=True)):
-                out.append((conv, place, part, *ends[i], i == len(ends) - 1))
+        for (conv,), rows in _runs(batches, ["conv_id"], ["place", "part", "m"]):
+            ends = chain([np.asarray(m).reshape(4, 4) for _, _, m in rows])
+            out += [(conv, place, part, *end, i == len(ends) - 1) for i, ((place, part, _), end) in enumerate(zip(rows, ends, strict=True))]
             if len(out) >= 5000:
-                yield _frame(out, [*key, "entry", "exit", "last"])
+                yield pd.DataFrame(out, columns=[*key, "entry", "exit", "last"])
                 out = []
-        yield _frame(out, [*key, "entry", "exit", "last"])
+        yield pd.DataFrame(out, columns=[*key, "entry", "exit", "last"])
 
-    ends = found.repartition("conv_id").sortWithinPartitions(*key).mapInPandas(chained, "conv_id long, place long, part long, entry int, exit int, last boolean")
-    ends = ends.select(F.col("conv_id").alias("c"), F.col("place").alias("p"), F.col("part").alias("q"), "entry", "exit", "last")
+    ends = found.repartition("conv_id").sortWithinPartitions(*key).mapInPandas(chained, "conv_id string, place long, part long, entry int, exit int, last boolean")
+    ends = ends.select(F.col("conv_id").cast("long").alias("c"), F.col("place").alias("p"), F.col("part").alias("q"), "entry", "exit", "last")
     joined = placed.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")) & (F.col("part") == F.col("q")))
+    made = ["conv_id", "turn", "tie", "role", "repeats", "new_role", "action", "inserted_before", "inserted_after", "cost", "rendered"]
 
     def decide(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _runs(batches, key):
-            state = int(rows["entry"].iloc[0])
-            path = best_path([kind_of(r) for r in rows["role"]], state, int(rows["exit"].iloc[0]))
-            out = []
-            for i, ((cost, _, after, merged, inserted), role, text) in enumerate(zip(path, rows["role"], rows["text"], strict=True)):
+        out, size = [], 0
+        for (conv, _, _), rows in _runs(batches, key, ["turn", "tie", "role", "text", "repeats", "entry", "exit", "last"]):
+            *_, state, exit, last = rows[0]
+            path = best_path([kind_of(r[2]) for r in rows], state, exit)
+            for i, ((cost, _, after, merged, inserted), (turn, tie, role, text, repeats, *_)) in enumerate(zip(path, rows, strict=True)):
                 words = (text or "").replace("<|", "< |")  # no text can forge a marker
                 action = "+".join(a for a, on in (("relabel", after - 1 != kind_of(role)), ("merge", merged)) if on) or "keep"
                 if merged:
@@ -199,24 +197,24 @@ def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
                 else:
                     shown = (END if state != START else "") + (BEGIN.format(ROLES[inserted]) + END if inserted >= 0 else "") + BEGIN.format(ROLES[after - 1]) + words
                 state, closing = after, []
-                if rows["last"].iloc[0] and i == len(path) - 1:
+                if last and i == len(path) - 1:
                     closing = {SYSTEM: ["user", "assistant"], USER: ["assistant"]}.get(state, [])
                     shown += END + "".join(BEGIN.format(r) + END for r in closing)
                     cost += FINAL[state]
-                out.append((ROLES[after - 1], action, ROLES[inserted] if inserted >= 0 else None, "+".join(closing) or None, cost, shown))
-            made = pd.DataFrame(out, columns=["new_role", "action", "inserted_before", "inserted_after", "cost", "rendered"])
-            yield pd.concat([rows[["conv_id", "turn", "tie", "role", "repeats"]].astype({"conv_id": "Int64", "turn": "Int64"}), made], axis=1)
-
-    return (
+                out.append((conv, turn, tie, role, repeats, ROLES[after - 1], action, ROLES[inserted] if inserted >= 0 else None, "+".join(closing) or None, cost, shown))
+                size += len(shown)
+                if len(out) >= 5000 or size >= 1 << 23:
+                    yield pd.DataFrame(out, columns=made)
+                    out, size = [], 0
+        yield pd.DataFrame(out, columns=made)
+
+    decided = (
         joined.repartition(*key)
         .sortWithinPartitions(*key, "turn", "tie")
-        .mapInPandas(decide, "conv_id long, turn long, tie long, role string, repeats long, new_role string, action string, inserted_before string, inserted_after string, cost long, rendered string")
+        .select(conv, "place", "part", turn, "tie", "role", "text", "repeats", "entry", "exit", "last")
+        .mapInPandas(decide, "conv_id string, turn string, tie long, role string, repeats long, new_role string, action string, inserted_before string, inserted_after string, cost long, rendered string")
     )
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=columns)
-    return made.assign(conv_id=made["conv_id"].astype("Int64"))
+    return decided.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
 
 
 def brute_force(roles: list[str | None]) -> int:
