@@ -7,3 +7,5 @@ from tessera.queries import elementwise, factors, fields, networks, products, re
 _PARTS = (reductions, elementwise, products, networks, fields, factors)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+#: Queries without SQL.
+ALONE = {name: query for part in _PARTS for name, query in getattr(part, "ALONE", {}).items()}

@@ -259,6 +259,12 @@ def det(a: np.ndarray) -> Factors:
         return {"det": np.zeros((1, 1))}
 
 
+def slogdet(a: np.ndarray) -> Factors:
+    """Sign and logarithm of the determinant, which itself leaves the range of doubles for large matrices."""
+    sign, log = np.linalg.slogdet(a)
+    return {"sign": np.array([[sign]]), "log": np.array([[log]])}
+
+
 def matrix_rank(a: np.ndarray) -> Factors:
     if not a.size:
         raise ValueError("the rank of an empty matrix")
@@ -284,9 +290,9 @@ def matexp(a: np.ndarray) -> Factors:
 
 KERNELS: dict[str, Callable[[np.ndarray], Factors]] = {
     f.__name__: f
-    for f in (lu, full_piv_lu, qr, col_piv_qr, cholesky, udu, bunch_kaufman, hessenberg, schur, bidiagonal, svd, singular_values, symmetric_eigen, eigenvalues, inv, det, matrix_rank, pinv, matexp)
+    for f in (lu, full_piv_lu, qr, col_piv_qr, cholesky, udu, bunch_kaufman, hessenberg, schur, bidiagonal, svd, singular_values, symmetric_eigen, eigenvalues, inv, det, slogdet, matrix_rank, pinv, matexp)
 }
-SQUARE = {"lu", "cholesky", "udu", "bunch_kaufman", "hessenberg", "schur", "symmetric_eigen", "eigenvalues", "inv", "det", "matexp"}
+SQUARE = {"lu", "cholesky", "udu", "bunch_kaufman", "hessenberg", "schur", "symmetric_eigen", "eigenvalues", "inv", "det", "slogdet", "matexp"}
 
 
 def _dense(rows: pd.DataFrame) -> np.ndarray:
@@ -334,6 +340,45 @@ def solve(matrices: DataFrame, right: DataFrame, least_squares: bool = False) ->
     return matrices.groupBy("m").cogroup(right.groupBy("m")).applyInPandas(one, "m long, i long, v double")
 
 
+def grams(rows: DataFrame, column: str, held: int = 1024) -> DataFrame:
+    """``m, i, j, v``: X^T X of the packed rows of every ``m``.  Each task sums its own rows, with at most ``held``
+    matrices at once; what is shuffled is cells of partial sums, however many rows a matrix has."""
+
+    def cells(own: dict[int, np.ndarray]) -> pd.DataFrame:
+        at = [(np.full(g.size, m), *(k.ravel() for k in np.indices(g.shape)), g.ravel()) for m, g in own.items()]
+        return pd.DataFrame(dict(zip(("m", "i", "j", "v"), map(np.concatenate, zip(*at, strict=True)), strict=True)))
+
+    def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, part in batch.groupby("m"):
+                x = np.stack(part["x"].to_numpy())
+                own[m] = own[m] + x.T @ x if m in own else x.T @ x
+                if len(own) >= held:
+                    yield cells(own)
+                    own = {}
+        if own:
+            yield cells(own)
+
+    packed = rows.select(F.col("m").cast("long").alias("m"), F.col(column).cast("array<double>").alias("x"))
+    return packed.mapInPandas(local, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def least_squares_rows(rows: DataFrame, column: str, right: str) -> DataFrame:
+    """``m, i, v``: the shortest x that minimizes |A x - b| over all rows ``(m, packed row of A, b)`` of every ``m``,
+    from the normal equations: Spark sums A^T A and A^T b, and only they meet in a task."""
+    both = grams(rows.select("m", F.concat(F.col(column).cast("array<double>"), F.array(F.col(right).cast("double"))).alias("x")), "x")
+
+    def one(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        g = _dense(cells)
+        if not np.isfinite(g).all():
+            raise ValueError(f"system {key[0]} has non-finite entries")
+        x = np.linalg.pinv(g[:-1, :-1], rcond=1e-12, hermitian=True) @ g[:-1, -1]
+        return pd.DataFrame({"m": key[0], "i": np.arange(len(x)), "v": x})
+
+    return both.groupBy("m").applyInPandas(one, "m long, i long, v double")
+
+
 def tsqr(rows: DataFrame, column: str, fan_in: int = 64) -> np.ndarray:
     """R of a tall matrix of packed rows: a QR in every task, then QRs of stacked triangles in rounds, each with
     ``fan_in`` times fewer tasks, until one is left.  Nothing but triangles of the matrix's width is shuffled, and every

@@ -339,3 +339,24 @@ def test_maps_stay_in_one_stage(spark):
     t = Tensor.full(spark, (100, 8), 1.0)
     plan = reduce.axis((t * 2 + 1).slice("i", 10, 20), "i", "sum").df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "Pandas" not in plan
+
+
+def test_whole_embeddings_are_factored(spark, tmp_path):
+    from tessera.queries import factors as q
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 64)).astype(np.float32)  # fewer rows than coordinates in one label, more in the other
+    x = np.vstack([x, rng.normal(size=(90, 64)).astype(np.float32)])
+    label = [0] * 40 + [1] * 90
+    rows = [(i, v.tolist(), m) for i, (v, m) in enumerate(zip(x, label, strict=True))] + [(130, [0.5] * 64, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = {r["m"]: r for r in q.determinant_whole(spark, str(tmp_path)).collect()}
+    xs = {r["m"]: dict(r["x"]) for r in decomp.least_squares_rows(q._labelled(spark, str(tmp_path)).withColumn("b", F.col("vec_id") % 7), "x", "b").groupBy("m").agg(F.collect_list(F.struct("i", "v")).alias("x")).collect()}
+    for m, part in ((0, slice(0, 40)), (1, slice(40, 130))):
+        a = x[part].astype(float)
+        g = a.T @ a + np.eye(64)
+        g = np.where(np.tri(64, k=-1) > 0, g / 2 + 0.25, g)
+        sign, log = np.linalg.slogdet(g)
+        assert own[m]["sign"] == sign and own[m]["log"] == pytest.approx(log, abs=2e-6)
+        want = np.linalg.lstsq(a, np.arange(130)[part] % 7, rcond=None)[0]
+        assert np.allclose([xs[m][i] for i in range(64)], want, atol=1e-8)
