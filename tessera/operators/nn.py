@@ -6,9 +6,10 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
 from tessera.tensor import ShapeError, Tensor
 
 AXES = ("x", "y", "z")
@@ -144,6 +145,110 @@ def attention_backward(q: DataFrame, k: DataFrame, v: DataFrame, upstream: DataF
     }
 
 
+# -- attention of packed rows (b, p, q, k, v): blocks of queries meet blocks of keys -------------------------------------
+
+
+def _met_blocks(rows: DataFrame, block: int) -> tuple[GroupedData, GroupedData]:
+    """Queries and keys dealt to (b, query block, key block).  Blocks of about ``block`` rows are picked by a hash of the
+    position, so a sequence of any length is dealt out evenly; a block is one row, so only blocks are repeated."""
+    import numpy as np
+    import pandas as pd
+
+    names = [c for c in rows.columns if c != "b"]
+    packs = {c for c, t in rows.dtypes if t.startswith("array")}
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("p")
+        return pd.DataFrame({"b": [key[0]], "own": [key[1]], "n": [part["_n"].iloc[0]], **{c: [np.concatenate(part[c].to_numpy()) if c in packs else part[c].to_numpy()] for c in names}})
+
+    counts = rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = rows.join(counts, "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
+    schema = "b long, own int, n int, " + ", ".join(f"{c} array<{'long' if c == 'p' else 'boolean' if c == 'keep' else 'double'}>" for c in names)
+    blocks = dealt.groupBy("b", "_own").applyInPandas(pack, schema).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    queries = blocks.select("b", F.col("own").alias("qb"), F.col("other").alias("kb"), *(c for c in names if c not in ("k", "v", "keep")))
+    # New names: both sides come from one table.
+    keys = blocks.select(*(F.col(c).alias("key_" + c) for c in ("b", "p", "k", "v", "keep") if c in rows.columns), F.col("other").alias("key_qb"), F.col("own").alias("key_kb"))
+    return queries.groupBy("b", "qb", "kb"), keys.groupBy("key_b", "key_qb", "key_kb")
+
+
+def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
+    """A matrix of the one block of a group, one row per position."""
+    return side[name].iloc[0].reshape(len(side[rows].iloc[0]), -1)
+
+
+def _scores(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool):
+    """Scaled products of a block of queries and one of keys; -inf where the key does not count."""
+    import numpy as np
+
+    s = _of_block(left, "q") @ _of_block(right, "key_k", "key_p").T * scale
+    if causal:
+        s[right["key_p"].iloc[0][None, :] > left["p"].iloc[0][:, None]] = -np.inf
+    if "key_keep" in right:
+        s[:, ~right["key_keep"].iloc[0].astype(bool)] = -np.inf
+    return s
+
+
+def _block_sums(rows: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
+    """``b, p, top, total, o``: of every query the maximum, the sum and the weighted mean of the values over all keys."""
+    import numpy as np
+    import pandas as pd
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        s = _scores(left, right, scale, causal)
+        m = s.max(axis=1)
+        x = np.exp(s - np.where(np.isfinite(m), m, 0)[:, None])
+        o = x @ _of_block(right, "key_v", "key_p")
+        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "p": [left["p"].iloc[0]], "m": [m], "s": [x.sum(axis=1)], "o": [o.ravel()]})
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        top = np.max(np.stack(parts["m"].to_numpy()), axis=0)
+        total, out = 0.0, 0.0
+        for m, s, o in zip(parts["m"], parts["s"], parts["o"], strict=True):
+            f = np.exp(m - np.where(np.isfinite(top), top, 0))
+            total, out = total + s * f, out + o.reshape(len(m), -1) * f[:, None]
+        return pd.DataFrame({"b": key[0], "p": parts["p"].iloc[0], "top": top, "total": total, "o": list(out / np.where(total > 0, total, 1)[:, None])})
+
+    queries, keys = _met_blocks(rows, block)
+    met = queries.cogroup(keys).applyInPandas(one, "b long, qb int, p array<long>, m array<double>, s array<double>, o array<double>")
+    return met.groupBy("b", "qb").applyInPandas(merge, "b long, p long, top double, total double, o array<double>")
+
+
+def attention_blocked(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
+    """``b, q, e, v`` of rows ``(b, p, q, k, v)`` with packed heads, and ``keep`` where keys are masked; (b, p) is unique.
+
+    No score is ever a row: a block of queries and a block of keys are multiplied in numpy, and the blocks of one query
+    are joined by their maxima and sums.  The batches are those of the table; a fully masked row is zeros."""
+    cells = _block_sums(rows, scale, causal, block).select("b", F.col("p").alias("q"), F.posexplode("o").alias("e", "v"))
+    return cells.select("b", "q", F.col("e").cast("long").alias("e"), "v")
+
+
+def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
+    """``part, b, p, d, v``: gradients for Q, K and V of rows that also have their packed upstream gradient ``g``."""
+    import numpy as np
+    import pandas as pd
+
+    rows = cut_lineage(rows)
+    dot = F.aggregate(F.zip_with("g", "o", lambda g, o: g * o), F.lit(0.0), lambda s, t: s + t)
+    ready = cut_lineage(rows.join(_block_sums(rows.drop("g"), scale, causal, block), ["b", "p"]).withColumn("mean", dot).drop("o"))
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, g, k, v = _of_block(left, "q"), _of_block(left, "g"), _of_block(right, "key_k", "key_p"), _of_block(right, "key_v", "key_p")
+        s, top, total = _scores(left, right, scale, causal), left["top"].iloc[0], left["total"].iloc[0]
+        w = np.exp(s - np.where(np.isfinite(top), top, 0)[:, None]) / np.where(total > 0, total, 1)[:, None]
+        ds = w * (g @ v.T - left["mean"].iloc[0][:, None]) * scale
+        found = [("q", key[1], left["p"].iloc[0], ds @ k), ("k", key[2], right["key_p"].iloc[0], ds.T @ q), ("v", key[2], right["key_p"].iloc[0], w.T @ g)]
+        return pd.DataFrame([(part, key[0], own, p, x.ravel()) for part, own, p, x in found], columns=["part", "b", "own", "p", "x"])
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        x = sum(parts["x"]).reshape(len(parts["p"].iloc[0]), -1)
+        return pd.DataFrame({"part": key[0], "b": key[1], "p": parts["p"].iloc[0], "x": list(x)})
+
+    queries, keys = _met_blocks(ready, block)
+    met = queries.cogroup(keys).applyInPandas(one, "part string, b long, own int, p array<long>, x array<double>")
+    sums = met.groupBy("part", "b", "own").applyInPandas(merge, "part string, b long, p long, x array<double>")
+    return sums.select("part", "b", "p", F.posexplode("x").alias("d", "v")).select("part", "b", "p", F.col("d").cast("long").alias("d"), "v")
+
+
 # -- cross-entropy: logits (n, c, v), targets (n, t) --------------------------------------------------------------------
 
 

@@ -106,6 +106,54 @@ def cross_entropy_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.cross_entropy_backward(logits, targets, 100, 2.0).select("n", "c", F.round("v", 6).alias("v"))
 
 
+def _whole_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(b, p, q, k, v): one batch per label, one position per row, named by its vec_id, and thirds of all coordinates as
+    packed heads; the last third has what is left over."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
+    x, third = F.col("embedding").cast("array<double>"), F.floor(F.size("embedding") / 3).cast("int")
+    return rows.select(
+        F.col("label").cast("long").alias("b"), F.col("vec_id").cast("long").alias("p"), F.slice(x, F.lit(1), third).alias("q"),
+        F.slice(x, third + 1, third).alias("k"), F.slice(x, third * 2 + 1, F.size("embedding") - third * 2).alias("v"),
+    )
+
+
+def attention_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.attention_blocked(_whole_heads(spark, sf_dir), 0.25).select("b", "q", "e", F.round("v", 6).alias("v"))
+
+
+def attention_causal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.attention_blocked(_whole_heads(spark, sf_dir), 0.5, causal=True).select("b", "q", "e", F.round("v", 6).alias("v"))
+
+
+def attention_masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even positions of the batches below five are kept; the rows of the others are zeros."""
+    rows = _whole_heads(spark, sf_dir).withColumn("keep", (F.col("b") < 5) & (F.col("p") % 2 == 0))
+    return nn.attention_blocked(rows, 0.5).select("b", "q", "e", F.round("v", 6).alias("v"))
+
+
+def attention_backward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients for Q, K and V with V as the upstream gradient."""
+    rows = _whole_heads(spark, sf_dir).withColumn("g", F.col("v"))
+    return nn.attention_blocked_backward(rows, 0.5).select("part", "b", "p", "d", F.round("v", 6).alias("v"))
+
+
+def _whole_logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
+    logits = rows.select(F.col("vec_id").alias("n"), F.posexplode("embedding").alias("c", "v")).select("n", F.col("c").cast("long").alias("c"), (F.col("v").cast("double") * 5).alias("v"))
+    return logits, rows.select(F.col("vec_id").alias("n"), F.col("label").cast("long").alias("t"))
+
+
+def cross_entropy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits, targets = _whole_logits(spark, sf_dir)
+    return nn.cross_entropy(logits, targets).select(F.round("loss", 6).alias("loss"))
+
+
+def cross_entropy_backward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mean over all labelled rows."""
+    logits, targets = _whole_logits(spark, sf_dir)
+    return nn.cross_entropy_backward(logits, targets, targets.count(), 2.0).select("n", "c", F.round("v", 9).alias("v"))
+
+
 RULES = {
     "sgd": nn.sgd(0.05, 0.9), "adam": nn.adam(0.01, 0.9, 0.99, 1e-6, 3), "adamw": nn.adam(0.01, 0.9, 0.99, 1e-6, 3, 0.1), "rmsprop": nn.rmsprop(0.01, 0.9, 1e-6), "adagrad": nn.adagrad(0.01, 1e-6),
 }
@@ -202,3 +250,20 @@ ORACLES = {
             UNION ALL SELECT o.o_custkey, o.n, f.p - 0.1::DOUBLE * (f.s * 0.9::DOUBLE + o.g), f.s * 0.9::DOUBLE + o.g FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
         SELECT o_custkey, round(arg_max(p, n), 6) AS p, round(arg_max(s, n), 6) AS s FROM f GROUP BY o_custkey""",
 }
+
+WHOLE_HEADS = """e AS (SELECT label AS b, vec_id AS p, len(embedding) // 3 AS t, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL),
+    q AS (SELECT b, p, d, v FROM e WHERE d < t), k AS (SELECT b, p, d - t AS d, v FROM e WHERE d >= t AND d < 2 * t), vv AS (SELECT b, p, d - 2 * t AS d, v FROM e WHERE d >= 2 * t)"""
+_WHOLE_OUTPUT = """SELECT g.b, g.p AS q, g.d AS e, round(coalesce(a.v, 0), 6) AS v FROM vv g LEFT JOIN
+    (SELECT w.b, w.q, vv.d AS e, sum(w.w * vv.v) AS v FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p GROUP BY ALL) a ON a.b = g.b AND a.q = g.p AND a.e = g.d"""
+WHOLE_LOGITS = """l AS (SELECT vec_id AS n, label AS t, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE * 5 AS v FROM embeddings WHERE label IS NOT NULL),
+    z AS (SELECT *, max(v) OVER (PARTITION BY n) AS m FROM l), y AS (SELECT *, sum(exp(v - m)) OVER (PARTITION BY n) AS s FROM z)"""
+
+QUERIES |= {f.__name__: f for f in (attention_whole, attention_causal_whole, attention_masked_whole, attention_backward_whole, cross_entropy_whole, cross_entropy_backward_whole)}
+ORACLES |= {
+    "attention_whole": f"WITH {_attention_sql('0.25').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
+    "attention_causal_whole": f"WITH {_attention_sql('0.5', 'k <= q').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
+    "attention_masked_whole": f"WITH {_attention_sql('0.5', 'b < 5 AND k % 2 = 0').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
+    "attention_backward_whole": ORACLES["attention_backward"].replace(HEADS, WHOLE_HEADS),
+    "cross_entropy_whole": f"WITH {WHOLE_LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t",
+    "cross_entropy_backward_whole": f"WITH {WHOLE_LOGITS} SELECT n, c, round(2 * (exp(v - m) / s - (c = t)::INT) / (SELECT count(*) FROM embeddings WHERE label IS NOT NULL), 9) AS v FROM y",
+}

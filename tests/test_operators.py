@@ -360,3 +360,27 @@ def test_whole_embeddings_are_factored(spark, tmp_path):
         assert own[m]["sign"] == sign and own[m]["log"] == pytest.approx(log, abs=2e-6)
         want = np.linalg.lstsq(a, np.arange(130)[part] % 7, rcond=None)[0]
         assert np.allclose([xs[m][i] for i in range(64)], want, atol=1e-8)
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_blocked_attention(spark, causal):
+    rng = np.random.default_rng(7)
+    sizes = {0: 23, 3: 1, 12: 9}  # batches as the table has them, not the first ten; blocks of four rows
+    rows, data = [], {}
+    for b, n in sizes.items():
+        q, k, v, g = (rng.normal(size=(n, d)) * 3 for d in (5, 5, 6, 6))
+        keep = (np.arange(n) % 3 != 1) & (b != 12)
+        data[b] = q, k, v, g, keep
+        rows += [(b, p, q[p].tolist(), k[p].tolist(), v[p].tolist(), g[p].tolist(), bool(keep[p])) for p in range(n)]
+    df = spark.createDataFrame(rows, "b long, p long, q array<double>, k array<double>, v array<double>, g array<double>, keep boolean")
+    out = {(r["b"], r["q"], r["e"]): r["v"] for r in nn.attention_blocked(df.drop("g"), 0.7, causal, block=4).collect()}
+    grads = {(r["part"], r["b"], r["p"], r["d"]): r["v"] for r in nn.attention_blocked_backward(df, 0.7, causal, block=4).collect()}
+    assert len(out) == 6 * sum(sizes.values()) and len(grads) == 16 * sum(sizes.values())
+    for b, (q, k, v, g, keep) in data.items():
+        s = np.where(keep[None, :] & (np.tri(len(q)) > 0 if causal else True), q @ k.T * 0.7, -np.inf)
+        x = np.exp(s - np.maximum(s.max(axis=1), -1e300)[:, None])
+        w = x / np.maximum(x.sum(axis=1), 1e-300)[:, None]
+        ds = w * (g @ v.T - (g * (w @ v)).sum(axis=1)[:, None]) * 0.7
+        assert all(abs(out[b, i, e] - y) < 1e-9 for (i, e), y in np.ndenumerate(w @ v))
+        for part, want in (("q", ds @ k), ("k", ds.T @ q), ("v", w.T @ g)):
+            assert all(abs(grads[part, b, i, d] - y) < 1e-8 for (i, d), y in np.ndenumerate(want))
