@@ -104,7 +104,7 @@ def _placed(unit: DataFrame, centroids: list[tuple[int, int, np.ndarray]], reach
                     home = sims.argmax(axis=1)
                     apart = planes[g][home] if g in planes else np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
                     # The distance to the plane midway between home and the other centroid.
-                    near = sims[np.arange(len(part)), home][:, None] - sims <= (reach / 2 + 1e-9) * apart
+                    near = sims[np.arange(len(part)), home][:, None] - sims <= (reach / 2 + 1e-9) * apart + 1e-9  # centroids may coincide up to rounding
                     near[np.arange(len(part)), home] = False
                     for i, h, row in zip(part, home, near, strict=True):
                         cells[i] = [int(h), *np.flatnonzero(row).tolist()]

@@ -520,3 +520,15 @@ def test_pipeline(spark):
             assert sum(labels.get(i) == 1 for i in before - set(after)) >= 0.5 * sum(labels.get(i) == 1 for i in before)
     rows = corpus_pipeline.run(spark, data).collect()
     check_packing(rows, {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_vectors_at_coincident_centroids(spark):
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=24)
+    c /= np.linalg.norm(c)
+    near = c + rng.choice([-1, 1], size=24) * 1e-16
+    x = rng.normal(size=(200, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    unit = spark.createDataFrame([(i, i, 0, 24, v.tolist()) for i, v in enumerate(x)], "row long, vec_id long, label long, dim int, x array<double>").drop("row")
+    placed = vectors._placed(unit, [(0, 24, np.stack([c, near]))], 0.3).collect()
+    assert all(sorted(r["cells"]) == [0, 1] for r in placed)
