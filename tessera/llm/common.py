@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 
@@ -52,6 +53,42 @@ def range_cuts(df: DataFrame, column: str, buckets: int) -> list[int]:
     return sorted({int(x) for x in found or ()})
 
 
+def byte_cuts(sized: DataFrame, least: int = 16 << 20, usual: int = 256 << 20, most: int = 16_384) -> list[int]:
+    """Increasing cut points of the ids of rows ``(id long, size long)`` that give ranges of about equal bytes.
+
+    A range has ``least`` bytes; from 256 ranges on they grow, up to ``usual`` bytes, and from ``most`` ranges on again.
+    The cuts depend on ids and sizes only, not on the partitions that hold them.  Bytes are summed per window of ids,
+    whose width is a power of two; windows that are too full are split again, so the driver gets a few numbers for each
+    range.  Rows of one id are never parted.
+    """
+    found = sized.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("size").alias("bytes")).first()
+    if found["lo"] is None:
+        return []
+    target = max(least, min(usual, (found["bytes"] or 0) // 256), (found["bytes"] or 0) // most)
+    ranges = (found["bytes"] or 0) // target + 1
+    shift = max(0, (found["hi"] - found["lo"]).bit_length() - max(8, (8 * ranges).bit_length()))
+    windows: list[tuple[int, int]] = []  # (largest id, bytes)
+    rows = sized.filter("id is not null")
+    while True:
+        width = 1 << shift
+        window = F.expr(f"id div {width}L")
+        sums = [(r["w"], r["bytes"]) for r in rows.groupBy(window.alias("w")).agg(F.sum("size").alias("bytes")).collect()]
+        full = [w for w, n in sums if n > target // 2 and shift]
+        windows += [((w + 1) * width - 1 if w >= 0 else w * width, n) for w, n in sums if n <= target // 2 or not shift]
+        if not full:
+            break
+        split = sized.sparkSession.createDataFrame([(w,) for w in full], "w long")
+        rows = rows.withColumn("w", window).join(F.broadcast(split), "w").select("id", "size")
+        shift = max(0, shift - 8)
+    cuts, held = [], 0
+    for before, (_, n) in itertools.pairwise([(found["lo"], 0), *sorted(windows)]):
+        if held and held + n > target:
+            cuts.append(before[0])
+            held = 0
+        held += n
+    return cuts
+
+
 def bucket_of(column: Column, cuts: list[int]) -> Column:
     """The number of cut points below the value, from 0; null counts as the smallest value.
 
@@ -61,19 +98,41 @@ def bucket_of(column: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     step = math.isqrt(len(cuts) - 1) + 1
     inner = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    outer = F.array(*(F.lit(x[-1]).cast("long") for x in inner))
+
+    def longs(values: list[int]) -> str:
+        return f"cast(array({','.join(f'{v}L' for v in values)}) as array<bigint>)"
+
+    outer = F.expr(longs([x[-1] for x in inner]))
     full = F.size(F.filter(outer, lambda c: c < column))
-    rest = F.array(*(F.array(*(F.lit(c).cast("long") for c in x)) for x in [*inner, []]))
+    rest = F.expr(f"array({','.join(longs(x) for x in [*inner, []])})")
     within = F.size(F.filter(F.element_at(rest, full + 1), lambda c: c < column))
     return F.when(column.isNull(), F.lit(0)).otherwise(full * F.lit(step) + within).cast("int")
 
 
+HUB = 100_000
+
+
+def join_hubs(rows: DataFrame, facts: DataFrame, key: str, total: int, hub: int | None = None) -> DataFrame:
+    """Inner join of many rows with one fact for each key; the facts say in ``n`` how many rows have the key.
+
+    The rows of a key with very many of them stay where they are and meet its fact by broadcast.  There are at most
+    50,000 such facts, as each key takes a share of the ``total`` rows; all other rows are joined by a shuffle.
+    """
+    limit = max(HUB if hub is None else hub, total // 50_000)
+    if total <= limit:
+        return rows.join(facts.drop("n"), key)
+    hubs = F.broadcast(facts.filter(F.col("n") > limit).drop("n"))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(facts.filter(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node of the edges ``(a, b)`` of longs; the component is its smallest node.
 
     Large-star and small-star steps alternate (Kiveris et al., "Connected Components in MapReduce and Beyond") until
-    the edges are stars.  Every step is a grouped minimum and a join, so neither a component nor the edges ever meet in
-    one task; each round is written to the shared folder.
+    the edges are stars.  Every step is a grouped minimum and a join in which nodes with very many edges are met by
+    broadcast, so neither a component nor the edges of a node ever meet in one task; each round is written to the
+    shared folder.
     """
 
     def summary(df: DataFrame) -> tuple:
@@ -85,11 +144,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hubs(both, least, "a", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(smallest, "a")
+            join_hubs(large, smallest, "a", 2 * before[0])
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .distinct()
         )

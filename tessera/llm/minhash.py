@@ -1,9 +1,9 @@
 """Document fingerprints: MinHash over five-word shingles.
 
-``PERMS`` universal hash functions ``(a * x + b) >> 48`` on 64-bit shingle hashes give one 16-bit minimum each; the
-fingerprint is these minima in hex, and the likeness of two fingerprints is the share of equal minima, which estimates
-the Jaccard similarity of the two shingle sets.  All of it is numpy over blocks of shingles, so memory is bounded for
-texts of any length.
+``PERMS`` universal hash functions ``a * x + b`` modulo 2^64 on 64-bit shingle hashes give one 64-bit minimum each.  A
+fingerprint keeps the low 32 bits of every minimum, in hex: two minima that differ agree there once in 2^32, however long
+the texts are.  The likeness of two fingerprints is the share of equal minima, which estimates the Jaccard similarity
+of the two shingle sets.  All of it is numpy over blocks of shingles.
 
 Near-duplicates (:func:`near_duplicates`) join signature bands in Spark and verify the exact Jaccard similarity.
 
@@ -24,18 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, connected_components, cut_lineage, range_cuts, shuffle_partitions
+from tessera.llm.common import bucket_of, byte_cuts, connected_components, cut_lineage, join_hubs, write_shared
 
 PERMS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 JACCARD = 0.8
-CHUNK = 512
-_BLOCK = 4096
+CHUNK = 256
+_BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
+_A = (_rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)[:, None]
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,18 +51,25 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(text: str | None) -> np.ndarray:
-    """The minima, as 16-bit integers."""
-    hashes = shingles(text)
-    least = np.full(PERMS, 0xFFFF if len(hashes) else 0, dtype=np.uint16)
+    """The minima's low 32 bits."""
+    return minima(shingles(text))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(PERMS, dtype=np.uint32)
+    least = np.full(PERMS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    room = np.empty((PERMS, min(_BLOCK, len(hashes))), dtype=np.uint64)
     for at in range(0, len(hashes), _BLOCK):
         part = hashes[at : at + _BLOCK]
-        mixed = (part[:, None] * _A + _B) >> np.uint64(48)
-        least = np.minimum(least, mixed.min(axis=0).astype(np.uint16))
-    return least
+        mixed = np.multiply(_A, part, out=room[:, : len(part)])
+        mixed += _B
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return least.astype(np.uint32)  # the low bits
 
 
 def to_hex(sign: np.ndarray) -> str:
-    return sign.astype(">u2").tobytes().hex()
+    return sign.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,14 +85,16 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame) -> DataFrame:
     """The documents in buckets of falling doc_id, each bucket followed by a copy of the document after its last one.
 
-    Columns ``bucket, guest, doc_id, text``, partitioned by bucket and sorted.  The text is shuffled once.  Cut points
-    and the first id of each bucket are a few numbers per partition; a bucket's guests are its neighbour's first rows.
+    Columns ``bucket, guest, doc_id, text``, one task for each bucket, sorted.  Buckets have about equal bytes and the
+    text is shuffled once.  Cut points and the first id of each bucket are a few numbers per bucket; a bucket's guests
+    are its neighbour's first rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = range_cuts(rows, "doc_id", 3 * shuffle_partitions(spark))
+    sized = cut_lineage(rows.select(F.col("doc_id").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")))
+    cuts = byte_cuts(sized)
     bucket = bucket_of(F.col("doc_id"), cuts)
-    tops = rows.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top")).orderBy(F.desc("bucket")).collect()
+    tops = sized.groupBy(bucket_of(F.col("id"), cuts).alias("bucket")).agg(F.max("id").alias("top")).orderBy(F.desc("bucket")).collect()
     # The first document of a bucket is also needed by the bucket before it; the first of all by the last bucket.
     visits = [(tops[i]["top"], tops[i - 1]["bucket"]) for i in range(len(tops))]
     visits = spark.createDataFrame(visits, "top long, other int")
@@ -94,7 +103,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         guests.select(F.col("other").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
     )
     order = ["bucket", "guest", F.col("doc_id").desc_nulls_last(), "text"]
-    return both.repartition("bucket").sortWithinPartitions(*order)
+    return both.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions(*order)
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -123,13 +132,17 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, component_id``: documents connected by pairs of a Jaccard similarity of at least the threshold.
 
     Pairs are found by their bands: at the threshold a pair shares one of 25 bands of 5 minima with a probability above
-    0.9999, and every found pair is verified on its whole shingle sets.  Equal shingle sets are one candidate.  The members of a band's bucket are compared with the ones before them in
-    blocks of ``CHUNK``, so a bucket of any size is whole but never meets in one task; a bucket yields links to one
-    root per block, not pairs.
+    0.9999, and every found pair is verified on its whole shingle sets.  Equal shingle sets are one node.
+
+    1. Bands are joined on ids only: every node of a bucket is paired with the bucket's smallest node, and these pairs
+       are verified.  A bucket of copies of any number gives as many pairs as it has nodes.
+    2. In buckets whose nodes are not all connected by then, the nodes of different components are compared, in blocks
+       of ``chunk`` by ``chunk`` nodes, so a bucket is whole but never meets in one task.  A block gives links to one
+       root per component, not pairs.
     """
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,50 +150,88 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
             sets = [shingles(t) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "whole": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
-                "hashes": [s.view(np.int64) for s in sets],
-                "bands": [_bands(signature(t)) for t in batch["text"]],
+                "hashes": [s.tobytes() for s in sets], "bands": [_bands(minima(s)) for s in sets],
             })
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(texts.mapInPandas(sign, "doc_id long, whole string, hashes array<long>, bands array<long>"))
-    first = signed.groupBy("whole").agg(F.min("doc_id").alias("node"))
-    nodes = signed.join(first, (signed["whole"] == first["whole"]) & (signed["doc_id"] == first["node"])).select("node", "hashes", "bands").dropDuplicates(["node"])
-    banded = nodes.select("node", "hashes", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").count().filter("count > 1").select("band", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n"))
-    dealt = banded.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "band", "key", "node", "hashes", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")
+    signed = write_shared(texts.mapInPandas(sign, "doc_id long, whole string, hashes binary, bands array<long>"), "minhash")
+    nodes = cut_lineage(signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    total = signed.count()
+
+    slots = nodes.filter("node is not null").select("node", F.explode("bands").alias("slot"))
+    leads = slots.groupBy("slot").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    pairs = cut_lineage(join_hubs(slots, leads, "slot", 25 * total).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    sets = signed.join(nodes.filter("node is not null").select(F.col("node").alias("doc_id"), "whole"), ["doc_id", "whole"]).dropDuplicates(["doc_id"])
+    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = write_shared(sets.join(some, "doc_id", "left_semi").select("doc_id", "hashes"), "minhash-sets")
+    # A node with very many pairs: its set comes once for every `chunk * 64` of them.
+    copies = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", F.ceil(F.col("n") / (chunk * 64)).cast("int").alias("of"))
+    dealt = join_hubs(pairs, copies, "b", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("of")).cast("int").alias("salt"))
+    second = sets.join(copies, F.col("doc_id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("salt"), F.col("hashes").alias("other"))
+    both = dealt.join(second, ["b", "salt"]).join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "hashes", "other")
+
+    def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(batch["hashes"], batch["other"], strict=True)]
+            yield batch.loc[keep, ["a", "b"]]
+
+    edges = cut_lineage(both.mapInPandas(near, "a long, b long"))
+    parts = cut_lineage(connected_components(edges))
+
+    placed = slots.join(parts, "node", "left").select("slot", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = mixed.select("slot", "n", F.ceil(F.col("n") / chunk).cast("int").alias("of"))
+    left = join_hubs(placed, mixed, "slot", 25 * total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    blocks = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
+        "slot", "node", "component", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q")
     )
 
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        node, own, sets = rows["node"].to_numpy(), rows["own"].to_numpy(), list(rows["hashes"])
-        root = {int(n): int(n) for n in node}
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own, component = rows["own"].to_numpy(), rows["component"].to_numpy()
+        held = [np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]]
+        sizes = np.array([len(h) for h in held])
+        first, second = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        names, at = np.unique(component, return_inverse=True)
+        root = np.arange(len(names))  # of components, by position
 
         def top(x: int) -> int:
             while root[x] != x:
                 x = root[x]
             return x
 
-        left, right = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
-        for i in left:
-            for j in right:
-                if (key[2] == key[3] and j <= i) or top(int(node[i])) == top(int(node[j])):
-                    continue
-                short, long = sorted((len(sets[i]), len(sets[j])))
-                if short < threshold * long:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= threshold * (short + long - both):
-                    a, b = sorted((top(int(node[i])), top(int(node[j]))))
-                    root[b] = a
-        return pd.DataFrame([(n, top(n)) for n in root if top(n) != n], columns=["a", "b"]).astype("int64")
-
-    edges = cut_lineage(blocks.groupBy("band", "key", "p", "q").applyInPandas(verify, "a long, b long"))
-    parts = connected_components(edges)
-    of = first.join(parts, first["node"] == parts["node"], "left").select("whole", F.coalesce("component", first["node"]).alias("component_id"))
-    return signed.select("doc_id", "whole").join(of, "whole").select("doc_id", "component_id")
-
+        starts = np.concatenate([[0], np.cumsum(sizes[second])])
+        flat = np.concatenate([held[j] for j in second]) if len(second) else np.zeros(0, dtype=np.uint64)
+        for i in first:
+            roots = np.array([top(x) for x in at[second]])
+            open_ = (roots != top(at[i])) & (np.minimum(sizes[i], sizes[second]) >= threshold * np.maximum(sizes[i], sizes[second])) & (sizes[i] > 0) & (sizes[second] > 0)
+            if not open_.any():
+                continue
+            # How many of each set's hashes are among this one's: one search for all of them.
+            found = np.searchsorted(held[i], flat)
+            found[found == sizes[i]] = 0
+            both = np.diff(np.concatenate([[0], np.cumsum(held[i][found] == flat)])[starts])
+            for j in np.flatnonzero(open_ & (both >= threshold * (sizes[i] + sizes[second] - both))):
+                a, b = sorted((top(at[i]), top(at[second[j]])))
+                root[b] = a
+        out = [(int(names[x]), int(names[top(x)])) for x in range(len(names)) if top(x) != x]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    more = blocks.join(sets.withColumnRenamed("doc_id", "node"), "node").groupBy("slot", "p", "q").applyInPandas(compare, "a long, b long")
+    joins = connected_components(cut_lineage(more)).select(F.col("node").alias("component"), F.col("component").alias("whole_component"))
+    parts = parts.join(joins, "component", "left").select("node", F.coalesce("whole_component", "component").alias("component"))
+    lone = joins.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole_component").alias("component"))
+    of = nodes.join(parts.unionByName(lone), "node", "left").select("whole", F.coalesce("component", "node").alias("component_id"), "n")
+    return join_hubs(signed.select("doc_id", "whole"), of, "whole", total).select("doc_id", "component_id")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    short, long = sorted((len(a), len(b)))
+    if not short or short < threshold * long:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= threshold * (short + long - both)
 
 
 def _bands(sign: np.ndarray) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(sign[i * ROWS : (i + 1) * ROWS].tobytes()) for i in range(BANDS)], dtype=np.uint64).view(np.int64)
+    """A key for each band, different for bands in different places."""
+    return np.array([xxhash.xxh3_64_intdigest(sign[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], dtype=np.uint64).view(np.int64)
