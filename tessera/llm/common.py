@@ -44,15 +44,6 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.lit(math.floor(bound / n * (1 << 30))))
 
 
-def range_cuts(df: DataFrame, column: str, buckets: int) -> list[int]:
-    """At most ``buckets - 1`` increasing cut points that split a long column into about equal ranges."""
-    fractions = [i / buckets for i in range(1, buckets)]
-    if not fractions:
-        return []
-    found = df.agg(F.percentile_approx(column, fractions, max(10_000, 10 * buckets)).alias("q")).first()["q"]
-    return sorted({int(x) for x in found or ()})
-
-
 def byte_cuts(sized: DataFrame, least: int = 16 << 20, usual: int = 256 << 20, most: int = 16_384) -> list[int]:
     """Increasing cut points of the ids of rows ``(id long, size long)`` that give ranges of about equal bytes.
 

@@ -4,11 +4,12 @@ Writing
 -------
 1. Equal payloads are found on digests alone: a grouped maximum per (SHA-1, length), so a payload that a third of all
    pages share is one row after the partial aggregate.  Only the decisions *page p revisits page q* come out of it.
-2. Pages and decisions are dealt together into ranges of page_id and sorted, so a page meets its decision in the task
-   that writes it.  The html is shuffled once.
-3. Every range writes its own files, rolled by compressed size, through names that no other attempt uses.  Each task
+2. Pages and decisions are dealt together into ranges of page_id with about equal bytes of html and sorted, so a page
+   meets its decision in the task that writes it.  The html is shuffled once.
+3. Every range is one task and writes its own files, rolled by compressed size, through names that no other attempt uses.  Each task
    returns a manifest of its files.  Only the attempts in the final manifest are moved to their final names; the
-   manifest is written last.  Record headers, digests and file names depend on the pages only, never on time or host.
+   manifest is written last.  Ranges, headers, digests and file names depend on the pages only, never on how they were
+   partitioned, on time or on host.
 
 Defined results: a null html is an empty payload, and empty payloads revisit like any other; pages with equal payloads
 and the same, largest page_id are all responses; a null page_id is a response and is read back as null; a null url has no
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, cut_lineage, range_cuts, shuffle_partitions
+from tessera.llm.common import bucket_of, byte_cuts, cut_lineage, join_hubs, shuffle_partitions
 
 ROLL_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
@@ -99,23 +100,30 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, refers_to`` of the pages whose payload a page with a larger id has too."""
+def digests(pages: DataFrame) -> DataFrame:
+    """``page_id, sha1, size`` of every payload, written to the shared folder: what all decisions are made from."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
-    thin = thin.filter((F.col("size") >= least) & F.col("page_id").isNotNull())
-    shared = thin.groupBy("sha1", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return thin.join(shared, ["sha1", "size"]).filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return cut_lineage(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"), F.octet_length(html).cast("long").alias("size")))
+
+
+def revisits(thin: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``page_id, refers_to`` of the pages whose payload a page with a larger id has too, from their digests."""
+    thin = thin.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).withColumn("payload", F.concat("sha1", F.col("size").cast("string").cast("binary")))
+    shared = thin.groupBy("payload").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    return join_hubs(thin, shared, "payload", thin.count()).filter("page_id < refers_to").select("page_id", "refers_to").distinct()
 
 
 def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, least: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """Writes ``(page_id, url, html)`` below the URI and returns the manifest."""
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    bucket = bucket_of(F.col("page_id"), range_cuts(own, "page_id", 3 * shuffle_partitions(spark)))
-    decisions = revisits(own, least).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
+    thin = digests(own)
+    cuts = byte_cuts(thin.select(F.col("page_id").alias("id"), "size"))
+    # Pages without an id have no place in the order: they are dealt over all ranges.
+    bucket = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(len(cuts) + 1))).otherwise(bucket_of(F.col("page_id"), cuts)).cast("int")
+    decisions = revisits(thin, least).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
     rows = own.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(decisions)
-    rows = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "page_id", "kind", "url", "html")
+    rows = rows.withColumn("bucket", bucket).repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "page_id", "kind", "url", "html")
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = _store(uri)
@@ -246,7 +254,10 @@ def read(spark: SparkSession, uri: str, html: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, top: str) -> DataFrame:
-    """Writes the pages below a new name in the folder and reads the archives back."""
+    """Writes the pages below a new name in the folder, reads the archives back, and removes them."""
     uri = posixpath.join(top, f"warc-{uuid.uuid4().hex}")
     write(pages, uri)
-    return read(pages.sparkSession, uri)
+    found = cut_lineage(read(pages.sparkSession, uri))
+    store, path = _store(uri)
+    store.delete_dir(path)
+    return found
