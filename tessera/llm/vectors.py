@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +52,36 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """(row, vec_id, label, dim, x): unit vectors that can link."""
-    x = F.col("embedding").cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    largest = F.array_max(F.transform(x, F.abs))
-    rows = vectors.filter(F.col("label").isNotNull() & finite & (largest > 0)).select("vec_id", "label", x.alias("x"), largest.alias("m"))
-    scaled = rows.select("vec_id", "label", F.transform("x", lambda v: v / F.col("m")).alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    return scaled.withColumn("norm", norm).select("vec_id", "label", F.size("x").alias("dim"), F.transform("x", lambda v: v / F.col("norm")).alias("x"))
+    """(vec_id, label, dim, x): unit vectors that can link, as the bytes of their doubles."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists, label = (batch.column(c) for c in ("vec_id", "embedding", "label"))
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are nan
+            starts = np.concatenate([[0], np.cumsum(np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0))])
+            dims = np.diff(starts)
+            out: tuple[list, list, list] = [], [], []
+            for dim in np.unique(dims[dims > 0]):
+                at = np.flatnonzero(dims == dim)
+                x = flat[starts[at][:, None] + np.arange(dim)]
+                with np.errstate(invalid="ignore"):
+                    largest = np.abs(x).max(axis=1)
+                good = np.isfinite(x).all(axis=1) & (largest > 0)
+                at, x = at[good], x[good] / largest[good][:, None]  # so that squares neither overflow nor vanish
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                for column, values in zip(out, (at, np.full(len(at), dim), [r.tobytes() for r in x]), strict=True):
+                    column.extend(values)
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), label.take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["vec_id", "label", "dim", "x"])
+
+    rows = vectors.filter("label is not null and embedding is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.select("vec_id", "embedding", "label").mapInArrow(work, "vec_id long, label long, dim int, x binary")
+
+
+def _rows(x: pd.Series | list) -> np.ndarray:
+    """Vectors of one length, one in each row."""
+    return np.frombuffer(b"".join(x), dtype=np.float64).reshape(len(x), -1)
 
 
 def fit_cells(unit: DataFrame, cell_rows: int = CELL_ROWS) -> list[tuple[int, int, np.ndarray]]:
@@ -75,7 +97,7 @@ def fit_cells(unit: DataFrame, cell_rows: int = CELL_ROWS) -> list[tuple[int, in
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
-        x = np.stack(rows["x"].to_numpy())
+        x = _rows(rows["x"])
         c = kmeans(x, min(int(key[2]), len(x)))
         return pd.DataFrame({"label": key[0], "dim": key[1], "c": list(c)})
 
@@ -87,7 +109,7 @@ def fit_cells(unit: DataFrame, cell_rows: int = CELL_ROWS) -> list[tuple[int, in
 
 
 def _placed(unit: DataFrame, centroids: list[tuple[int, int, np.ndarray]], reach: float) -> DataFrame:
-    """(row, vec_id, label, dim, x, home, cells): the cells of each vector, home first."""
+    """(vec_id, label, dim, x, cells): the cells of each vector, home first."""
     shared = unit.sparkSession.sparkContext.broadcast({(label, dim): c for label, dim, c in centroids})
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +122,7 @@ def _placed(unit: DataFrame, centroids: list[tuple[int, int, np.ndarray]], reach
                     continue
                 c = own[g]
                 for part in np.array_split(at, max(1, len(at) * len(c) >> 22)):
-                    sims = np.stack(batch["x"].to_numpy()[part]) @ c.T
+                    sims = _rows(batch["x"].to_numpy()[part]) @ c.T
                     home = sims.argmax(axis=1)
                     apart = planes[g][home] if g in planes else np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
                     # The distance to the plane midway between home and the other centroid.
@@ -108,9 +130,9 @@ def _placed(unit: DataFrame, centroids: list[tuple[int, int, np.ndarray]], reach
                     near[np.arange(len(part)), home] = False
                     for i, h, row in zip(part, home, near, strict=True):
                         cells[i] = [int(h), *np.flatnonzero(row).tolist()]
-            yield batch.assign(cells=cells)
+            yield batch.assign(vec_id=batch["vec_id"].astype("Int64"), cells=cells)
 
-    return unit.withColumn("label", F.col("label").cast("long")).mapInPandas(place, "vec_id long, label long, dim int, x array<double>, cells array<int>")
+    return unit.withColumn("label", F.col("label").cast("long")).mapInPandas(place, "vec_id long, label long, dim int, x binary, cells array<int>")
 
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +149,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cell, p, q = key[2], key[3], key[4]
-        x = np.stack(rows["x"].to_numpy())
+        x = _rows(rows["x"])
         own, ids = rows["own"].to_numpy(), rows["vec_id"].astype("Int64")
         home = np.array([c[0] for c in rows["cells"]])
         width = max(len(c) for c in rows["cells"])
