@@ -13,7 +13,7 @@ through the words that differ from them by at most one bit on one side and two o
 linear in their number.
 
 Equal fingerprints are grouped before anything is compared, by a partial aggregate, so a group of copies of any size
-costs one row.
+costs one row.  Fingerprints, not ids, are what links connect: an id that two different texts have links nothing.
 
 Defined results: a null text is an empty text; texts without a word have fingerprint zero and link like any other; rows
 without a doc_id get their fingerprint, link nothing, and take the component that their fingerprint has (null if only
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut_lineage
+from tessera.llm.common import connected_components, cut_lineage, fresh, join_hubs
 
 DISTANCE = 3
 SHINGLE = 3
@@ -60,14 +60,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every document; fp holds the 64 bits as a signed long."""
+    """``doc_id, fp, tie`` of every document; fp holds the 64 bits as a signed long, tie is a hash of the text."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp, "tie": batch["tie"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).mapInPandas(work, "doc_id long, fp long, tie long")
+
+
+def _tie(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def hex_of(fp: Column) -> Column:
@@ -195,20 +200,42 @@ def links(nodes: DataFrame) -> DataFrame:
     return light if crowded.isEmpty() else light.unionByName(_through_words(crowded))
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Fingerprints of the documents; ``fp, n, component, component_id, component_n`` of each; and their number."""
+    prints = cut_lineage(fingerprints(docs))
+    total = prints.count()
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = connected_components(links(nodes.filter("least is not null").select(F.col("fp").alias("node"), "fp")))
+    of = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("component", "fp").alias("component"))
+    of = cut_lineage(of)
+    names = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return prints, join_hubs(of, names, "component", total).withColumnRenamed("copies", "n").select("fp", "n", "component", "component_id"), total
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of every document ``(doc_id, text)``."""
-    prints = cut_lineage(fingerprints(docs))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(links(nodes.filter("node is not null")))
-    of_fp = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    prints, of, total = _grouped(docs)
+    return join_hubs(prints, of, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are copies too; rows without a doc_id stay, as nothing tells them apart.
+    Of rows in a group with the same doc_id the text with the smallest hash stays, and of equal texts the row that sorts
+    first.  Rows without a doc_id stay, as nothing tells them apart.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns)).dropDuplicates(["doc_id"])
+    prints, of, total = _grouped(docs.filter("doc_id is not null"))
+    kept = join_hubs(prints, of, "fp", total).groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    own, tie = fresh(docs, "_own"), fresh(docs, "_tie")
+    kept = kept.select(F.col("first.doc_id").alias(own), F.col("first.tie").alias(tie))
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    sortable = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    one = (
+        docs.withColumn(own, F.col("doc_id").cast("long"))
+        .withColumn(tie, _tie(F.col("text").cast("string")))
+        .join(kept, [own, tie], "left_semi")
+        .groupBy(own, tie)
+        .agg(F.min_by(F.struct(*columns), F.struct(*sortable)).alias("row"))
+        .select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    )
     return one.unionByName(docs.filter("doc_id is null"))
