@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.linalg import grams
+
 TOLERANCE = 1e-9
 Factors = dict[str, np.ndarray]
 
@@ -295,18 +297,24 @@ KERNELS: dict[str, Callable[[np.ndarray], Factors]] = {
 SQUARE = {"lu", "cholesky", "udu", "bunch_kaufman", "hessenberg", "schur", "symmetric_eigen", "eigenvalues", "inv", "det", "slogdet", "matexp"}
 
 
-def _dense(rows: pd.DataFrame) -> np.ndarray:
-    a = np.zeros((int(rows["i"].max()) + 1, int(rows["j"].max()) + 1))
-    a[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["v"].to_numpy()
+def _dense(rows: pd.DataFrame, shape: tuple[int, int] | None = None) -> np.ndarray:
+    """Absent entries are zero if the shape is known; without one every entry must be there."""
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    if shape is None:
+        shape = int(i.max()) + 1, int(j.max()) + 1
+        if len(rows) != shape[0] * shape[1]:
+            raise ValueError("entries are absent: the matrix needs its shape")
+    a = np.zeros(shape)
+    a[i, j] = rows["v"].to_numpy()
     return a
 
 
-def factor(matrices: DataFrame, kind: str) -> DataFrame:
-    """``m, part, i, j, v`` of every matrix of ``(m, i, j, v)``."""
+def factor(matrices: DataFrame, kind: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """``m, part, i, j, v`` of every matrix of ``(m, i, j, v)``; sparse ones need their shape."""
     kernel = KERNELS[kind]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = _dense(rows)
+        a = _dense(rows, shape)
         if not np.isfinite(a).all():
             raise ValueError(f"matrix {key[0]} has non-finite entries")
         if kind in SQUARE and a.shape[0] != a.shape[1]:
@@ -321,12 +329,18 @@ def factor(matrices: DataFrame, kind: str) -> DataFrame:
 
 
 def solve(matrices: DataFrame, right: DataFrame, least_squares: bool = False) -> DataFrame:
-    """``m, i, v``: the solutions of A x = b for every key of ``(m, i, j, v)`` and ``(m, i, v)``."""
+    """``m, i, v``: the solutions of A x = b for every key of ``(m, i, j, v)`` and ``(m, i, v)``.
+
+    Absent entries are zero; the largest index on the right says how many equations there are.
+    """
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             raise ValueError(f"system {key[0]} lacks a side")
-        x, y = _dense(a), b.sort_values("at")["b"].to_numpy()
+        n = int(b["at"].max()) + 1
+        y = np.zeros(n)
+        y[b["at"].to_numpy()] = b["b"].to_numpy()
+        x = _dense(a, (n, int(a["j"].max()) + 1 if least_squares else n))
         if least_squares:
             q, r = np.linalg.qr(x)
             z = np.linalg.solve(r, q.T @ y)
@@ -340,30 +354,6 @@ def solve(matrices: DataFrame, right: DataFrame, least_squares: bool = False) ->
     return matrices.groupBy("m").cogroup(right.groupBy("m")).applyInPandas(one, "m long, i long, v double")
 
 
-def grams(rows: DataFrame, column: str, held: int = 1024) -> DataFrame:
-    """``m, i, j, v``: X^T X of the packed rows of every ``m``.  Each task sums its own rows, with at most ``held``
-    matrices at once; what is shuffled is cells of partial sums, however many rows a matrix has."""
-
-    def cells(own: dict[int, np.ndarray]) -> pd.DataFrame:
-        at = [(np.full(g.size, m), *(k.ravel() for k in np.indices(g.shape)), g.ravel()) for m, g in own.items()]
-        return pd.DataFrame(dict(zip(("m", "i", "j", "v"), map(np.concatenate, zip(*at, strict=True)), strict=True)))
-
-    def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for m, part in batch.groupby("m"):
-                x = np.stack(part["x"].to_numpy())
-                own[m] = own[m] + x.T @ x if m in own else x.T @ x
-                if len(own) >= held:
-                    yield cells(own)
-                    own = {}
-        if own:
-            yield cells(own)
-
-    packed = rows.select(F.col("m").cast("long").alias("m"), F.col(column).cast("array<double>").alias("x"))
-    return packed.mapInPandas(local, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
-
-
 def least_squares_rows(rows: DataFrame, column: str, right: str) -> DataFrame:
     """``m, i, v``: the shortest x that minimizes |A x - b| over all rows ``(m, packed row of A, b)`` of every ``m``,
     from the normal equations: Spark sums A^T A and A^T b, and only they meet in a task."""
@@ -407,3 +397,12 @@ def tall_svd(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors of a tall matrix, from its triangle."""
     _, s, vt = np.linalg.svd(tsqr(rows, column))
     return s, vt.T
+
+
+def tall_least_squares(rows: DataFrame, column: str, right: str) -> np.ndarray:
+    """The x that minimizes |A x - b| over rows of a packed row of A and b, from one pass: the triangle of (A b) has the
+    triangle of A and, beside it, Q^T b.  Of a matrix without full column rank it is the shortest such x."""
+    both = F.concat(F.col(column).cast("array<double>"), F.array(F.col(right).cast("double")))
+    r = tsqr(rows.select(both.alias("x")), "x")
+    n = r.shape[1] - 1
+    return np.linalg.lstsq(r[:n, :n], r[:n, n], rcond=None)[0]

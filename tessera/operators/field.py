@@ -10,7 +10,8 @@ from tessera.tensor import ShapeError, Tensor
 
 
 def _second(value: Column, pos: str, other: list[str], n: int, spacing: float, boundary: str) -> Column:
-    """The three-point second difference along one axis of a full grid, by window over its lines."""
+    """The three-point second difference along one axis of a full grid, by window over its lines; periodic lines find
+    what lies across their edges in ``_low`` and ``_high`` of the axis."""
     line = Window.partitionBy(*other).orderBy(pos)
     before, after = F.lag(value, 1).over(line), F.lead(value, 1).over(line)
     at = F.col(pos)
@@ -18,11 +19,9 @@ def _second(value: Column, pos: str, other: list[str], n: int, spacing: float, b
         edge = -2 * value
         inner = before - 2 * value + after
         return F.when((at == 0) | (at == n - 1), edge).otherwise(inner) / spacing**2
-    if boundary == "periodic":  # first and last are the same point, so the neighbours across are n-2 and 1
-        whole = Window.partitionBy(*other).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        low, high = F.nth_value(value, n - 1).over(whole), F.nth_value(value, 2).over(whole)
-        left = F.when(at == 0, low).otherwise(before)
-        right = F.when(at == n - 1, high).otherwise(after)
+    if boundary == "periodic":
+        left = F.when(at == 0, F.col("_low" + pos)).otherwise(before)
+        right = F.when(at == n - 1, F.col("_high" + pos)).otherwise(after)
         return (left - 2 * value + right) / spacing**2
     if boundary == "neumann":  # one-sided, four points; a short axis is mirrored
         if n >= 4:
@@ -39,9 +38,13 @@ def laplacian(t: Tensor, spacing: tuple[float, float] = (1.0, 1.0), boundary: st
     (x, y), (nx, ny) = t.dims, t.shape
     if min(nx, ny) < 2 or min(spacing) <= 0:
         raise ShapeError(f"a Laplacian of {t.shape} at {spacing}")
-    v = F.col("v")
+    v, df = F.col("v"), t.df
+    if boundary == "periodic":  # first and last are the same point, so the neighbours across are n-2 and 1
+        for pos, other, n in ((x, y, nx), (y, x, ny)):
+            edges = t.df.filter(F.col(pos).isin(1, n - 2)).groupBy(other)
+            df = df.join(edges.agg(*(F.max(F.when(F.col(pos) == at, v)).alias(name + pos) for name, at in (("_low", n - 2), ("_high", 1)))), other)
     along_x, along_y = _second(v, x, [y], nx, spacing[0], boundary), _second(v, y, [x], ny, spacing[1], boundary)
-    return Tensor(t.df.select(x, y, (polarity * (along_x + along_y)).alias("v")), t.dims, t.shape)
+    return Tensor(df.select(x, y, (polarity * (along_x + along_y)).alias("v")), t.dims, t.shape)
 
 
 def fdtd_step(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: float) -> DataFrame:

@@ -1,39 +1,79 @@
-"""Dense products as joins on the contracted axis and grouped sums."""
+"""Dense products: a small side is broadcast, two large ones meet in blocks."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 from tessera.tensor import ShapeError, Tensor
 
+SMALL = 1 << 20  # cells of a side that is broadcast, by its shape
+
+
+def _small(t: Tensor) -> bool:
+    return math.prod(t.shape) <= SMALL
+
 
 def matmul(a: Tensor, b: Tensor) -> Tensor:
-    """``[m, k] x [k, n]``; absent entries are zero, and a contraction over nothing gives zeros."""
+    """``[m, k] x [k, n]``; absent entries are zero, and a contraction over nothing gives zeros.
+
+    A side of at most ``SMALL`` cells by its shape is broadcast, so only products that are already summed per task are
+    shuffled; two larger sides go to :func:`matmul_blocked`.
+    """
     (i, k), (k2, j) = a.dims, b.dims
     if a.shape[1] != b.shape[0]:
         raise ShapeError(f"{a.shape} x {b.shape}")
     shape = (a.shape[0], b.shape[1])
     if not a.shape[1]:
         return Tensor.full(a.df.sparkSession, shape, 0.0, ("i", "j"))
+    if not _small(a) and not _small(b):
+        return matmul_blocked(a, b)
     left = a.df.select(F.col(i).alias("i"), F.col(k).alias("_k"), F.col("v").alias("_a"))
     right = b.df.select(F.col(k2).alias("_k"), F.col(j).alias("j"), F.col("v").alias("_b"))
-    return Tensor(left.join(right, "_k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), shape)
+    met = left.join(F.broadcast(right), "_k") if _small(b) else F.broadcast(left).join(right, "_k")
+    return Tensor(met.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), shape)
+
+
+def matmul_rows(rows: DataFrame, column: str, b: Tensor) -> DataFrame:
+    """Packed rows times a small matrix: the rows with their product in that column, and no shuffle; null stays null."""
+    if not _small(b):
+        raise ShapeError(f"{b.shape} is too large to be held by every task")
+    shared = rows.sparkSession.sparkContext.broadcast(b.to_numpy())
+    names = rows.columns
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = batch[column].notna().to_numpy()
+            out = np.full(len(batch), None, dtype=object)
+            if known.any():
+                for i, row in zip(np.flatnonzero(known), np.stack(batch[column].to_numpy()[known]) @ shared.value, strict=True):
+                    out[i] = row
+            yield batch.assign(**{column: out})[names]
+
+    typed = rows.withColumn(column, F.col(column).cast("array<double>"))
+    return typed.mapInPandas(work, typed.schema)
 
 
 def batched_matmul(a: Tensor, b: Tensor) -> Tensor:
-    """``[batch, m, k] x [batch, k, n]``; a batch of one is broadcast by leaving it out of the key."""
+    """``[batch, m, k] x [batch, k, n]``; a batch of one is broadcast by leaving it out of the key, a side of at most
+    ``SMALL`` cells by its shape is broadcast to the tasks."""
     if a.shape[2] != b.shape[1] or (a.shape[0] != b.shape[0] and 1 not in (a.shape[0], b.shape[0])):
         raise ShapeError(f"{a.shape} x {b.shape}")
     batch = max(a.shape[0], b.shape[0]) if a.shape[0] and b.shape[0] else 0
     left = a.df.toDF("_p", "i", "_k", "_a")
-    right = b.df.toDF("_q", "_k", "j", "_b")
-    on = [left["_k"] == right["_k"]]
+    right = b.df.toDF("_q", "_k2", "j", "_b")
+    on = [F.col("_k") == F.col("_k2")]
     if a.shape[0] == b.shape[0]:
-        on.append(left["_p"] == right["_q"])
+        on.append(F.col("_p") == F.col("_q"))
     which = F.col("_p") if a.shape[0] == batch else F.col("_q")
-    out = left.join(right, on).groupBy(which.alias("b"), "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    met = left.join(F.broadcast(right), on) if _small(b) else F.broadcast(left).join(right, on) if _small(a) else left.join(right, on)
+    out = met.groupBy(which.alias("b"), "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
     return Tensor(out, ("b", "i", "j"), (batch, a.shape[1], b.shape[2]))
 
 
@@ -69,46 +109,76 @@ def matpow(a: Tensor, exponent: int) -> Tensor:
     return out if out is not None else eye(a)
 
 
+def grams(rows: DataFrame, column: str, held: int = 1024) -> DataFrame:
+    """``m, i, j, v``: X^T X of the packed rows of every ``m``.  Each task sums its own rows, with at most ``held``
+    matrices at once; what is shuffled is cells of partial sums, however many rows a matrix has."""
+
+    def cells(own: dict[int, np.ndarray]) -> pd.DataFrame:
+        at = [(np.full(g.size, m), *(k.ravel() for k in np.indices(g.shape)), g.ravel()) for m, g in own.items()]
+        return pd.DataFrame(dict(zip(("m", "i", "j", "v"), map(np.concatenate, zip(*at, strict=True)), strict=True)))
+
+    def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, part in batch.groupby("m"):
+                x = np.stack(part["x"].to_numpy())
+                own[m] = own[m] + x.T @ x if m in own else x.T @ x
+                if len(own) >= held:
+                    yield cells(own)
+                    own = {}
+        if own:
+            yield cells(own)
+
+    packed = rows.select(F.col("m").cast("long").alias("m"), F.col(column).cast("array<double>").alias("x")).filter("x is not null")
+    return packed.mapInPandas(local, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+
+
 def gram(rows: DataFrame, column: str) -> Tensor:
-    """``X^T X`` of packed rows (one array column): one pass of outer products, partial sums, no join."""
-    n = rows.select(F.max(F.size(column)).alias("n")).first()["n"] or 0
-    pairs = rows.select(F.posexplode(column).alias("i", "_x"), F.col(column).alias("_row")).select("i", "_x", F.posexplode("_row").alias("j", "_y"))
-    out = pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("_x").cast("double") * F.col("_y")).alias("v"))
-    return Tensor(out, ("i", "j"), (n, n))
+    """``X^T X`` of packed rows (one array column) of one length: matrices summed per task, no join."""
+    first = rows.select(F.size(column).alias("n")).filter("n >= 0").first()
+    n = first["n"] if first else 0
+    return Tensor(grams(rows.select(F.lit(0).alias("m"), F.col(column).alias("x")), "x").select("i", "j", "v"), ("i", "j"), (n, n))
 
 
 def matmul_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
-    """The same product for large dense operands: square blocks meet on the contracted block and are multiplied in
-    numpy, so the shuffle carries each entry once per block row or column and not once per product."""
-    import numpy as np
-    import pandas as pd
+    """The same product for two large operands: blocks are packed once, meet on the contracted block and are multiplied
+    in numpy, so the shuffle carries each entry once per block row or column and not once per product.
 
+    Like :func:`matmul` it has an entry wherever a row and a column have entries in common, be its sum zero or not.
+    Few contracted blocks would be few join keys: the blocks of b are then dealt out, and those of a repeated, over as
+    many salts as there are shuffle partitions for each key, 32 at most.
+    """
     if a.shape[1] != b.shape[0]:
         raise ShapeError(f"{a.shape} x {b.shape}")
     m, n = a.shape[0], b.shape[1]
-
-    def packed(t: Tensor, keep: int, side: str) -> DataFrame:
-        at = F.struct((F.col(t.dims[0]) % block).cast("int").alias("r"), (F.col(t.dims[1]) % block).cast("int").alias("c"), "v")
-        own, inner = t.dims[keep], t.dims[1 - keep]
-        blocks = t.df.groupBy(F.floor(F.col(own) / block).alias(side), F.floor(F.col(inner) / block).alias("_k")).agg(F.collect_list(at).alias("_e" + side))
-        return blocks
-
-    left, right = packed(a, 0, "_p"), packed(b, 1, "_q")
-    pairs = left.join(right, "_k").select("_p", "_q", "_k", "_e_p", "_e_q")
-
-    def multiply(batches):
+    spark = a.df.sparkSession
+    salts = max(1, min(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, -(-a.shape[1] // block))))
+
+    def packed(t: Tensor, own: int, side: str) -> DataFrame:
+        def pack(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+            x, there = np.zeros((block, block)), np.zeros((block, block), dtype=bool)
+            at = cells["r"].to_numpy(), cells["c"].to_numpy()
+            x[at], there[at] = cells["v"].to_numpy(), True
+            return pd.DataFrame({side: [key[0]], "_k": [key[1]], "_x" + side: [x.tobytes() + there.tobytes()]})
+
+        r, c = t.dims
+        cells = t.df.select(
+            F.floor(F.col(t.dims[own]) / block).alias(side), F.floor(F.col(t.dims[1 - own]) / block).alias("_k"), (F.col(r) % block).cast("int").alias("r"), (F.col(c) % block).cast("int").alias("c"), F.col("v").cast("double").alias("v")
+        )
+        return cells.groupBy(side, "_k").applyInPandas(pack, f"{side} long, _k long, _x{side} binary")
+
+    left = packed(a, 0, "_p").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = packed(b, 1, "_q").withColumn("_salt", F.pmod(F.xxhash64("_q"), F.lit(salts)).cast("int"))
+    pairs = left.join(right, ["_k", "_salt"]).select("_p", "_q", "_x_p", "_x_q")
+
+    def multiply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for p, q, x, y in zip(batch["_p"], batch["_q"], batch["_e_p"], batch["_e_q"], strict=True):
-                u, w = np.zeros((block, block)), np.zeros((block, block))
-                for e in x:
-                    u[e["r"], e["c"]] = e["v"]
-                for e in y:
-                    w[e["r"], e["c"]] = e["v"]
+            for p, q, x, y in zip(batch["_p"], batch["_q"], batch["_x_p"], batch["_x_q"], strict=True):
+                u, w = (np.frombuffer(z, dtype=np.float64, count=block * block).reshape(block, block) for z in (x, y))
+                here, there = (np.frombuffer(z, dtype=bool, offset=8 * block * block).reshape(block, block) for z in (x, y))
+                r, c = np.nonzero(here.astype(np.float32) @ there.astype(np.float32))
                 z = u @ w
-                r, c = np.nonzero(z)
-                out.append(pd.DataFrame({"i": p * block + r, "j": q * block + c, "v": z[r, c]}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "v": []})
+                yield pd.DataFrame({"i": p * block + r, "j": q * block + c, "v": z[r, c]})
 
     partial = pairs.mapInPandas(multiply, "i long, j long, v double")
     return Tensor(partial.groupBy("i", "j").agg(F.sum("v").alias("v")), ("i", "j"), (m, n))

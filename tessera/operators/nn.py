@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
@@ -101,19 +103,7 @@ def accumulate(target: DataFrame, gradient: DataFrame, keys: list[str]) -> DataF
     return target.join(gradient.withColumnRenamed("v", "_g"), keys, "left").select(*keys, (F.col("v") + F.coalesce("_g", F.lit(0.0))).alias("v"))
 
 
-# -- attention: Q (b, q, d), K (b, k, d), V (b, k, e) -------------------------------------------------------------------
-
-
-def attention_weights(q: DataFrame, k: DataFrame, scale: float, causal: bool = False, keep: DataFrame | None = None) -> DataFrame:
-    """``b, q, k, w``: softmax over the keys that a mask leaves; a row without keys has no rows here."""
-    scores = q.toDF("b", "q", "d", "_q").join(k.toDF("b", "k", "d", "_k"), ["b", "d"]).groupBy("b", "q", "k").agg((F.sum(F.col("_q") * F.col("_k")) * scale).alias("s"))
-    if causal:
-        scores = scores.filter("k <= q")
-    if keep is not None:  # (b, k) of the keys that stay
-        scores = scores.join(keep.select("b", "k").distinct(), ["b", "k"], "left_semi")
-    row = Window.partitionBy("b", "q")
-    shifted = scores.withColumn("x", F.exp(F.col("s") - F.max("s").over(row)))
-    return shifted.select("b", "q", "k", (F.col("x") / F.sum("x").over(row)).alias("w"))
+# -- attention: blocks of queries meet blocks of keys -------------------------------------------------------------------
 
 
 def grouped_mask(mask: DataFrame, heads: int) -> DataFrame:
@@ -121,54 +111,68 @@ def grouped_mask(mask: DataFrame, heads: int) -> DataFrame:
     return mask.toDF("m", "k", "v").filter("v <> 0").select(F.explode(F.sequence(F.col("m") * heads, F.col("m") * heads + heads - 1)).alias("b"), "k")
 
 
-def attention(q: Tensor, k: Tensor, v: Tensor, scale: float | None = None, causal: bool = False, keep: DataFrame | None = None) -> Tensor:
-    """Weighted values; a fully masked row is zeros."""
+def _packed(t: Tensor, name: str) -> DataFrame:
+    """``b, p`` and the features of each position as one array, absent ones 0."""
+    n = t.shape[2]
+    cells = t.df.toDF("b", "p", "d", "v").groupBy("b", "p").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("_m"))
+    at = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
+    return cells.select("b", "p", F.transform(at, lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0))).alias(name))
+
+
+def _sides(q: Tensor, k: Tensor, v: Tensor, keep: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Packed rows of the queries and of the keys with their values."""
     if q.shape[0] != k.shape[0] or q.shape[2] != k.shape[2] or k.shape[:2] != v.shape[:2]:
         raise ShapeError(f"{q.shape}, {k.shape}, {v.shape}")
-    scale = 1 / math.sqrt(q.shape[2]) if scale is None else scale
-    w = attention_weights(q.df, k.df, scale, causal, keep)
-    out = w.join(v.df.toDF("b", "k", "e", "_v"), ["b", "k"]).groupBy("b", "q", "e").agg(F.sum(F.col("w") * F.col("_v")).alias("v"))
-    return Tensor(out, ("b", "q", "e"), (q.shape[0], q.shape[1], v.shape[2])).densify()
-
-
-def attention_backward(q: DataFrame, k: DataFrame, v: DataFrame, upstream: DataFrame, scale: float, causal: bool = False, keep: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Gradients for Q, K and V."""
-    w = attention_weights(q, k, scale, causal, keep)
-    values, up = v.toDF("b", "k", "e", "_v"), upstream.toDF("b", "q", "e", "_g")
-    gv = w.join(values, ["b", "k"]).join(up, ["b", "q", "e"]).groupBy("b", "q", "k", "w").agg(F.sum(F.col("_g") * F.col("_v")).alias("gv"))
-    mean = F.sum(F.col("w") * F.col("gv")).over(Window.partitionBy("b", "q"))
-    ds = gv.select("b", "q", "k", (F.col("w") * (F.col("gv") - mean)).alias("ds"))
-    return {
-        "q": ds.join(k.toDF("b", "k", "d", "_k"), ["b", "k"]).groupBy("b", "q", "d").agg((F.sum(F.col("ds") * F.col("_k")) * scale).alias("v")),
-        "k": ds.join(q.toDF("b", "q", "d", "_q"), ["b", "q"]).groupBy("b", "k", "d").agg((F.sum(F.col("ds") * F.col("_q")) * scale).alias("v")),
-        "v": w.join(up, ["b", "q"]).groupBy("b", "k", "e").agg(F.sum(F.col("w") * F.col("_g")).alias("v")),
-    }
+    keys = _packed(k, "k").join(_packed(v, "v"), ["b", "p"])
+    if keep is not None:  # (b, k) of the keys that stay
+        stay = keep.select("b", F.col("k").alias("p"), F.lit(True).alias("keep")).distinct()
+        keys = keys.join(stay, ["b", "p"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+    return _packed(q, "q"), keys
 
 
-# -- attention of packed rows (b, p, q, k, v): blocks of queries meet blocks of keys -------------------------------------
+def attention(q: Tensor, k: Tensor, v: Tensor, scale: float | None = None, causal: bool = False, keep: DataFrame | None = None, block: int = 1024) -> Tensor:
+    """Weighted values of Q (b, q, d), K (b, k, d) and V (b, k, e); a fully masked row is zeros, non-finite input an error."""
+    queries, keys = _sides(q, k, v, keep)
+    cells = _cells(_block_sums(queries, keys, 1 / math.sqrt(q.shape[2]) if scale is None else scale, causal, block))
+    return Tensor(cells, ("b", "q", "e"), (q.shape[0], q.shape[1], v.shape[2])).densify()
 
 
-def _met_blocks(rows: DataFrame, block: int) -> tuple[GroupedData, GroupedData]:
-    """Queries and keys dealt to (b, query block, key block).  Blocks of about ``block`` rows are picked by a hash of the
-    position, so a sequence of any length is dealt out evenly; a block is one row, so only blocks are repeated."""
-    import numpy as np
-    import pandas as pd
+def attention_backward(q: Tensor, k: Tensor, v: Tensor, upstream: Tensor, scale: float, causal: bool = False, keep: DataFrame | None = None, block: int = 1024) -> dict[str, DataFrame]:
+    """Gradients ``b, p, d, v`` for Q, K and V."""
+    queries, keys = _sides(q, k, v, keep)
+    found = cut_lineage(_gradients(queries.join(_packed(upstream, "g"), ["b", "p"]), keys, scale, causal, block))
+    return {part: found.filter(F.col("part") == part).drop("part") for part in "qkv"}
 
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``b, own`` and the columns of all rows of a block as one row each.  Blocks of about ``block`` rows are picked by a
+    hash of the position, so a sequence of any length is dealt out evenly."""
     names = [c for c in rows.columns if c != "b"]
     packs = {c for c, t in rows.dtypes if t.startswith("array")}
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("p")
-        return pd.DataFrame({"b": [key[0]], "own": [key[1]], "n": [part["_n"].iloc[0]], **{c: [np.concatenate(part[c].to_numpy()) if c in packs else part[c].to_numpy()] for c in names}})
+        out = {c: np.concatenate(part[c].to_numpy()) if c in packs else part[c].to_numpy() for c in names}
+        if not all(np.isfinite(out[c]).all() for c in packs):
+            raise ValueError(f"batch {key[0]} has non-finite entries")
+        return pd.DataFrame({"b": [key[0]], "own": [key[1]], **{c: [x] for c, x in out.items()}})
+
+    dealt = rows.join(_block_counts(rows, block), "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
+    schema = "b long, own int, " + ", ".join(f"{c} array<{'long' if c == 'p' else 'boolean' if c == 'keep' else 'double'}>" for c in names)
+    return dealt.groupBy("b", "_own").applyInPandas(pack, schema)
 
-    counts = rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = rows.join(counts, "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
-    schema = "b long, own int, n int, " + ", ".join(f"{c} array<{'long' if c == 'p' else 'boolean' if c == 'keep' else 'double'}>" for c in names)
-    blocks = dealt.groupBy("b", "_own").applyInPandas(pack, schema).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    queries = blocks.select("b", F.col("own").alias("qb"), F.col("other").alias("kb"), *(c for c in names if c not in ("k", "v", "keep")))
-    # New names: both sides come from one table.
-    keys = blocks.select(*(F.col(c).alias("key_" + c) for c in ("b", "p", "k", "v", "keep") if c in rows.columns), F.col("other").alias("key_qb"), F.col("own").alias("key_kb"))
-    return queries.groupBy("b", "qb", "kb"), keys.groupBy("key_b", "key_qb", "key_kb")
+
+def _block_counts(rows: DataFrame, block: int) -> DataFrame:
+    return rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+
+
+def _met_blocks(queries: DataFrame, keys: DataFrame, block: int) -> tuple[GroupedData, GroupedData]:
+    """Queries and keys dealt to (b, query block, key block): a block is one row, so only blocks are repeated."""
+    others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = _blocks(queries, block).join(_block_counts(keys, block), "b").withColumn("kb", others).drop("_n").withColumnRenamed("own", "qb")
+    right = _blocks(keys, block).join(_block_counts(queries, block), "b").withColumn("qb", others).drop("_n").withColumnRenamed("own", "kb")
+    right = right.select(*(F.col(c).alias("key_" + c) for c in right.columns))  # new names: both sides may come from one table
+    return left.groupBy("b", "qb", "kb"), right.groupBy("key_b", "key_qb", "key_kb")
 
 
 def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
@@ -178,8 +182,6 @@ def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
 
 def _scores(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool):
     """Scaled products of a block of queries and one of keys; -inf where the key does not count."""
-    import numpy as np
-
     s = _of_block(left, "q") @ _of_block(right, "key_k", "key_p").T * scale
     if causal:
         s[right["key_p"].iloc[0][None, :] > left["p"].iloc[0][:, None]] = -np.inf
@@ -188,10 +190,8 @@ def _scores(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool)
     return s
 
 
-def _block_sums(rows: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
+def _block_sums(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
     """``b, p, top, total, o``: of every query the maximum, the sum and the weighted mean of the values over all keys."""
-    import numpy as np
-    import pandas as pd
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         s = _scores(left, right, scale, causal)
@@ -208,28 +208,21 @@ def _block_sums(rows: DataFrame, scale: float, causal: bool, block: int) -> Data
             total, out = total + s * f, out + o.reshape(len(m), -1) * f[:, None]
         return pd.DataFrame({"b": key[0], "p": parts["p"].iloc[0], "top": top, "total": total, "o": list(out / np.where(total > 0, total, 1)[:, None])})
 
-    queries, keys = _met_blocks(rows, block)
-    met = queries.cogroup(keys).applyInPandas(one, "b long, qb int, p array<long>, m array<double>, s array<double>, o array<double>")
+    left, right = _met_blocks(queries, keys, block)
+    met = left.cogroup(right).applyInPandas(one, "b long, qb int, p array<long>, m array<double>, s array<double>, o array<double>")
     return met.groupBy("b", "qb").applyInPandas(merge, "b long, p long, top double, total double, o array<double>")
 
 
-def attention_blocked(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
-    """``b, q, e, v`` of rows ``(b, p, q, k, v)`` with packed heads, and ``keep`` where keys are masked; (b, p) is unique.
+def _cells(sums: DataFrame) -> DataFrame:
+    return sums.select("b", F.col("p").alias("q"), F.posexplode("o").alias("e", "v")).select("b", "q", F.col("e").cast("long").alias("e"), "v")
 
-    No score is ever a row: a block of queries and a block of keys are multiplied in numpy, and the blocks of one query
-    are joined by their maxima and sums.  The batches are those of the table; a fully masked row is zeros."""
-    cells = _block_sums(rows, scale, causal, block).select("b", F.col("p").alias("q"), F.posexplode("o").alias("e", "v"))
-    return cells.select("b", "q", F.col("e").cast("long").alias("e"), "v")
-
-
-def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
-    """``part, b, p, d, v``: gradients for Q, K and V of rows that also have their packed upstream gradient ``g``."""
-    import numpy as np
-    import pandas as pd
 
-    rows = cut_lineage(rows)
+def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
+    """``part, b, p, d, v`` of queries ``(b, p, q, g)`` and keys ``(b, p, k, v)``."""
+    queries, keys = cut_lineage(queries), cut_lineage(keys)
     dot = F.aggregate(F.zip_with("g", "o", lambda g, o: g * o), F.lit(0.0), lambda s, t: s + t)
-    ready = cut_lineage(rows.join(_block_sums(rows.drop("g"), scale, causal, block), ["b", "p"]).withColumn("mean", dot).drop("o"))
+    sums = _block_sums(queries.drop("g"), keys, scale, causal, block)
+    ready = cut_lineage(queries.join(sums, ["b", "p"]).withColumn("mean", dot).drop("o"))
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, g, k, v = _of_block(left, "q"), _of_block(left, "g"), _of_block(right, "key_k", "key_p"), _of_block(right, "key_v", "key_p")
@@ -243,41 +236,89 @@ def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = Fal
         x = sum(parts["x"]).reshape(len(parts["p"].iloc[0]), -1)
         return pd.DataFrame({"part": key[0], "b": key[1], "p": parts["p"].iloc[0], "x": list(x)})
 
-    queries, keys = _met_blocks(ready, block)
-    met = queries.cogroup(keys).applyInPandas(one, "part string, b long, own int, p array<long>, x array<double>")
+    left, right = _met_blocks(ready, keys, block)
+    met = left.cogroup(right).applyInPandas(one, "part string, b long, own int, p array<long>, x array<double>")
     sums = met.groupBy("part", "b", "own").applyInPandas(merge, "part string, b long, p long, x array<double>")
     return sums.select("part", "b", "p", F.posexplode("x").alias("d", "v")).select("part", "b", "p", F.col("d").cast("long").alias("d"), "v")
 
 
-# -- cross-entropy: logits (n, c, v), targets (n, t) --------------------------------------------------------------------
+def attention_blocked(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
+    """``b, q, e, v`` of rows ``(b, p, q, k, v)`` with packed heads, and ``keep`` where keys are masked; (b, p) is unique.
+
+    No score is ever a row: a block of queries and a block of keys are multiplied in numpy, and the blocks of one query
+    are joined by their maxima and sums.  The batches are those of the table; a fully masked row is zeros, non-finite
+    input an error."""
+    return _cells(_block_sums(rows.select("b", "p", "q"), rows.drop("q"), scale, causal, block))
+
+
+def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
+    """``part, b, p, d, v``: gradients for Q, K and V of rows that also have their packed upstream gradient ``g``."""
+    return _gradients(rows.select("b", "p", "q", "g"), rows.drop("q", "g"), scale, causal, block)
+
+
+# -- cross-entropy ------------------------------------------------------------------------------------------------------
+
+
+def cross_entropy_rows(rows: DataFrame, count: int | None = None, upstream: float = 1.0) -> DataFrame:
+    """``n, loss, p, g`` of packed rows ``(n, x, t)`` of logits and a target: the loss of the row, its probabilities, and
+    ``upstream * (p - onehot) / count``, the gradient of the mean over ``count`` rows (null without one).  A column
+    ``into`` is a gradient that this one is added to.
+
+    All in the row: nothing is shuffled.  Non-finite logits, missing targets and targets out of range are errors.
+    """
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, t = np.stack(batch["x"].to_numpy()), batch["t"].to_numpy(dtype=float, na_value=np.nan)
+            if not np.isfinite(x).all() or not ((t >= 0) & (t < x.shape[1])).all():
+                raise ValueError("non-finite logits or targets out of range")
+            at = np.arange(len(x)), t.astype(int)
+            top = x.max(axis=1)
+            e = np.exp(x - top[:, None])
+            total = e.sum(axis=1)
+            p = e / total[:, None]
+            g: list | None = None
+            if count is not None:
+                slope = p.copy()
+                slope[at] -= 1
+                slope *= upstream / count
+                g = list(slope + np.stack(batch["into"].to_numpy()) if "into" in batch else slope)
+            yield pd.DataFrame({"n": batch["n"], "loss": np.log(total) + top - x[at], "p": list(p), "g": g})
+
+    names = ["n", F.col("x").cast("array<double>").alias("x"), F.col("t").cast("long").alias("t"), *(["into"] if "into" in rows.columns else [])]
+    return rows.select(*names).mapInPandas(work, f"n {rows.schema['n'].dataType.simpleString()}, loss double, p array<double>, g array<double>")
 
 
 def softmax(logits: DataFrame) -> DataFrame:
-    """``n, c, p`` and the row's log-sum-exp."""
+    """``n, c, p`` of logits ``(n, c, v)`` and the row's log-sum-exp."""
     row = Window.partitionBy("n")
     top = logits.toDF("n", "c", "v").withColumn("_m", F.max("v").over(row))
     total = top.withColumn("_x", F.exp(F.col("v") - F.col("_m"))).withColumn("_s", F.sum("_x").over(row))
     return total.select("n", "c", "v", (F.col("_x") / F.col("_s")).alias("p"), (F.log("_s") + F.col("_m")).alias("lse"))
 
 
+def _aimed(logits: DataFrame, targets: DataFrame) -> DataFrame:
+    """``n, c, v, p, lse, t``; non-finite logits, missing and repeated targets and targets out of range are errors."""
+    v = F.col("v")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    checked = logits.toDF("n", "c", "v").withColumn("v", F.when(bad, F.raise_error(F.lit("non-finite logits")).cast("double")).otherwise(v))
+    aims = targets.toDF("n", "t").groupBy("n").agg(F.max("t").alias("t"), F.count("t").alias("_aims"))
+    met = softmax(checked).join(aims, "n", "full_outer")
+    hit = F.coalesce(F.sum((F.col("c") == F.col("t")).cast("long")).over(Window.partitionBy("n")), F.lit(0)) == 1
+    return met.withColumn("t", F.when(hit & (F.col("_aims") == 1), F.col("t")).otherwise(F.raise_error(F.lit("a row needs one target in range")).cast("long"))).drop("_aims")
+
+
 def cross_entropy(logits: DataFrame, targets: DataFrame) -> DataFrame:
-    """The mean loss, one row."""
-    at = softmax(logits).join(targets.toDF("n", "c"), ["n", "c"])
-    return at.agg(F.avg(F.col("lse") - F.col("v")).alias("loss"))
+    """The mean loss of logits ``(n, c, v)`` and targets ``(n, t)``, one row."""
+    own = F.when(F.col("c") == F.col("t"), F.col("lse") - F.col("v"))  # no filter, which would drop rows before they are seen to be wrong
+    return _aimed(logits, targets).agg(F.avg(own).alias("loss"))
 
 
 def cross_entropy_backward(logits: DataFrame, targets: DataFrame, rows: int, upstream: float = 1.0) -> DataFrame:
     """``n, c, v``: upstream * (p - onehot) / rows"""
-    p = softmax(logits).join(targets.toDF("n", "t"), "n")
-    return p.select("n", "c", (upstream * (F.col("p") - (F.col("c") == F.col("t")).cast("double")) / rows).alias("v"))
-
-
-def check_logits(logits: DataFrame, targets: DataFrame, classes: int) -> None:
-    """Non-finite logits and targets out of range are rejected before anything is computed."""
-    v = F.col("v")
-    bad = logits.toDF("n", "c", "v").filter(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).limit(1).count()
-    if bad or targets.toDF("n", "t").filter((F.col("t") < 0) | (F.col("t") >= classes)).limit(1).count():
-        raise ValueError("non-finite logits or targets out of range")
+    return _aimed(logits, targets).select("n", "c", (upstream * (F.col("p") - (F.col("c") == F.col("t")).cast("double")) / rows).alias("v"))
 
 
 # -- optimizer steps: one projection ------------------------------------------------------------------------------------

@@ -42,12 +42,35 @@ def axis(t: Tensor, dim: str, op: str) -> Tensor:
 
 
 def axis_with(t: Tensor, dim: str, combine: Callable[[Column, Column], Column], initial: float) -> Tensor:
-    """Reduces one axis with any associative function of two Columns, in index order along that axis."""
+    """Folds one axis with any function of two Columns, in index order along that axis.
+
+    A fold that is not associative has to see its line at once, so a line must fit a task; associative functions take
+    :func:`axis_combine`.
+    """
+    rest = tuple(d for d in t.dims if d != dim)
+    shape = tuple(m for d, m in zip(t.dims, t.shape, strict=True) if d != dim)
+    return Tensor(_folded(t.df, [*rest], dim, combine, initial), rest, shape)
+
+
+def axis_combine(t: Tensor, dim: str, combine: Callable[[Column, Column], Column], initial: float, chunk: int = 4096) -> Tensor:
+    """Reduces one axis with any associative function of two Columns, the earlier one first; ``initial`` is its identity.
+
+    A line is folded in chunks of positions, and the chunks' values in chunks again, in as many levels as the length
+    needs: no more than a chunk of a line ever meets in a task.
+    """
     rest = tuple(d for d in t.dims if d != dim)
     shape = tuple(m for d, m in zip(t.dims, t.shape, strict=True) if d != dim)
-    line = F.array_sort(F.collect_list(F.struct(F.col(dim).alias("at"), F.col("v").alias("v"))))
+    df, n = t.df.select(*rest, F.col(dim).alias("_at"), "v"), t.shape[t.dims.index(dim)]
+    while n > chunk:
+        df = _folded(df.withColumn("_chunk", F.floor(F.col("_at") / chunk)), [*rest, "_chunk"], "_at", combine, initial).withColumnRenamed("_chunk", "_at")
+        n = -(-n // chunk)
+    return Tensor(_folded(df, [*rest], "_at", combine, initial), rest, shape)
+
+
+def _folded(df: DataFrame, lines: list[str], position: str, combine: Callable[[Column, Column], Column], initial: float) -> DataFrame:
+    line = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col("v").alias("v"))))
     folded = F.aggregate("line", F.lit(float(initial)), lambda acc, x: combine(acc, x["v"]))
-    return Tensor(t.df.groupBy(*rest).agg(line.alias("line")).select(*rest, folded.alias("v")), rest, shape)
+    return df.groupBy(*lines).agg(line.alias("line")).select(*lines, folded.alias("v"))
 
 
 def dot(a: Tensor, b: Tensor) -> DataFrame:

@@ -1,21 +1,17 @@
-"""Factorizations: one small matrix per label, and one tall matrix.
+"""Factorizations: one matrix per label, from all coordinates of all its rows, and one tall matrix.
 
 Each query puts the factors together again, or returns what is unique about them, so that SQL over the input can tell
 whether they are right; tests compare triangularity, orthogonality and permutations as well.
-
-The queries of plain names and their SQL take the first coordinates of the vectors.  Those that end in ``_whole`` take
-all coordinates of all labelled rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import decomp
+from tessera.operators import decomp, linalg
 from tessera.session import cut_lineage
-
-N = 6
+from tessera.tensor import Tensor
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,20 +19,16 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("label").cast("long").alias("m"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def _matrices(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """One symmetric positive definite matrix per label: the Gram matrix of its vectors' first coordinates, or of whole
-    vectors and with one added to the diagonal, as a label may have fewer rows than coordinates."""
-    if whole:
-        one = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
-        return cut_lineage(decomp.grams(_labelled(spark, sf_dir), "x").withColumn("v", F.col("v") + one))
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null").select(F.col("label").cast("long").alias("m"), F.slice("embedding", 1, N).alias("x"))
-    cells = rows.select("m", "x", F.posexplode("x").alias("i", "a")).select("m", "i", "a", F.posexplode("x").alias("j", "b"))
-    return cells.groupBy("m", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("v"))
+def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symmetric positive definite matrix per label: the Gram matrix of its vectors with one added to the diagonal,
+    as a label may have fewer rows than coordinates."""
+    one = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    return cut_lineage(linalg.grams(_labelled(spark, sf_dir), "x").withColumn("v", F.col("v") + one))
 
 
-def _lopsided(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _lopsided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neither symmetric nor singular: the Gram matrices with one triangle halved."""
-    return _matrices(spark, sf_dir, whole).withColumn("v", F.when(F.col("i") > F.col("j"), F.col("v") / 2 + 0.25).otherwise(F.col("v")))
+    return _matrices(spark, sf_dir).withColumn("v", F.when(F.col("i") > F.col("j"), F.col("v") / 2 + 0.25).otherwise(F.col("v")))
 
 
 def _part(f: DataFrame, name: str, i: str, j: str, v: str) -> DataFrame:
@@ -52,21 +44,21 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("m", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
-def _two(kind: str, left: str, right: str, lopsided: bool, flip: bool = False, whole: bool = False):
+def _two(kind: str, left: str, right: str, lopsided: bool, flip: bool = False):
     """left x right, or left x right^T."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = decomp.factor(_lopsided(spark, sf_dir, whole) if lopsided else _matrices(spark, sf_dir, whole), kind)
+        f = decomp.factor(_lopsided(spark, sf_dir) if lopsided else _matrices(spark, sf_dir), kind)
         return _rounded(_product(_part(f, left, "i", "k", "a"), _part(f, right, *(("j", "k") if flip else ("k", "j")), "b")))
 
     return query
 
 
-def _three(kind: str, left: str, middle: str, lopsided: bool, right: str | None = None, diagonal: bool = False, whole: bool = False):
+def _three(kind: str, left: str, middle: str, lopsided: bool, right: str | None = None, diagonal: bool = False):
     """left x middle x right^T; a diagonal middle is a vector."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = decomp.factor(_lopsided(spark, sf_dir, whole) if lopsided else _matrices(spark, sf_dir, whole), kind)
+        f = decomp.factor(_lopsided(spark, sf_dir) if lopsided else _matrices(spark, sf_dir), kind)
         if diagonal:
             scale = _part(f, middle, "k", "zero", "d").drop("zero")
             first = _part(f, left, "i", "k", "a").join(scale, ["m", "k"]).select("m", "i", "k", (F.col("a") * F.col("d")).alias("a"))
@@ -77,11 +69,11 @@ def _three(kind: str, left: str, middle: str, lopsided: bool, right: str | None
     return query
 
 
-def _permuted(kind: str, left: str, right: str, rows: bool, columns: bool, lopsided: bool = True, whole: bool = False):
+def _permuted(kind: str, left: str, right: str, rows: bool, columns: bool, lopsided: bool = True):
     """left x right with its rows and columns put back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = decomp.factor(_lopsided(spark, sf_dir, whole) if lopsided else _matrices(spark, sf_dir, whole), kind)
+        f = decomp.factor(_lopsided(spark, sf_dir) if lopsided else _matrices(spark, sf_dir), kind)
         out = _product(_part(f, left, "i", "k", "a"), _part(f, right, "k", "j", "b"))
         if rows:
             out = out.join(_part(f, "p", "i", "zero", "to").drop("zero"), ["m", "i"]).select("m", F.col("to").cast("long").alias("i"), "j", "v")
@@ -93,8 +85,8 @@ def _permuted(kind: str, left: str, right: str, rows: bool, columns: bool, lopsi
     return query
 
 
-def bunch_kaufman(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    f = decomp.factor(_matrices(spark, sf_dir, whole), "bunch_kaufman")
+def bunch_kaufman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = decomp.factor(_matrices(spark, sf_dir), "bunch_kaufman")
     first = _product(_part(f, "l", "i", "k", "a"), _part(f, "d", "k", "j", "b")).select("m", "i", F.col("j").alias("k"), F.col("v").alias("a"))
     out = _product(first, _part(f, "l", "j", "k", "b"))
     p = _part(f, "p", "i", "zero", "to").drop("zero")
@@ -102,59 +94,70 @@ def bunch_kaufman(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
     return _rounded(out.select("m", "i", F.col("to").cast("long").alias("j"), "v"))
 
 
-def inverse(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A A^-1"""
-    m = _lopsided(spark, sf_dir, whole)
+    m = _lopsided(spark, sf_dir)
     f = decomp.factor(m, "inv")
     return _rounded(_product(m.select("m", "i", F.col("j").alias("k"), F.col("v").alias("a")), _part(f, "inv", "k", "j", "b")))
 
 
-def pseudo_inverse(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def pseudo_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A A^+ A"""
-    m = _lopsided(spark, sf_dir, whole)
+    m = _lopsided(spark, sf_dir)
     f = decomp.factor(m, "pinv")
     first = _product(m.select("m", "i", F.col("j").alias("k"), F.col("v").alias("a")), _part(f, "pinv", "k", "j", "b")).select("m", "i", F.col("j").alias("k"), F.col("v").alias("a"))
     return _rounded(_product(first, m.select("m", F.col("i").alias("k"), "j", F.col("v").alias("b"))))
 
 
+def _sign_and_log(f: DataFrame) -> DataFrame:
+    return f.groupBy("m").agg(F.max(F.when(F.col("part") == "sign", F.col("v"))).alias("sign"), F.round(F.max(F.when(F.col("part") == "log", F.col("v"))), 6).alias("log"))
+
+
 def determinant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the leading two rows and columns, where SQL has a closed form."""
-    f = decomp.factor(_lopsided(spark, sf_dir).filter("i < 2 and j < 2"), "det")
-    return f.select("m", F.round("v", 6).alias("det"))
+    """Sign and logarithm of the determinant of the lower triangles, their rows reversed: SQL has the diagonal."""
+    last = F.max("i").over(Window.partitionBy("m"))
+    flipped = _matrices(spark, sf_dir).select("m", (last - F.col("i")).alias("i"), "j", F.when(F.col("i") >= F.col("j"), F.col("v")).otherwise(0.0).alias("v"))
+    return _sign_and_log(decomp.factor(flipped, "slogdet"))
+
+
+def determinant_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the full matrices.  SQL has no closed form."""
+    return _sign_and_log(decomp.factor(_lopsided(spark, sf_dir), "slogdet"))
 
 
 def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two equal rows cost one rank."""
-    m = _lopsided(spark, sf_dir).filter(f"i < {N - 1}")
-    doubled = m.unionByName(m.filter("i = 0").withColumn("i", F.lit(N - 1).cast("long")))
+    """The first row in the place of the last costs one rank."""
+    m = _lopsided(spark, sf_dir)
+    last = m.groupBy("m").agg(F.max("i").alias("last"))
+    m = m.join(last, "m")
+    doubled = m.filter("i < last").unionByName(m.filter("i = 0").withColumn("i", F.col("last"))).drop("last")
     return decomp.factor(doubled, "matrix_rank").select("m", F.col("v").cast("long").alias("rank"))
 
 
-def eigenvalue_sums(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def eigenvalue_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of eigenvalues and of their squares, general and symmetric, and of squared singular values."""
-    spd, lopsided = _matrices(spark, sf_dir, whole), _lopsided(spark, sf_dir, whole)
+    spd, lopsided = _matrices(spark, sf_dir), _lopsided(spark, sf_dir)
     general = decomp.factor(lopsided, "eigenvalues").filter("part = 're'").groupBy("m").agg(F.round(F.sum("v"), 6).alias("general"))
     w = decomp.factor(spd, "symmetric_eigen").filter("part = 'w'").groupBy("m").agg(F.round(F.sum("v"), 6).alias("symmetric"), F.round(F.sum(F.col("v") ** 2), 6).alias("symmetric_squares"))
     s = decomp.factor(lopsided, "singular_values").groupBy("m").agg(F.round(F.sum(F.col("v") ** 2), 6).alias("singular_squares"))
     return general.join(w, "m").join(s, "m")
 
 
-def solve(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A x for the solution of A x = b with b = (1, 2, ...)."""
-    m = _lopsided(spark, sf_dir, whole)
+    m = _lopsided(spark, sf_dir)
     b = m.filter("j = 0").select("m", "i", (F.col("i") + 1).cast("double").alias("v"))
     x = decomp.solve(m, b)
     return m.join(x.select("m", F.col("i").alias("j"), F.col("v").alias("x")), ["m", "j"]).groupBy("m", "i").agg(F.round(F.sum(F.col("v") * F.col("x")), 6).alias("v"))
 
 
 def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first columns of each label's matrix as a tall system.  The normal equations hold: A^T (A x - b) is zero."""
-    a = _lopsided(spark, sf_dir).filter("j < 3")
-    b = a.filter("j = 0").select("m", "i", (F.col("i") % 4 + 1).cast("double").alias("v"))
-    x = decomp.solve(a, b, least_squares=True)
-    ax = a.join(x.select("m", F.col("i").alias("j"), F.col("v").alias("x")), ["m", "j"]).groupBy("m", "i").agg(F.sum(F.col("v") * F.col("x")).alias("ax"))
-    rest = ax.join(b, ["m", "i"]).select("m", "i", (F.col("ax") - F.col("v")).alias("r"))
-    return a.join(rest, ["m", "i"]).groupBy("m", "j").agg((F.round(F.sum(F.col("v") * F.col("r")), 6) + 0.0).alias("v"))
+    """The system of all rows of a label, with vec_id mod 7 to the right: A^T A x, which is A^T b."""
+    rows = _labelled(spark, sf_dir).withColumn("b", F.pmod("vec_id", F.lit(7)).cast("double"))
+    x = decomp.least_squares_rows(rows, "x", "b").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("own"))
+    ax = F.aggregate(F.zip_with("x", "own", lambda a, o: a * o), F.lit(0.0), lambda s, t: s + t)
+    cells = rows.join(F.broadcast(x), "m").select("m", ax.alias("ax"), F.posexplode("x").alias("j", "a"))
+    return cells.groupBy("m", F.col("j").cast("long").alias("j")).agg((F.round(F.sum(F.col("a") * F.col("ax")), 6) + 0.0).alias("v"))
 
 
 def tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,47 +167,25 @@ def tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, j, round(float(g[i, j]), 6) + 0.0) for i in range(len(g)) for j in range(len(g))], "i long, j long, v double")
 
 
-def matrix_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """det(exp A) = exp(trace A)"""
-    small = _lopsided(spark, sf_dir).filter("i < 2 and j < 2").withColumn("v", F.col("v") / 10)
-    e = decomp.factor(small, "matexp").select("m", "i", "j", "v")
-    return decomp.factor(e, "det").select("m", F.round("v", 6).alias("det"))
-
-
-def determinant_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign and logarithm of the determinant.  SQL has no closed form."""
-    f = decomp.factor(_lopsided(spark, sf_dir, True), "slogdet")
-    return f.groupBy("m").agg(F.max(F.when(F.col("part") == "sign", F.col("v"))).alias("sign"), F.round(F.max(F.when(F.col("part") == "log", F.col("v"))), 6).alias("log"))
+def tall_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one tall system with vec_id mod 7 to the right: A^T A x, which is A^T b."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("b", F.pmod("vec_id", F.lit(7)).cast("double"))
+    x = decomp.tall_least_squares(rows, "embedding", "b")
+    left = spark.createDataFrame([(j, float(v)) for j, v in enumerate(x)], "j long, v double")
+    product = linalg.matmul(linalg.gram(rows, "embedding"), Tensor(left.select("j", F.lit(0).cast("long").alias("c"), "v"), ("j", "c"), (len(x), 1)))
+    return product.df.select("i", (F.round("v", 6) + 0.0).alias("v"))
 
 
-def rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row in the place of the last costs one rank."""
-    m = _lopsided(spark, sf_dir, True)
-    last = m.groupBy("m").agg(F.max("i").alias("last"))
-    m = m.join(last, "m")
-    doubled = m.filter("i < last").unionByName(m.filter("i = 0").withColumn("i", F.col("last"))).drop("last")
-    return decomp.factor(doubled, "matrix_rank").select("m", F.col("v").cast("long").alias("rank"))
-
-
-def least_squares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The system of all rows of a label, with vec_id mod 7 to the right: A^T A x, which is A^T b."""
-    rows = _labelled(spark, sf_dir).withColumn("b", F.pmod("vec_id", F.lit(7)).cast("double"))
-    x = decomp.least_squares_rows(rows, "x", "b").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("own"))
-    ax = F.aggregate(F.zip_with("x", "own", lambda a, o: a * o), F.lit(0.0), lambda s, t: s + t)
-    cells = rows.join(F.broadcast(x), "m").select("m", ax.alias("ax"), F.posexplode("x").alias("j", "a"))
-    return cells.groupBy("m", F.col("j").cast("long").alias("j")).agg((F.round(F.sum(F.col("a") * F.col("ax")), 6) + 0.0).alias("v"))
-
-
-def matrix_exponential_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matrix_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log det(exp(A / t)) = trace(A) / t, where t is the number of rows of a label."""
     rows = _labelled(spark, sf_dir).groupBy("m").agg(F.count("*").alias("t"))
-    scaled = _lopsided(spark, sf_dir, True).join(F.broadcast(rows), "m").select("m", "i", "j", (F.col("v") / F.col("t")).alias("v"))
+    scaled = _lopsided(spark, sf_dir).join(F.broadcast(rows), "m").select("m", "i", "j", (F.col("v") / F.col("t")).alias("v"))
     e = decomp.factor(scaled, "matexp").select("m", "i", "j", "v")
     return decomp.factor(e, "slogdet").filter("part = 'log'").select("m", F.round("v", 6).alias("log_det"))
 
 
-CELLS = f"SELECT label AS m, vec_id, generate_subscripts(embedding[1:{N}], 1) - 1 AS i, unnest(embedding[1:{N}])::DOUBLE AS a FROM embeddings WHERE label IS NOT NULL"
-SPD = f"c AS ({CELLS}), s AS (SELECT x.m, x.i, y.i AS j, sum(x.a * y.a) AS v FROM c x JOIN c y ON x.vec_id = y.vec_id AND x.m = y.m GROUP BY ALL)"
+SPD = """c AS (SELECT label AS m, vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS a FROM embeddings WHERE label IS NOT NULL),
+    s AS (SELECT x.m, x.i, y.i AS j, sum(x.a * y.a) + any_value((x.i = y.i)::INT) AS v FROM c x JOIN c y ON x.vec_id = y.vec_id AND x.m = y.m GROUP BY ALL)"""
 LOPSIDED = f"{SPD}, l AS (SELECT m, i, j, CASE WHEN i > j THEN v / 2 + 0.25 ELSE v END AS v FROM s)"
 A_SPD = f"WITH {SPD} SELECT m, i, j, round(v, 6) + 0 AS v FROM s"
 A_LOP = f"WITH {LOPSIDED} SELECT m, i, j, round(v, 6) + 0 AS v FROM l"
@@ -215,51 +196,22 @@ QUERIES = {
     "udu": _three("udu", "u", "d", False, diagonal=True), "bunch_kaufman": bunch_kaufman, "hessenberg": _three("hessenberg", "q", "h", True),
     "schur": _three("schur", "q", "t", True), "bidiagonal": _three("bidiagonal", "u", "b", True, right="v"), "svd": _three("svd", "u", "s", True, right="v", diagonal=True),
     "symmetric_eigen": _three("symmetric_eigen", "v", "w", False, diagonal=True), "inverse": inverse, "pseudo_inverse": pseudo_inverse, "determinant": determinant, "rank": rank,
-    "eigenvalue_sums": eigenvalue_sums, "solve": solve, "least_squares": least_squares, "tall_qr": tall_qr, "matrix_exponential": matrix_exponential,
+    "eigenvalue_sums": eigenvalue_sums, "solve": solve, "least_squares": least_squares, "tall_qr": tall_qr, "tall_least_squares": tall_least_squares, "matrix_exponential": matrix_exponential,
 }
 ORACLES = {
     **dict.fromkeys(("lu", "full_piv_lu", "qr", "col_piv_qr", "hessenberg", "schur", "bidiagonal", "svd", "pseudo_inverse"), A_LOP),
     **dict.fromkeys(("cholesky", "udu", "bunch_kaufman", "symmetric_eigen"), A_SPD),
     "inverse": f"WITH {SPD} SELECT m, i, j, (i = j)::INT::DOUBLE AS v FROM s",
-    "determinant": f"""WITH {LOPSIDED} SELECT m, round(max(v) FILTER (i = 0 AND j = 0) * max(v) FILTER (i = 1 AND j = 1)
-        - max(v) FILTER (i = 0 AND j = 1) * max(v) FILTER (i = 1 AND j = 0), 6) AS det FROM l GROUP BY m""",
-    "rank": f"SELECT DISTINCT label AS m, {N - 1}::BIGINT AS rank FROM embeddings WHERE label IS NOT NULL",
+    "determinant": f"WITH {SPD} SELECT m, CASE WHEN count(*) % 4 < 2 THEN 1::DOUBLE ELSE -1 END AS sign, round(sum(ln(v)), 6) AS log FROM s WHERE i = j GROUP BY m",
+    "rank": "SELECT label AS m, max(len(embedding)) - 1 AS rank FROM embeddings WHERE label IS NOT NULL GROUP BY label",
     "eigenvalue_sums": f"""WITH {LOPSIDED} SELECT l.m, round(sum(l.v) FILTER (l.i = l.j), 6) AS general, round(sum(s.v) FILTER (s.i = s.j), 6) AS symmetric,
         round(sum(s.v * s.v), 6) AS symmetric_squares, round(sum(l.v * l.v), 6) AS singular_squares FROM l JOIN s ON l.m = s.m AND l.i = s.i AND l.j = s.j GROUP BY l.m""",
     "solve": f"WITH {SPD} SELECT m, i, (i + 1)::DOUBLE AS v FROM s WHERE j = 0",
-    "least_squares": "SELECT m, range AS j, 0::DOUBLE AS v FROM (SELECT DISTINCT label AS m FROM embeddings WHERE label IS NOT NULL) CROSS JOIN range(3)",
+    "least_squares": "SELECT label AS m, j, round(sum(a * (vec_id % 7)), 6) + 0 AS v FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS a FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL",
+    "tall_least_squares": "SELECT i, round(sum(a * (vec_id % 7)), 6) + 0 AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS a FROM embeddings) GROUP BY i",
     "tall_qr": """WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS a FROM embeddings)
         SELECT x.i, y.i AS j, round(sum(x.a * y.a), 6) + 0 AS v FROM c x JOIN c y ON x.vec_id = y.vec_id GROUP BY ALL""",
-    "matrix_exponential": f"WITH {LOPSIDED} SELECT m, round(exp(sum(v / 10)), 6) AS det FROM l WHERE i = j AND i < 2 GROUP BY m",
+    "matrix_exponential": f"WITH {LOPSIDED}, t AS (SELECT label AS m, count(*) AS t FROM embeddings GROUP BY label) SELECT l.m, round(sum(v / t), 6) AS log_det FROM l JOIN t ON l.m = t.m WHERE i = j GROUP BY l.m",
 }
-
-
-def _of_whole(query):
-    return lambda spark, sf_dir: query(spark, sf_dir, whole=True)
-
-
-WHOLE_SPD = """c AS (SELECT label AS m, vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS a FROM embeddings WHERE label IS NOT NULL),
-    s AS (SELECT x.m, x.i, y.i AS j, sum(x.a * y.a) + any_value((x.i = y.i)::INT) AS v FROM c x JOIN c y ON x.vec_id = y.vec_id AND x.m = y.m GROUP BY ALL)"""
-WHOLE_LOPSIDED = f"{WHOLE_SPD}, l AS (SELECT m, i, j, CASE WHEN i > j THEN v / 2 + 0.25 ELSE v END AS v FROM s)"
-
-QUERIES |= {
-    "lu_whole": _permuted("lu", "l", "u", True, False, whole=True), "full_piv_lu_whole": _permuted("full_piv_lu", "l", "u", True, True, whole=True), "qr_whole": _two("qr", "q", "r", True, whole=True),
-    "col_piv_qr_whole": _permuted("col_piv_qr", "q", "r", False, True, whole=True), "cholesky_whole": _two("cholesky", "l", "l", False, flip=True, whole=True),
-    "udu_whole": _three("udu", "u", "d", False, diagonal=True, whole=True), "bunch_kaufman_whole": _of_whole(bunch_kaufman), "hessenberg_whole": _three("hessenberg", "q", "h", True, whole=True),
-    "schur_whole": _three("schur", "q", "t", True, whole=True), "bidiagonal_whole": _three("bidiagonal", "u", "b", True, right="v", whole=True),
-    "svd_whole": _three("svd", "u", "s", True, right="v", diagonal=True, whole=True), "symmetric_eigen_whole": _three("symmetric_eigen", "v", "w", False, diagonal=True, whole=True),
-    "inverse_whole": _of_whole(inverse), "pseudo_inverse_whole": _of_whole(pseudo_inverse), "rank_whole": rank_whole, "eigenvalue_sums_whole": _of_whole(eigenvalue_sums),
-    "solve_whole": _of_whole(solve), "least_squares_whole": least_squares_whole, "matrix_exponential_whole": matrix_exponential_whole,
-}
 #: Without SQL; tests compare them with numpy.
 ALONE = {"determinant_whole": determinant_whole}
-ORACLES |= {f"{name}_whole": f"WITH {WHOLE_LOPSIDED} SELECT m, i, j, round(v, 6) + 0 AS v FROM l" for name in ("lu", "full_piv_lu", "qr", "col_piv_qr", "hessenberg", "schur", "bidiagonal", "svd", "pseudo_inverse")}
-ORACLES |= {f"{name}_whole": f"WITH {WHOLE_SPD} SELECT m, i, j, round(v, 6) + 0 AS v FROM s" for name in ("cholesky", "udu", "bunch_kaufman", "symmetric_eigen")}
-ORACLES |= {
-    "inverse_whole": f"WITH {WHOLE_SPD} SELECT m, i, j, (i = j)::INT::DOUBLE AS v FROM s",
-    "rank_whole": "SELECT label AS m, max(len(embedding)) - 1 AS rank FROM embeddings WHERE label IS NOT NULL GROUP BY label",
-    "eigenvalue_sums_whole": ORACLES["eigenvalue_sums"].replace(LOPSIDED, WHOLE_LOPSIDED),
-    "solve_whole": f"WITH {WHOLE_SPD} SELECT m, i, (i + 1)::DOUBLE AS v FROM s WHERE j = 0",
-    "least_squares_whole": "SELECT label AS m, j, round(sum(a * (vec_id % 7)), 6) + 0 AS v FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS a FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL",
-    "matrix_exponential_whole": f"WITH {WHOLE_LOPSIDED}, t AS (SELECT label AS m, count(*) AS t FROM embeddings GROUP BY label) SELECT l.m, round(sum(v / t), 6) AS log_det FROM l JOIN t ON l.m = t.m WHERE i = j GROUP BY l.m",
-}

@@ -9,6 +9,7 @@ from tessera.operators import nn
 from tessera.tensor import Tensor
 
 DAYS = 2600
+GRID = {"x": 480, "y": 7, "z": 6}
 
 
 def _series(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -40,7 +41,7 @@ def convolution_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convolution_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradients for weight and bias with the output itself as the upstream gradient, scaled."""
+    """Gradients for weight and bias with the output itself as the upstream gradient."""
     x, w = _series(spark, sf_dir), _weight(spark, 3, 2, 3)
     y = nn.conv(x, w, None, [2], [1], [2])
     g = nn.conv_backward(x, w, y, [2], [1], [2])
@@ -55,58 +56,46 @@ def convolution_input_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.conv_backward(x, w, y, [2], [1], [2])["input"]
 
 
-def _heads(spark: SparkSession, sf_dir: str) -> tuple[Tensor, Tensor, Tensor]:
-    """Q, K and V: batches are labels, positions are ranks of vec_id mod 12, features are coordinates."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
-    cells = rows.select(F.col("label").cast("long").alias("b"), (F.col("vec_id") % 12).alias("p"), F.posexplode("embedding").alias("d", "v")).filter("d < 24")
-    cells = cells.groupBy("b", "p", F.col("d").cast("long").alias("d")).agg(F.sum(F.col("v").cast("double")).alias("v"))
-    q, k, v = (Tensor(cells.filter(f"d >= {a} and d < {a + 8}").select("b", "p", (F.col("d") - a).alias("d"), "v"), ("b", "p", "d"), (10, 12, 8)) for a in (0, 8, 16))
-    return q, k, v
-
-
-def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention(*_heads(spark, sf_dir)).df.select("b", "q", "e", F.round("v", 6).alias("v"))
-
-
-def attention_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention(*_heads(spark, sf_dir), scale=0.5, causal=True).df.select("b", "q", "e", F.round("v", 6).alias("v"))
-
-
-def attention_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keep mask for groups of five batches; the second group keeps nothing, so its rows are zeros."""
-    mask = Tensor.full(spark, (2, 12), 0.0, ("m", "k")).df.select("m", "k", ((F.col("m") == 0) & (F.col("k") % 2 == 0)).cast("double").alias("v"))
-    return nn.attention(*_heads(spark, sf_dir), scale=0.5, keep=nn.grouped_mask(mask, 5)).df.select("b", "q", "e", F.round("v", 6).alias("v"))
+def _grid(spark: SparkSession, sf_dir: str, rank: int) -> Tensor:
+    """(b, c, x, y[, z]): quantity per week and line number, and in three axes per tenth of the quantity."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    batch = F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1
+    channel = F.array_position(F.array(*map(F.lit, "FO")), F.col("l_linestatus")) - 1
+    at = {"x": F.floor(day / 7), "y": F.col("l_linenumber").cast("long") - 1, "z": F.floor(F.col("l_quantity") / 10)}
+    axes = list(at)[:rank]
+    sums = rows.groupBy(batch.alias("b"), channel.alias("c"), *(at[a].alias(a) for a in axes)).agg(F.sum("l_quantity").alias("v"))
+    return Tensor(sums, ("b", "c", *axes), (3, 2, *(GRID[a] for a in axes)))
 
 
-def attention_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradients for Q and V with V as the upstream gradient."""
-    q, k, v = _heads(spark, sf_dir)
-    g = nn.attention_backward(q.df, k.df, v.df, v.df, 0.5)
-    named = {"q": g["q"].toDF("b", "p", "d", "v"), "k": g["k"].toDF("b", "p", "d", "v"), "v": g["v"].toDF("b", "p", "d", "v")}
-    out = None
-    for name, df in named.items():
-        df = df.select(F.lit(name).alias("part"), "b", "p", "d", F.round("v", 6).alias("v"))
-        out = df if out is None else out.unionByName(df)
-    return out
+def _kernel(spark: SparkSession, o: int, c: int, k: tuple[int, ...]) -> Tensor:
+    axes = tuple("k" + a for a in "xyz"[: len(k)])
+    t = Tensor.full(spark, (o, c, *k), 0.0, ("o", "c", *axes))
+    taps = sum((F.col(a) * (n + 1) for n, a in enumerate(axes)), F.lit(0))
+    return Tensor(t.df.withColumn("v", (F.col("o") * 2 - F.col("c") + taps + 1).cast("double")), t.dims, t.shape)
 
 
-def _logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
-    logits = rows.select(F.col("vec_id").alias("n"), F.posexplode(F.slice("embedding", 1, 10)).alias("c", "v")).select("n", F.col("c").cast("long").alias("c"), (F.col("v").cast("double") * 5).alias("v"))
-    return logits, rows.select(F.col("vec_id").alias("n"), F.col("label").cast("long").alias("t"))
+def convolution_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.conv(_grid(spark, sf_dir, 2), _kernel(spark, 3, 2, (3, 2)), _bias(spark), [2, 1], [1, 1], [2, 1]).df
 
 
-def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits, targets = _logits(spark, sf_dir)
-    return nn.cross_entropy(logits, targets).select(F.round("loss", 6).alias("loss"))
+def convolution_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.conv(_grid(spark, sf_dir, 3), _kernel(spark, 2, 2, (2, 2, 2)), _bias(spark), [3, 1, 1], [0, 0, 1], [1, 1, 1]).df
 
 
-def cross_entropy_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits, targets = _logits(spark, sf_dir)
-    return nn.cross_entropy_backward(logits, targets, 100, 2.0).select("n", "c", F.round("v", 6).alias("v"))
+def convolution_transposed_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients for weight, bias and input of the transposed convolution, its output as the upstream gradient."""
+    x, w = _series(spark, sf_dir), _weight(spark, 2, 3, 3)
+    w = Tensor(w.df, ("c", "o", "kx"), w.shape)
+    y = nn.conv(x, w, None, [2], [1], [1], transposed=True, extra=[1])
+    g = nn.conv_backward(x, w, y, [2], [1], [1], transposed=True, extra=[1])
+    none = F.lit(-1).cast("long")
+    weight = g["weight"].select(F.lit("weight").alias("part"), "c", "o", F.col("kx").alias("x"), "v")
+    bias = g["bias"].select(F.lit("bias"), none, "o", none, "v")
+    return weight.union(bias).union(g["input"].select(F.lit("input"), "c", F.col("b"), "x", "v"))
 
 
-def _whole_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(b, p, q, k, v): one batch per label, one position per row, named by its vec_id, and thirds of all coordinates as
     packed heads; the last third has what is left over."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
@@ -117,41 +106,53 @@ def _whole_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attention_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention_blocked(_whole_heads(spark, sf_dir), 0.25).select("b", "q", "e", F.round("v", 6).alias("v"))
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.attention_blocked(_heads(spark, sf_dir), 0.25).select("b", "q", "e", F.round("v", 6).alias("v"))
 
 
-def attention_causal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention_blocked(_whole_heads(spark, sf_dir), 0.5, causal=True).select("b", "q", "e", F.round("v", 6).alias("v"))
+def attention_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.attention_blocked(_heads(spark, sf_dir), 0.5, causal=True).select("b", "q", "e", F.round("v", 6).alias("v"))
 
 
-def attention_masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attention_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even positions of the batches below five are kept; the rows of the others are zeros."""
-    rows = _whole_heads(spark, sf_dir).withColumn("keep", (F.col("b") < 5) & (F.col("p") % 2 == 0))
+    rows = _heads(spark, sf_dir).withColumn("keep", (F.col("b") < 5) & (F.col("p") % 2 == 0))
     return nn.attention_blocked(rows, 0.5).select("b", "q", "e", F.round("v", 6).alias("v"))
 
 
-def attention_backward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attention_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients for Q, K and V with V as the upstream gradient."""
-    rows = _whole_heads(spark, sf_dir).withColumn("g", F.col("v"))
+    rows = _heads(spark, sf_dir).withColumn("g", F.col("v"))
     return nn.attention_blocked_backward(rows, 0.5).select("part", "b", "p", "d", F.round("v", 6).alias("v"))
 
 
-def _whole_logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _packed_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
+    return rows.select(F.col("vec_id").alias("n"), F.transform("embedding", lambda v: v.cast("double") * 5).alias("x"), F.col("label").cast("long").alias("t"))
+
+
+def _logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
     logits = rows.select(F.col("vec_id").alias("n"), F.posexplode("embedding").alias("c", "v")).select("n", F.col("c").cast("long").alias("c"), (F.col("v").cast("double") * 5).alias("v"))
     return logits, rows.select(F.col("vec_id").alias("n"), F.col("label").cast("long").alias("t"))
 
 
-def cross_entropy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits, targets = _whole_logits(spark, sf_dir)
-    return nn.cross_entropy(logits, targets).select(F.round("loss", 6).alias("loss"))
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In packed rows: nothing but the mean is shuffled."""
+    return nn.cross_entropy_rows(_packed_logits(spark, sf_dir)).agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
+def cross_entropy_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss, probabilities and gradient of the mean over all labelled rows, added to half the logits."""
+    rows = _packed_logits(spark, sf_dir).withColumn("into", F.transform("x", lambda v: v / 2))
+    found = nn.cross_entropy_rows(rows, rows.count(), 2.0)
+    cells = found.select("n", F.round("loss", 6).alias("loss"), F.posexplode(F.arrays_zip("p", "g")).alias("c", "x"))
+    return cells.select("n", F.col("c").cast("long").alias("c"), "loss", F.round("x.p", 9).alias("p"), F.round("x.g", 9).alias("g"))
 
 
-def cross_entropy_backward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the mean over all labelled rows."""
-    logits, targets = _whole_logits(spark, sf_dir)
-    return nn.cross_entropy_backward(logits, targets, targets.count(), 2.0).select("n", "c", F.round("v", 9).alias("v"))
+def cross_entropy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mean from logits as cells and targets in a table of their own."""
+    return nn.cross_entropy(*_logits(spark, sf_dir)).select(F.round("loss", 6).alias("loss"))
 
 
 RULES = {
@@ -190,9 +191,8 @@ FORWARD = f"""s AS ({SERIES}), w AS ({_weights_sql(3, 2, 3)}),
     met AS (SELECT s.b, s.c, s.x, w.o, w.k, (s.x + 1 - 2 * w.k) // 2 AS q, s.v AS i, w.v AS w FROM s JOIN w ON s.c = w.c
         WHERE s.x + 1 - 2 * w.k >= 0 AND (s.x + 1 - 2 * w.k) % 2 = 0 AND (s.x + 1 - 2 * w.k) // 2 < {_OUT}),
     y AS (SELECT b, o, q, sum(i * w) AS v FROM met GROUP BY ALL)"""
-HEADS = """e AS (SELECT vec_id, label AS b, vec_id % 12 AS p, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL),
-    c AS (SELECT b, p, d, sum(v) AS v FROM e WHERE d < 24 GROUP BY ALL),
-    q AS (SELECT b, p, d, v FROM c WHERE d < 8), k AS (SELECT b, p, d - 8 AS d, v FROM c WHERE d >= 8 AND d < 16), vv AS (SELECT b, p, d - 16 AS d, v FROM c WHERE d >= 16)"""
+HEADS = """e AS (SELECT label AS b, vec_id AS p, len(embedding) // 3 AS t, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL),
+    q AS (SELECT b, p, d, v FROM e WHERE d < t), k AS (SELECT b, p, d - t AS d, v FROM e WHERE d >= t AND d < 2 * t), vv AS (SELECT b, p, d - 2 * t AS d, v FROM e WHERE d >= 2 * t)"""
 
 
 def _attention_sql(scale: str, keep: str = "true") -> str:
@@ -201,17 +201,39 @@ def _attention_sql(scale: str, keep: str = "true") -> str:
         w AS (SELECT b, q, k, x / sum(x) OVER (PARTITION BY b, q) AS w FROM x)"""
 
 
-_GRID = "(SELECT b.range AS b, q.range AS q, e.range AS e FROM range(10) b, range(12) q, range(8) e) g"
-_OUTPUT = f"""SELECT g.b, g.q, g.e, round(coalesce(a.v, 0), 6) AS v FROM {_GRID} LEFT JOIN
-    (SELECT w.b, w.q, vv.d AS e, sum(w.w * vv.v) AS v FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p GROUP BY ALL) a ON a.b = g.b AND a.q = g.q AND a.e = g.e"""
-LOGITS = """l AS (SELECT vec_id AS n, label AS t, generate_subscripts(embedding[1:10], 1) - 1 AS c, unnest(embedding[1:10])::DOUBLE * 5 AS v FROM embeddings WHERE label IS NOT NULL),
+_OUTPUT = """SELECT g.b, g.p AS q, g.d AS e, round(coalesce(a.v, 0), 6) AS v FROM vv g LEFT JOIN
+    (SELECT w.b, w.q, vv.d AS e, sum(w.w * vv.v) AS v FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p GROUP BY ALL) a ON a.b = g.b AND a.q = g.p AND a.e = g.d"""
+LOGITS = """l AS (SELECT vec_id AS n, label AS t, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE * 5 AS v FROM embeddings WHERE label IS NOT NULL),
     z AS (SELECT *, max(v) OVER (PARTITION BY n) AS m FROM l), y AS (SELECT *, sum(exp(v - m)) OVER (PARTITION BY n) AS s FROM z)"""
 _STEP = "SELECT '{0}' AS rule, l_orderkey, l_partkey, round({1}, 6) AS p, round({2}, 6) AS s0, round({3}, 6) AS s1 FROM r"
 _ADAM = "0.01 * ((s0 * 0.9 + 0.1 * g) / (1 - pow(0.9, 3))) / (sqrt((s1 * 0.99 + 0.01 * g * g) / (1 - pow(0.99, 3))) + 1e-6)"
 
+def _grid_sql(rank: int) -> str:
+    at = {"x": "date_diff('day', DATE '1990-01-01', l_shipdate::DATE) // 7", "y": "l_linenumber - 1", "z": "floor(l_quantity / 10)::BIGINT"}
+    axes = ", ".join(f"{at[a]} AS {a}" for a in list(at)[:rank])
+    return f"s AS (SELECT list_position(['A', 'N', 'R'], l_returnflag) - 1 AS b, list_position(['F', 'O'], l_linestatus) - 1 AS c, {axes}, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+def _kernel_sql(o: int, c: int, k: tuple[int, ...]) -> str:
+    axes = "xyz"[: len(k)]
+    value = "o.range * 2 - c.range + 1 + " + " + ".join(f"k{a}.range * {n + 1}" for n, a in enumerate(axes))
+    return f"SELECT o.range AS o, c.range AS c, {', '.join(f'k{a}.range AS k{a}' for a in axes)}, ({value})::DOUBLE AS v FROM range({o}) o, range({c}) c, " + ", ".join(f"range({n}) k{a}" for a, n in zip(axes, k, strict=True))
+
+
+def _conv_sql(stride: tuple[int, ...], pad: tuple[int, ...], dilation: tuple[int, ...], k: tuple[int, ...], channels: int) -> str:
+    axes = "xyz"[: len(k)]
+    over = {a: f"(s.{a} + {p} - {d} * w.k{a})" for a, p, d in zip(axes, pad, dilation, strict=True)}
+    out = {a: (GRID[a] + 2 * p - d * (n - 1) - 1) // t + 1 for a, p, d, n, t in zip(axes, pad, dilation, k, stride, strict=True)}
+    inside = " AND ".join(f"{over[a]} >= 0 AND {over[a]} % {t} = 0 AND {over[a]} // {t} < {out[a]}" for a, t in zip(axes, stride, strict=True))
+    sums = f"y AS (SELECT s.b, w.o, {', '.join(f'{over[a]} // {t} AS {a}' for a, t in zip(axes, stride, strict=True))}, sum(s.v * w.v) AS v FROM s JOIN w ON s.c = w.c WHERE {inside} GROUP BY ALL)"
+    grid = f"SELECT b.range AS b, o.range AS o, {', '.join(f'{a}.range AS {a}' for a in axes)} FROM range(3) b, range({channels}) o, " + ", ".join(f"range({out[a]}) {a}" for a in axes)
+    return f", {sums} SELECT g.*, coalesce(y.v, 0) + g.o * 0.5 AS v FROM ({grid}) g LEFT JOIN y ON y.b = g.b AND y.o = g.o AND " + " AND ".join(f"y.{a} = g.{a}" for a in axes)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (convolution, convolution_transposed, convolution_backward, convolution_input_grad, attention, attention_causal, attention_masked, attention_backward, cross_entropy, cross_entropy_backward, optimizer_steps, momentum_fold)
+    for f in (convolution, convolution_transposed, convolution_backward, convolution_input_grad, attention, attention_causal, attention_masked, attention_backward, cross_entropy, cross_entropy_backward, cross_entropy_cells, convolution_2d, convolution_3d,
+              convolution_transposed_backward, optimizer_steps, momentum_fold)
 }
 ORACLES = {
     "convolution": f"""WITH {FORWARD} SELECT g.b, g.o, g.x, coalesce(y.v, 0) + g.o * 0.5 AS v
@@ -223,7 +245,7 @@ ORACLES = {
     "convolution_backward": f"""WITH {FORWARD} SELECT 'weight' AS part, m.o, m.c, m.k AS kx, sum(y.v * m.i) AS v FROM met m JOIN y ON y.b = m.b AND y.o = m.o AND y.q = m.q GROUP BY ALL
         UNION ALL SELECT 'bias', o, -1, -1, sum(v) FROM y GROUP BY o""",
     "convolution_input_grad": f"WITH {FORWARD} SELECT m.b, m.c, m.x, sum(y.v * m.w) AS v FROM met m JOIN y ON y.b = m.b AND y.o = m.o AND y.q = m.q GROUP BY ALL",
-    "attention": f"WITH {_attention_sql('(1 / sqrt(8::DOUBLE))')} {_OUTPUT}",
+    "attention": f"WITH {_attention_sql('0.25')} {_OUTPUT}",
     "attention_causal": f"WITH {_attention_sql('0.5', 'k <= q')} {_OUTPUT}",
     "attention_masked": f"WITH {_attention_sql('0.5', 'b < 5 AND k % 2 = 0')} {_OUTPUT}",
     "attention_backward": f"""WITH {_attention_sql("0.5")},
@@ -232,8 +254,17 @@ ORACLES = {
         SELECT 'q' AS part, ds.b, ds.q AS p, k.d, round(sum(ds * k.v) * 0.5, 6) AS v FROM ds JOIN k ON k.b = ds.b AND k.p = ds.k GROUP BY ALL
         UNION ALL SELECT 'k', ds.b, ds.k, q.d, round(sum(ds * q.v) * 0.5, 6) FROM ds JOIN q ON q.b = ds.b AND q.p = ds.q GROUP BY ALL
         UNION ALL SELECT 'v', w.b, w.k, g.d, round(sum(w.w * g.v), 6) FROM w JOIN vv g ON g.b = w.b AND g.p = w.q GROUP BY ALL""",
-    "cross_entropy": f"WITH {LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t",
-    "cross_entropy_backward": f"WITH {LOGITS} SELECT n, c, round(2 * (exp(v - m) / s - (c = t)::INT) / 100, 6) AS v FROM y",
+    **dict.fromkeys(("cross_entropy", "cross_entropy_cells"), f"WITH {LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t"),
+    "cross_entropy_backward": f"""WITH {LOGITS} SELECT n, c, round(max(ln(s) + m - v) FILTER (c = t) OVER (PARTITION BY n), 6) AS loss, round(exp(v - m) / s, 9) AS p,
+        round(2 * (exp(v - m) / s - (c = t)::INT) / (SELECT count(*) FROM embeddings WHERE label IS NOT NULL) + v / 2, 9) AS g FROM y""",
+    "convolution_2d": f"WITH {_grid_sql(2)}, w AS ({_kernel_sql(3, 2, (3, 2))}) {_conv_sql((2, 1), (1, 1), (2, 1), (3, 2), 3)}",
+    "convolution_3d": f"WITH {_grid_sql(3)}, w AS ({_kernel_sql(2, 2, (2, 2, 2))}) {_conv_sql((3, 1, 1), (0, 0, 1), (1, 1, 1), (2, 2, 2), 2)}",
+    "convolution_transposed_backward": f"""WITH s AS ({SERIES}), w AS (SELECT o AS c, c AS o, k, v FROM ({_weights_sql(2, 3, 3)})),
+        met AS (SELECT s.b, s.c, s.x, w.o, w.k, s.x * 2 - 1 + w.k AS q, s.v AS i, w.v AS w FROM s JOIN w ON s.c = w.c WHERE s.x * 2 - 1 + w.k >= 0),
+        y AS (SELECT b, o, q, sum(i * w) AS v FROM met GROUP BY ALL)
+        SELECT 'weight' AS part, m.c, m.o, m.k AS x, sum(y.v * m.i) AS v FROM met m JOIN y ON y.b = m.b AND y.o = m.o AND y.q = m.q GROUP BY ALL
+        UNION ALL SELECT 'bias', -1, o, -1, sum(v) FROM y GROUP BY o
+        UNION ALL SELECT 'input', m.c, m.b, m.x, sum(y.v * m.w) FROM met m JOIN y ON y.b = m.b AND y.o = m.o AND y.q = m.q GROUP BY ALL""",
     "optimizer_steps": "WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice / 1e4 AS p, l_discount AS g, l_tax AS s0, l_quantity / 50 AS s1 FROM lineitem) "
     + " UNION ALL ".join(
         _STEP.format(*x)
@@ -250,20 +281,3 @@ ORACLES = {
             UNION ALL SELECT o.o_custkey, o.n, f.p - 0.1::DOUBLE * (f.s * 0.9::DOUBLE + o.g), f.s * 0.9::DOUBLE + o.g FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
         SELECT o_custkey, round(arg_max(p, n), 6) AS p, round(arg_max(s, n), 6) AS s FROM f GROUP BY o_custkey""",
 }
-
-WHOLE_HEADS = """e AS (SELECT label AS b, vec_id AS p, len(embedding) // 3 AS t, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL),
-    q AS (SELECT b, p, d, v FROM e WHERE d < t), k AS (SELECT b, p, d - t AS d, v FROM e WHERE d >= t AND d < 2 * t), vv AS (SELECT b, p, d - 2 * t AS d, v FROM e WHERE d >= 2 * t)"""
-_WHOLE_OUTPUT = """SELECT g.b, g.p AS q, g.d AS e, round(coalesce(a.v, 0), 6) AS v FROM vv g LEFT JOIN
-    (SELECT w.b, w.q, vv.d AS e, sum(w.w * vv.v) AS v FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p GROUP BY ALL) a ON a.b = g.b AND a.q = g.p AND a.e = g.d"""
-WHOLE_LOGITS = """l AS (SELECT vec_id AS n, label AS t, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE * 5 AS v FROM embeddings WHERE label IS NOT NULL),
-    z AS (SELECT *, max(v) OVER (PARTITION BY n) AS m FROM l), y AS (SELECT *, sum(exp(v - m)) OVER (PARTITION BY n) AS s FROM z)"""
-
-QUERIES |= {f.__name__: f for f in (attention_whole, attention_causal_whole, attention_masked_whole, attention_backward_whole, cross_entropy_whole, cross_entropy_backward_whole)}
-ORACLES |= {
-    "attention_whole": f"WITH {_attention_sql('0.25').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
-    "attention_causal_whole": f"WITH {_attention_sql('0.5', 'k <= q').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
-    "attention_masked_whole": f"WITH {_attention_sql('0.5', 'b < 5 AND k % 2 = 0').replace(HEADS, WHOLE_HEADS)} {_WHOLE_OUTPUT}",
-    "attention_backward_whole": ORACLES["attention_backward"].replace(HEADS, WHOLE_HEADS),
-    "cross_entropy_whole": f"WITH {WHOLE_LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t",
-    "cross_entropy_backward_whole": f"WITH {WHOLE_LOGITS} SELECT n, c, round(2 * (exp(v - m) / s - (c = t)::INT) / (SELECT count(*) FROM embeddings WHERE label IS NOT NULL), 9) AS v FROM y",
-}

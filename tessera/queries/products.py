@@ -42,10 +42,17 @@ def _square(spark: SparkSession, sf_dir: str) -> Tensor:
 
 
 def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings times a square matrix."""
+    """All embeddings times a square matrix, which is small and broadcast."""
     return linalg.matmul(_embeddings(spark, sf_dir), _square(spark, sf_dir)).df.select("i", "j", F.round("v", 6).alias("v"))
 
 
+def matmul_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in packed rows, without a shuffle."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i"), "embedding")
+    out = linalg.matmul_rows(rows, "embedding", _square(spark, sf_dir))
+    return out.select("i", F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
+
+
 def matmul_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _by_segment(spark, sf_dir)
     return linalg.matmul(m.transpose("j", "i"), m).df
@@ -92,6 +99,14 @@ def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.spmm(_events(spark, sf_dir), Tensor(b, ("k", "j"), (7, 3))).df
 
 
+def spmv_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors in one join, and beside them the plain product, in this order, as one batch."""
+    m = _events(spark, sf_dir)
+    xs = [Tensor(spark.range(7).select(F.col("id").alias("k"), (F.col("id") * n + 1.0).alias("v")), ("k",), (7,)) for n in range(3)]
+    plans = {f"many{n}": y.df for n, y in enumerate(sparse.spmv_many(m, xs))} | {"one": sparse.spmv(m, xs[2]).df}
+    return tagged(plans).select("plan", "name", "i", "v")
+
+
 def sparse_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by (order, line) are not a valid matrix: positions repeat."""
     t = from_table(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), {"i": "l_orderkey", "j": "l_linenumber"}, "l_discount", (1 << 40, 7))
@@ -125,11 +140,12 @@ BY_SQUARE = f"WITH {SQUARE} SELECT m.i, g.j, round(sum(m.v * g.v), 6) AS v FROM
 _SQUARE = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {0} a JOIN {1} b ON a.j = b.i GROUP BY ALL"
 QUERIES = {
     f.__name__: f
-    for f in (gram, matmul, matmul_transposed, matmul_blocked, batched_matmul, kron, matpow, spmv, spmm, sparse_violations, csr_rows, to_dense, vector_updates)
+    for f in (gram, matmul, matmul_rows, matmul_transposed, matmul_blocked, batched_matmul, kron, matpow, spmv, spmm, spmv_many, sparse_violations, csr_rows, to_dense, vector_updates)
 }
 ORACLES = {
     "gram": f"WITH m AS ({CELLS}) SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
     "matmul": BY_SQUARE,
+    "matmul_rows": BY_SQUARE,
     "matmul_blocked": BY_SQUARE,
     "matmul_transposed": f"WITH m AS ({SEGMENT}) SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
     "batched_matmul": f"""WITH {SQUARE}, a AS (SELECT label AS b, m.i // 10 AS i, j AS k, sum(v) AS v FROM m JOIN embeddings e ON e.vec_id = m.i
@@ -140,6 +156,8 @@ ORACLES = {
     "spmv": f"WITH m AS ({EVENTS}) SELECT r.i, coalesce(sum(m.v * (m.j + 0.5)), 0)::DOUBLE AS v FROM {USERS} r LEFT JOIN m ON m.i = r.i GROUP BY r.i",
     "spmm": f"""WITH m AS ({EVENTS}) SELECT r.i, c.j, coalesce(sum(m.v * (m.j * 3 + c.j)), 0)::DOUBLE AS v
         FROM {USERS} r CROSS JOIN (SELECT range AS j FROM range(3)) c LEFT JOIN m ON m.i = r.i GROUP BY r.i, c.j""",
+    "spmv_many": f"""WITH m AS ({EVENTS}), x AS (SELECT 0 AS plan, 'many0' AS name, 0 AS f UNION ALL SELECT 1, 'many1', 1 UNION ALL SELECT 2, 'many2', 2 UNION ALL SELECT 3, 'one', 2)
+        SELECT x.plan, x.name, r.i, coalesce(sum(m.v * (m.j * x.f + 1)), 0)::DOUBLE AS v FROM {USERS} r CROSS JOIN x LEFT JOIN m ON m.i = r.i GROUP BY ALL""",
     "sparse_violations": """SELECT sum(CASE WHEN l_linenumber >= 7 THEN n ELSE 0 END)::BIGINT AS out_of_bounds, sum(n - 1)::BIGINT AS repeated, sum(z)::BIGINT AS zeros
         FROM (SELECT l_orderkey, l_linenumber, count(*) AS n, sum((l_discount = 0)::INT) AS z FROM lineitem GROUP BY ALL)""",
     "csr_rows": EVENTS,

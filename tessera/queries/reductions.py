@@ -58,6 +58,28 @@ def generic_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.axis_with(_embeddings(spark, sf_dir), "j", lambda a, x: x - a, 0.0).df.select("i", F.round("v", 6).alias("v"))
 
 
+def _joint(a, b):
+    """(1 + a)(1 + b) - 1: associative."""
+    return a + b + a * b
+
+
+def associative_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long axis reduced with an associative function of the caller's, in chunks."""
+    small = _embeddings(spark, sf_dir).map(lambda v: v / 1000)
+    return reduce.axis_combine(small, "i", _joint, 0.0).df.select("j", F.round("v", 6).alias("v"))
+
+
+def associative_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one line, scanned with an associative function of the caller's."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 1e10).alias("v"))
+    return scan.scan_with(rows, [], "i", _joint, 1 << 40).select("i", F.round("scan", 6).alias("v"))
+
+
+def tall_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix sums down every column of the embeddings: each column is one long line in chunks."""
+    return scan.cumsum(_embeddings(spark, sf_dir), "i").df.select("i", "j", F.round("v", 6).alias("v"))
+
+
 def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two axes sums of the same index, multiplied and summed."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_linenumber").alias("n"))
@@ -144,7 +166,8 @@ def _scan_sql(fn: str, value: str, order: str, digits: bool = False) -> str:
 QUERIES = {
     f.__name__: f
     for f in (flagship_axis_sum, full_reduction, full_product, empty_reduction, axis_reduction_0, axis_reduction_1, grouped_axis, generic_axis, dot_product, vector_norms,
-              matrix_trace, mixed_batch, cumsum, suffix_sum, cumprod, suffix_prod, running_max, long_line_scan, long_line_suffix)
+              matrix_trace, mixed_batch, cumsum, suffix_sum, cumprod, suffix_prod, running_max, long_line_scan, long_line_suffix, associative_axis,
+              associative_scan, tall_scan)
 }
 ORACLES = {
     "flagship_axis_sum": "SELECT l_returnflag, round(sum(exp(-l_discount) * l_extendedprice), 2) AS v FROM lineitem GROUP BY l_returnflag",
@@ -163,6 +186,9 @@ ORACLES = {
     "suffix_sum": _scan_sql("sum", "v", " DESC"),
     "cumprod": _scan_sql("product", "1 + v / 1e6", "", True),
     "suffix_prod": _scan_sql("product", "1 + v / 1e6", " DESC", True),
+    "associative_axis": f"SELECT j, round(product(1 + v / 1000) - 1, 6) AS v FROM ({CELLS}) GROUP BY j",
+    "associative_scan": "SELECT o_orderkey AS i, round(product(1 + o_totalprice / 1e10) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 1, 6) AS v FROM orders",
+    "tall_scan": f"SELECT i, j, round(sum(v) OVER (PARTITION BY j ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS v FROM ({CELLS})",
     "running_max": _scan_sql("max", "v", ""),
     "long_line_scan": "SELECT o_orderkey AS i, sum(round(o_totalprice * 100)) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS v FROM orders",
     "long_line_suffix": "SELECT o_orderkey AS i, sum(round(o_totalprice * 100)) OVER (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS v FROM orders",

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ACTIVATIONS, COMPARE, PARAMETERIZED, UNARY, as_u32, erf, ieee_div, lgamma, ln, rpow
+from tessera.functions import ACTIVATIONS, COMPARE, PARAMETERIZED, UNARY, as_u32, erf, erfc, ieee_div, lgamma, ln, rpow
 
 NAN, INF = float("nan"), float("inf")
 
@@ -51,7 +51,10 @@ def test_comparisons_are_unordered_for_nan(spark):
 
 def test_special_functions(spark):
     xs = [-2.5, -0.5, 0.1, 0.9, 1.0, 3.7, 12.0]
-    same(values(spark, xs, erf(F.col("a")))[0], [math.erf(x) for x in xs], 2e-7)
+    wide = [*xs, 0.0, -0.4, 0.46875, 0.46876, 2.2, 3.999, 4.001, 5.0, -5.0, 9.5, 26.0, 28.0, -28.0, INF, -INF, NAN]
+    own, complement = values(spark, wide, erf(F.col("a")), erfc(F.col("a")))
+    same(own, [math.erf(x) for x in wide], 1e-15)
+    same([c and math.log(c) for c in complement], [math.erfc(x) and math.log(math.erfc(x)) for x in wide], 1e-12)
     same(values(spark, xs, lgamma(F.col("a")))[0], [math.lgamma(x) for x in xs], 1e-12)
     same(values(spark, [0.0, -1.0, -2.0], lgamma(F.col("a")))[0], [INF] * 3)
 

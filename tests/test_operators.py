@@ -64,6 +64,27 @@ def test_scans(spark):
     assert scan.suffix_prod(t, "j").to_numpy()[0].tolist() == [12, 12, 6, 2]
 
 
+def test_tall_lines(spark, monkeypatch):
+    a = np.random.default_rng(4).integers(1, 9, size=(50, 3)).astype(float)
+    monkeypatch.setattr(scan, "CHUNK", 8)
+    assert np.array_equal(scan.cumsum(tensor(spark, a), "i").to_numpy(), a.cumsum(axis=0))
+    assert np.array_equal(scan.suffix_sum(tensor(spark, a), "i").to_numpy(), a[::-1].cumsum(axis=0)[::-1])
+
+
+def test_combine_in_order(spark):
+    """x -> the right one unless it is 0: associative, but not commutative."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 4, size=(40, 2)).astype(float)
+    want = a.copy()
+    for i in range(1, 40):
+        want[i] = np.where(a[i] == 0, want[i - 1], a[i])
+    t = tensor(spark, a)
+    last = lambda x, y: F.when(y == 0, x).otherwise(y)
+    got = scan.scan_with(t.df.filter("i <> 7 or j <> 1"), ["j"], "i", last, 40, chunk=3)
+    assert all(r["scan"] == want[r["i"], r["j"]] for r in got.collect() if (r["i"], r["j"]) != (8, 1) or a[8, 1]) and got.count() == 79
+    assert np.array_equal(reduce.axis_combine(t, "i", last, 0.0, chunk=3).to_numpy(), want[-1])
+
+
 @pytest.mark.parametrize("reverse", [False, True])
 def test_long_line(spark, reverse):
     xs = np.random.default_rng(1).integers(1, 9, 1000)
@@ -97,6 +118,14 @@ def test_products(spark):
     assert linalg.matmul(tensor(spark, np.zeros((2, 0))), tensor(spark, np.zeros((0, 3)))).to_numpy().tolist() == [[0] * 3] * 2
     big = np.random.default_rng(2).normal(size=(30, 20))
     assert np.allclose(linalg.matmul_blocked(tensor(spark, big), tensor(spark, big.T), 8).to_numpy(), big @ big.T)
+    holes = Tensor(tensor(spark, [[1, -1], [2, 0], [0, 3]]).df.filter("v <> 0"), ("i", "j"), (3, 2))
+    other = tensor(spark, [[1, 2], [1, 5]])
+    cells = [sorted(map(tuple, f(holes, other).df.collect())) for f in (linalg.matmul, linalg.matmul_blocked, lambda a, b: linalg.matmul_blocked(a, b, 1))]
+    assert cells[0] == cells[1] == cells[2] and (0, 0, 0.0) in cells[0]  # a sum of zero is an entry
+    packed = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0])], "i long, x array<double>")
+    assert [r.x for r in linalg.matmul_rows(packed, "x", y).orderBy("i").collect()] == [[19, 22], None, [43, 50]]
+    wide = linalg.gram(packed, "x")
+    assert np.array_equal(wide.to_numpy(), a.T @ a)
     with pytest.raises(ShapeError):
         linalg.matmul(x, tensor(spark, np.ones((3, 2))))
 
@@ -132,6 +161,15 @@ def test_attention(spark):
     v = tensor(spark, [[[2, 4], [6, 10]]], ("b", "s", "e"))
     assert nn.attention(zero, zero, v, 1.0).to_numpy()[0].tolist() == [[4, 7], [4, 7]]
     assert nn.attention(zero, zero, v, 1.0, causal=True).to_numpy()[0].tolist() == [[2, 4], [4, 7]]
+    wrong = tensor(spark, [[[2, float("inf")], [6, 10]]], ("b", "s", "e"))
+    for args in ((zero, zero, wrong), (wrong, zero, v), (zero, wrong, v)):
+        with pytest.raises(Exception, match="non-finite"):
+            nn.attention(*args, 1.0).df.collect()
+    rng = np.random.default_rng(8)
+    q, k, e = rng.normal(size=(2, 5, 3)), rng.normal(size=(2, 7, 3)), rng.normal(size=(2, 7, 4))  # more keys than queries
+    w = np.exp(q @ k.transpose(0, 2, 1) / 3**0.5)
+    got = nn.attention(tensor(spark, q, ("b", "s", "d")), tensor(spark, k, ("b", "s", "d")), tensor(spark, e, ("b", "s", "e")), block=3).to_numpy()
+    assert np.allclose(got, w / w.sum(axis=2, keepdims=True) @ e)
     none = spark.createDataFrame([], "b long, k long")
     assert nn.attention(zero, zero, v, 1.0, keep=none).to_numpy()[0].tolist() == [[0, 0], [0, 0]]
 
@@ -145,7 +183,7 @@ def test_attention_gradients_are_slopes(spark):
         w = np.exp(s - s.max(1, keepdims=True))
         return ((w / w.sum(1, keepdims=True)) @ v[0] * g[0]).sum()
 
-    got = nn.attention_backward(*(tensor(spark, a, ("b", "s", "d")).df for a in (q, k, v, g)), 0.5)
+    got = nn.attention_backward(*(tensor(spark, a, ("b", "s", "d")) for a in (q, k, v, g)), 0.5)
     for at, name in enumerate("qkv"):
         for r in got[name].collect():
             args = [[a.copy() for a in (q, k, v)] for _ in range(2)]
@@ -163,8 +201,20 @@ def test_cross_entropy(spark):
     p[[0, 1], t] -= 1
     got = Tensor(nn.cross_entropy_backward(logits, targets, 2), ("n", "c"), (2, 3)).to_numpy()
     assert np.allclose(got, p / 2)
-    with pytest.raises(ValueError):
-        nn.check_logits(logits, spark.createDataFrame([(0, 3)], "n long, t long"), 3)
+    packed = spark.createDataFrame([(i, r.tolist(), t[i], [1.0] * 3) for i, r in enumerate(x)], "n long, x array<double>, t long, into array<double>")
+    rows = {r.n: r for r in nn.cross_entropy_rows(packed, 2).collect()}
+    assert np.allclose([rows[i].g for i in range(2)], p / 2 + 1) and np.isclose(np.mean([r.loss for r in rows.values()]), nn.cross_entropy(logits, targets).first()["loss"])
+    aims = {"out of range": [(0, 3), (1, 0)], "below": [(0, -1), (1, 0)], "missing": [(0, 1)], "null": [(0, 1), (1, None)], "twice": [(0, 1), (1, 0), (1, 2)], "of no row": [(0, 1), (1, 0), (2, 0)]}
+    for bad in aims.values():
+        with pytest.raises(Exception, match="target"):
+            nn.cross_entropy(logits, spark.createDataFrame(bad, "n long, t long")).collect()
+    for wrong in (float("nan"), float("inf"), None):
+        odd = logits.withColumn("v", F.when(F.col("j") == 1, F.lit(wrong).cast("double")).otherwise(F.col("v")))
+        with pytest.raises(Exception, match="non-finite"):
+            nn.cross_entropy_backward(odd, targets, 2).collect()
+    for column, value in (("x", F.array(F.lit(float("nan")))), ("t", F.lit(7)), ("t", F.lit(None).cast("long"))):
+        with pytest.raises(Exception, match="non-finite logits or targets out of range"):
+            nn.cross_entropy_rows(packed.withColumn(column, value)).collect()
 
 
 def test_optimizers(spark):
@@ -186,6 +236,11 @@ def test_laplacian(spark):
     t = tensor(spark, x**2 + y**2, ("x", "y"))
     assert (field.laplacian(t).to_numpy()[1:3, 1:3] == 4).all()
     assert (field.laplacian(t, boundary="neumann").to_numpy() == 4).all()
+    a = np.random.default_rng(9).normal(size=(6, 5))
+    a[-1], a[:, -1] = a[0], a[:, 0]
+    a[-1, -1] = a[0, 0]
+    want = sum(np.roll(a[:-1, :-1], d, axis) for d in (1, -1) for axis in (0, 1)) - 4 * a[:-1, :-1]
+    assert np.allclose(field.laplacian(tensor(spark, a, ("x", "y")), boundary="periodic").to_numpy()[:-1, :-1], want)
 
 
 def test_rays(spark):
@@ -224,6 +279,10 @@ def test_decompositions_in_spark(spark):
     a = spark.createDataFrame([(0, i, j, float(v)) for i, row in enumerate([[0, 2, 1], [1, 1, 1], [2, 4, 1]]) for j, v in enumerate(row)], "m long, i long, j long, v double")
     b = spark.createDataFrame([(0, 0, 3.0), (0, 1, 3.0), (0, 2, 7.0)], "m long, i long, v double")
     assert np.allclose([r.v for r in decomp.solve(a, b).orderBy("i").collect()], [1, 1, 1])
+    one = spark.createDataFrame([(0, 0, 0, 1.0)], "m long, i long, j long, v double")
+    assert decomp.factor(one, "det", (2, 2)).first().v == 0 and decomp.factor(one, "matrix_rank", (3, 2)).first().v == 1
+    with pytest.raises(Exception, match="needs its shape"):
+        decomp.factor(one.unionByName(one.withColumn("i", F.lit(1))).unionByName(one.withColumn("j", F.lit(1))), "det").collect()
     with pytest.raises(Exception, match="not positive definite"):
         factors(spark, [[1, 2], [2, 1]], "cholesky")
     with pytest.raises(Exception, match="singular"):
@@ -281,6 +340,9 @@ def test_tall(spark):
     r = decomp.tsqr(df, "x")
     assert np.allclose(r.T @ r, a.T @ a) and np.allclose(np.tril(r, -1), 0)
     assert np.allclose(decomp.tall_svd(df, "x")[0], np.linalg.svd(a, compute_uv=False))
+    b = np.random.default_rng(6).normal(size=200)
+    both = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(np.hstack([a, a[:, :1]]), b, strict=True)], "x array<double>, b double").repartition(3)
+    assert np.allclose(decomp.tall_least_squares(both, "x", "b"), np.linalg.lstsq(np.hstack([a, a[:, :1]]), b, rcond=None)[0])
 
 
 def test_plans(spark, tmp_path):
@@ -307,6 +369,24 @@ def test_stream(spark, tmp_path):
     assert got == {1: (0.51, 2), 2: (0.8, 1)}
 
 
+def test_running_sums(spark, tmp_path):
+    from tessera.streaming import running_sums
+
+    source, kind = str(tmp_path / "in"), "at timestamp, k long, x double"
+
+    def put(n, rows):
+        spark.createDataFrame(rows, "at string, k long, x double").selectExpr("cast(at as timestamp) at", "k", "x").coalesce(1).write.mode("append").parquet(source)
+        query = running_sums(spark.readStream.schema(kind).parquet(source), "at", "k", "x", "10 minutes", "10 minutes").writeStream.outputMode("append")
+        query = query.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return {(str(r.start)[11:16], r.k): (r.v, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} if n else None
+
+    put(0, [("2024-01-01 00:01:00", 1, 1.0), ("2024-01-01 00:09:00", 1, 2.0), ("2024-01-01 00:05:00", 2, 5.0)])
+    put(0, [("2024-01-01 01:00:00", 1, 7.0)])
+    got = put(1, [("2024-01-01 00:02:00", 1, 100.0), ("2024-01-01 02:00:00", 1, 1.0)])  # the first is too late
+    assert got == {("00:00", 1): (3.0, 2), ("00:00", 2): (5.0, 1), ("01:00", 1): (7.0, 1)}
+
+
 def test_fdtd_keeps_the_edges_at_zero(spark):
     cells = Tensor.full(spark, (5, 5, 5), 0.0, ("x", "y", "z")).df.select(
         "x", "y", "z", F.when((F.col("x") == 2) & (F.col("y") == 2) & (F.col("z") == 2), 1.0).otherwise(0.0).alias("p"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")), F.lit(1.0).alias("rho"), F.lit(1.0).alias("c")
