@@ -4,7 +4,8 @@ A text's terms are its different words and their beginnings of four to six lette
 takes at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of their id:
 
 1. Spark counts in how many toxic and other documents each bucket occurs; the ``TERMS`` buckets with the largest
-   z-score of that difference, at least ``LEAST_Z``, are kept.
+   z-score of that difference are kept as far as it is at least ``LEAST_Z``, but no fewer than ``FEWEST``: with few
+   labels hardly any difference is that certain.
 2. The documents, reduced to those few buckets, train the machine: a bias, a weight for each term and ``FACTORS``
    factors for their pairwise interactions, by Adam on the logistic loss with balanced classes.
 
@@ -12,7 +13,7 @@ The model is a few hundred kilobytes whatever the corpus; scoring is one pass ov
 
 Defined results: null and empty texts score as texts without any term; with no labels of both kinds everything scores
 0.  Labels that are null are not learned from; a document with several labels is learned once for each.  Repeated rows
-are returned as often as they occur.
+are returned as often as they occur.  A few dozen labels give a model of few terms that says little about other words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from tessera.llm.common import bounded_sample, cut_lineage, fresh
 HASH_BITS = 18
 TERMS = 4096
 LEAST_Z = 5.0
+FEWEST = 64
 FACTORS = 8
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -44,23 +46,27 @@ def _hashed(word: str) -> tuple[int, ...]:
 
 
 class Terms:
-    """The hashed terms of texts; remembers a bounded number of words."""
+    """The hashed terms of texts, or the columns of those that a model keeps; remembers a bounded number of words."""
 
-    def __init__(self, most: int = 200_000):
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._most = most
+    def __init__(self, column: dict[int, int] | None = None, most: int = 200_000):
+        self._column, self._most = column, most
+        self._known: set[str] = set()
+        self._found: dict[str, tuple[int, ...]] = {}  # of the known words that have any
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        own = _hashed(word)
+        return own if self._column is None else tuple(self._column[t] for t in own if t in self._column)
 
     def of(self, text: str | None) -> set[int]:
-        out: set[int] = set()
-        known = self._known
-        for word in set(_WORD.findall((text or "").lower())):
-            found = known.get(word)
-            if found is None:
-                found = _hashed(word)
-                if len(known) < self._most:
-                    known[word] = found
-            out.update(found)
-        return out
+        words = set(_WORD.findall((text or "").lower()))
+        new = words - self._known
+        if len(self._known) + len(new) > self._most:
+            self._known, self._found, new = set(), {}, words
+        for word in new:
+            if found := self._of(word):
+                self._found[word] = found
+        self._known |= new
+        return set().union(*map(self._found.__getitem__, words & self._found.keys()))
 
 
 class Machine:
@@ -97,15 +103,15 @@ class Machine:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
         return self
 
-    def score(self, terms: list[set[int]]) -> np.ndarray:
-        found = [[self.column[t] for t in each & self.column.keys()] for each in terms]
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        cols = np.array([c for x in found for c in sorted(x)], dtype=np.int64)
-        raw, _ = self._raw(rows, cols, len(found))
+    def score(self, columns: list[set[int]]) -> np.ndarray:
+        """Of texts with these columns."""
+        rows = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
+        cols = np.array([c for x in columns for c in sorted(x)], dtype=np.int64)
+        raw, _ = self._raw(rows, cols, len(columns))
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, bound: int = TRAIN_ROWS) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, use: Column, bound: int = TRAIN_ROWS, least_z: float = LEAST_Z, fewest: int = FEWEST) -> Machine | None:
     """Learns from the labelled documents in use; None without both kinds."""
     known = labels.filter(use & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     known = bounded_sample(known, "doc_id", bound)
@@ -131,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, bound: int = TRAIN_RO
     share = (F.col("toxic") + F.col("other")) / (n1 + n0)
     gap = (F.col("toxic") / n1 - F.col("other") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     ranked = counts.filter((F.col("bucket") <= _MASK) & (share < 1)).select("bucket", F.abs(gap).alias("z"))
-    kept = ranked.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(TERMS).collect()
-    buckets = np.array(sorted(r["bucket"] for r in kept), dtype=np.int64)
+    kept = ranked.orderBy(F.desc("z"), "bucket").limit(TERMS).collect()
+    buckets = np.array(sorted(r["bucket"] for i, r in enumerate(kept) if r["z"] >= least_z or i < fewest), dtype=np.int64)
     wanted = set(buckets.tolist())
 
     def reduced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +161,8 @@ def scored(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        terms, own = Terms(), shared.value
+        own = shared.value
+        terms = Terms(own.column if own else {})
         for texts in batches:
             parts = [texts.iloc[at : at + 256] for at in range(0, len(texts), 256)]
             yield pd.Series(np.concatenate([own.score([terms.of(t) for t in p]) if own else np.zeros(len(p)) for p in parts] or [np.zeros(0)]))
