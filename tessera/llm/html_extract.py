@@ -1,24 +1,36 @@
 """HTML extraction: the maximum-scoring subsequence of words and tags.
 
-A page is read once into blocks of text with the tags between them.  Every word of a block has the same score, the log
-odds, squeezed into (-1, 1), that a block with such ancestors is content; every tag has a negative score.  One linear
-scan finds the contiguous run of words and tags with the largest sum: the content region.  Blocks next to it that look
-like content belong to it too (a headline of one word does not pay for its tags), and so do content blocks beyond an
-advert with the surroundings of a block in the region; blocks within it that look like boilerplate do not.
+A page is read once into a tree of elements and blocks of text with the tags between them.  Every word of a block has the
+same score, the log odds, squeezed into (-1, 1), that such a block is content; every tag has a negative score.  One
+linear scan finds the contiguous run of words and tags with the largest sum: the content region.  Blocks next to it that
+look like content belong to it too (a headline of one word does not pay for its tags), and so do content blocks beyond
+an advert within a container of the region; blocks within it that look like boilerplate do not.
 
-The weights come from labelled pages: :func:`labelled_pages` gives small pages in many layouts whose fragments are
-marked as content or not, and :func:`learn` fits a logistic model on the tags, classes, ids and roles above a block, on
-its share of link words, and on being outside the article of a page that has one.
+The weights come from labelled pages: :func:`labelled_pages` makes small pages in many layouts whose fragments are
+marked as content or not, and :func:`learn` fits a logistic model on
+
+* the tags, classes, ids and roles above a block.  Those of a *wrapper* say nothing: the article, whatever holds it, or, on
+  pages without an article, what holds most of the words (``<body class="has-sidebar">``, ``<article class="post
+  comments-open">``).  Names that the labelled pages do not have count as unknown ones;
+* its share of link words, its length, whether it reads like a sentence, whether a small container with an unknown name
+  holds it, and whether it lies inside the article, or outside that of a page that has one.
+
+The article is the element article or main with the most words, or the smallest in it that has most of those.  A header
+within it, which has the headline, belongs to it; the page's header does not.
 
 Defined results: a null html is empty and gives an empty text; a page without a content block gives an empty text;
-unclosed elements end where HTML would end them, or with the page.  Repeated rows are returned as often as they occur.
+unclosed elements end where HTML would end them, or with the page; a tag, comment or script that is never closed takes
+the rest of the page.  Reading takes time in proportion to the page, however broken.  Repeated rows are returned as often
+as they occur; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import functools
 import html as entities
+import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,121 +38,207 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.I | re.S,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+def _value(group: str) -> str:
+    return rf"\s*+=\s*+(?:\"{group}[^\"]*+)\"|'{group}[^']*+)'|{group}[^\s>\"'][^\s>]*+)|)"
+
+
+# Possessive throughout: a tag is read once, to its end or to the end of the page.  A quote only counts after "=".
+_NAME = r"(?:=?+[^\s/>=]++|=)"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_value('(?:')})?+)*+)>")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_value('(')})?+")
 _PART = re.compile(r"[a-z]+")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "iframe", "textarea", "title")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _UNSHOWN = frozenset("datalist noscript select svg template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+_BOX = frozenset("div section ul ol dl table aside".split())
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*$")
+_EMPTY: frozenset[str] = frozenset()
 
 
 class Block:
-    __slots__ = ("around", "features", "links", "tags", "text", "words")
+    __slots__ = ("base", "links", "node", "tags", "text", "words")
+
+    def __init__(self, node: int, base: int, tags: int):
+        self.node, self.base, self.tags, self.text, self.words, self.links = node, base, tags, [], 0, 0
+
+
+class Page:
+    """Blocks, and of every element its parent, tag and names; element 0 is the page, parents come first."""
 
-    def __init__(self, features: frozenset[str], around: frozenset[str], tags: int):
-        self.features, self.around, self.tags, self.text, self.words, self.links = features, around, tags, [], 0, 0
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parent, self.tag, self.names = [0], [""], [_EMPTY]
 
+    def open(self, parent: int, tag: str, names: frozenset[str]) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.names.append(names)
+        return len(self.tag) - 1
 
-def blocks(page: str, hide: bool = True) -> list[Block]:
+
+def read(page: str, hide: bool = True) -> Page:
     """The page's blocks of text, with the number of tags before each.  Text of elements that are not shown is left out,
     unless one is never closed: then hiding would take the rest of the page."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    out = Page()
+    stack, open_ = [0], Counter()  # open elements, and how many there are of each tag
+    outer = [0]  # places in the stack of those that are not inline
     now: Block | None = None
-    tags, links, end, hidden = 0, 0, 0, 0
+    tags, links, hidden, pos = 0, 0, 0, 0
 
     def add(text: str) -> None:
         nonlocal now, tags
         if not text or hidden or (now is None and text.isspace()):
             return
         if now is None:
-            now = Block(stack[-1][1], stack[-2][1] if len(stack) > 1 else stack[-1][1], tags)
-            out.append(now)
+            now = Block(stack[-1], stack[outer[-1]], tags)
+            out.blocks.append(now)
             tags = 0
+        elif now.node != stack[-1] and not text.isspace():
+            now.node = now.base  # an inline element that does not hold all of the block
         now.text.append(text)
         n = len(text.split())
         now.words += n
         now.links += n * bool(links)
 
-    for m in _TOKEN.finditer(page):
-        add(page[end : m.start()])
-        end = m.end()
-        close, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if name is None:
-            if m[1]:
-                tags += 1
-                if m[1].lower() == "title":
-                    now = None
+    def close(at: int) -> None:
+        """Ends the elements from that place in the stack on."""
+        for x in stack[at:]:
+            open_[out.tag[x]] -= 1
+        del stack[at:]
+        while outer[-1] >= at:
+            outer.pop()
+
+    while True:
+        at = page.find("<", pos)
+        if at < 0:
+            add(page[pos:])
+            break
+        m = _TAG.match(page, at)
+        if m is None:
+            after = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                end = end + 3 if end >= 0 else len(page)
+            elif after and after in "!?/":
+                end = page.find(">", at) + 1 or len(page)
+            elif after.isascii() and after.isalpha():
+                end = len(page)
+            else:  # no tag, but a sign
+                add(page[pos : at + 1])
+                pos = at + 1
+                continue
+            add(page[pos:at])
+            pos = end
             continue
-        name = name.lower()
+        add(page[pos:at])
+        pos = m.end()
+        closes, name, attributes = m[1], m[2].lower(), m[3]
         tags += 1
+        if name in _RAW:
+            if not closes:
+                end = _RAW[name].search(page, pos)
+                pos = end.start() if end else len(page)
+            if name == "title":
+                now = None
+            continue
         if name in _UNSHOWN:
             if hide and not attributes.endswith("/"):
-                hidden = max(0, hidden - 1) if close else hidden + 1
+                hidden = max(0, hidden - 1) if closes else hidden + 1
             continue
         if hidden:
             continue
         if name == "a":
-            links = 0 if close else 1
+            links = 0 if closes else 1
         if name in _INLINE:
             if name == "br":
                 add(" ")
-            if not close and name not in _VOID and name != "a" and attributes and (own := _own(name, attributes)):
-                stack.append((name, stack[-1][1] | own))
-            elif close and len(stack) > 1 and stack[-1][0] == name:
-                stack.pop()
+            if not closes and name not in _VOID and name != "a" and attributes and (own := _own(attributes)):
+                stack.append(out.open(stack[-1], name, own))
+                open_[name] += 1
+            elif closes and len(stack) > 1 and out.tag[stack[-1]] == name:
+                close(len(stack) - 1)
             continue
         now = None
-        if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            continue
-        ends = ("p",) if name in _CLOSES_P and name != "p" else _SAME.get(name, ())
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
+        ends = (name,) if closes else ("p",) if name in _CLOSES_P and name != "p" else _SAME.get(name, ())
+        if any(open_[x] for x in ends):
+            for k in range(len(outer) - 1, 0, -1):
+                tag = out.tag[stack[outer[k]]]
+                if tag in ends:
+                    close(outer[k])
                     break
-                if stack[i][0] not in _INLINE and stack[i][0] != "p":
+                if not closes and tag != "p":
                     break
-        if name not in _VOID:
-            stack.append((name, stack[-1][1] | {f"tag:{name}"} | _own(name, attributes)))
-    add(page[end:])
-    return blocks(page, hide=False) if hidden else [b for b in out if b.words]
+        if not closes and name not in _VOID:
+            outer.append(len(stack))
+            stack.append(out.open(stack[-1], name, _own(attributes) if attributes else _EMPTY))
+            open_[name] += 1
+    if hidden:
+        return read(page, hide=False)
+    out.blocks = [b for b in out.blocks if b.words]
+    return out
 
 
-def _own(name: str, attributes: str) -> frozenset[str]:
+def _own(attributes: str) -> frozenset[str]:
     out = set()
-    for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        if hidden:
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key == "hidden" or (key == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
             out.add("hidden")
-        kind = "role" if key.lower() == "role" else "name"
-        out.update(f"{kind}:{x}" for x in _PART.findall((a or b or c).lower()))
+        elif key in ("class", "id", "role"):
+            kind = "role" if key == "role" else "name"
+            out.update(f"{kind}:{x}" for x in _PART.findall((a or b or c).lower()))
     return frozenset(out)
 
 
-def _features(found: list[Block]) -> list[set[str]]:
-    whole = any("tag:article" in b.features or "tag:main" in b.features for b in found)
+def features(page: Page, known: frozenset[str]) -> list[tuple[frozenset[str], tuple[str, ...]]]:
+    """What the model sees of every block: the known tags, names and roles above it, and what it is like."""
+    n = len(page.tag)
+    words = [0] * n
+    for b in page.blocks:
+        words[b.node] += b.words
+    last = list(range(n))  # the last element within each
+    for e in range(n - 1, 0, -1):
+        words[page.parent[e]] += words[e]
+        last[page.parent[e]] = max(last[page.parent[e]], last[e])
+    whole = [e for e in range(n) if (page.tag[e] in ("article", "main") or "role:main" in page.names[e]) and words[e]]
+    article = 0
+    for e in whole:  # outer ones first: a larger one beside, or one in the present one that has most of its words
+        if not article or (words[e] > words[article] if e > last[article] else 2 * words[e] > words[article]):
+            article = e
+    wrappers = {0}
+    e = article
+    while e:
+        wrappers.add(e)
+        e = page.parent[e]
+    if not article:
+        heads = [e for e in range(n) if page.tag[e] == "h1"]
+        wrappers |= {e for e in range(n) if 3 * words[e] > 2 * words[0] and (not heads or e <= heads[0] <= last[e])}
+    most = max((words[e] for e in whole), default=0)
+    above, inside, boxed = [_EMPTY] * n, [False] * n, [False] * n
+    for e in range(1, n):
+        up = page.parent[e]
+        tag, names = page.tag[e], _EMPTY if e in wrappers or page.tag[e] in ("html", "body") else page.names[e]
+        own = {x for x in names if x in known}
+        inside[e] = inside[up] or e == article or (e in whole and 3 * words[e] >= most)
+        if tag not in _INLINE and f"tag:{tag}" in known and not (tag == "header" and inside[e]):
+            own.add(f"tag:{tag}")
+        above[e] = above[up] if own <= above[up] else above[up] | own
+        strange = any(x.startswith("name:") for x in names) and not (own & names)
+        boxed[e] = boxed[up] or (strange and tag in _BOX and 4 * words[e] < words[0])
     out = []
-    for b in found:
-        own = set(b.features)
-        if whole and not ({"tag:article", "tag:main"} & own):
-            own.add("outside")
-        if b.links * 2 > b.words:
-            own.add("links")
-        out.append(own)
+    for b in page.blocks:
+        like = (
+            ("inside" if inside[b.node] else "outside") if article else "",
+            "links" if b.links * 2 > b.words else "",
+            "boxed" if boxed[b.node] else "",
+            "sentence" if _SENTENCE.search(b.text[-1][-8:]) else "",
+            "long" if b.words >= 12 else "brief" if b.words < 4 else "middling",
+        )
+        out.append((above[b.node], like))
     return out
 
 
@@ -148,9 +246,9 @@ def _features(found: list[Block]) -> list[set[str]]:
 # name (X), fragments that are no content whatever their names, and bodies; {} is filled with words, ~ splits a body.
 _NAMES = """nav navbar navigation menu breadcrumb breadcrumbs header masthead banner topbar toolbar skip cookie cookies consent gdpr
     notice notices notification alert popup modal overlay disclaimer search searchbox ad ads advert adverts advertisement sponsor
-    sponsored promo promotion footer copyright legal sidebar widget aside related recommended trending popular comments comment
-    commentlist reply replies respond responses discussion disqus feedback share sharing social follow newsletter subscribe
-    subscription signup login register account pagination pager rail teaser form""".split()
+    sponsored promo promotion footer copyright legal colophon sidebar widget aside related recommended outbrain taboola trending popular
+    comments comment commentlist reply replies respond responses discussion disqus feedback share sharing social follow newsletter
+    subscribe subscription signup login register account paywall pagination pager rail teaser form""".split()
 _SHAPES = [
     '<div class="X">{}</div>', '<div id="X"><p>{}</p></div>', '<p class="X">{}</p>', '<section class="X"><h3>{}</h3><p>{}</p></section>', '<ul class="X"><li>{}</li><li>{}</li></ul>',
     '<div class="X"><a href="/a">{}</a></div>', '<div class="user-X box"><div><p>{}</p></div></div>', '<ol id="X"><li><p>{}</p></li></ol>', '<div class="post-X"><h4>{}</h4><span>{}</span></div>',
@@ -162,36 +260,66 @@ _PLAIN = [
     '<div role="complementary"><p>{}</p></div>', '<div role="contentinfo">{}</div>', '<div hidden><p>{}</p></div>', '<button>{}</button>', '<menu><li>{}</li></menu>',
 ]
 _BODIES = [
-    '<article><h1>{}</h1><p>{}</p>~<p>{}</p></article>', '<main><h1>{}</h1><p>{}</p>~<p><b>{}</b></p></main>', '<main id="main"><article class="post"><h2>{}</h2>~<p>{}</p></article></main>',
-    '<div class="content"><h1>{}</h1><p>{}</p>~<p>{}</p></div>', '<div id="content"><p>{}</p>~<ul><li>{}</li></ul></div>', '<div class="post"><h2>{}</h2><p>{}</p>~<p>{}</p></div>',
-    '<div class="entry-content"><p>{}</p>~<blockquote>{}</blockquote></div>', '<div class="story article-body"><p>{}</p>~<p>{}</p></div>', '<section class="text"><p>{}</p>~<p>{}</p></section>',
-    '<p>{}</p>~<p>{}</p>', '<table><tr><td><p>{}</p>~<p>{}</p></td></tr></table>', '<div><div>{}</div>~<div>{}</div></div>', '<div role="main"><p>{}</p>~<p>{}</p></div>',
-    '<article class="article"><p>{}</p>~<pre>{}</pre><ol><li>{}</li></ol></article>', '<div class="page wrapper container"><div class="body"><p>{}</p>~<p>{}</p></div></div>',
+    '<article><h1>{}</h1><p>{}</p><p>{}</p>~<p>{}</p></article>', '<main><h1>{}</h1><p>{}</p><p>{}</p>~<p><b>{}</b></p></main>', '<main id="main"><article class="post"><h2>{}</h2><p>{}</p>~<p>{}</p></article></main>',
+    '<div class="content"><h1>{}</h1><p>{}</p><p>{}</p>~<p>{}</p></div>', '<div id="content"><p>{}</p><p>{}</p>~<ul><li>{}</li></ul></div>', '<div class="post"><h2>{}</h2><p>{}</p>~<p>{}</p></div>',
+    '<div class="entry-content"><p>{}</p><p>{}</p>~<blockquote>{}</blockquote></div>', '<div class="story article-body"><p>{}</p><h2>{}</h2>~<p>{}</p></div>', '<section class="text"><p>{}</p>~<p>{}</p><p>{}</p></section>',
+    '<p>{}</p><p>{}</p>~<p>{}</p>', '<table><tr><td><p>{}</p><p>{}</p>~<p>{}</p></td></tr></table>', '<div><div>{}</div><div>{}</div>~<div>{}</div></div>', '<div role="main"><p>{}</p><p>{}</p>~<p>{}</p></div>',
+    '<article class="article"><p>{}</p><p>{}</p>~<pre>{}</pre><ol><li>{}</li></ol></article>', '<div class="page wrapper container"><div class="body"><p>{}</p><p>{}</p>~<p>{}</p></div></div>',
+    '<article><header><h1>{}</h1></header><div class="article-text"><p class="lead">{}</p><p>{}</p>~<figure><figcaption>{}</figcaption></figure></div></article>',
+    '<article><h1>{}</h1><section class="zz"><h2>{}</h2><p>{}</p></section><section class="zz"><p>{}</p><p>{}</p></section>~<section class="zz"><h3>{}</h3><p>{}</p></section></article>',
+    '<div class="content"><h1>{}</h1><div class="zz"><p>{}</p></div><div class="zz"><p>{}</p></div><div class="zz">{}</div>~<div class="zz"><p>{}</p></div><div class="zz"><h4>{}</h4><span>{}</span></div></div>',
+    '<main><h1>{}</h1><p>{}</p><h3>{}</h3><ul><li>{}</li><li>{}</li><li>{}</li></ul>~<h4>{}</h4><p>{}</p><dl><dt>{}</dt><dd>{}</dd></dl></main>',
+    '<article><h1>{}</h1><p>{}</p><ul class="zz"><li>{}</li><li>{}</li></ul>~<h3>{}</h3><ol><li>{}</li><li>{}</li></ol><table><tr><th>{}</th><td>{}</td></tr></table></article>',
 ]
+_SLOT = re.compile(r"<(\w+)[^<>]*>\{\}")
+
 
+def _filled(fragment: str, content: bool, rng: random.Random) -> str:
+    """Words for each slot, as many as its element usually has."""
 
-def labelled_pages() -> Iterator[tuple[str, list[bool]]]:
+    def words(m: re.Match) -> str:
+        tag = m[1]
+        least, most, ends = (1, 3, 0.0) if tag in ("a", "button", "label") else (1, 8, 0.0) if tag[0] == "h" else (2, 9, 0.4) if tag in ("li", "span") else (3, 60, 0.9) if content else (2, 30, 0.6)
+        n = rng.randint(least, most)
+        return m[0][:-2] + " ".join(["words"] * n) + ("." if rng.random() < ends else "")
+
+    return _SLOT.sub(words, fragment)
+
+
+def labelled_pages(names: list[str] = _NAMES, seed: int = 5) -> Iterator[tuple[str, list[bool]]]:
     """Pages, and for each of their blocks whether it is content: every name in every shape, and every plain fragment,
-    before, within and after some body."""
-    fragments = [shape.replace("X", name) for name in _NAMES for shape in _SHAPES] + _PLAIN * 6
+    before, within and after some body.  Some names are replaced by unknown ones, for names to come."""
+    rng = random.Random(seed)
+    fragments = [shape.replace("X", name) for name in names for shape in _SHAPES] + _PLAIN * 6
     for i, fragment in enumerate(f for f in fragments for _ in range(3)):
         first, second = _BODIES[(i * 7 + i // len(_BODIES)) % len(_BODIES)].split("~")
         other = fragments[(i * 31 + 17) % len(fragments)]
+        if rng.random() < 0.1:
+            fragment = re.sub(r"(class|id)=\"[^\"]*\"", r'\1="zz"', fragment)
         parts = [[(first, True), (second, True)], [(fragment, False), (first, True), (second, True), (other, False)], [(first, True), (fragment, False), (second, True)], [(other, False), (first, True), (second, True), (fragment, False)]][i % 4]
         marks = [c for text, c in parts for _ in range(text.count("{}"))]
-        yield "".join(text for text, _ in parts).replace("{}", "some plain words"), marks
+        yield "".join(_filled(text, c, rng) for text, c in parts), marks
+
+
+Model = tuple[dict[str, float], float, float]
 
 
 @functools.cache
-def learn() -> tuple[dict[str, float], float, float]:
+def learn() -> Model:
     """Weights of the features, the bias, and the score of a tag."""
-    rows, labels, tags, words = [], [], 0, 0
-    for page, marks in labelled_pages():
-        found = blocks(page)
-        rows += _features(found)
+    return fit(labelled_pages())
+
+
+def fit(pages: Iterable[tuple[str, list[bool]]]) -> Model:
+    rows: list[frozenset[str]] = []
+    labels, tags, words = [], 0, 0
+    for text, marks in pages:
+        found = read(text)
+        # A name that the labelled pages hide is not known either.
+        rows += [above.union(filter(None, like)) for above, like in features(found, _Known())]
         labels += marks
-        tags += sum(b.tags for b, c in zip(found, marks, strict=True) if c)
-        words += sum(b.words for b, c in zip(found, marks, strict=True) if c)
+        tags += sum(b.tags for b, c in zip(found.blocks, marks, strict=True) if c)
+        words += sum(b.words for b, c in zip(found.blocks, marks, strict=True) if c)
     names = sorted(set().union(*rows))
     column = {n: i for i, n in enumerate(names)}
     x = np.zeros((len(rows), len(names)))
@@ -208,15 +336,31 @@ def learn() -> tuple[dict[str, float], float, float]:
     return {n: float(v) for n, v in zip(names, w, strict=True)}, float(b), -0.25 * min(1.0, words / tags)
 
 
-def _within(block: Block, around: set[frozenset[str]]) -> bool:
-    return block.around in around or any(a and a <= block.features for a in around)
+class _Known(frozenset):
+    """While learning, every name but the hidden one is known."""
 
+    def __contains__(self, name: object) -> bool:
+        return name != "name:zz"
 
-def extract(page: str | None, model: tuple[dict[str, float], float, float] | None = None) -> str:
+
+def log_odds(page: Page, model: Model) -> list[float]:
+    weights, bias, _ = model
+    known = frozenset(weights)
+    cache: dict[Iterable[str], float] = {}
+
+    def total(names: frozenset[str] | tuple[str, ...]) -> float:
+        if names not in cache:
+            cache[names] = sum(weights.get(f, 0.0) for f in sorted(names))
+        return cache[names]
+
+    return [bias + total(above) + total(like) for above, like in features(page, known)]
+
+
+def extract(page: str | None, model: Model | None = None) -> str:
     """The main text of a page, by these weights or the learned ones."""
-    weights, bias, tag = model or learn()
-    found = blocks(page or "")
-    odds = [bias + sum(weights.get(f, 0.0) for f in sorted(own)) for own in _features(found)]
+    model = model or learn()
+    tree = read(page or "")
+    found, odds, tag = tree.blocks, log_odds(tree, model), model[2]
     # The linear scan: the best run that ends here either goes on or starts anew.
     best, run, start, region = 0.0, 0.0, 0, (0, 0)
     for i, (b, o) in enumerate(zip(found, odds, strict=True)):
@@ -229,13 +373,20 @@ def extract(page: str | None, model: tuple[dict[str, float], float, float] | Non
         elif run < 0:
             run, start = 0.0, i + 1
     first, last = region
-    # Content goes on in the blocks next to the region, and beyond boilerplate in blocks within the same surroundings.
-    around = {b.around for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0}
+    # Content goes on in the blocks next to the region, and beyond boilerplate in blocks within the same containers.
+    around = {tree.parent[b.base] for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0}
+    held = [e in around and tree.tag[e] not in ("", "html", "body") for e in range(len(tree.tag))]
+    for e in range(1, len(held)):
+        held[e] = held[e] or held[tree.parent[e]]
+
+    def goes_on(b: Block) -> bool:
+        return tree.parent[b.base] in around or held[b.base]
+
     for i in range(first - 1, -1, -1) if around else ():
-        if odds[i] > 0 and (i == first - 1 or _within(found[i], around)):
+        if odds[i] > 0 and (i == first - 1 or goes_on(found[i])):
             first = i
     for i in range(last, len(found)) if around else ():
-        if odds[i] > 0 and (i == last or _within(found[i], around)):
+        if odds[i] > 0 and (i == last or goes_on(found[i])):
             last = i + 1
     texts = (_SPACE.sub(" ", entities.unescape("".join(b.text))).strip() for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0)
     return "\n".join(t for t in texts if t)
