@@ -20,7 +20,6 @@ counted in ``repeats``.  Rows without a conv_id form one conversation.  Ties go
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Iterator
 from operator import add
 
@@ -215,18 +214,3 @@ def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
         .mapInPandas(decide, "conv_id string, turn string, tie long, role string, repeats long, new_role string, action string, inserted_before string, inserted_after string, cost long, rendered string")
     )
     return decided.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
-
-
-def brute_force(roles: list[str | None]) -> int:
-    """The cost of the cheapest repair, by trying all sequences of choices: for tests on short conversations."""
-    best = FAR
-    for picks in itertools.product(range(12), repeat=len(roles)):
-        state, cost = START, 0
-        for role, pick in zip(roles, picks, strict=True):
-            choices = CHOICES[kind_of(role), state]
-            if pick >= len(choices):
-                break
-            cost, state = cost + choices[pick][0], choices[pick][2]
-        else:
-            best = min(best, cost + FINAL[state])
-    return best

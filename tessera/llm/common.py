@@ -97,7 +97,7 @@ def bucket_of(column: Column, cuts: list[int]) -> Column:
     full = F.size(F.filter(outer, lambda c: c < column))
     rest = F.expr(f"array({','.join(longs(x) for x in [*inner, []])})")
     within = F.size(F.filter(F.element_at(rest, full + 1), lambda c: c < column))
-    return F.when(column.isNull(), F.lit(0)).otherwise(full * F.lit(step) + within).cast("int")
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.least(full * F.lit(step), F.lit(len(cuts))) + within).cast("int")
 
 
 HUB = 100_000
