@@ -6,9 +6,9 @@ message before it, each at a cost (:data:`COSTS`); dynamic programming over the
 repair of the whole conversation.
 
 A turn is a 4 x 4 matrix of costs between states, and a run of turns is the product of theirs in (min, +).  So a
-conversation of any length is dealt out in blocks of ``BLOCK`` turns: each block gives its matrix, the blocks of a
-conversation are chained on those 16 numbers, and each block is then decided by itself, given the states it starts and
-ends in.  No task holds a conversation.
+conversation of any length and numbering is dealt out in blocks of ``BLOCK`` turns: each block gives its matrix, the
+blocks of a conversation are chained on those 16 numbers, and each block is then decided by itself, given the states it
+starts and ends in.  No task holds a conversation.
 
 Turns are ordered by (turn, hash of role and text); a null turn comes first.  Role names are matched without case or
 surrounding white space; a role that is not known costs less to relabel.  A null text is empty.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, shuffle_partitions
 
 BLOCK = 1024
 ROLES = ("system", "user", "assistant")
@@ -126,20 +126,22 @@ def _runs(batches: Iterable[pd.DataFrame], keys: list[str], columns: list[str])
 
 
 def blocked(turns: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Distinct turns with their place: ``conv_id, block, turn, tie, role, text, repeats``."""
+    """Distinct turns with their block: ``conv_id, place, part, turn, tie, role, text, repeats``.
+
+    All turns are sorted into ranges of (conversation, turn, tie), and each range is cut every ``size`` rows: ``place`` is
+    the range and ``part`` the cut.  So a conversation of n turns, however they are numbered, has about n / ``size``
+    blocks, and one more for each range that it lies in.
+    """
     own = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     ).withColumn("tie", F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
-    once = own.groupBy("conv_id", "turn", "tie", "role", "text").agg(F.count("*").alias("repeats"))
-    place = F.coalesce(F.floor(F.col("turn") / size), F.lit(-(1 << 52))).cast("long")
-    once = cut_lineage(once.withColumn("place", place))
-    # Many turns with few turn numbers: such blocks are dealt out further, by turn and then by the tie's leading bits.
-    crowded = once.groupBy("conv_id", "place").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("turns")).filter(F.col("n") > 4 * size).select(F.col("conv_id").alias("c"), F.col("place").alias("p"), "n")
-    within = (F.pmod(F.coalesce("turn", F.lit(0)), F.lit(size)) * 4096 + F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 52)).cast("long")
-    return once.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")), "left").select(
-        "conv_id", "place", F.when(F.col("n").isNull(), F.lit(0)).otherwise(within).cast("long").alias("part"), "turn", "tie", "role", "text", "repeats"
-    )
+    once = cut_lineage(own.groupBy("conv_id", "turn", "tie", "role", "text").agg(F.count("*").alias("repeats")))
+    order = ["conv_id", "turn", "tie", "role", "text"]
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the row's place in it in the lower 33
+    placed = once.repartitionByRange(shuffle_partitions(turns.sparkSession), *order[:3]).sortWithinPartitions(*order).withColumn("at", at)
+    place, part = F.shiftright("at", 33).alias("place"), F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / size).cast("long").alias("part")
+    return cut_lineage(placed.select("conv_id", place, part, "turn", "tie", "role", "text", "repeats"))
 
 
 def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -150,7 +152,7 @@ def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
     ``cost``, and ``rendered``: joined in the order of ``turn, tie`` they are the rendered conversation.
     """
     key = ["conv_id", "place", "part"]
-    placed = cut_lineage(blocked(turns, size))
+    placed = blocked(turns, size)
 
     def matrices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -165,7 +167,7 @@ def repair(turns: DataFrame, size: int = BLOCK) -> DataFrame:
         yield pd.DataFrame(out, columns=[*key, "m"])
 
     conv, turn = F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn")
-    thin = placed.select(*key, "turn", "tie", "role").repartition(*key).sortWithinPartitions(*key, "turn", "tie").select(conv, "place", "part", "role")
+    thin = placed.select(conv, "place", "part", "role")  # as it was sorted and written
     found = cut_lineage(thin.mapInPandas(matrices, "conv_id string, place long, part long, m array<long>"))
 
     def chained(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
