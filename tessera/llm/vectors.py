@@ -1,8 +1,9 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one kept per group.
 
 Cells.  For every label with more than ``CELL_ROWS`` vectors, spherical k-means is fitted to a bounded sample of the
-label's vectors, in one task per label; a smaller label is one cell.  There are at most ``MAX_CELLS`` centroids in all,
-so their table has a fixed bound and is broadcast.
+label's vectors, in one task per label; a smaller label is one cell.  There are at most ``MAX_CELLS`` centroids of
+``CENTROID_BYTES`` in all, so their table has a fixed bound and is broadcast.  Cells have about ``CELL_ROWS`` vectors up to
+33 million vectors of 64 components; from there they grow, and with them the copies of a row, one for each chunk.
 
 No link is lost between cells.  A vector's home is the cell of its most similar centroid.  If x and y are linked they
 are at most ``r = sqrt(2 - 2 * threshold)`` apart, and if their homes differ the plane midway between the two
@@ -21,6 +22,7 @@ in a group of their own and not kept.  A repeated vec_id is one more vector with
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +36,8 @@ from tessera.llm.common import connected_components, cut_lineage
 
 THRESHOLD = 0.98
 CELL_ROWS = 512
-MAX_CELLS = 4096
+MAX_CELLS = 65_536
+CENTROID_BYTES = 32 << 20
 SAMPLE_ROWS = 65_536
 CHUNK = 2048
 
@@ -43,7 +46,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of unit rows; starts from evenly spaced rows of the given order."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        home = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        step = max(64, min(4096, (1 << 24) // k))
+        home = np.concatenate([(x[i : i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
         sums = np.zeros_like(c)
         np.add.at(sums, home, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -87,12 +91,15 @@ def _rows(x: pd.Series | list) -> np.ndarray:
 def fit_cells(unit: DataFrame, cell_rows: int = CELL_ROWS) -> list[tuple[int, int, np.ndarray]]:
     """(label, dim, centroids) of the labels that are split."""
     sizes = {(r["label"], r["dim"]): r["count"] for r in unit.groupBy("label", "dim").count().filter(F.col("count") > cell_rows).orderBy(F.desc("count"), "label", "dim").limit(MAX_CELLS // 2).collect()}
+    most = min(MAX_CELLS, CENTROID_BYTES // (8 * max((dim for _, dim in sizes), default=1)))
+    sizes = dict(itertools.islice(sizes.items(), most // 2))  # largest first
     if not sizes:
         return []
     total = sum(sizes.values())
-    cells = {g: max(2, min(math.ceil(n / cell_rows), MAX_CELLS * n // total)) for g, n in sizes.items()}
+    cells = {g: max(2, min(math.ceil(n / cell_rows), most * n // total)) for g, n in sizes.items()}
+    share = min(1.0, max(SAMPLE_ROWS, 4 * sum(cells.values())) / total)
     spark = unit.sparkSession
-    want = spark.createDataFrame([(g[0], g[1], cells[g], min(1.0, SAMPLE_ROWS / total)) for g in sizes], "label long, dim int, k int, share double")
+    want = spark.createDataFrame([(g[0], g[1], cells[g], share) for g in sizes], "label long, dim int, k int, share double")
     sample = unit.withColumn("label", F.col("label").cast("long")).join(F.broadcast(want), ["label", "dim"]).filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
