@@ -37,7 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("toxicity", toxicity_filter), ("simhash", simhash_dedup), ("packing", pack)]
 
-#: No SQL can learn a classifier; tests/llm compares run() with the stages' brute-force versions.
+#: No SQL can learn a classifier.  tests/llm compares what SimHash and packing do with brute force, the classifiers' scores
+#: with their definitions in the tests of op4 and op6, and here what the classifiers remove with the labels.
 ORACLE_SQL = None
 
 

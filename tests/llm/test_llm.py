@@ -43,7 +43,6 @@ def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -126,6 +125,47 @@ def test_bpe(spark):
     assert {r.doc_id: bytes(r.content).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
 
+def test_bpe_query(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op2_bpe"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", " \n", "\xa0", "\u2028", "a", "7", "!", "漢"])
+def test_bpe_of_a_million_signs(sign):
+    """Runs that the regex of the library cannot hold; the other library has no such limit."""
+    from tokenizers import Tokenizer
+
+    whole, ranks, own = Tokenizer.from_file(JSON), bpe.RankTokenizer.load(RANKS, public_tokenizers.PATTERN), bpe.JsonTokenizer.load(JSON)
+    for head, tail in (("", ""), ("é. ", "x"), ("q", sign + "  y ")):
+        text = head + (sign * 1_000_000)[:1_000_000] + tail
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert ranks.encode(text).tolist() == ids == own.encode(text).tolist() and ranks.decode(ranks.encode(text)) == text.encode()
+
+
+def test_added_tokens_and_other_files(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(JSON), bpe.JsonTokenizer.load(JSON)
+    for text in ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext|", "漢 <|endoftext|>漢"]:
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / f"{next(iter(change))}.json"
+        path.write_text(json.dumps(json.loads(open(JSON).read()) | change))
+        other = bpe.JsonTokenizer(str(path))
+        assert other.encode("Some WORDS, here").tolist() == Tokenizer.from_file(str(path)).encode("Some WORDS, here", add_special_tokens=False).ids != own.encode("Some WORDS, here").tolist()
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_safe_parts_keep_the_matches(seed):
     import regex
@@ -195,6 +235,16 @@ def test_simhash_odd_rows(spark):
     assert simhash.fingerprint(LONG) == slow_fingerprint(LONG)
 
 
+def test_simhash_of_ids_with_several_texts(spark):
+    """A text whose id another text has too is kept unless it is near a kept one itself."""
+    a, b = "the first of all the texts that there are here", "quite another text has nothing of what the other says"
+    rows = [(3, b, "z"), (5, a, "y"), (5, b, "x"), (5, a, "w"), (7, a, "v"), (None, a, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    want = [(3, b, "z"), (5, a, "w"), (None, a, "u")]
+    for n in (1, 3):
+        assert sorted(map(tuple, simhash.keep_one(df.repartition(n)).collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("limit", [simhash.CELL_LIMIT, 3])
 def test_simhash_loses_no_link(spark, monkeypatch, limit):
     """Chains and a crowded ball; a small limit sends every cell through the words between fingerprints."""
@@ -269,24 +319,77 @@ def test_vectors(spark, cell_rows, chunk):
         assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_minhash(spark):
-    docs = odd(spark)
-    got = {r.doc_id: r for r in minhash.compare_edited(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
-    order = sorted(range(len(ODD)), reverse=True)
+def slow_minhash(text):
+    """The low 32 bits of the least a * h + b modulo 2^64 over all five-word shingles, one number at a time."""
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return [0] * 128
+    k = min(5, len(words))
+    hashes = {xxhash.xxh3_64_intdigest(" ".join(words[i : i + k]).encode()) for i in range(len(words) - k + 1)}
+    return [min((a * h + b) % 2**64 for h in hashes) % 2**32 for a, b in zip(map(int, minhash._A.ravel()), map(int, minhash._B.ravel()), strict=True)]
+
+
+def check_minhash(rows, texts):
+    """Rows against the texts by doc_id."""
+    order = sorted(texts, reverse=True)
+    own = {i: slow_minhash(texts[i]) for i in order}
+    assert sorted(r.doc_id for r in rows) == sorted(order)
+    got = {r.doc_id: r for r in rows}
     for i, nxt in zip(order, order[1:] + order[:1], strict=True):
-        text, after = ODD[i] or "", ODD[nxt] or ""
-        new = minhash.edited(text, after)
-        a, b, c = (minhash.signature(t) for t in (text, new, after))
-        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert (got[i].fingerprint, got[i].edited_fingerprint) == (minhash.to_hex(a), minhash.to_hex(b))
-        assert (got[i].near_edited, got[i].near_next) == ((a == b).mean(), (a == c).mean())
-    assert got[5].fingerprint == got[6].fingerprint
+        half = len(texts[i]) // 2
+        new = texts[i][: len(texts[i]) - half] + texts[nxt][:half]
+        other = slow_minhash(new)
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(texts[i]), hashlib.sha256(new.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple("".join(f"{x:08x}" for x in p) for p in (own[i], other))
+        assert [round(v * 128) for v in (got[i].near_edited, got[i].near_next)] == [sum(x == y for x, y in zip(own[i], p, strict=True)) for p in (other, own[nxt])]
+
+
+def test_minhash_query(spark, tmp_path):
+    texts = {r.doc_id: (r.text or "")[:4000] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()}
+    texts |= {900_000: "", 900_001: "the very same", 900_002: "the very same", 900_003: "İ ẞ\tA\nB\x1cC " * 20}
+    spark.createDataFrame([(i, t or None) for i, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check_minhash(QUERIES["op9_minhash"](spark, str(tmp_path)).collect(), texts)
+
+
+def test_minhash_odd_rows(spark):
+    docs = odd(spark)
+    got = minhash.compare_edited(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
+    short = {i: t or "" for i, t in enumerate(ODD)}
+    check_minhash(got, short)
     assert minhash.compare_edited(docs).count() == len(ODD) + 2
     assert minhash.compare_edited(docs.limit(0)).count() == 0
     only = minhash.compare_edited(documents(spark, ["just one document"])).collect()
     assert len(only) == 1 and only[0].near_next == 1
 
 
+@pytest.mark.parametrize("words", [1_000, 30_000, 300_000, 1_000_000])
+def test_minhash_of_unrelated_long_texts(words):
+    rng = np.random.default_rng(words)
+    a, b = (minhash.minima(np.unique(rng.integers(0, 1 << 63, words, dtype=np.uint64))) for _ in range(2))
+    assert minhash.likeness(a, b) < 0.02
+
+
+def test_byte_cuts(spark):
+    """Ranges of about equal bytes, the same however the rows are dealt out; hot windows of ids are split again."""
+    rng = random.Random(3)
+    for ids in ([*range(5000)], [0, *range(10**12, 10**12 + 4000), 2**62], [-5, -4, 7, 7, 7, 9], [-(2**63), 2**63 - 1], [1]):
+        sizes = [rng.randint(1, 2000) for _ in ids]
+        df = spark.createDataFrame([*zip(ids, sizes, strict=True), (None, 5)], "id long, size long")
+        cuts = common.byte_cuts(df.repartition(2), least=20_000)
+        assert cuts == common.byte_cuts(df.repartition(7), least=20_000) == sorted(set(cuts))
+        sums = {r.b: r.n for r in df.filter("id is not null").groupBy(common.bucket_of(F.col("id"), cuts).alias("b")).agg(F.sum("size").alias("n")).collect()}
+        assert set(sums) == set(range(len(cuts) + 1)) and max(sums.values()) <= 22_000
+        assert len(sums) <= 2 * sum(sizes) / 20_000 + 3
+    assert common.byte_cuts(df.limit(0)) == []
+
+
+def test_hubs_are_joined_whole(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 50).alias("k"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    want = sorted(map(tuple, rows.join(facts.drop("n"), "k").select("id", "k", "top").collect()))
+    assert want == sorted(map(tuple, common.join_hubs(rows, facts, "k", 1000, hub=30).select("id", "k", "top").collect()))
+
+
 def test_minhash_estimates_jaccard():
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -298,14 +401,20 @@ def test_minhash_estimates_jaccard():
         assert abs(minhash.likeness(minhash.signature(a), minhash.signature(" ".join(b))) - len(x & y) / len(x | y)) < 0.15
 
 
-def test_minhash_near_duplicates(spark):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_minhash_near_duplicates(spark, chunk):
     rng = random.Random(4)
     texts = []
     for _ in range(12):
         words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(300)]
         texts += [" ".join(words), " ".join([*words[:290], "new", "end"]), " ".join(words[::-1])]
-    texts += [None, ""]
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    chain = [rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(300)]
+    for _ in range(25):  # each like the one before, the first and the last not
+        chain[rng.randrange(300)] = f"new{rng.random()}"
+        chain[rng.randrange(300)] = f"new{rng.random()}"
+        texts.append(" ".join(chain))
+    texts += [None, "", texts[0], texts[0]]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), chunk=chunk).collect()}
     sets = [set(minhash.shingles(t).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -336,6 +445,45 @@ def test_language_odd_rows(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def slow_ngrams(text):
+    """Buckets of all 1- to 3-grams with a letter, one character at a time; what is no letter is a gap."""
+    text, out = text.lower(), []
+    for i in range(len(text)):
+        for order in (1, 2, 3):
+            part = text[i : i + order]
+            if len(part) == order and "\0" not in part and any(c.isalpha() for c in part):
+                h = order * 0x9E3779B1 % 2**32
+                for c, prime in zip(part, map(int, langid._PRIMES), strict=False):
+                    h = (h ^ (ord(c) if c.isalpha() else 32)) * prime % 2**32
+                    h ^= h >> 15
+                out.append(h % langid.BUCKETS)
+    return out
+
+
+def test_language_query_is_naive_bayes(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text and r.text[:1500], r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    rows += [(10**6, None, "en"), (10**6 + 1, "12 !", None), (10**6 + 2, "Ünïcödé ça", None), (10**6 + 3, "ça va", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts, docs = {}, Counter()
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(slow_ngrams(text or ""))
+            docs[lang] += 1
+    size = {lang: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in QUERIES["op6_langid"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for i, text, _ in rows:
+        grams = slow_ngrams(text or "")
+        logs = {lang: math.log(docs[lang] / sum(docs.values())) + sum(math.log((c[g] + langid.SMOOTHING) / size[lang]) for g in grams) for lang, c in counts.items()}
+        best = min(logs, key=lambda lang: (-logs[lang], lang))
+        want = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())) if grams else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-6
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_ngrams_do_not_depend_on_slices(monkeypatch):
     texts = ["Some words, here.", "", "x", "é" * 50]
 
@@ -358,6 +506,47 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxic.mean() > 0.8 and clean.mean() < 0.01  # some labels are noise
 
 
+def slow_score(machine, text):
+    """The factorization machine by its definition, over pairs."""
+    import math
+    import re
+
+    hashed = set()
+    for word in re.findall(r"\w+", (text or "").lower()):
+        hashed |= {zlib.crc32(x.encode()) % 2**18 for x in (word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) >= k))}
+    at = sorted(machine.column[h] for h in hashed if h in machine.column)
+    raw = float(machine.w0[0]) + sum(machine.w[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(at) for j in at[:n])
+    return 1 / (1 + math.exp(-raw))
+
+
+def test_toxicity_query_scores_by_the_definition(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels, common.fold(F.col("doc_id"), 3) != 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = QUERIES["op4_toxicity"](spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert abs(r.score - slow_score(machine, texts[r.doc_id])) < 1e-9
+        assert r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_toxicity_learns_from_fifty_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels, F.lit(True)).join(labels, "doc_id").select("score", "toxic").collect()
+    toxic, clean = [r.score for r in got if r.toxic == 1], [r.score for r in got if r.toxic == 0]
+    assert min(len(toxic), len(clean)) and np.mean(toxic) > np.mean(clean) + 0.3
+    machine = toxicity.train(docs, labels, F.lit(True), fewest=0, least_z=1e9)
+    assert len(machine.w) == 0
+
+
+def test_terms_forget_words_beyond_their_bound():
+    text = " ".join(f"word{i} other{i}" for i in range(50))
+    assert toxicity.Terms(most=10).of(text) == toxicity.Terms().of(text) == toxicity.Terms(most=10).of(text)
+    bounded = toxicity.Terms(most=10)
+    assert [bounded.of(t) for t in ("a b", text, "a b")] == [toxicity.Terms().of(t) for t in ("a b", text, "a b")] and len(bounded._known) <= 100
+
+
 def test_machine_learns_an_interaction():
     """Neither term alone is toxic; together they are."""
     rng = np.random.default_rng(0)
@@ -365,7 +554,7 @@ def test_machine_learns_an_interaction():
     rows, cols = zip(*((i, t - 1) for i, each in enumerate(terms) for t in sorted(each)), strict=True)
     label = np.array([float({1, 2} <= t) for t in terms])
     m = toxicity.Machine(np.array([1, 2, 3])).fit(np.array(rows), np.array(cols), label, steps=2000, rates=(0.05, 0.05, 0.05))
-    assert m.score([{1, 2}])[0] > 0.9 and max(m.score([{1}, {2}, {3}, set()])) < 0.3
+    assert m.score([{0, 1}])[0] > 0.9 and max(m.score([{0}, {1}, {2}, set()])) < 0.3
 
 
 def test_toxicity_odd_rows(spark):
@@ -394,17 +583,53 @@ def test_toxicity_odd_rows(spark):
     ("<article><p title='a > b'>kept</p></article><script>unclosed", "kept"),
     ("<article><p>a <svg><text>no</text></svg>b<svg/> c</p><noscript><p>no</p></noscript><p>d <select><option>no</select></p></article>", "a b c\nd"),
     ("<article><p>a</p><template><p>b</p></article>", "a\nb"),
+    ("<html><body class='has-sidebar'><nav><a href=/>Home</a></nav><article><h1>T</h1><p>One two three four five.</p></article></body>", "T\nOne two three four five."),
+    ("<article class='post comments-open'><h1>T</h1><p>One two three four five.</p></article><div id=comments><p>I think that this is long and wrong, said one reader of many, more than the article has.</p></div>", "T\nOne two three four five."),
+    ('<article><p title="a<b>c">kept</p></article>', "kept"), ("<article><p>2 < 3 and <3</p><p data-x=\"unclosed>so</p></article>", "2 < 3 and <3\nso"),
+    ("<header><p>My site</p></header><article><header><h1>Head</h1></header><p>Some text that goes on.</p><footer>Shared</footer></article>", "Head\nSome text that goes on."),
+    ("<article><p>text <b>goes</b> on</p></article><p class='", "text goes on"), ("<div class=zork><h1>T</h1><p>Some text that goes on, as it does.</p></div><div class=colophon>All rights</div>", "T\nSome text that goes on, as it does."),
+    ("<article><h1>T</h1>" + "".join(f"<div class='p{i}q'><p>Part {i} of a text in many boxes.</p></div>" for i in range(9)) + "</article>", "\n".join(["T", *(f"Part {i} of a text in many boxes." for i in range(9))])),
 ])
 def test_html(page, want):
     assert html_extract.extract(page) == want
 
 
+def wrong_blocks(pages, model):
+    """Blocks, and blocks on the wrong side, of boilerplate and of content."""
+    out = {False: [0, 0], True: [0, 0]}
+    for page, marks in pages:
+        for odds, mark in zip(html_extract.log_odds(html_extract.read(page), model), marks, strict=True):
+            out[mark][0] += 1
+            out[mark][1] += (odds > 0) != mark
+    return out
+
+
 def test_html_weights_separate_the_labelled_pages():
-    weights, bias, tag = html_extract.learn()
-    assert tag < 0
-    for page, marks in html_extract.labelled_pages():
-        for own, mark in zip(html_extract._features(html_extract.blocks(page)), marks, strict=True):
-            assert (bias + sum(weights.get(f, 0) for f in own) > 0) == mark
+    model = html_extract.learn()
+    assert model[2] < 0
+    (boilerplate, kept), (content, lost) = wrong_blocks(html_extract.labelled_pages(), model).values()
+    assert kept <= 0.03 * boilerplate and lost <= 0.003 * content
+
+
+@pytest.mark.parametrize("fold", range(3))
+def test_html_with_names_that_were_not_learned(fold):
+    """Content with unknown names around stays, and most boilerplate is told by how it looks."""
+    held = html_extract._NAMES[fold::3]
+    model = html_extract.fit(html_extract.labelled_pages([n for n in html_extract._NAMES if n not in held]))
+    (boilerplate, kept), (content, lost) = wrong_blocks(html_extract.labelled_pages(held, seed=9), model).values()
+    assert kept <= 0.45 * boilerplate and lost <= 0.01 * content
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 80_000, "<a '" * 60_000, '<a x="' * 50_000, "<div>" * 50_000, "<div>" * 20_000 + "</p>" * 20_000, "<b class=x>" * 10_000 + "<div></div>" * 10_000, "<!--" * 100_000, "<script>" * 100_000,
+    "</" * 100_000, "".join(f"<div class=c{i}x>" for i in range(20_000)), "<ul><li><ul>" + "<b class=x>" * 5000 + "<li></li>" * 5000, "<p " + "a=b " * 500_000, "<x y" + " " * 3_000_000, "<q " + "=" * 1_000_000, "<a " * 3_400_000,
+])
+def test_html_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    assert html_extract.extract(page + "><p>so much for that.</p>").lstrip(">\n") in ("", "so much for that.")
+    assert time.perf_counter() - start < 5
 
 
 def test_html_query(spark):
@@ -418,7 +643,7 @@ def test_html_query(spark):
         body = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?(?:p|h1)>", body))
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
-    odd_pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a</p>" * 50_000, "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
+    odd_pages = spark.createDataFrame([(1, None, None, "x", 1), (None, "u", "<p>a</p>" * 50_000, "y", 2), (1, None, None, "x", 3)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(r.n_chars for r in html_extract.main_text(odd_pages).collect()) == [0, 0, 99_999]
     assert html_extract.main_text(odd_pages.limit(0)).count() == 0
 
@@ -450,9 +675,56 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0), common.shared_dir(spark)).count() == 0
 
 
+def test_warc_files_do_not_depend_on_partitions(spark, monkeypatch):
+    """More ids than any sketch holds exactly; several ranges, one task each."""
+    monkeypatch.setattr(warc, "byte_cuts", lambda sized: common.byte_cuts(sized, least=60_000))
+    pages = spark.range(30_000).select((F.col("id") * F.col("id") % 1_000_003).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("html"))
+    out = []
+    for n in (1, 5):
+        manifest = warc.write(pages.repartition(n), f"{common.shared_dir(spark)}/warc-many-{n}")
+        out.append(sorted((r.file, r.records, r.sha1) for r in manifest.collect()))
+    assert out[0] == out[1] and len(out[0]) > 8 and sum(f[1] for f in out[0]) == 30_000
+
+
 # -- conversations -----------------------------------------------------------------------------------------------------
 
 
+def cheapest_repair(roles):
+    """The cost of the cheapest legal conversation by the plain costs, as a shortest way: keep 0, merge 1, relabel 4 (an
+    unknown role 1), an empty message 3.  Written from the rules, not from the operator's tables."""
+    known = {"system": "s", "developer": "s", "user": "u", "human": "u", "prompter": "u", "assistant": "a", "gpt": "a", "bot": "a", "model": "a"}
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+    states = {"": 0}
+    for role in roles:
+        kind, new = known.get((role or "").strip().lower()), {}
+        for state, cost in states.items():
+            for target in "sua":
+                own = cost + (0 if target == kind else 1 if kind is None else 4)
+                ways = [own] * (target in follows[state]) + [own + 1] * (target == state) + [own + 3 for x in follows[state] if target in follows[x]]
+                if ways:
+                    new[target] = min([*ways, new.get(target, 10**9)])
+        states = new
+    return min(cost + {"": 0, "s": 6, "u": 3, "a": 0}[state] for state, cost in states.items())
+
+
+def test_chat_query(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, {})[(r.turn, r.role, r.text)] = r.role
+    got = {}
+    for r in QUERIES["op7_chat"](spark, DATA).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == set(turns)
+    for conv, rows in got.items():
+        rows.sort(key=lambda r: (r.turn is not None, r.turn, r.tie))
+        assert sorted((r.turn, r.role or "") for r in rows) == sorted((t, role or "") for t, role, _ in turns[conv])
+        assert sum(r.cost for r in rows) == cheapest_repair([r.role for r in rows])
+        whole = "".join(r.rendered for r in rows)
+        roles = [m.split("\n")[0] for m in whole.split("<|im_start|>")[1:]]
+        rest = roles[1:] if roles[0] == "system" else roles
+        assert rest == ["user", "assistant"] * (len(rest) // 2) and rest
+
+
 @pytest.mark.parametrize("size", [1, 2, 1024])
 def test_chat_costs(spark, size):
     rng = random.Random(1)
@@ -460,7 +732,7 @@ def test_chat_costs(spark, size):
     for c in range(40):
         roles = [rng.choice(["system", "user", "Assistant ", "weird", None]) for _ in range(rng.randint(1, 4))]
         rows += [(c, i, r, f"t{i}") for i, r in enumerate(roles)]
-        want[c] = chat.brute_force(roles)
+        want[c] = cheapest_repair(roles)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).withColumn("n", F.lit(1))
     got = chat.repair(df, size).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()
     assert {r.conv_id: r.c for r in got} == want
@@ -489,6 +761,16 @@ def test_chat_rendering_is_legal(spark):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_chat_blocks_of_sparse_turns(spark):
+    """Blocks are cut by rank: turn numbers far apart, close together or null make no more of them."""
+    df = spark.range(600).select(F.when(F.col("id") < 500, 1).otherwise(F.col("id")).cast("long").alias("conv_id"), (F.col("id") * F.col("id") * 10**9).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    found = chat.blocked(df, 20)
+    assert found.filter("conv_id = 1").select("place", "part").distinct().count() <= 500 / 20 + 2 * 4
+    assert found.groupBy("place", "part").count().agg(F.max("count")).first()[0] <= 20
+    costs = chat.repair(df, 20).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()
+    assert {r.conv_id: r.c for r in costs} == {1: 499 * chat.COSTS["merge"] + chat.COSTS["insert"]} | dict.fromkeys(range(500, 600), chat.COSTS["insert"])
+
+
 def test_chat_crowded_turns(spark):
     """Many different turns with one turn number are dealt out and still repaired as one conversation."""
     df = spark.range(60).select(F.lit(1).cast("long").alias("conv_id"), F.lit(3).cast("long").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
@@ -529,6 +811,6 @@ def test_vectors_at_coincident_centroids(spark):
     near = c + rng.choice([-1, 1], size=24) * 1e-16
     x = rng.normal(size=(200, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    unit = spark.createDataFrame([(i, i, 0, 24, v.tolist()) for i, v in enumerate(x)], "row long, vec_id long, label long, dim int, x array<double>").drop("row")
+    unit = spark.createDataFrame([(i, 0, 24, v.tobytes()) for i, v in enumerate(x)], "vec_id long, label long, dim int, x binary")
     placed = vectors._placed(unit, [(0, 24, np.stack([c, near]))], 0.3).collect()
     assert all(sorted(r["cells"]) == [0, 1] for r in placed)
