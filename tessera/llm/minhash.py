@@ -149,21 +149,28 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CH
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "whole": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
-                "hashes": [s.tobytes() for s in sets], "bands": [_bands(minima(s)) for s in sets],
+                "doc_id": batch["doc_id"].astype("Int64"), "whole": [_whole(s) for s in sets], "bands": [_bands(minima(s)) for s in sets],
             })
 
+    def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch["text"]]
+            own = [_whole(s) == w for s, w in zip(sets, batch["whole"], strict=True)]  # not another text with that id
+            yield pd.DataFrame({"doc_id": batch["doc_id"][own], "hashes": [s.tobytes() for s, keep in zip(sets, own, strict=True) if keep]})
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = write_shared(texts.mapInPandas(sign, "doc_id long, whole string, hashes binary, bands array<long>"), "minhash")
+    signed = cut_lineage(texts.mapInPandas(sign, "doc_id long, whole string, bands array<long>"))
     nodes = cut_lineage(signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
     total = signed.count()
 
     slots = nodes.filter("node is not null").select("node", F.explode("bands").alias("slot"))
     leads = slots.groupBy("slot").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
     pairs = cut_lineage(join_hubs(slots, leads, "slot", 25 * total).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    sets = signed.join(nodes.filter("node is not null").select(F.col("node").alias("doc_id"), "whole"), ["doc_id", "whole"]).dropDuplicates(["doc_id"])
-    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = write_shared(sets.join(some, "doc_id", "left_semi").select("doc_id", "hashes"), "minhash-sets")
+    # The whole sets of the nodes in some pair, from their texts.
+    some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    reps = nodes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "whole")
+    found = texts.join(reps, "doc_id").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
+    sets = write_shared(found.select("doc_id", "text", "whole").mapInPandas(hashed, "doc_id long, hashes binary"), "minhash-sets")
     # A node with very many pairs: its set comes once for every `chunk * 64` of them.
     copies = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", F.ceil(F.col("n") / (chunk * 64)).cast("int").alias("of"))
     dealt = join_hubs(pairs, copies, "b", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("of")).cast("int").alias("salt"))
@@ -232,6 +239,10 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return both >= threshold * (short + long - both)
 
 
+def _whole(hashes: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes())
+
+
 def _bands(sign: np.ndarray) -> np.ndarray:
     """A key for each band, different for bands in different places."""
     return np.array([xxhash.xxh3_64_intdigest(sign[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], dtype=np.uint64).view(np.int64)
