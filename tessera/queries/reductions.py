@@ -72,7 +72,8 @@ def associative_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def associative_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as one line, scanned with an associative function of the caller's."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 1e10).alias("v"))
-    return scan.scan_with(rows, [], "i", _joint, 1 << 40).select("i", F.round("scan", 6).alias("v"))
+    length = (rows.agg(F.max("i")).first()[0] or 0) + 1
+    return scan.scan_with(rows, [], "i", _joint, length).select("i", F.round("scan", 6).alias("v"))
 
 
 def tall_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
