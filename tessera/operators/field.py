@@ -2,34 +2,66 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
-from tessera.tensor import ShapeError, Tensor
+from tessera.tensor import SMALL, ShapeError, Tensor
+
+
+TILES = {2: 256, 3: 32}  # positions of a tile's side, by the number of axes
+
+
+def _tiled(cells: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], halo: int, wrap: bool = False) -> tuple[DataFrame, list[str]]:
+    """The cells in tiles, each with the ``halo`` cells beside it along every axis, and the names of the tiles' columns.
+
+    One shuffle by tile serves all windows along all axes, and a line of any length is parted.  ``_own`` tells a tile's
+    cells from those beside it.  With ``wrap`` the first and the last point of a line are the same one, so what lies
+    beyond them are the points n - 2 and 1; they are put there under the positions -1 and n.
+    """
+    side = TILES[len(axes)]
+    if halo >= side:
+        raise ShapeError(f"{halo} cells beside tiles of {side}")
+
+    def place(moved: int | None, tile: Column | None = None, position: Column | None = None) -> Column:
+        parts = [(tile if k == moved else F.floor(F.col(a) / side)).cast("long").alias(f"t{k}") for k, a in enumerate(axes)]
+        return F.struct(*parts, *((position if k == moved else F.col(a)).cast("long").alias(f"p{k}") for k, a in enumerate(axes)), F.lit(moved is None).alias("own"))
+
+    places = [place(None)]
+    for k, (a, n) in enumerate(zip(axes, shape, strict=True)):
+        at, last = F.col(a), (n - 1) // side
+        tile = F.floor(at / side)
+        places.append(F.when((at % side < halo) & (tile > 0), place(k, tile - 1, at)))
+        places.append(F.when((at % side >= side - halo) & (tile < last), place(k, tile + 1, at)))
+        if wrap:
+            places.append(F.when(at == n - 2, place(k, F.lit(0), F.lit(-1))))
+            places.append(F.when(at == 1, place(k, F.lit(last), F.lit(n))))
+    tiles = [f"_t{k}" for k in range(len(axes))]
+    rest = [c for c in cells.columns if c not in axes]
+    dealt = cells.select(*rest, F.explode(F.array_compact(F.array(*places))).alias("_at"))
+    named = [F.col(f"_at.t{k}").alias(t) for k, t in enumerate(tiles)] + [F.col(f"_at.p{k}").alias(a) for k, a in enumerate(axes)]
+    return dealt.select(*named, *rest, F.col("_at.own").alias("_own")).repartition(*tiles), tiles
 
 
 def _second(value: Column, pos: str, other: list[str], n: int, spacing: float, boundary: str) -> Column:
-    """The three-point second difference along one axis of a full grid, by window over its lines; periodic lines find
-    what lies across their edges in ``_low`` and ``_high`` of the axis."""
+    """The three-point second difference along one axis, by window over the lines of a tile."""
     line = Window.partitionBy(*other).orderBy(pos)
     before, after = F.lag(value, 1).over(line), F.lead(value, 1).over(line)
     at = F.col(pos)
-    if boundary == "dirichlet":  # the value beyond the edge is the edge's mirror image with the other sign: -2c there
-        edge = -2 * value
-        inner = before - 2 * value + after
-        return F.when((at == 0) | (at == n - 1), edge).otherwise(inner) / spacing**2
+    inner = before - 2 * value + after
     if boundary == "periodic":
-        left = F.when(at == 0, F.col("_low" + pos)).otherwise(before)
-        right = F.when(at == n - 1, F.col("_high" + pos)).otherwise(after)
-        return (left - 2 * value + right) / spacing**2
+        return inner / spacing**2
+    if boundary == "dirichlet":  # the value beyond the edge is the edge's mirror image with the other sign: -2c there
+        return F.when((at == 0) | (at == n - 1), -2 * value).otherwise(inner) / spacing**2
     if boundary == "neumann":  # one-sided, four points; a short axis is mirrored
         if n >= 4:
             first = 2 * value - 5 * after + 4 * F.lead(value, 2).over(line) - F.lead(value, 3).over(line)
             last = 2 * value - 5 * before + 4 * F.lag(value, 2).over(line) - F.lag(value, 3).over(line)
         else:
             first, last = 2 * (after - value), 2 * (before - value)
-        return F.when(at == 0, first).when(at == n - 1, last).otherwise(before - 2 * value + after) / spacing**2
+        return F.when(at == 0, first).when(at == n - 1, last).otherwise(inner) / spacing**2
     raise ValueError(f"boundary {boundary}")
 
 
@@ -38,39 +70,34 @@ def laplacian(t: Tensor, spacing: tuple[float, float] = (1.0, 1.0), boundary: st
     (x, y), (nx, ny) = t.dims, t.shape
     if min(nx, ny) < 2 or min(spacing) <= 0:
         raise ShapeError(f"a Laplacian of {t.shape} at {spacing}")
-    v, df = F.col("v"), t.df
-    if boundary == "periodic":  # first and last are the same point, so the neighbours across are n-2 and 1
-        for pos, other, n in ((x, y, nx), (y, x, ny)):
-            edges = t.df.filter(F.col(pos).isin(1, n - 2)).groupBy(other)
-            df = df.join(edges.agg(*(F.max(F.when(F.col(pos) == at, v)).alias(name + pos) for name, at in (("_low", n - 2), ("_high", 1)))), other)
-    along_x, along_y = _second(v, x, [y], nx, spacing[0], boundary), _second(v, y, [x], ny, spacing[1], boundary)
-    return Tensor(df.select(x, y, (polarity * (along_x + along_y)).alias("v")), t.dims, t.shape)
+    cells, tiles = _tiled(t.df.select(x, y, "v"), t.dims, t.shape, 3 if boundary == "neumann" else 1, boundary == "periodic")
+    v = F.col("v")
+    along_x, along_y = _second(v, x, [*tiles, y], nx, spacing[0], boundary), _second(v, y, [*tiles, x], ny, spacing[1], boundary)
+    found = cells.select("_own", x, y, (polarity * (along_x + along_y)).alias("v"))
+    return Tensor(found.filter("_own").drop("_own"), t.dims, t.shape)
 
 
 def fdtd_step(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: float) -> DataFrame:
     """One acoustic step of ``(x, y, z, p, vx, vy, vz, rho, c)``: velocity from the pressure, then pressure from the new
-    velocity, central differences; boundary cells become 0."""
+    velocity, central differences; boundary cells become 0.  New pressure reaches two cells, which is what tiles see of
+    the tiles beside them, so a step is one shuffle."""
     if min(shape) < 3:
         raise ShapeError(f"a grid of {shape}")
     axes = ("x", "y", "z")
+    moved, tiles = _tiled(cells.select(*axes, "p", "vx", "vy", "vz", "rho", "c"), axes, shape, 2)
     inside = F.lit(True)
     for a, n in zip(axes, shape, strict=True):
         inside = inside & (F.col(a) > 0) & (F.col(a) < n - 1)
 
     def slope(column: str, a: str) -> Column:
-        line = Window.partitionBy(*(o for o in axes if o != a)).orderBy(a)
+        line = Window.partitionBy(*tiles, *(o for o in axes if o != a)).orderBy(a)
         return (F.lead(column, 1).over(line) - F.lag(column, 1).over(line)) / (2 * dx)
 
-    moved = cells
-    for a in axes:
-        moved = moved.withColumn("_d" + a, slope("p", a))
-    for a in axes:
-        moved = moved.withColumn("v" + a, F.when(inside, F.col("v" + a) - dt / F.col("rho") * F.col("_d" + a)).otherwise(0.0))
-    for a in axes:
-        moved = moved.withColumn("_s" + a, slope("v" + a, a))
+    for a in axes:  # both windows of an axis in one sort: the pressure along it moves the velocity that flows along it
+        moved = moved.withColumn("v" + a, F.when(inside, F.col("v" + a) - dt / F.col("rho") * slope("p", a)).otherwise(0.0)).withColumn("_s" + a, slope("v" + a, a))
     divergence = F.col("_sx") + F.col("_sy") + F.col("_sz")
     pressure = F.when(inside, F.col("p") - dt * F.col("rho") * F.col("c") * F.col("c") * divergence).otherwise(0.0)
-    return moved.withColumn("p", pressure).select(*axes, "p", "vx", "vy", "vz", "rho", "c")
+    return moved.withColumn("p", pressure).filter("_own").select(*axes, "p", "vx", "vy", "vz", "rho", "c")
 
 
 def fdtd(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: float, steps: int) -> DataFrame:
@@ -84,7 +111,8 @@ def ray_integrals(field: DataFrame, shape: tuple[int, int, int], origin: tuple[f
     """``ray, v``: line integrals of a field ``(ix, iy, iz, v)`` along rays ``(ray, ox, oy, oz, dx, dy, dz)``.
 
     A ray is clipped to the box of samples, cut into midpoints of at most the step, and sampled trilinearly; a miss is
-    0.  Only corners with weight are joined, and the join is on their index, so the field may have any size.
+    0.  Only corners with weight are joined, and the join is on their index, so the field may have any size; a field of at
+    most 2^20 samples is broadcast.
     """
     axes = ("x", "y", "z")
     length = F.sqrt(sum((F.col("d" + a) ** 2 for a in axes), F.lit(0.0)))
@@ -113,6 +141,7 @@ def ray_integrals(field: DataFrame, shape: tuple[int, int, int], origin: tuple[f
     for a in axes:
         weight = weight * F.when(F.col("_c." + a) == 1, F.col("_f" + a)).otherwise(1 - F.col("_f" + a))
         points = points.withColumn("i" + a, (F.col("_b" + a) + F.col("_c." + a)).cast("long"))
-    met = points.withColumn("_w", weight).filter("_w > 0").join(field, ["ix", "iy", "iz"])
+    samples = F.broadcast(field) if math.prod(shape) <= SMALL else field  # rays may cross in few cells, which are then hot keys
+    met = points.withColumn("_w", weight).filter("_w > 0").join(samples, ["ix", "iy", "iz"])
     sums = met.groupBy("ray").agg(F.sum(F.col("_w") * F.col("v") * F.col("_dl")).alias("v"))
     return rays.select("ray").join(sums, "ray", "left").select("ray", F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tessera.operators import field, random
 from tessera.tensor import Tensor
 
-NX, NY = 25, 10
+NX, NY = 2600, 20
+BOX = (48, 40, 36)
+FIRST_DAY = "1990-01-01"
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> Tensor:
-    """Customers by nation and the last digit of their key, counted: a full grid."""
-    counts = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").cast("long").alias("x"), (F.col("c_custkey") % NY).alias("y")).agg(F.count("*").cast("double").alias("v"))
+    """Line items by day and supplier's group, counted: a full grid."""
+    day = F.datediff(F.to_date("l_shipdate"), F.lit(FIRST_DAY).cast("date")).cast("long") % NX
+    counts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(day.alias("x"), (F.col("l_suppkey") % NY).alias("y")).agg(F.count("*").cast("double").alias("v"))
     return Tensor(counts, ("x", "y"), (NX, NY)).densify()
 
 
@@ -26,20 +29,20 @@ def _laplacian(boundary: str, polarity: float = 1.0):
 
 def fdtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two acoustic steps on a box whose pressure comes from line items."""
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_orderkey") % 6).alias("x"), (F.col("l_partkey") % 5).alias("y"), (F.col("l_suppkey") % 4).alias("z")).agg((F.sum("l_quantity") / 64).alias("p"))
-    box = Tensor.full(spark, (6, 5, 4), 0.0, ("x", "y", "z")).df.drop("v").join(p, ["x", "y", "z"], "left")
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*((F.col(c) % n).alias(a) for c, n, a in zip(("l_orderkey", "l_partkey", "l_suppkey"), BOX, "xyz", strict=True))).agg((F.sum("l_quantity") / 64).alias("p"))
+    box = Tensor.full(spark, BOX, 0.0, ("x", "y", "z")).df.drop("v").join(p, ["x", "y", "z"], "left")
     cells = box.select("x", "y", "z", F.coalesce("p", F.lit(0.0)).alias("p"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")), F.lit(2.0).alias("rho"), F.lit(1.5).alias("c"))
-    return field.fdtd(cells, (6, 5, 4), 0.25, 0.5, 2).select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "vx", "vy", "vz")))
+    return field.fdtd(cells, BOX, 0.25, 0.5, 2).select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "vx", "vy", "vz")))
 
 
 def ray_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis-parallel rays through an affine field, one for each customer: midpoints make the integral exact."""
-    ramp = Tensor.full(spark, (9, 5, 5), 0.0, ("ix", "iy", "iz")).df.select("ix", "iy", "iz", (F.col("ix") * 0.01 + 0.02).alias("v"))
+    ramp = Tensor.full(spark, (65, 5, 5), 0.0, ("ix", "iy", "iz")).df.select("ix", "iy", "iz", (F.col("ix") * 0.01 + 0.02).alias("v"))
     rays = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").alias("ray"), F.lit(-10.0).alias("ox"), (F.col("c_nationkey") * 0.5).alias("oy"), F.lit(4.0).alias("oz"),
         (F.lit(1.0) + F.col("c_custkey") % 3).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"),
     )
-    return field.ray_integrals(ramp, (9, 5, 5), (0.0, 0.0, 0.0), 2.0, rays, 0.3).select("ray", F.round("v", 6).alias("v"))
+    return field.ray_integrals(ramp, (65, 5, 5), (0.0, 0.0, 0.0), 2.0, rays, 1.0).select("ray", F.round("v", 6).alias("v"))
 
 
 def random_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def random_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRID = f"""g AS (SELECT x.range AS x, y.range AS y, coalesce(c.n, 0)::DOUBLE AS v FROM range({NX}) x CROSS JOIN range({NY}) y
-    LEFT JOIN (SELECT c_nationkey AS x, c_custkey % {NY} AS y, count(*) AS n FROM customer GROUP BY ALL) c ON c.x = x.range AND c.y = y.range)"""
+    LEFT JOIN (SELECT date_diff('day', DATE '{FIRST_DAY}', l_shipdate::DATE) % {NX} AS x, l_suppkey % {NY} AS y, count(*) AS n FROM lineitem GROUP BY ALL) c ON c.x = x.range AND c.y = y.range)"""
 
 
 def _second_sql(at: str, other: str, n: int, h2: float, boundary: str) -> str:
@@ -76,7 +79,7 @@ def _laplacian_sql(boundary: str, polarity: int = 1) -> str:
     return f"WITH {GRID} SELECT x, y, {polarity} * ({_second_sql('x', 'y', NX, 0.25, boundary)} + {_second_sql('y', 'x', NY, 4.0, boundary)}) AS v FROM g"
 
 
-_INSIDE = "x > 0 AND x < 5 AND y > 0 AND y < 4 AND z > 0 AND z < 3"
+_INSIDE = " AND ".join(f"{a} > 0 AND {a} < {n - 1}" for a, n in zip("xyz", BOX, strict=True))
 
 
 def _slope(column: str, a: str) -> str:
@@ -99,10 +102,10 @@ ORACLES = {
     "laplacian_dirichlet": _laplacian_sql("dirichlet"),
     "laplacian_periodic": _laplacian_sql("periodic"),
     "laplacian_neumann": _laplacian_sql("neumann", -1),
-    "fdtd": f"""WITH q AS (SELECT l_orderkey % 6 AS x, l_partkey % 5 AS y, l_suppkey % 4 AS z, sum(l_quantity) / 64 AS p FROM lineitem GROUP BY ALL),
+    "fdtd": f"""WITH q AS (SELECT l_orderkey % {BOX[0]} AS x, l_partkey % {BOX[1]} AS y, l_suppkey % {BOX[2]} AS z, sum(l_quantity) / 64 AS p FROM lineitem GROUP BY ALL),
         s0 AS (SELECT x.range AS x, y.range AS y, z.range AS z, coalesce(q.p, 0)::DOUBLE AS p, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 0::DOUBLE AS vz
-            FROM range(6) x CROSS JOIN range(5) y CROSS JOIN range(4) z LEFT JOIN q ON q.x = x.range AND q.y = y.range AND q.z = z.range),
+            FROM range({BOX[0]}) x CROSS JOIN range({BOX[1]}) y CROSS JOIN range({BOX[2]}) z LEFT JOIN q ON q.x = x.range AND q.y = y.range AND q.z = z.range),
         {_step_sql(1)}, {_step_sql(2)} SELECT x, y, z, round(p, 6) + 0 AS p, round(vx, 6) + 0 AS vx, round(vy, 6) + 0 AS vy, round(vz, 6) + 0 AS vz FROM s2""",
-    "ray_integrals": "SELECT c_custkey AS ray, CASE WHEN c_nationkey * 0.5 <= 8 THEN 0.96 ELSE 0 END::DOUBLE AS v FROM customer",
+    "ray_integrals": "SELECT c_custkey AS ray, CASE WHEN c_nationkey * 0.5 <= 8 THEN 43.52 ELSE 0 END::DOUBLE AS v FROM customer",
     "random_contract": "SELECT 2 * count(*) AS n, true AS within, true AS repeatable, true AS seeded, true AS uniform_mean, true AS normal_mean, true AS normal_deviation FROM lineitem",
 }
