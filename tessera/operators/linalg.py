@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,12 +12,6 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 from tessera.tensor import ShapeError, Tensor
 
-SMALL = 1 << 20  # cells of a side that is broadcast, by its shape
-
-
-def _small(t: Tensor) -> bool:
-    return math.prod(t.shape) <= SMALL
-
 
 def matmul(a: Tensor, b: Tensor) -> Tensor:
     """``[m, k] x [k, n]``; absent entries are zero, and a contraction over nothing gives zeros.
@@ -32,17 +25,17 @@ def matmul(a: Tensor, b: Tensor) -> Tensor:
     shape = (a.shape[0], b.shape[1])
     if not a.shape[1]:
         return Tensor.full(a.df.sparkSession, shape, 0.0, ("i", "j"))
-    if not _small(a) and not _small(b):
+    if not a.small and not b.small:
         return matmul_blocked(a, b)
     left = a.df.select(F.col(i).alias("i"), F.col(k).alias("_k"), F.col("v").alias("_a"))
     right = b.df.select(F.col(k2).alias("_k"), F.col(j).alias("j"), F.col("v").alias("_b"))
-    met = left.join(F.broadcast(right), "_k") if _small(b) else F.broadcast(left).join(right, "_k")
+    met = left.join(F.broadcast(right), "_k") if b.small else F.broadcast(left).join(right, "_k")
     return Tensor(met.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), shape)
 
 
 def matmul_rows(rows: DataFrame, column: str, b: Tensor) -> DataFrame:
     """Packed rows times a small matrix: the rows with their product in that column, and no shuffle; null stays null."""
-    if not _small(b):
+    if not b.small:
         raise ShapeError(f"{b.shape} is too large to be held by every task")
     shared = rows.sparkSession.sparkContext.broadcast(b.to_numpy())
     names = rows.columns
@@ -62,21 +55,39 @@ def matmul_rows(rows: DataFrame, column: str, b: Tensor) -> DataFrame:
 
 def batched_matmul(a: Tensor, b: Tensor) -> Tensor:
     """``[batch, m, k] x [batch, k, n]``; a batch of one is broadcast by leaving it out of the key, a side of at most
-    ``SMALL`` cells by its shape is broadcast to the tasks."""
+    ``SMALL`` cells by its shape is broadcast to the tasks, and two larger ones meet in blocks."""
     if a.shape[2] != b.shape[1] or (a.shape[0] != b.shape[0] and 1 not in (a.shape[0], b.shape[0])):
         raise ShapeError(f"{a.shape} x {b.shape}")
     batch = max(a.shape[0], b.shape[0]) if a.shape[0] and b.shape[0] else 0
+    if not a.small and not b.small:
+        return _large_batches(a, b, batch)
     left = a.df.toDF("_p", "i", "_k", "_a")
     right = b.df.toDF("_q", "_k2", "j", "_b")
     on = [F.col("_k") == F.col("_k2")]
     if a.shape[0] == b.shape[0]:
         on.append(F.col("_p") == F.col("_q"))
     which = F.col("_p") if a.shape[0] == batch else F.col("_q")
-    met = left.join(F.broadcast(right), on) if _small(b) else F.broadcast(left).join(right, on) if _small(a) else left.join(right, on)
+    met = left.join(F.broadcast(right), on) if b.small else F.broadcast(left).join(right, on)
     out = met.groupBy(which.alias("b"), "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
     return Tensor(out, ("b", "i", "j"), (batch, a.shape[1], b.shape[2]))
 
 
+def _large_batches(a: Tensor, b: Tensor, batch: int) -> Tensor:
+    """Batches in blocks; to a batch of one, the other side's batches are more rows or columns of one product."""
+    m, n = a.shape[1], b.shape[2]
+    left, right = a.df.toDF("_b", "i", "k", "v"), b.df.toDF("_b", "k", "j", "v")
+    one = F.lit(0).cast("long")
+    if a.shape[0] == b.shape[0]:
+        out = _in_blocks(left, right, a.shape[2], 256, batch)
+    elif b.shape[0] == 1:
+        out = _in_blocks(left.withColumn("i", F.col("_b") * m + F.col("i")).withColumn("_b", one), right, a.shape[2], 256)
+        out = out.withColumn("_b", F.floor(F.col("i") / m)).withColumn("i", F.col("i") % m)
+    else:
+        out = _in_blocks(left, right.withColumn("j", F.col("_b") * n + F.col("j")).withColumn("_b", one), a.shape[2], 256)
+        out = out.withColumn("_b", F.floor(F.col("j") / n)).withColumn("j", F.col("j") % n)
+    return Tensor(out.toDF("b", "i", "j", "v"), ("b", "i", "j"), (batch, m, n))
+
+
 def kron(a: Tensor, b: Tensor) -> Tensor:
     """Kronecker product: every entry of a meets every entry of b, by index and not by a cross join."""
     (m, n), (p, q) = a.shape, b.shape
@@ -150,35 +161,38 @@ def matmul_blocked(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
     """
     if a.shape[1] != b.shape[0]:
         raise ShapeError(f"{a.shape} x {b.shape}")
-    m, n = a.shape[0], b.shape[1]
-    spark = a.df.sparkSession
-    salts = max(1, min(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, -(-a.shape[1] // block))))
+    left, right = (t.df.select(F.lit(0).cast("long").alias("_b"), F.col(t.dims[0]).alias(r), F.col(t.dims[1]).alias(c), "v") for t, r, c in ((a, "i", "k"), (b, "k", "j")))
+    return Tensor(_in_blocks(left, right, a.shape[1], block).drop("_b"), ("i", "j"), (a.shape[0], b.shape[1]))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, length: int, block: int, batches: int = 1) -> DataFrame:
+    """``_b, i, j, v`` of the cells ``(_b, i, k, v)`` and ``(_b, k, j, v)`` with ``length`` values of k."""
+    keys = batches * max(1, -(-length // block))
+    salts = max(1, min(32, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // keys))
 
-    def packed(t: Tensor, own: int, side: str) -> DataFrame:
-        def pack(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    def packed(cells: DataFrame, own: str, r: str, c: str) -> DataFrame:
+        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             x, there = np.zeros((block, block)), np.zeros((block, block), dtype=bool)
-            at = cells["r"].to_numpy(), cells["c"].to_numpy()
-            x[at], there[at] = cells["v"].to_numpy(), True
-            return pd.DataFrame({side: [key[0]], "_k": [key[1]], "_x" + side: [x.tobytes() + there.tobytes()]})
+            at = part["r"].to_numpy(), part["c"].to_numpy()
+            x[at], there[at] = part["v"].to_numpy(), True
+            return pd.DataFrame({"_b": [key[0]], "_" + own: [key[1]], "_k": [key[2]], "_x" + own: [x.tobytes() + there.tobytes()]})
 
-        r, c = t.dims
-        cells = t.df.select(
-            F.floor(F.col(t.dims[own]) / block).alias(side), F.floor(F.col(t.dims[1 - own]) / block).alias("_k"), (F.col(r) % block).cast("int").alias("r"), (F.col(c) % block).cast("int").alias("c"), F.col("v").cast("double").alias("v")
-        )
-        return cells.groupBy(side, "_k").applyInPandas(pack, f"{side} long, _k long, _x{side} binary")
+        names = ("_b", F.floor(F.col(own) / block).alias("_" + own), F.floor(F.col("k") / block).alias("_k"))
+        dealt = cells.select(*names, (F.col(r) % block).cast("int").alias("r"), (F.col(c) % block).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
+        return dealt.groupBy("_b", "_" + own, "_k").applyInPandas(pack, f"_b long, _{own} long, _k long, _x{own} binary")
 
-    left = packed(a, 0, "_p").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = packed(b, 1, "_q").withColumn("_salt", F.pmod(F.xxhash64("_q"), F.lit(salts)).cast("int"))
-    pairs = left.join(right, ["_k", "_salt"]).select("_p", "_q", "_x_p", "_x_q")
+    rows = packed(left, "i", "i", "k").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    columns = packed(right, "j", "k", "j").withColumn("_salt", F.pmod(F.xxhash64("_j"), F.lit(salts)).cast("int"))
+    pairs = rows.join(columns, ["_b", "_k", "_salt"]).select("_b", "_i", "_j", "_xi", "_xj")
 
     def multiply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, q, x, y in zip(batch["_p"], batch["_q"], batch["_x_p"], batch["_x_q"], strict=True):
+            for of, p, q, x, y in zip(batch["_b"], batch["_i"], batch["_j"], batch["_xi"], batch["_xj"], strict=True):
                 u, w = (np.frombuffer(z, dtype=np.float64, count=block * block).reshape(block, block) for z in (x, y))
                 here, there = (np.frombuffer(z, dtype=bool, offset=8 * block * block).reshape(block, block) for z in (x, y))
                 r, c = np.nonzero(here.astype(np.float32) @ there.astype(np.float32))
                 z = u @ w
-                yield pd.DataFrame({"i": p * block + r, "j": q * block + c, "v": z[r, c]})
+                yield pd.DataFrame({"_b": of, "i": p * block + r, "j": q * block + c, "v": z[r, c]})
 
-    partial = pairs.mapInPandas(multiply, "i long, j long, v double")
-    return Tensor(partial.groupBy("i", "j").agg(F.sum("v").alias("v")), ("i", "j"), (m, n))
+    partial = pairs.mapInPandas(multiply, "_b long, i long, j long, v double")
+    return partial.groupBy("_b", "i", "j").agg(F.sum("v").alias("v"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
-from tessera.tensor import ShapeError, Tensor
+from tessera.tensor import SMALL, ShapeError, Tensor, hinted
 
 AXES = ("x", "y", "z")
 
@@ -48,7 +48,8 @@ class ConvPlan:
 def _met(plan: ConvPlan, inputs: DataFrame, weight: DataFrame) -> DataFrame:
     """Every (input, weight) pair with the output it adds to: ``b, c, o, x.., k.., q.., _in, _w``.
 
-    The weight table is small, so it is what repeats: one row of input meets one row per tap of its channel.
+    One row of input meets one row per tap of its channel.  Channels are few and hot keys, so weights are broadcast if
+    they are small by their shape.
     """
     met = inputs.withColumnRenamed("v", "_in").join(weight.withColumnRenamed("v", "_w"), "c")
     for a, n, k, s, p, d, m in zip(AXES, plan.n, plan.k, plan.stride, plan.pad, plan.dilation, plan.out, strict=False):
@@ -68,7 +69,7 @@ def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, di
     axes = AXES[:rank]
     plan = ConvPlan(inputs.shape[2:], weight.shape[2:], tuple(stride), tuple(pad), tuple(dilation), tuple(extra), transposed)
     o, c = ("c", "o") if transposed else ("o", "c")
-    w = weight.df.toDF(o, c, *("k" + a for a in axes), "v")
+    w = hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v"))
     if inputs.shape[1] != weight.shape[0 if transposed else 1]:
         raise ShapeError("channels do not fit")
     out_channels = weight.shape[1 if transposed else 0]
@@ -78,7 +79,8 @@ def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, di
     out = Tensor(sums.toDF("b", "o", *axes, "v"), ("b", "o", *axes), (inputs.shape[0], out_channels, *plan.out)).densify()
     if bias is None:
         return out
-    return Tensor(out.df.join(bias.toDF("o", "_bias"), "o").select("b", "o", *axes, (F.col("v") + F.col("_bias")).alias("v")), out.dims, out.shape)
+    each = bias.toDF("o", "_bias")
+    return Tensor(out.df.join(F.broadcast(each) if out_channels <= SMALL else each, "o").select("b", "o", *axes, (F.col("v") + F.col("_bias")).alias("v")), out.dims, out.shape)
 
 
 def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad, dilation, transposed: bool = False, extra=()) -> dict[str, DataFrame]:
@@ -88,7 +90,7 @@ def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad,
     if upstream.shape[2:] != plan.out:
         raise ShapeError(f"gradient {upstream.shape[2:]} for an output of {plan.out}")
     o, c = ("c", "o") if transposed else ("o", "c")
-    met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), weight.df.toDF(o, c, *("k" + a for a in axes), "v"))
+    met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v")))
     up = upstream.df.toDF("b", "o", *("q" + a for a in axes), "_g")
     paired = met.join(up, ["b", "o", *("q" + a for a in axes)])
     return {
@@ -385,15 +387,32 @@ def adagrad(lr: float, eps: float) -> Rule:
 
 
 def momentum_fold(df: DataFrame, key: str, order: str, gradient: str, start: float, lr: float, momentum: float) -> DataFrame:
-    """Many ordered SGD steps per key: ``key, p, s`` after the last one.
+    """Many ordered SGD steps per key: ``key, p, s`` after the last one; a null gradient is a step of zero.
 
     The steps are linear in the gradients, so the gradient with k steps after it has the weight momentum^k in the state
-    and their geometric sum in the parameter.  Only its place in the order is needed: a window that streams and spills,
-    and partial sums, whatever the number of a key's gradients.
+    and their geometric sum in the parameter.  Rows are sorted in ranges of (key, order), which part a key of any number
+    of gradients.  A range gives three numbers for each run of a key in a batch: its steps, its gradients' sum and their
+    weighted sum; the runs of a key are then joined by the number of steps after them.
     """
     _checked(lr, {"momentum": momentum})
-    after = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())) - 1
-    weight = F.pow(F.lit(float(momentum)), F.col("_after"))
-    reach = (1 - weight * momentum) / (1 - momentum)
-    g = F.col(gradient)
-    return df.withColumn("_after", after).groupBy(key).agg((F.lit(float(start)) - lr * F.sum(g * reach)).alias("p"), F.sum(g * weight).alias("s"))
+
+    def runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, g = batch["k"], batch["g"].to_numpy()
+            starts = np.flatnonzero((keys != keys.shift()).to_numpy() | (np.arange(len(batch)) == 0))
+            steps = np.diff(starts, append=len(batch))
+            after = np.repeat(starts + steps, steps) - 1 - np.arange(len(batch))
+            sums = {"total": np.add.reduceat(g, starts), "state": np.add.reduceat(g * float(momentum) ** after, starts)}
+            yield pd.DataFrame({"k": keys.iloc[starts], "first": batch["o"].iloc[starts], "n": steps, **sums})
+
+    k, o = (df.schema[c].dataType.simpleString() for c in (key, order))
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(gradient).cast("double"), F.lit(0.0)).alias("g"))
+    found = rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o").mapInPandas(runs, f"k {k}, first {o}, n long, total double, state double")
+    later = Window.partitionBy("k").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.pow(F.lit(float(momentum)), F.coalesce(F.sum("n").over(later), F.lit(0)))
+    parts = found.withColumn("_w", weight).groupBy("k").agg(
+        (F.lit(float(start)) - lr * F.sum((F.col("total") - F.col("state") * F.col("_w") * momentum) / (1 - momentum))).alias("p"), F.sum(F.col("state") * F.col("_w")).alias("s")
+    )
+    return parts.withColumnRenamed("k", key)

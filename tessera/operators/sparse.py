@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.tensor import ShapeError, Tensor
+from tessera.tensor import ShapeError, Tensor, hinted
 
 
 def from_csr(spark: SparkSession, values: list[float], columns: list[int], row_ptr: list[int], shape: tuple[int, int]) -> Tensor:
@@ -63,7 +63,7 @@ def spmm(a: Tensor, b: Tensor, dense: bool = True) -> Tensor:
     if a.shape[1] != b.shape[0]:
         raise ShapeError(f"{a.shape} x {b.shape}")
     left = a.df.toDF("i", "_k", "_a")
-    right = b.df.toDF("_k", "j", "_b")
+    right = hinted(b, b.df.toDF("_k", "j", "_b"))
     out = Tensor(left.join(right, "_k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), (a.shape[0], b.shape[1]))
     return out.densify() if dense else out
 
@@ -73,7 +73,7 @@ def spmv(a: Tensor, x: Tensor, dense: bool = True) -> Tensor:
     if a.shape[1] != x.shape[0]:
         raise ShapeError(f"{a.shape} x {x.shape}")
     left = a.df.toDF("i", "_k", "_a")
-    out = Tensor(left.join(x.df.toDF("_k", "_b"), "_k").groupBy("i").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i",), (a.shape[0],))
+    out = Tensor(left.join(hinted(x, x.df.toDF("_k", "_b")), "_k").groupBy("i").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i",), (a.shape[0],))
     return out.densify() if dense else out
 
 

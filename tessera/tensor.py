@@ -6,6 +6,7 @@ there are not zero unless an operator says so.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SMALL = 1 << 20  # cells of a side that is broadcast, by its shape
+
+
 class ShapeError(ValueError):
     """Shapes that do not go together."""
 
@@ -58,6 +62,11 @@ class Tensor:
     def __len__(self) -> int:
         return self.shape[0]
 
+    @property
+    def small(self) -> bool:
+        """Whether every task may hold all of it."""
+        return math.prod(self.shape) <= SMALL
+
     # -- views ---------------------------------------------------------------------------------------------------
 
     def _axis(self, dim: str) -> int:
@@ -113,7 +122,9 @@ class Tensor:
         return Tensor(self.df.withColumn("v", fn(F.col("v"))), self.dims, self.shape)
 
     def zip(self, other: Tensor, fn) -> Tensor:
-        """Any Column function of two values; axes that one side lacks are broadcast."""
+        """Any Column function of two values; axes that one side lacks are broadcast.
+
+        A small side without some axes goes to every task, so that a tall matrix does not meet a row on a few hot keys."""
         shared = [d for d in self.dims if d in other.dims]
         for d in shared:
             if self.shape[self._axis(d)] != other.shape[other._axis(d)]:
@@ -121,7 +132,12 @@ class Tensor:
         if not shared or not ({*other.dims} <= {*self.dims} or {*self.dims} <= {*other.dims}):
             raise ShapeError(f"axes {self.dims} and {other.dims} do not broadcast")
         dims, shape = (self.dims, self.shape) if len(self.dims) >= len(other.dims) else (other.dims, other.shape)
-        joined = self.df.withColumnRenamed("v", "_a").join(other.df.withColumnRenamed("v", "_b"), shared)
+        left, right = self.df.withColumnRenamed("v", "_a"), other.df.withColumnRenamed("v", "_b")
+        if len(self.dims) < len(other.dims):
+            left = hinted(self, left)
+        elif len(other.dims) < len(self.dims):
+            right = hinted(other, right)
+        joined = left.join(right, shared)
         return Tensor(joined.select(*dims, fn(F.col("_a"), F.col("_b")).alias("v")), dims, shape)
 
     def __add__(self, o):
@@ -165,6 +181,11 @@ class Tensor:
         return self.map(lambda v: fn(v, F.lit(float(other))))
 
 
+def hinted(t: Tensor, df: DataFrame) -> DataFrame:
+    """A frame of a tensor's entries, to be broadcast in the next join if the tensor is small."""
+    return F.broadcast(df) if t.small else df
+
+
 def ravel(dims: tuple[str, ...], shape: tuple[int, ...]) -> Column:
     """The row-major position of an index."""
     at = F.lit(0).cast("long")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import tensor as tensors
 from tessera.operators import decomp, field, linalg, nn, random, reduce, scan, sparse, vector
 from tessera.plans import Prepared, batch, tagged
 from tessera.tensor import ShapeError, Tensor
@@ -33,7 +34,9 @@ def test_views(spark):
 
 def test_broadcast(spark):
     a, row = np.arange(6.0).reshape(2, 3), np.array([1.0, 2.0, 3.0])
-    assert np.array_equal((tensor(spark, a) + tensor(spark, row, ("j",))).to_numpy(), a + row)
+    for both in (tensor(spark, a) + tensor(spark, row, ("j",)), tensor(spark, row, ("j",)) + tensor(spark, a)):
+        assert np.array_equal(both.to_numpy(), a + row)
+        assert "BroadcastHashJoin" in both.df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reductions(spark):
@@ -104,7 +107,7 @@ def test_vectors(spark):
         vector.add(a, tensor(spark, [1]))
 
 
-def test_products(spark):
+def test_products(spark, monkeypatch):
     a, b = np.array([[1, 2], [3, 4.0]]), np.array([[5, 6], [7, 8.0]])
     x, y = tensor(spark, a), tensor(spark, b)
     assert linalg.matmul(x, y).to_numpy().tolist() == [[19, 22], [43, 50]]
@@ -115,6 +118,11 @@ def test_products(spark):
     both = tensor(spark, [np.eye(2), a], ("b", "i", "k"))
     one = tensor(spark, [b], ("b", "k", "j"))
     assert linalg.batched_matmul(both, one).to_numpy().ravel().tolist() == [5, 6, 7, 8, 19, 22, 43, 50]
+    with monkeypatch.context() as large:
+        large.setattr(tensors, "SMALL", 0)
+        p, q = np.random.default_rng(8).normal(size=(3, 2, 5)), np.random.default_rng(9).normal(size=(3, 5, 4))
+        for u, w in ((p, q), (p[:1], q), (p, q[:1])):
+            assert np.allclose(linalg.batched_matmul(tensor(spark, u), tensor(spark, w)).to_numpy(), u @ w)
     assert linalg.matmul(tensor(spark, np.zeros((2, 0))), tensor(spark, np.zeros((0, 3)))).to_numpy().tolist() == [[0] * 3] * 2
     big = np.random.default_rng(2).normal(size=(30, 20))
     assert np.allclose(linalg.matmul_blocked(tensor(spark, big), tensor(spark, big.T), 8).to_numpy(), big @ big.T)
@@ -231,6 +239,47 @@ def test_optimizers(spark):
     assert abs(folded.p - 0.51) < 1e-12
 
 
+def test_momentum_of_a_hot_key(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(o), float(g)) for o, (k, g) in enumerate(zip(np.where(rng.random(900) < 0.9, 0, rng.integers(1, 9, 900)), rng.normal(size=900), strict=True))]
+    want = {}
+    for k, _, g in rows:
+        p, s = want.get(k, (1.0, 0.0))
+        s = s * 0.9 + g
+        want[k] = p - 0.1 * s, s
+    df = spark.createDataFrame([*rows, (None, 1, 2.0), (None, 2, None)], "k long, o long, g double").repartition(3)
+    got = {r.k: (r.p, r.s) for r in nn.momentum_fold(df, "k", "o", "g", 1.0, 0.1, 0.9).collect()}
+    assert np.allclose(got.pop(None), (1.0 - 0.2 - 0.18, 1.8))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert nn.momentum_fold(df.limit(0), "k", "o", "g", 1.0, 0.1, 0.9).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("boundary", ["dirichlet", "neumann", "periodic"])
+def test_tiles_do_not_show(spark, monkeypatch, boundary):
+    a = np.random.default_rng(5).normal(size=(13, 9))
+    t = tensor(spark, a, ("x", "y"))
+    one = field.laplacian(t, (0.5, 2.0), boundary)
+    assert exchanges(one.df) == 1
+    monkeypatch.setitem(field.TILES, 2, 4)
+    many = field.laplacian(t, (0.5, 2.0), boundary)
+    assert many.df.count() == a.size and np.allclose(one.to_numpy(np.nan), many.to_numpy(np.nan))
+
+
+def test_tiles_of_time_steps_do_not_show(spark, monkeypatch):
+    rng, shape = np.random.default_rng(7), (7, 5, 6)
+    rows = [(*map(int, at), *map(float, rng.random(4)), 2.0, 1.5) for at in np.ndindex(shape)]
+    cells = spark.createDataFrame(rows, "x long, y long, z long, p double, vx double, vy double, vz double, rho double, c double")
+    one = field.fdtd_step(cells, shape, 0.1, 1.0)
+    assert exchanges(one) == 1
+    monkeypatch.setitem(field.TILES, 3, 3)
+    many = field.fdtd_step(cells, shape, 0.1, 1.0)
+    assert np.allclose(sorted(map(tuple, one.collect())), sorted(map(tuple, many.collect())))
+
+
 def test_laplacian(spark):
     x, y = np.meshgrid(np.arange(4.0), np.arange(4.0), indexing="ij")
     t = tensor(spark, x**2 + y**2, ("x", "y"))
