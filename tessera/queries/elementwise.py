@@ -34,12 +34,12 @@ def unary_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, u = F.col("c_acctbal") / 1000, (F.col("c_acctbal") + 1000) / 11001
     at = {"x": x, "u": u, "w": u + 1, "h": u * 0.9}
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return rows.select("c_custkey", *(F.round(UNARY[op](at[arg]), 6).alias(op) for op, (arg, _) in MATH.items()))
+    return rows.select("c_custkey", *((F.round(UNARY[op](at[arg]), 6) + 0.0).alias(op) for op, (arg, _) in MATH.items()))
 
 
 UNARY_SQL = (
     "WITH t AS (SELECT c_custkey, c_acctbal / 1000 AS x, (c_acctbal + 1000) / 11001 AS u, (c_acctbal + 1000) / 11001 + 1 AS w, (c_acctbal + 1000) / 11001 * 0.9::DOUBLE AS h FROM customer) SELECT c_custkey, "
-    + ", ".join(f'round({sql}, 6) AS "{op}"' for op, (_, sql) in MATH.items())
+    + ", ".join(f'round({sql}, 6) + 0 AS "{op}"' for op, (_, sql) in MATH.items())
     + " FROM t"
 )
 
@@ -86,7 +86,7 @@ def scalar_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar forms on either side, each a map of the same tensor."""
     t = from_table(spark.read.parquet(f"{sf_dir}/part.parquet"), {"i": "p_partkey"}, "p_size", (0,))
     forms = {"add": t + 3, "radd": 3 + t, "sub": t - 3, "rsub": 3 - t, "mul": t * 3, "div": t / 4, "rdiv": 4 / t, "pow": t**2, "rpow": 1.1**t, "neg": -t}
-    return tagged({name: f.df.select("i", F.round("v", 6).alias("v")) for name, f in forms.items()}).select("name", "i", "v")
+    return tagged({name: f.df.select("i", (F.round("v", 6) + 0.0).alias("v")) for name, f in forms.items()}).select("name", "i", "v")
 
 
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def masked_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broadcast_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix minus its row means: the mean has one axis less and is broadcast by the join key."""
     m = from_packed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", (1 << 40, 64))
-    return (m - axis(m, "j", "mean")).df.select("i", "j", F.round("v", 6).alias("v"))
+    return (m - axis(m, "j", "mean")).df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"transpose": m.transpose("j", "i").df.toDF("a", "b", "v"), "slice": m.slice("j", 4, 60, 7).df.toDF("a", "b", "v"), "reshape": m.reshape((1 << 42, 16), ("a", "b")).df}
     out = None
     for name, df in parts.items():
-        df = df.select(F.lit(name).alias("view"), "a", "b", F.round("v", 6).alias("v"))
+        df = df.select(F.lit(name).alias("view"), "a", "b", (F.round("v", 6) + 0.0).alias("v"))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -129,16 +129,16 @@ ORACLES = {
     "binary_arithmetic": """SELECT l_orderkey, l_linenumber, round(a + b, 9) AS add, round(a - b, 9) AS sub, round(a * b, 9) AS mul, round(a / b, 9) AS div,
         round(pow(b, l_discount), 9) AS pow FROM (SELECT *, l_extendedprice / 1000 AS a, l_quantity / 10 AS b FROM lineitem)""",
     "scalar_arithmetic": " UNION ALL ".join(
-        f"SELECT '{name}' AS name, p_partkey AS i, round({sql}, 6) AS v FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)"
+        f"SELECT '{name}' AS name, p_partkey AS i, round({sql}, 6) + 0 AS v FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)"
         for name, sql in {"add": "x + 3", "radd": "x + 3", "sub": "x - 3", "rsub": "3 - x", "mul": "x * 3", "div": "x / 4", "rdiv": "4 / x", "pow": "x * x", "rpow": "pow(1.1::DOUBLE, x)", "neg": "-x"}.items()
     ),
     "comparisons": "SELECT l_linenumber, "
     + ", ".join(f"sum((l_quantity {op} l_linenumber * 7)::INT)::DOUBLE AS {name}" for name, op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">=")))
     + " FROM lineitem GROUP BY l_linenumber",
     "masked_filter": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49 AND l_discount < 0.03",
-    "broadcast_subtract": f"WITH m AS ({CELLS}) SELECT i, j, round(v - avg(v) OVER (PARTITION BY i), 6) AS v FROM m",
+    "broadcast_subtract": f"WITH m AS ({CELLS}) SELECT i, j, round(v - avg(v) OVER (PARTITION BY i), 6) + 0 AS v FROM m",
     "views": f"""WITH m AS ({CELLS})
-        SELECT 'transpose' AS view, j AS a, i AS b, round(v, 6) AS v FROM m
-        UNION ALL SELECT 'slice', i, (j - 4) // 7, round(v, 6) FROM m WHERE j >= 4 AND j < 60 AND (j - 4) % 7 = 0
-        UNION ALL SELECT 'reshape', (i * 64 + j) // 16, (i * 64 + j) % 16, round(v, 6) FROM m""",
+        SELECT 'transpose' AS view, j AS a, i AS b, round(v, 6) + 0 AS v FROM m
+        UNION ALL SELECT 'slice', i, (j - 4) // 7, round(v, 6) + 0 FROM m WHERE j >= 4 AND j < 60 AND (j - 4) % 7 = 0
+        UNION ALL SELECT 'reshape', (i * 64 + j) // 16, (i * 64 + j) % 16, round(v, 6) + 0 FROM m""",
 }

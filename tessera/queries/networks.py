@@ -107,23 +107,23 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention_blocked(_heads(spark, sf_dir), 0.25).select("b", "q", "e", F.round("v", 6).alias("v"))
+    return nn.attention_blocked(_heads(spark, sf_dir), 0.25).select("b", "q", "e", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def attention_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.attention_blocked(_heads(spark, sf_dir), 0.5, causal=True).select("b", "q", "e", F.round("v", 6).alias("v"))
+    return nn.attention_blocked(_heads(spark, sf_dir), 0.5, causal=True).select("b", "q", "e", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def attention_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even positions of the batches below five are kept; the rows of the others are zeros."""
     rows = _heads(spark, sf_dir).withColumn("keep", (F.col("b") < 5) & (F.col("p") % 2 == 0))
-    return nn.attention_blocked(rows, 0.5).select("b", "q", "e", F.round("v", 6).alias("v"))
+    return nn.attention_blocked(rows, 0.5).select("b", "q", "e", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def attention_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients for Q, K and V with V as the upstream gradient."""
     rows = _heads(spark, sf_dir).withColumn("g", F.col("v"))
-    return nn.attention_blocked_backward(rows, 0.5).select("part", "b", "p", "d", F.round("v", 6).alias("v"))
+    return nn.attention_blocked_backward(rows, 0.5).select("part", "b", "p", "d", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def _packed_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def cross_entropy_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _packed_logits(spark, sf_dir).withColumn("into", F.transform("x", lambda v: v / 2))
     found = nn.cross_entropy_rows(rows, rows.count(), 2.0)
     cells = found.select("n", F.round("loss", 6).alias("loss"), F.posexplode(F.arrays_zip("p", "g")).alias("c", "x"))
-    return cells.select("n", F.col("c").cast("long").alias("c"), "loss", F.round("x.p", 9).alias("p"), F.round("x.g", 9).alias("g"))
+    return cells.select("n", F.col("c").cast("long").alias("c"), "loss", F.round("x.p", 9).alias("p"), (F.round("x.g", 9) + 0.0).alias("g"))
 
 
 def cross_entropy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def optimizer_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = None
     for name, rule in RULES.items():
-        df = rule.apply(rows).select(F.lit(name).alias("rule"), "l_orderkey", "l_partkey", *(F.round(c, 6).alias(c) for c in ("p", "s0", "s1")))
+        df = rule.apply(rows).select(F.lit(name).alias("rule"), "l_orderkey", "l_partkey", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "s0", "s1")))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -175,7 +175,7 @@ def optimizer_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def momentum_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of a customer's orders as ordered gradients, folded: the closed form is a weighted sum."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("g"))
-    return nn.momentum_fold(rows, "o_custkey", "o_orderkey", "g", 1.0, 0.1, 0.9).select("o_custkey", F.round("p", 6).alias("p"), F.round("s", 6).alias("s"))
+    return nn.momentum_fold(rows, "o_custkey", "o_orderkey", "g", 1.0, 0.1, 0.9).select("o_custkey", (F.round("p", 6) + 0.0).alias("p"), (F.round("s", 6) + 0.0).alias("s"))
 
 
 SERIES = f"""SELECT list_position(['A', 'N', 'R'], l_returnflag) - 1 AS b, list_position(['F', 'O'], l_linestatus) - 1 AS c,
@@ -201,11 +201,11 @@ def _attention_sql(scale: str, keep: str = "true") -> str:
         w AS (SELECT b, q, k, x / sum(x) OVER (PARTITION BY b, q) AS w FROM x)"""
 
 
-_OUTPUT = """SELECT g.b, g.p AS q, g.d AS e, round(coalesce(a.v, 0), 6) AS v FROM vv g LEFT JOIN
+_OUTPUT = """SELECT g.b, g.p AS q, g.d AS e, round(coalesce(a.v, 0), 6) + 0 AS v FROM vv g LEFT JOIN
     (SELECT w.b, w.q, vv.d AS e, sum(w.w * vv.v) AS v FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p GROUP BY ALL) a ON a.b = g.b AND a.q = g.p AND a.e = g.d"""
 LOGITS = """l AS (SELECT vec_id AS n, label AS t, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE * 5 AS v FROM embeddings WHERE label IS NOT NULL),
     z AS (SELECT *, max(v) OVER (PARTITION BY n) AS m FROM l), y AS (SELECT *, sum(exp(v - m)) OVER (PARTITION BY n) AS s FROM z)"""
-_STEP = "SELECT '{0}' AS rule, l_orderkey, l_partkey, round({1}, 6) AS p, round({2}, 6) AS s0, round({3}, 6) AS s1 FROM r"
+_STEP = "SELECT '{0}' AS rule, l_orderkey, l_partkey, round({1}, 6) + 0 AS p, round({2}, 6) + 0 AS s0, round({3}, 6) + 0 AS s1 FROM r"
 _ADAM = "0.01 * ((s0 * 0.9 + 0.1 * g) / (1 - pow(0.9, 3))) / (sqrt((s1 * 0.99 + 0.01 * g * g) / (1 - pow(0.99, 3))) + 1e-6)"
 
 def _grid_sql(rank: int) -> str:
@@ -251,12 +251,12 @@ ORACLES = {
     "attention_backward": f"""WITH {_attention_sql("0.5")},
         gv AS (SELECT w.b, w.q, w.k, w.w, sum(g.v * vv.v) AS gv FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p JOIN vv g ON g.b = w.b AND g.p = w.q AND g.d = vv.d GROUP BY ALL),
         ds AS (SELECT b, q, k, w, w * (gv - sum(w * gv) OVER (PARTITION BY b, q)) AS ds FROM gv)
-        SELECT 'q' AS part, ds.b, ds.q AS p, k.d, round(sum(ds * k.v) * 0.5, 6) AS v FROM ds JOIN k ON k.b = ds.b AND k.p = ds.k GROUP BY ALL
-        UNION ALL SELECT 'k', ds.b, ds.k, q.d, round(sum(ds * q.v) * 0.5, 6) FROM ds JOIN q ON q.b = ds.b AND q.p = ds.q GROUP BY ALL
-        UNION ALL SELECT 'v', w.b, w.k, g.d, round(sum(w.w * g.v), 6) FROM w JOIN vv g ON g.b = w.b AND g.p = w.q GROUP BY ALL""",
+        SELECT 'q' AS part, ds.b, ds.q AS p, k.d, round(sum(ds * k.v) * 0.5, 6) + 0 AS v FROM ds JOIN k ON k.b = ds.b AND k.p = ds.k GROUP BY ALL
+        UNION ALL SELECT 'k', ds.b, ds.k, q.d, round(sum(ds * q.v) * 0.5, 6) + 0 FROM ds JOIN q ON q.b = ds.b AND q.p = ds.q GROUP BY ALL
+        UNION ALL SELECT 'v', w.b, w.k, g.d, round(sum(w.w * g.v), 6) + 0 FROM w JOIN vv g ON g.b = w.b AND g.p = w.q GROUP BY ALL""",
     **dict.fromkeys(("cross_entropy", "cross_entropy_cells"), f"WITH {LOGITS} SELECT round(avg(ln(s) + m - v), 6) AS loss FROM y WHERE c = t"),
     "cross_entropy_backward": f"""WITH {LOGITS} SELECT n, c, round(max(ln(s) + m - v) FILTER (c = t) OVER (PARTITION BY n), 6) AS loss, round(exp(v - m) / s, 9) AS p,
-        round(2 * (exp(v - m) / s - (c = t)::INT) / (SELECT count(*) FROM embeddings WHERE label IS NOT NULL) + v / 2, 9) AS g FROM y""",
+        round(2 * (exp(v - m) / s - (c = t)::INT) / (SELECT count(*) FROM embeddings WHERE label IS NOT NULL) + v / 2, 9) + 0 AS g FROM y""",
     "convolution_2d": f"WITH {_grid_sql(2)}, w AS ({_kernel_sql(3, 2, (3, 2))}) {_conv_sql((2, 1), (1, 1), (2, 1), (3, 2), 3)}",
     "convolution_3d": f"WITH {_grid_sql(3)}, w AS ({_kernel_sql(2, 2, (2, 2, 2))}) {_conv_sql((3, 1, 1), (0, 0, 1), (1, 1, 1), (2, 2, 2), 2)}",
     "convolution_transposed_backward": f"""WITH s AS ({SERIES}), w AS (SELECT o AS c, c AS o, k, v FROM ({_weights_sql(2, 3, 3)})),
@@ -279,5 +279,5 @@ ORACLES = {
     "momentum_fold": """WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice / 1e5 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
         f AS (SELECT o_custkey, n, 1 - 0.1::DOUBLE * g AS p, g AS s FROM o WHERE n = 1
             UNION ALL SELECT o.o_custkey, o.n, f.p - 0.1::DOUBLE * (f.s * 0.9::DOUBLE + o.g), f.s * 0.9::DOUBLE + o.g FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
-        SELECT o_custkey, round(arg_max(p, n), 6) AS p, round(arg_max(s, n), 6) AS s FROM f GROUP BY o_custkey""",
+        SELECT o_custkey, round(arg_max(p, n), 6) + 0 AS p, round(arg_max(s, n), 6) + 0 AS s FROM f GROUP BY o_custkey""",
 }

@@ -33,7 +33,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
 
 
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linalg.gram(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding"), "embedding").df.select("i", "j", F.round("v", 6).alias("v"))
+    return linalg.gram(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding"), "embedding").df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def _square(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -43,14 +43,14 @@ def _square(spark: SparkSession, sf_dir: str) -> Tensor:
 
 def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings times a square matrix, which is small and broadcast."""
-    return linalg.matmul(_embeddings(spark, sf_dir), _square(spark, sf_dir)).df.select("i", "j", F.round("v", 6).alias("v"))
+    return linalg.matmul(_embeddings(spark, sf_dir), _square(spark, sf_dir)).df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def matmul_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in packed rows, without a shuffle."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i"), "embedding")
     out = linalg.matmul_rows(rows, "embedding", _square(spark, sf_dir))
-    return out.select("i", F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
+    return out.select("i", F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 def matmul_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def matmul_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matmul_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linalg.matmul_blocked(_embeddings(spark, sf_dir), _square(spark, sf_dir), block=64).df
-    return out.select("i", "j", F.round("v", 6).alias("v"))
+    return out.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def batched_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def batched_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rows.select("label", F.floor(F.col("vec_id") / 10).alias("i"), F.posexplode("embedding").alias("k", "v")).groupBy("label", "i", "k").agg(F.sum(F.col("v").cast("double")).alias("v"))
     a = from_table(cells, {"b": "label", "i": "i", "k": "k"}, "v", (10, 1 << 40, 64))
     one = Tensor(_square(spark, sf_dir).df.select(F.lit(0).cast("long").alias("b"), "k", "c", "v"), ("b", "k", "c"), (1, 64, 64))
-    return linalg.batched_matmul(a, one).df.select("b", "i", "j", F.round("v", 6).alias("v"))
+    return linalg.batched_matmul(a, one).df.select("b", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def kron(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def vector_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     a, b = from_table(rows, {"i": "p_partkey"}, "p_size", (0,)), from_table(rows, {"i": "p_partkey"}, "p_retailprice", (0,))
     made = {"axpy": vector.axpy(2.0, a, b), "xpay": vector.xpay(2.0, a, b), "add": vector.add(a, b), "sub": vector.subtract(a, b), "mul": vector.multiply(a, b), "div": vector.divide(a, b), "scale": vector.scale(a, 2.0)}
-    return tagged({k: t.df.select("i", F.round("v", 4).alias("v")) for k, t in made.items()}).select("name", "i", "v")
+    return tagged({k: t.df.select("i", (F.round("v", 4) + 0.0).alias("v")) for k, t in made.items()}).select("name", "i", "v")
 
 
 REGIONS = "SELECT n_regionkey AS i, n_nationkey % 5 AS j, count(*) / 4 AS v FROM nation GROUP BY ALL"
@@ -136,21 +136,21 @@ SEGMENT = f"SELECT c_nationkey AS i, list_position({list(SEGMENTS)}, c_mktsegmen
 EVENTS = "SELECT user_id AS i, length(event_type) % 7 AS j, count(*)::DOUBLE AS v FROM events WHERE value > 150 GROUP BY ALL"
 USERS = "(SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS i)"
 SQUARE = f"m AS ({CELLS}), g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / 100 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL)"
-BY_SQUARE = f"WITH {SQUARE} SELECT m.i, g.j, round(sum(m.v * g.v), 6) AS v FROM m JOIN g ON m.j = g.i GROUP BY ALL"
+BY_SQUARE = f"WITH {SQUARE} SELECT m.i, g.j, round(sum(m.v * g.v), 6) + 0 AS v FROM m JOIN g ON m.j = g.i GROUP BY ALL"
 _SQUARE = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {0} a JOIN {1} b ON a.j = b.i GROUP BY ALL"
 QUERIES = {
     f.__name__: f
     for f in (gram, matmul, matmul_rows, matmul_transposed, matmul_blocked, batched_matmul, kron, matpow, spmv, spmm, spmv_many, sparse_violations, csr_rows, to_dense, vector_updates)
 }
 ORACLES = {
-    "gram": f"WITH m AS ({CELLS}) SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
+    "gram": f"WITH m AS ({CELLS}) SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
     "matmul": BY_SQUARE,
     "matmul_rows": BY_SQUARE,
     "matmul_blocked": BY_SQUARE,
     "matmul_transposed": f"WITH m AS ({SEGMENT}) SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
     "batched_matmul": f"""WITH {SQUARE}, a AS (SELECT label AS b, m.i // 10 AS i, j AS k, sum(v) AS v FROM m JOIN embeddings e ON e.vec_id = m.i
         WHERE label IS NOT NULL GROUP BY ALL)
-        SELECT a.b, a.i, g.j, round(sum(a.v * g.v), 6) AS v FROM a JOIN g ON a.k = g.i GROUP BY ALL""",
+        SELECT a.b, a.i, g.j, round(sum(a.v * g.v), 6) + 0 AS v FROM a JOIN g ON a.k = g.i GROUP BY ALL""",
     "kron": f"WITH a AS ({SEGMENT}), b AS ({REGIONS}) SELECT a.i * 5 + b.i AS i, a.j * 5 + b.j AS j, a.v * b.v AS v FROM a, b",
     "matpow": f"WITH m AS ({REGIONS}), m2 AS ({_SQUARE.format('m', 'm')}), m4 AS ({_SQUARE.format('m2', 'm2')}) {_SQUARE.format('m', 'm4')}",
     "spmv": f"WITH m AS ({EVENTS}) SELECT r.i, coalesce(sum(m.v * (m.j + 0.5)), 0)::DOUBLE AS v FROM {USERS} r LEFT JOIN m ON m.i = r.i GROUP BY r.i",
@@ -163,7 +163,7 @@ ORACLES = {
     "csr_rows": EVENTS,
     "to_dense": f"WITH m AS ({EVENTS}) SELECT r.i, c.j, coalesce(m.v, 0) AS v FROM {USERS} r CROSS JOIN (SELECT range AS j FROM range(7)) c LEFT JOIN m ON m.i = r.i AND m.j = c.j",
     "vector_updates": " UNION ALL ".join(
-        f"SELECT '{n}' AS name, p_partkey AS i, round({x}, 4) AS v FROM (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
+        f"SELECT '{n}' AS name, p_partkey AS i, round({x}, 4) + 0 AS v FROM (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
         for n, x in {"axpy": "2 * a + b", "xpay": "a + 2 * b", "add": "a + b", "sub": "a - b", "mul": "a * b", "div": "a / b", "scale": "2 * a"}.items()
     ),
 }

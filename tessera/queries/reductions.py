@@ -35,7 +35,7 @@ def empty_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def axis_reduction_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _embeddings(spark, sf_dir)
-    return batch(t.df, {op: (op, F.col("v")) for op in ("sum", "min", "max", "mean")}, ["j"]).select("j", *(F.round(op, 6).alias(op) for op in ("sum", "min", "max", "mean")))
+    return batch(t.df, {op: (op, F.col("v")) for op in ("sum", "min", "max", "mean")}, ["j"]).select("j", *((F.round(op, 6) + 0.0).alias(op) for op in ("sum", "min", "max", "mean")))
 
 
 def axis_reduction_1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def grouped_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generic_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An axis reduced with a function of the caller's: the alternating fold a -> x - a."""
-    return reduce.axis_with(_embeddings(spark, sf_dir), "j", lambda a, x: x - a, 0.0).df.select("i", F.round("v", 6).alias("v"))
+    return reduce.axis_with(_embeddings(spark, sf_dir), "j", lambda a, x: x - a, 0.0).df.select("i", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def _joint(a, b):
@@ -66,19 +66,19 @@ def _joint(a, b):
 def associative_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long axis reduced with an associative function of the caller's, in chunks."""
     small = _embeddings(spark, sf_dir).map(lambda v: v / 1000)
-    return reduce.axis_combine(small, "i", _joint, 0.0).df.select("j", F.round("v", 6).alias("v"))
+    return reduce.axis_combine(small, "i", _joint, 0.0).df.select("j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def associative_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as one line, scanned with an associative function of the caller's."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 1e10).alias("v"))
     length = (rows.agg(F.max("i")).first()[0] or 0) + 1
-    return scan.scan_with(rows, [], "i", _joint, length).select("i", F.round("scan", 6).alias("v"))
+    return scan.scan_with(rows, [], "i", _joint, length).select("i", (F.round("scan", 6) + 0.0).alias("v"))
 
 
 def tall_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix sums down every column of the embeddings: each column is one long line in chunks."""
-    return scan.cumsum(_embeddings(spark, sf_dir), "i").df.select("i", "j", F.round("v", 6).alias("v"))
+    return scan.cumsum(_embeddings(spark, sf_dir), "i").df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +175,10 @@ ORACLES = {
     "full_reduction": "SELECT sum(l_quantity) AS sum, min(l_quantity + 0) AS min, max(l_quantity + 0) AS max, round(avg(l_quantity), 6) AS mean FROM lineitem",
     "full_product": "SELECT round(product(1 + o_totalprice / 1e12), 6) AS prod FROM orders",
     "empty_reduction": "SELECT 0::DOUBLE AS sum, 1::DOUBLE AS prod, 1.7976931348623157e308::DOUBLE AS min, -1.7976931348623157e308::DOUBLE AS max",
-    "axis_reduction_0": f"SELECT j, round(sum(v), 6) AS sum, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean FROM ({CELLS}) GROUP BY j",
+    "axis_reduction_0": f"SELECT j, round(sum(v), 6) + 0 AS sum, round(min(v), 6) + 0 AS min, round(max(v), 6) + 0 AS max, round(avg(v), 6) + 0 AS mean FROM ({CELLS}) GROUP BY j",
     "axis_reduction_1": f"SELECT i, round(sum(v), 6) AS sum, round(product(1 + v / 10), 6) AS prod, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean FROM ({CELLS}) GROUP BY i",
     "grouped_axis": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL",
-    "generic_axis": f"SELECT i, round(sum(CASE WHEN j % 2 = 1 THEN v ELSE -v END), 6) AS v FROM ({CELLS}) GROUP BY i",
+    "generic_axis": f"SELECT i, round(sum(CASE WHEN j % 2 = 1 THEN v ELSE -v END), 6) + 0 AS v FROM ({CELLS}) GROUP BY i",
     "dot_product": "SELECT sum(q * n)::DOUBLE AS dot FROM (SELECT sum(l_quantity) AS q, sum(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)",
     "vector_norms": "SELECT round(sum(abs(c_acctbal)), 4) AS norm_l1, round(sqrt(sum(c_acctbal * c_acctbal)), 4) AS norm_l2, round(max(abs(c_acctbal)), 4) AS norm_max FROM customer",
     "matrix_trace": f"SELECT round(sum(v * v), 6) AS trace FROM ({CELLS})",
@@ -187,9 +187,9 @@ ORACLES = {
     "suffix_sum": _scan_sql("sum", "v", " DESC"),
     "cumprod": _scan_sql("product", "1 + v / 1e6", "", True),
     "suffix_prod": _scan_sql("product", "1 + v / 1e6", " DESC", True),
-    "associative_axis": f"SELECT j, round(product(1 + v / 1000) - 1, 6) AS v FROM ({CELLS}) GROUP BY j",
-    "associative_scan": "SELECT o_orderkey AS i, round(product(1 + o_totalprice / 1e10) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 1, 6) AS v FROM orders",
-    "tall_scan": f"SELECT i, j, round(sum(v) OVER (PARTITION BY j ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS v FROM ({CELLS})",
+    "associative_axis": f"SELECT j, round(product(1 + v / 1000) - 1, 6) + 0 AS v FROM ({CELLS}) GROUP BY j",
+    "associative_scan": "SELECT o_orderkey AS i, round(product(1 + o_totalprice / 1e10) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 1, 6) + 0 AS v FROM orders",
+    "tall_scan": f"SELECT i, j, round(sum(v) OVER (PARTITION BY j ORDER BY i ROWS UNBOUNDED PRECEDING), 6) + 0 AS v FROM ({CELLS})",
     "running_max": _scan_sql("max", "v", ""),
     "long_line_scan": "SELECT o_orderkey AS i, sum(round(o_totalprice * 100)) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS v FROM orders",
     "long_line_suffix": "SELECT o_orderkey AS i, sum(round(o_totalprice * 100)) OVER (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS v FROM orders",
