@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, html_extract, langid, minhash, packing, simhash, toxicity, vectors, warc
+from tessera.llm import audit, bpe, chat, html_extract, langid, lines, minhash, packing, simhash, toxicity, vectors, warc
 from tessera.llm.common import fold, shared_dir
 
 
@@ -60,7 +60,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc, op12_filter_audit, op13_line_dedup)}
 
 ORACLES = {
     "op8_vectors": """
@@ -91,4 +100,62 @@ ORACLES = {
                CASE WHEN top > page_id THEN top END AS refers_to
         FROM m
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), f AS (
+            SELECT d.doc_id, part,
+                   CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+            FROM d
+        ), g AS (
+            SELECT f.part, f.mask, coalesce(q.good, 0) AS good, coalesce(q.toxic, 0) AS toxic
+            FROM f LEFT JOIN (
+                SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+                FROM labels GROUP BY doc_id
+            ) q USING (doc_id)
+        ), letters AS (SELECT unnest(range(0, 5)) AS b),
+        orders AS (
+            SELECT [p1.b, p2.b, p3.b, p4.b, p5.b] AS o FROM letters p1, letters p2, letters p3, letters p4, letters p5
+            WHERE len(list_distinct([p1.b, p2.b, p3.b, p4.b, p5.b])) = 5
+        ), steps AS (
+            SELECT array_to_string(list_transform(o, lambda b: chr(CAST(65 + b AS INT))), '') AS filter_order, s AS step,
+                   CAST(1 << o[s] AS INT) AS own,
+                   CAST(list_sum(list_transform(o[1 : s - 1], lambda b: 1 << b)) AS INT) AS before
+            FROM orders, unnest(range(1, 6)) AS u(s)
+        ), cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM g GROUP BY part, mask),
+        r AS (
+            SELECT part, filter_order, step, own,
+                   sum(CASE WHEN mask & (own | coalesce(before, 0)) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) > 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r
+    """,
+    "op13_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
+            FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+        ), k AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l
+        ), m AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
