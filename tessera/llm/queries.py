@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audit, bpe, chat, html_extract, langid, lines, minhash, packing, simhash, toxicity, vectors, warc
+from tessera.llm import audit, bpe, chat, html_extract, langid, lines, minhash, packing, search, simhash, toxicity, vectors, warc
 from tessera.llm.common import fold, shared_dir
 
 
@@ -60,6 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(search.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,7 +73,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc, op12_filter_audit, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc, op11_search, op12_filter_audit, op13_line_dedup)}
 
 ORACLES = {
     "op8_vectors": """
@@ -100,6 +104,31 @@ ORACLES = {
                CASE WHEN top > page_id THEN top END AS refers_to
         FROM m
     """,
+    "op11_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        total AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM len),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf, total GROUP BY term, big_n
+        ), q AS (
+            SELECT item_id, term, count(*) AS r FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+            ) GROUP BY ALL
+        ), s AS (
+            SELECT item_id, doc_id,
+                   sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (doc_id), total
+            GROUP BY item_id, doc_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
     "op12_filter_audit": r"""
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
