@@ -23,6 +23,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,8 @@ def line_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def _hot_keys(rows: DataFrame) -> DataFrame:
     """``h1, h2`` of the keys with a large share of all rows: at most ``HOT_KEYS``."""
     seen = rows.filter(F.pmod(F.xxhash64("doc_id", "tie", F.lit("hot")), F.lit(HOT_SHARE)) == 0)
-    counts = seen.groupBy("h1", "h2").count()
-    share = seen.agg((F.count("*") / HOT_KEYS).alias("share"))
-    return counts.filter(F.col("count") >= HOT_ROWS).join(F.broadcast(share), F.col("count") > F.col("share")).select("h1", "h2")
+    least = max(HOT_ROWS, math.ceil(seen.count() / HOT_KEYS))
+    return seen.groupBy("h1", "h2").count().filter(F.col("count") >= least).select("h1", "h2")
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -210,9 +210,9 @@ def _bags(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n long, hashes binary, tfs binary")
 
 
-def _tree(rows: DataFrame) -> Tree:
+def _tree(rows: DataFrame, slab_docs: int) -> Tree:
     total = rows.count()
-    levels = min(TREE_LEVELS, _levels(total, SLAB_DOCS))
+    levels = min(TREE_LEVELS, _levels(total, slab_docs))
     if not levels:
         return fit_tree([], 0)
     spread = F.xxhash64("doc_id", "text")
@@ -221,11 +221,16 @@ def _tree(rows: DataFrame) -> Tree:
     return fit_tree([np.frombuffer(r["hashes"], dtype=np.uint64) for r in few.collect()], levels)
 
 
-def build(docs: DataFrame) -> DataFrame:
-    """The index of documents ``(doc_id, text)``, written to the shared folder: one row per shard, see ``INDEX``."""
+def build(docs: DataFrame, slab_docs: int = SLAB_DOCS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """The index of documents ``(doc_id, text)``, written to the shared folder: one row per shard, see ``INDEX``.
+
+    A shard has at most ``shard_docs`` documents, 256 at most; a task holds ``slab_docs`` at once, or ``SLAB_TERMS`` terms.
+    """
+    if not 1 <= shard_docs <= 256:
+        raise ValueError(f"shards of {shard_docs} documents")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    model = _tree(rows)
+    model = _tree(rows, slab_docs)
     shared, n = spark.sparkContext.broadcast(model), shuffle_partitions(spark)
     # About eight keys for each task; a leaf that the sample did not show has its share of them too.
     salts = np.ceil(8 * n * np.maximum(model.share, 1 / len(model.share))).astype(int).tolist()
@@ -240,10 +245,10 @@ def build(docs: DataFrame) -> DataFrame:
     at_leaf = _bags(rows).mapInArrow(placed, "leaf int, salts int, doc_id long, n long, hashes binary, tfs binary")
     salted = at_leaf.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n", F.substring("hashes", 1, 8)), F.col("salts")).cast("int"))
     dealt = salted.repartition(n, "leaf", "salt").sortWithinPartitions("leaf", "salt").select("doc_id", "n", "hashes", "tfs")
-    return write_shared(dealt.mapInArrow(_slabs, INDEX), "search-index")
+    return write_shared(dealt.mapInArrow(lambda batches: _slabs(batches, slab_docs, shard_docs), INDEX), "search-index")
 
 
-def _slabs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slabs(batches: Iterable[pa.RecordBatch], slab_docs: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     """Documents as they come, in slabs of bounded size, to shards."""
     task, made = TaskContext.get().partitionId(), 0
     held: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
@@ -252,17 +257,17 @@ def _slabs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, n, h, t in zip(*(batch.column(c) for c in ("doc_id", "n", "hashes", "tfs")), strict=True):
             held.append((doc_id.as_py(), n.as_py(), np.frombuffer(h.as_py(), dtype=np.uint64), np.frombuffer(t.as_py(), dtype=np.uint32)))
             size += len(held[-1][2])
-            if len(held) >= SLAB_DOCS or size >= SLAB_TERMS:
-                for shard in shards(held):
+            if len(held) >= slab_docs or size >= SLAB_TERMS:
+                for shard in shards(held, shard_docs):
                     yield _row((task << 32) + made, shard)
                     made += 1
                 held, size = [], 0
-    for shard in shards(held):
+    for shard in shards(held, shard_docs):
         yield _row((task << 32) + made, shard)
         made += 1
 
 
-def shards(held: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> Iterator[dict]:
+def shards(held: list[tuple[int | None, int, np.ndarray, np.ndarray]], shard_docs: int = SHARD_DOCS) -> Iterator[dict]:
     """The shards of a slab, in the order of its bisection."""
     if not held:
         return
@@ -272,7 +277,7 @@ def shards(held: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> Iterat
     doc = np.repeat(np.arange(n), [len(d[2]) for d in held])
     hashes, term = np.unique(np.concatenate([d[2] for d in held]), return_inverse=True)
     tf = np.concatenate([d[3] for d in held])
-    levels = _levels(n, SHARD_DOCS)
+    levels = _levels(n, shard_docs)
     order, edge = bisect(doc, term, n, levels)[-1], bounds(n, levels)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
@@ -415,7 +420,7 @@ def _opened(row: dict, *columns: str) -> dict:
     return {c: row[c].as_buffer() if pa.types.is_binary(row[c].type) else row[c].as_py() for c in columns or row}
 
 
-def top(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def top(index: DataFrame, items: DataFrame, k: int = TOP, seeds: int = SEEDS) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``k`` best documents of each item ``(item_id, text)``."""
     spark = index.sparkSession
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
@@ -428,14 +433,14 @@ def top(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         if not block.texts:
             continue
         block.n_docs, block.n_terms = n_docs, n_terms
-        found = _search(index, block, k)
+        found = _search(index, block, k, seeds)
         names = F.broadcast(spark.createDataFrame(list(enumerate(block.texts)), "item long, text string"))
         of = asked.join(names, "text").select("item_id", "item")
         out = out.unionByName(found.join(of, "item").select("item_id", "rank", "doc_id", "score"))
     return out
 
 
-def _search(index: DataFrame, block: Items, k: int) -> DataFrame:
+def _search(index: DataFrame, block: Items, k: int, seeds: int) -> DataFrame:
     """``item, rank, doc_id, score`` of a block of items."""
     spark = index.sparkSession
 
@@ -456,23 +461,22 @@ def _search(index: DataFrame, block: Items, k: int) -> DataFrame:
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        most, where = np.zeros((SEEDS, len(own.texts)), dtype=np.int64), np.zeros((SEEDS, len(own.texts)), dtype=np.int64)
+        most, where = np.zeros((seeds, len(own.texts)), dtype=np.int64), np.zeros((seeds, len(own.texts)), dtype=np.int64)
         for batch in batches:
             rows = [_opened(r) for r in _dicts(batch)]
             if not rows:
                 continue
             most = np.vstack([most, *(own.bounds(r) for r in rows)])
             where = np.vstack([where, *(np.full(len(own.texts), r["shard"]) for r in rows)])
-            best = np.argsort(-most, axis=0, kind="stable")[:SEEDS]
+            best = np.argsort(-most, axis=0, kind="stable")[:seeds]
             most, where = np.take_along_axis(most, best, axis=0), np.take_along_axis(where, best, axis=0)
         _, item = np.nonzero(most > 0)
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(where[most > 0]), pa.array(most[most > 0])], ["item", "shard", "bound"])
 
     best_first = Window.partitionBy("item").orderBy(F.desc("bound"), "shard")
-    seeds = index.select("shard", "terms", "max_tf", "min_n").mapInArrow(bounded, "item long, shard long, bound long")
-    seeds = seeds.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= SEEDS).collect()
+    likely = index.select("shard", "terms", "max_tf", "min_n").mapInArrow(bounded, "item long, shard long, bound long")
     visits: dict[int, list[int]] = {}
-    for r in seeds:
+    for r in likely.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= seeds).collect():
         visits.setdefault(r["shard"], []).append(r["item"])
 
     def seeded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
