@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.session import cut_lineage
 from tessera.tensor import SMALL, ShapeError, Tensor, hinted
 
@@ -401,7 +402,9 @@ def momentum_fold(df: DataFrame, key: str, order: str, gradient: str, start: flo
             if not len(batch):
                 continue
             keys, g = batch["k"], batch["g"].to_numpy()
-            starts = np.flatnonzero((keys != keys.shift()).to_numpy() | (np.arange(len(batch)) == 0))
+            before = keys.shift()
+            same = (keys == before).fillna(False).to_numpy(dtype=bool) | (keys.isna() & before.isna()).to_numpy()
+            starts = np.flatnonzero(~same | (np.arange(len(batch)) == 0))
             steps = np.diff(starts, append=len(batch))
             after = np.repeat(starts + steps, steps) - 1 - np.arange(len(batch))
             sums = {"total": np.add.reduceat(g, starts), "state": np.add.reduceat(g * float(momentum) ** after, starts)}
@@ -409,7 +412,7 @@ def momentum_fold(df: DataFrame, key: str, order: str, gradient: str, start: flo
 
     k, o = (df.schema[c].dataType.simpleString() for c in (key, order))
     rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(gradient).cast("double"), F.lit(0.0)).alias("g"))
-    found = rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o").mapInPandas(runs, f"k {k}, first {o}, n long, total double, state double")
+    found = map_batches(rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o"), runs, f"k {k}, first {o}, n long, total double, state double")
     later = Window.partitionBy("k").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)
     weight = F.pow(F.lit(float(momentum)), F.coalesce(F.sum("n").over(later), F.lit(0)))
     parts = found.withColumn("_w", weight).groupBy("k").agg(
