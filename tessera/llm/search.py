@@ -50,7 +50,7 @@ SKETCH = 512
 VOCABULARY = 32_768
 TREE_LEVELS = 6
 SLAB_DOCS = 4096
-SLAB_TERMS = 1 << 20
+SLAB_TERMS = 1 << 19
 SHARD_DOCS = 128
 SEEDS = 4
 BLOCK_BYTES = 1 << 20
@@ -198,16 +198,14 @@ def fit_tree(sample: list[np.ndarray], levels: int) -> Tree:
     return tree
 
 
-def _bags(rows: DataFrame) -> DataFrame:
-    """``doc_id, n, hashes, tfs`` of rows ``(doc_id, text binary)``."""
+def _sketches(rows: DataFrame) -> DataFrame:
+    """``doc_id, sketch`` of rows ``(doc_id, text binary)``: the ``SKETCH`` smallest hashes of terms."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(t.as_py()) for t in batch.column("text")]
-            columns = [pa.array([int(t.sum(dtype=np.int64)) for _, t in found], pa.int64()), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([t.tobytes() for _, t in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "hashes", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bag(t.as_py())[0][:SKETCH].tobytes() for t in batch.column("text")], pa.binary())], ["doc_id", "sketch"])
 
-    return rows.mapInArrow(work, "doc_id long, n long, hashes binary, tfs binary")
+    return rows.mapInArrow(work, "doc_id long, sketch binary")
 
 
 def _tree(rows: DataFrame, slab_docs: int) -> Tree:
@@ -215,10 +213,9 @@ def _tree(rows: DataFrame, slab_docs: int) -> Tree:
     levels = min(TREE_LEVELS, _levels(total, slab_docs))
     if not levels:
         return fit_tree([], 0)
-    spread = F.xxhash64("doc_id", "text")
-    few = rows.filter(F.pmod(spread, F.lit(1 << 30)) <= math.ceil(min(1.0, 2 * SAMPLE_DOCS / total) * (1 << 30)))
-    few = _bags(few.orderBy(spread).limit(SAMPLE_DOCS)).select(F.substring("hashes", 1, 8 * SKETCH).alias("hashes"))
-    return fit_tree([np.frombuffer(r["hashes"], dtype=np.uint64) for r in few.collect()], levels)
+    few = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= math.ceil(min(1.0, 2 * SAMPLE_DOCS / total) * (1 << 30)))
+    few = _sketches(few).orderBy(F.xxhash64("doc_id", "sketch")).limit(SAMPLE_DOCS)
+    return fit_tree([np.frombuffer(r["sketch"], dtype=np.uint64) for r in few.collect()], levels)
 
 
 def build(docs: DataFrame, slab_docs: int = SLAB_DOCS, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -238,11 +235,13 @@ def build(docs: DataFrame, slab_docs: int = SLAB_DOCS, shard_docs: int = SHARD_D
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for batch in batches:
-            leaves = [tree.leaf(np.frombuffer(h.as_py(), dtype=np.uint64)) if tree.levels else 0 for h in batch.column("hashes")]
-            keys = [pa.array(leaves, pa.int32()), pa.array([salts[x] for x in leaves], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*keys, *batch.columns], ["leaf", "salts", "doc_id", "n", "hashes", "tfs"])
+            found = [bag(t.as_py()) for t in batch.column("text")]
+            leaves = [tree.leaf(h) if tree.levels else 0 for h, _ in found]
+            columns = [pa.array(leaves, pa.int32()), pa.array([salts[x] for x in leaves], pa.int32()), batch.column("doc_id"), pa.array([int(t.sum(dtype=np.int64)) for _, t in found], pa.int64())]
+            columns += [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([t.tobytes() for _, t in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["leaf", "salts", "doc_id", "n", "hashes", "tfs"])
 
-    at_leaf = _bags(rows).mapInArrow(placed, "leaf int, salts int, doc_id long, n long, hashes binary, tfs binary")
+    at_leaf = rows.mapInArrow(placed, "leaf int, salts int, doc_id long, n long, hashes binary, tfs binary")
     salted = at_leaf.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n", F.substring("hashes", 1, 8)), F.col("salts")).cast("int"))
     dealt = salted.repartition(n, "leaf", "salt").sortWithinPartitions("leaf", "salt").select("doc_id", "n", "hashes", "tfs")
     return write_shared(dealt.mapInArrow(lambda batches: _slabs(batches, slab_docs, shard_docs), INDEX), "search-index")
