@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
+
 SPLIT_AT = 65_536
 LONG_RUN = 65_536
 _SPACE = r"\p{White_Space}"
@@ -195,11 +197,9 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = own.encode(text or "")
                 rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(work, ENCODED)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, ENCODED)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -209,9 +209,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         own = RankTokenizer.load(ranks, pattern)
         for batch in batches:
             ids = [own.encode(t or "").astype("i4") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(work, "doc_id long, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -221,6 +221,6 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
         own = RankTokenizer.load(ranks, pattern)
         for batch in batches:
             content = [own.decode(np.asarray(i)) if i is not None else b"" for i in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "content": content})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": content})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(work, "doc_id long, content binary")
+    return map_batches(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), work, "doc_id long, content binary")

@@ -70,7 +70,9 @@ def byte_cuts(sized: DataFrame, least: int = 16 << 20, usual: int = 256 << 20, m
             break
         split = sized.sparkSession.createDataFrame([(w,) for w in full], "w long")
         rows = rows.withColumn("w", window).join(F.broadcast(split), "w").select("id", "size")
-        shift = max(0, shift - 8)
+        # Each full window in as many parts as it needs, all of them in as many as the fullest.
+        most_bytes = max(n for w, n in sums if n > target // 2)
+        shift = max(0, shift - min(8, (4 * most_bytes // target).bit_length()))
     cuts, held = [], 0
     for before, (_, n) in itertools.pairwise([(found["lo"], 0), *sorted(windows)]):
         if held and held + n > target:

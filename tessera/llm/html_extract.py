@@ -38,6 +38,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
+
+
 def _value(group: str) -> str:
     return rf"\s*+=\s*+(?:\"{group}[^\"]*+)\"|'{group}[^']*+)'|{group}[^\s>\"'][^\s>]*+)|)"
 
@@ -400,7 +403,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = [extract(h, model) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    return map_batches(own, work, "page_id long, url string, text string, n_chars long")

@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.llm.common import bucket_of, byte_cuts, connected_components, cut_lineage, join_hubs, write_shared
 
 PERMS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 JACCARD = 0.8
-CHUNK = 256
+CHUNK_BYTES = 2 << 20
+PAIRS = 16_384
 _BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
@@ -123,16 +125,14 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                     other = signature(new)
                     out.append((doc, len(old), hashlib.sha256(new.encode()).hexdigest(), to_hex(print_), to_hex(other), likeness(print_, other), likeness(print_, own)))
                 before = None if guest else (bucket, doc_id, text, own)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return in_order(docs).mapInPandas(
-        work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return map_batches(
+        in_order(docs), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk_bytes: int = CHUNK_BYTES, pairs_at_once: int = PAIRS) -> DataFrame:
     """``doc_id, component_id``: documents connected by pairs of a Jaccard similarity of at least the threshold.
 
     Pairs are found by their bands: at the threshold a pair shares one of 25 bands of 5 minima with a probability above
@@ -141,15 +141,15 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CH
     1. Bands are joined on ids only: every node of a bucket is paired with the bucket's smallest node, and these pairs
        are verified.  A bucket of copies of any number gives as many pairs as it has nodes.
     2. In buckets whose nodes are not all connected by then, the nodes of different components are compared, in blocks
-       of ``chunk`` by ``chunk`` nodes, so a bucket is whole but never meets in one task.  A block gives links to one
-       root per component, not pairs.
+       of two chunks of about ``chunk_bytes`` of shingle sets, so a bucket is whole but never meets in one task, and a set
+       is copied once for every chunk of its bucket.  A block gives links to one root per component, not pairs.
     """
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "whole": [_whole(s) for s in sets], "bands": [_bands(minima(s)) for s in sets],
+                "doc_id": batch["doc_id"], "whole": [_whole(s) for s in sets], "size": [8 * len(s) for s in sets], "bands": [_bands(minima(s)) for s in sets],
             })
 
     def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,20 +159,20 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CH
             yield pd.DataFrame({"doc_id": batch["doc_id"][own], "hashes": [s.tobytes() for s, keep in zip(sets, own, strict=True) if keep]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(texts.mapInPandas(sign, "doc_id long, whole string, bands array<long>"))
-    nodes = cut_lineage(signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    signed = cut_lineage(map_batches(texts, sign, "doc_id long, whole string, size long, bands array<long>"))
+    nodes = cut_lineage(signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     total = signed.count()
 
-    slots = nodes.filter("node is not null").select("node", F.explode("bands").alias("slot"))
+    slots = nodes.filter("node is not null").select("node", "size", F.explode("bands").alias("slot"))
     leads = slots.groupBy("slot").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    pairs = cut_lineage(join_hubs(slots, leads, "slot", 25 * total).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    pairs = cut_lineage(join_hubs(slots.drop("size"), leads, "slot", 25 * total).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
     # The whole sets of the nodes in some pair, from their texts.
     some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     reps = nodes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "whole")
     found = texts.join(reps, "doc_id").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
     sets = write_shared(found.select("doc_id", "text", "whole").mapInPandas(hashed, "doc_id long, hashes binary"), "minhash-sets")
-    # A node with very many pairs: its set comes once for every `chunk * 64` of them.
-    copies = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", F.ceil(F.col("n") / (chunk * 64)).cast("int").alias("of"))
+    # A node with very many pairs: its set comes once for every so many of them.
+    copies = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", F.ceil(F.col("n") / pairs_at_once).cast("int").alias("of"))
     dealt = join_hubs(pairs, copies, "b", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("of")).cast("int").alias("salt"))
     second = sets.join(copies, F.col("doc_id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("salt"), F.col("hashes").alias("other"))
     both = dealt.join(second, ["b", "salt"]).join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "hashes", "other")
@@ -185,10 +185,10 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk: int = CH
     edges = cut_lineage(both.mapInPandas(near, "a long, b long"))
     parts = cut_lineage(connected_components(edges))
 
-    placed = slots.join(parts, "node", "left").select("slot", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    mixed = mixed.select("slot", "n", F.ceil(F.col("n") / chunk).cast("int").alias("of"))
-    left = join_hubs(placed, mixed, "slot", 25 * total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    placed = slots.join(parts, "node", "left").select("slot", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("lo < hi")
+    mixed = mixed.select("slot", "n", F.ceil(F.col("size") / chunk_bytes).cast("int").alias("of"))
+    left = join_hubs(placed.drop("size"), mixed, "slot", 25 * total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     blocks = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
         "slot", "node", "component", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q")
     )

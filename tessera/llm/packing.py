@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.llm.bpe import JsonTokenizer
 from tessera.llm.common import cut_lineage, shuffle_partitions
 
@@ -116,11 +117,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                         crc = zlib.crc32(ids[start : start + length].tobytes())
                         rows.append((doc_id, start, length, crc, len(ids)))
                         start += length
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(tokenize, PIECE)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), tokenize, PIECE)
 
 
 def ranked(df: DataFrame, key: str, order: list[str], salts: int) -> DataFrame:

@@ -55,6 +55,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands joined and Jaccard similarities verified: the groups of near-duplicates that the fingerprints of op9 find."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(_table(spark, sf_dir, "pages"), shared_dir(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,7 +78,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc, op11_search, op12_filter_audit, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_html, op6_langid, op7_chat, op8_vectors, op9_minhash, op10_warc, op11_search, op12_filter_audit, op13_line_dedup, minhash_groups)}
 
 ORACLES = {
     "op8_vectors": """

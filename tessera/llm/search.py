@@ -234,7 +234,7 @@ def build(docs: DataFrame, slab_docs: int = SLAB_DOCS, shard_docs: int = SHARD_D
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             found = [bag(t.as_py()) for t in batch.column("text")]
             leaves = [tree.leaf(h) if tree.levels else 0 for h, _ in found]
             columns = [pa.array(leaves, pa.int32()), pa.array([salts[x] for x in leaves], pa.int32()), batch.column("doc_id"), pa.array([int(t.sum(dtype=np.int64)) for _, t in found], pa.int64())]

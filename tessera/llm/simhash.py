@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.llm.common import connected_components, cut_lineage, fresh, join_hubs
 
 DISTANCE = 3
@@ -65,10 +66,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp, "tie": batch["tie"]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp, "tie": batch["tie"]})
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).mapInPandas(work, "doc_id long, fp long, tie long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")), work, "doc_id long, fp long, tie long")
 
 
 def _tie(text: Column) -> Column:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.batches import longs, map_batches
 from tessera.llm.common import bucket_of, byte_cuts, cut_lineage, join_hubs, shuffle_partitions
 
 ROLL_BYTES = 64 << 20
@@ -172,7 +173,7 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, least: int =
 
     store, top = _store(uri)
     store.create_dir(posixpath.join(top, "_temporary"), recursive=True)
-    manifest = cut_lineage(rows.mapInPandas(work, MANIFEST))
+    manifest = cut_lineage(map_batches(rows, work, MANIFEST))
 
     def publish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileType
@@ -247,10 +248,10 @@ def read(spark: SparkSession, uri: str, html: bool = False) -> DataFrame:
     columns = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * html
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=columns)
-        return made.assign(page_id=made["page_id"].astype("Int64"), refers_to=made["refers_to"].astype("Int64"))
+        made = pd.DataFrame(rows, columns=columns, dtype=object)
+        return made.assign(page_id=longs(made["page_id"]), refers_to=longs(made["refers_to"]))
 
-    return files.repartition(max(1, min(n, 4 * shuffle_partitions(spark)))).mapInPandas(work, RECORD + ", payload binary" * html)
+    return map_batches(files.repartition(max(1, min(n, 4 * shuffle_partitions(spark)))), work, RECORD + ", payload binary" * html)
 
 
 def round_trip(pages: DataFrame, top: str) -> DataFrame:

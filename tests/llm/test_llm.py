@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -302,6 +304,7 @@ def slow_vectors(rows):
 
 @pytest.mark.parametrize("cell_rows,chunk", [(512, 2048), (20, 7), (5, 2048)])
 def test_vectors(spark, cell_rows, chunk):
+    """One cell, and cells that are fitted, in one chunk and in many."""
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 8))
     near = np.vstack([b + rng.normal(scale=s, size=(12, 8)) for b, s in zip(base, [0.05, 0.1, 0.2, 0.4] * 3, strict=True)])
@@ -309,14 +312,34 @@ def test_vectors(spark, cell_rows, chunk):
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 8, 1), (n + 2, [1.0, None, *[0.0] * 6], 1), (n + 3, [float("nan")] * 8, 1), (n + 4, rows[0][1], None), (n + 5, rows[0][1], 0), (n + 6, [], 0), (n + 7, [float("inf")] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("x", F.lit(1)).withColumn("cell", F.lit(2))
-    counts, edges = vectors.near_links(df, cell_rows=cell_rows, chunk=chunk)
     exact = slow_vectors([(i, [None if v is None else float(np.float32(v)) for v in x] if x is not None else None, label) for i, x, label in rows])
-    assert {r.vec_id: r.n_links for r in counts.collect()} == {i: v[0] for i, v in exact.items() if v[0]}
-    parts = {r.node: r.component for r in common.connected_components(edges).collect()}
-    assert {i: parts.get(i, i) for i in exact} == {i: v[1] for i, v in exact.items()}
-    if cell_rows == 512:
-        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()} == exact
-        assert vectors.near_duplicates(df.limit(0)).count() == 0
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, cell_rows=cell_rows, chunk=chunk).collect()} == exact
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_without_ids_and_with_repeated_ones(spark):
+    """Rows are vectors of their own; one without an id connects two that are not linked themselves."""
+    a, b, c = ([float(np.cos(t)), float(np.sin(t))] for t in (0.0, 0.15, 0.3))
+    df = spark.createDataFrame([(5, a, 1), (None, b, 1), (4, c, 1), (4, [0.0, -1.0], 1), (None, None, 1), (9, [0.0, -1.0], 1), (None, [-1.0, 0.0], 2)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vectors.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 1, 4, False), (None, 2, 4, False), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, False), (9, 1, 4, False), (None, 0, None, False)], key=str)
+
+
+def test_vectors_of_one_large_label(spark):
+    """100,000 vectors of one label: hundreds of fitted cells, and no link lost, against all products in blocks."""
+    rng = np.random.default_rng(7)
+    n, dim = 100_000, 16
+    base = rng.normal(size=(n // 4, dim))
+    x = np.repeat(base, 4, axis=0) + rng.normal(size=(n, dim)) * rng.choice([0.02, 0.1, 0.3], size=(n, 1))
+    x[:2000] = x[0]  # copies
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float64()))})).withColumn("label", F.lit(1))
+    nodes = vectors._usable(df.withColumn("label", F.lit(1).cast("long"))).withColumnRenamed("vec_id", "node")
+    assert len(vectors.fit_cells(nodes)[0][2]) > 150
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = np.concatenate([(unit[i : i + 2000] @ unit.T >= 0.98).sum(axis=1) for i in range(0, n, 2000)]) - 1
+    got = vectors.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == links).all()
+    assert got["kept"].sum() == got["component_id"].nunique() and (got["component_id"] <= got["vec_id"]).all()
 
 
 def slow_minhash(text):
@@ -401,8 +424,38 @@ def test_minhash_estimates_jaccard():
         assert abs(minhash.likeness(minhash.signature(a), minhash.signature(" ".join(b))) - len(x & y) / len(x | y)) < 0.15
 
 
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_minhash_near_duplicates(spark, chunk):
+def slow_groups(texts):
+    """Components of all pairs of texts with the same shingles or a Jaccard similarity of 0.8."""
+    sets = {}
+    for i, t in texts.items():
+        words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").translate(dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")).split(" ") if w]
+        k = min(5, len(words))
+        sets[i] = {tuple(words[x : x + k]) for x in range(len(words) - k + 1)} if words else set()
+    root = {i: i for i in texts}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_minhash_groups_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r.component_id for r in QUERIES["minhash_groups"](spark, DATA).collect()}
+    assert got == slow_groups(texts) and len(set(got.values())) < len(got)
+
+
+@pytest.mark.parametrize("chunk_bytes,at_once", [(minhash.CHUNK_BYTES, minhash.PAIRS), (6000, 2)])
+def test_minhash_near_duplicates(spark, chunk_bytes, at_once):
     rng = random.Random(4)
     texts = []
     for _ in range(12):
@@ -414,7 +467,7 @@ def test_minhash_near_duplicates(spark, chunk):
         chain[rng.randrange(300)] = f"new{rng.random()}"
         texts.append(" ".join(chain))
     texts += [None, "", texts[0], texts[0]]
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), chunk=chunk).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), chunk_bytes=chunk_bytes, pairs_at_once=at_once).collect()}
     sets = [set(minhash.shingles(t).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -811,6 +864,40 @@ def test_vectors_at_coincident_centroids(spark):
     near = c + rng.choice([-1, 1], size=24) * 1e-16
     x = rng.normal(size=(200, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    unit = spark.createDataFrame([(i, 0, 24, v.tobytes()) for i, v in enumerate(x)], "vec_id long, label long, dim int, x binary")
+    unit = spark.createDataFrame([(i, 1, 0, 24, v.tobytes()) for i, v in enumerate(x)], "node long, n long, label long, dim int, x binary")
     placed = vectors._placed(unit, [(0, 24, np.stack([c, near]))], 0.3).collect()
     assert all(sorted(r["cells"]) == [0, 1] for r in placed)
+
+
+# -- ids ---------------------------------------------------------------------------------------------------------------
+
+BIG = [(1 << 60) + 1, (1 << 60) + 3, None, (1 << 60) + 5, (1 << 60) + 5, -(1 << 60) - 7]
+
+
+def same_ids(rows, column="doc_id"):
+    return sorted((r[column] for r in rows), key=str) == sorted(BIG, key=str)
+
+
+def test_ids_beyond_floating_point_stay_beside_a_null(spark):
+    """Every operator returns the ids that it got, whatever else is in their batch."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "without an id", "the same", "the same", "minus"]
+    docs = spark.createDataFrame(list(zip(BIG, texts, strict=True)), "doc_id long, text string").coalesce(1)
+    assert same_ids(packing.pack(docs, JSON).collect())
+    assert same_ids(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect())
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert same_ids(encoded.collect()) and same_ids(bpe.decode(encoded.coalesce(1), RANKS, public_tokenizers.PATTERN).collect())
+    found = simhash.near_duplicates(docs).collect()
+    assert same_ids(found) and {r.component_id for r in found} <= set(BIG)
+    assert same_ids(minhash.compare_edited(docs).collect())
+    found = minhash.near_duplicates(docs).collect()
+    assert same_ids(found) and {r.component_id for r in found} <= set(BIG)
+    pages = spark.createDataFrame([(i, f"http://x/{n}", f"<p>{t}</p>") for n, (i, t) in enumerate(zip(BIG, texts, strict=True))], "page_id long, url string, html string").coalesce(1)
+    assert same_ids(html_extract.main_text(pages).collect(), "page_id")
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if n in (1, 3) else [math.cos(n + 1), math.sin(n + 1)], 1) for n, i in enumerate(BIG)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = vectors.near_duplicates(rows).collect()
+    assert same_ids(got, "vec_id") and sum(r.n_links for r in got if r.vec_id == BIG[1]) >= 1 and BIG[1] in {r.component_id for r in got if r.vec_id == BIG[3]}
+    held = [r for r in warc.round_trip(pages, common.shared_dir(spark)).collect()]
+    assert same_ids(held, "page_id") and {r.refers_to for r in held} <= set(BIG)
+    labels = spark.createDataFrame([(BIG[0], 1), (BIG[1], 0)], "doc_id long, toxic int")
+    assert same_ids(toxicity.classify(docs, labels, F.lit(True)).collect())
+    assert same_ids(langid.identify(docs.withColumn("lang", F.lit("en")), F.lit(True)).collect())
