@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.batches import map_batches
 from tessera.session import cut_lineage
 from tessera.tensor import SMALL, ShapeError, Tensor, hinted
+from tessera.tiles import Tiles
 
 AXES = ("x", "y", "z")
 
@@ -136,7 +137,7 @@ def _sides(q: Tensor, k: Tensor, v: Tensor, keep: DataFrame | None) -> tuple[Dat
 def attention(q: Tensor, k: Tensor, v: Tensor, scale: float | None = None, causal: bool = False, keep: DataFrame | None = None, block: int = 1024) -> Tensor:
     """Weighted values of Q (b, q, d), K (b, k, d) and V (b, k, e); a fully masked row is zeros, non-finite input an error."""
     queries, keys = _sides(q, k, v, keep)
-    cells = _cells(_block_sums(queries, keys, 1 / math.sqrt(q.shape[2]) if scale is None else scale, causal, block))
+    cells = _cells(_block_sums(_deal(queries, block), _deal(keys, block), 1 / math.sqrt(q.shape[2]) if scale is None else scale, causal))
     return Tensor(cells, ("b", "q", "e"), (q.shape[0], q.shape[1], v.shape[2])).densify()
 
 
@@ -147,9 +148,21 @@ def attention_backward(q: Tensor, k: Tensor, v: Tensor, upstream: Tensor, scale:
     return {part: found.filter(F.col("part") == part).drop("part") for part in "qkv"}
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
+MERGE = 32  # partial results of one block that meet in a task
+
+
+@dataclass(frozen=True)
+class _Dealt:
+    """Rows in blocks: their table, the number of blocks of each batch, and the largest of these numbers."""
+
+    blocks: DataFrame
+    counts: DataFrame
+    most: int
+
+
+def _deal(rows: DataFrame, block: int) -> _Dealt:
     """``b, own`` and the columns of all rows of a block as one row each.  Blocks of about ``block`` rows are picked by a
-    hash of the position, so a sequence of any length is dealt out evenly."""
+    hash of the position, so a sequence of any length is dealt out evenly.  The rows are counted once."""
     names = [c for c in rows.columns if c != "b"]
     packs = {c for c, t in rows.dtypes if t.startswith("array")}
 
@@ -160,24 +173,31 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
             raise ValueError(f"batch {key[0]} has non-finite entries")
         return pd.DataFrame({"b": [key[0]], "own": [key[1]], **{c: [x] for c, x in out.items()}})
 
-    dealt = rows.join(_block_counts(rows, block), "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
+    counts = cut_lineage(rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")))
+    batches, most = counts.agg(F.count("*"), F.max("_n")).first()
+    counts = F.broadcast(counts) if batches <= SMALL else counts  # batches are few, and so hot keys, or many
+    dealt = rows.join(counts, "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
     schema = "b long, own int, " + ", ".join(f"{c} array<{'long' if c == 'p' else 'boolean' if c == 'keep' else 'double'}>" for c in names)
-    return dealt.groupBy("b", "_own").applyInPandas(pack, schema)
+    return _Dealt(dealt.groupBy("b", "_own").applyInPandas(pack, schema), counts, most or 1)
 
 
-def _block_counts(rows: DataFrame, block: int) -> DataFrame:
-    return rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-
-
-def _met_blocks(queries: DataFrame, keys: DataFrame, block: int) -> tuple[GroupedData, GroupedData]:
+def _met_blocks(queries: _Dealt, keys: _Dealt) -> tuple[GroupedData, GroupedData]:
     """Queries and keys dealt to (b, query block, key block): a block is one row, so only blocks are repeated."""
     others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left = _blocks(queries, block).join(_block_counts(keys, block), "b").withColumn("kb", others).drop("_n").withColumnRenamed("own", "qb")
-    right = _blocks(keys, block).join(_block_counts(queries, block), "b").withColumn("qb", others).drop("_n").withColumnRenamed("own", "kb")
+    left = queries.blocks.join(keys.counts, "b").withColumn("kb", others).drop("_n").withColumnRenamed("own", "qb")
+    right = keys.blocks.join(queries.counts, "b").withColumn("qb", others).drop("_n").withColumnRenamed("own", "kb")
     right = right.select(*(F.col(c).alias("key_" + c) for c in right.columns))  # new names: both sides may come from one table
     return left.groupBy("b", "qb", "kb"), right.groupBy("key_b", "key_qb", "key_kb")
 
 
+def _in_levels(parts: DataFrame, keys: list[str], part: str, most: int, merge: Callable[[tuple, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Partial results, numbered from 0 by ``part``, merged until every key has one; at most ``MERGE`` meet at once."""
+    while most > 1:
+        parts = parts.withColumn(part, F.floor(F.col(part) / MERGE).cast("int")).groupBy(*keys, part).applyInPandas(merge, parts.schema)
+        most = -(-most // MERGE)
+    return parts
+
+
 def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
     """A matrix of the one block of a group, one row per position."""
     return side[name].iloc[0].reshape(len(side[rows].iloc[0]), -1)
@@ -193,7 +213,7 @@ def _scores(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool)
     return s
 
 
-def _block_sums(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
+def _block_sums(queries: _Dealt, keys: _Dealt, scale: float, causal: bool) -> DataFrame:
     """``b, p, top, total, o``: of every query the maximum, the sum and the weighted mean of the values over all keys."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +221,7 @@ def _block_sums(queries: DataFrame, keys: DataFrame, scale: float, causal: bool,
         m = s.max(axis=1)
         x = np.exp(s - np.where(np.isfinite(m), m, 0)[:, None])
         o = x @ _of_block(right, "key_v", "key_p")
-        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "p": [left["p"].iloc[0]], "m": [m], "s": [x.sum(axis=1)], "o": [o.ravel()]})
+        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "p": [left["p"].iloc[0]], "m": [m], "s": [x.sum(axis=1)], "o": [o.ravel()]})
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         top = np.max(np.stack(parts["m"].to_numpy()), axis=0)
@@ -209,11 +229,37 @@ def _block_sums(queries: DataFrame, keys: DataFrame, scale: float, causal: bool,
         for m, s, o in zip(parts["m"], parts["s"], parts["o"], strict=True):
             f = np.exp(m - np.where(np.isfinite(top), top, 0))
             total, out = total + s * f, out + o.reshape(len(m), -1) * f[:, None]
-        return pd.DataFrame({"b": key[0], "p": parts["p"].iloc[0], "top": top, "total": total, "o": list(out / np.where(total > 0, total, 1)[:, None])})
+        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "p": [parts["p"].iloc[0]], "m": [top], "s": [total], "o": [out.ravel()]})
+
+    def means(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, p, m, s, o in zip(batch["b"], batch["p"], batch["m"], batch["s"], batch["o"], strict=True):
+                yield pd.DataFrame({"b": b, "p": p, "top": m, "total": s, "o": list(o.reshape(len(p), -1) / np.where(s > 0, s, 1)[:, None])})
 
-    left, right = _met_blocks(queries, keys, block)
-    met = left.cogroup(right).applyInPandas(one, "b long, qb int, p array<long>, m array<double>, s array<double>, o array<double>")
-    return met.groupBy("b", "qb").applyInPandas(merge, "b long, p long, top double, total double, o array<double>")
+    left, right = _met_blocks(queries, keys)
+    met = left.cogroup(right).applyInPandas(one, "b long, qb int, kb int, p array<long>, m array<double>, s array<double>, o array<double>")
+    whole = _in_levels(met, ["b", "qb"], "kb", keys.most, merge)
+    return whole.select("b", "p", "m", "s", "o").mapInPandas(means, "b long, p long, top double, total double, o array<double>")
+
+
+def _weights(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool) -> np.ndarray:
+    """The weights of a block of queries whose maxima and sums are known; a fully masked row is zeros."""
+    top, total = left["top"].iloc[0], left["total"].iloc[0]
+    return np.exp(_scores(left, right, scale, causal) - np.where(np.isfinite(top), top, 0)[:, None]) / np.where(total > 0, total, 1)[:, None]
+
+
+def _weight_tiles(queries: DataFrame, keys: _Dealt, sums: DataFrame, scale: float, causal: bool, block: int) -> Tiles:
+    """The second pass: maxima and sums are known, so every block yields its weights as they are."""
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        w = _weights(left, right, scale, causal)
+        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "rows": [left["p"].iloc[0]], "columns": [right["key_p"].iloc[0]], "x": [w.ravel()]})
+
+    ready = queries.join(sums.select("b", "p", "top", F.col("total").alias("total")), ["b", "p"])
+    # Maxima of fully masked rows are -inf, which blocks of finite numbers may not hold: their sums are 0.
+    ready = ready.withColumn("top", F.when(F.col("total") > 0, F.col("top")).otherwise(0.0))
+    left, right = _met_blocks(_deal(ready, block), keys)
+    return Tiles(left.cogroup(right).applyInPandas(one, "b long, qb int, kb int, rows array<long>, columns array<long>, x array<double>"), ("b",))
 
 
 def _cells(sums: DataFrame) -> DataFrame:
@@ -222,26 +268,30 @@ def _cells(sums: DataFrame) -> DataFrame:
 
 def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
     """``part, b, p, d, v`` of queries ``(b, p, q, g)`` and keys ``(b, p, k, v)``."""
-    queries, keys = cut_lineage(queries), cut_lineage(keys)
+    queries, dealt = cut_lineage(queries), _deal(cut_lineage(keys), block)
     dot = F.aggregate(F.zip_with("g", "o", lambda g, o: g * o), F.lit(0.0), lambda s, t: s + t)
-    sums = _block_sums(queries.drop("g"), keys, scale, causal, block)
-    ready = cut_lineage(queries.join(sums, ["b", "p"]).withColumn("mean", dot).drop("o"))
+    sums = _block_sums(_deal(queries.drop("g"), block), dealt, scale, causal)
+    ready = _deal(cut_lineage(queries.join(sums, ["b", "p"]).withColumn("mean", dot).drop("o")), block)
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, g, k, v = _of_block(left, "q"), _of_block(left, "g"), _of_block(right, "key_k", "key_p"), _of_block(right, "key_v", "key_p")
-        s, top, total = _scores(left, right, scale, causal), left["top"].iloc[0], left["total"].iloc[0]
-        w = np.exp(s - np.where(np.isfinite(top), top, 0)[:, None]) / np.where(total > 0, total, 1)[:, None]
+        w = _weights(left, right, scale, causal)
         ds = w * (g @ v.T - left["mean"].iloc[0][:, None]) * scale
-        found = [("q", key[1], left["p"].iloc[0], ds @ k), ("k", key[2], right["key_p"].iloc[0], ds.T @ q), ("v", key[2], right["key_p"].iloc[0], w.T @ g)]
-        return pd.DataFrame([(part, key[0], own, p, x.ravel()) for part, own, p, x in found], columns=["part", "b", "own", "p", "x"])
+        found = [("q", *key[1:], left["p"].iloc[0], ds @ k), ("k", *key[:0:-1], right["key_p"].iloc[0], ds.T @ q), ("v", *key[:0:-1], right["key_p"].iloc[0], w.T @ g)]
+        return pd.DataFrame([(part, key[0], own, other, p, x.ravel()) for part, own, other, p, x in found], columns=["part", "b", "own", "other", "p", "x"])
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        x = sum(parts["x"]).reshape(len(parts["p"].iloc[0]), -1)
-        return pd.DataFrame({"part": key[0], "b": key[1], "p": parts["p"].iloc[0], "x": list(x)})
+        return pd.DataFrame({"part": [key[0]], "b": [key[1]], "own": [key[2]], "other": [key[3]], "p": [parts["p"].iloc[0]], "x": [sum(parts["x"])]})
+
+    def apart(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, b, p, x in zip(batch["part"], batch["b"], batch["p"], batch["x"], strict=True):
+                yield pd.DataFrame({"part": part, "b": b, "p": p, "x": list(x.reshape(len(p), -1))})
 
-    left, right = _met_blocks(ready, keys, block)
-    met = left.cogroup(right).applyInPandas(one, "part string, b long, own int, p array<long>, x array<double>")
-    sums = met.groupBy("part", "b", "own").applyInPandas(merge, "part string, b long, p long, x array<double>")
+    left, right = _met_blocks(ready, dealt)
+    met = left.cogroup(right).applyInPandas(one, "part string, b long, own int, other int, p array<long>, x array<double>")
+    sums = _in_levels(met, ["part", "b", "own"], "other", max(ready.most, dealt.most), merge)
+    sums = sums.select("part", "b", "p", "x").mapInPandas(apart, "part string, b long, p long, x array<double>")
     return sums.select("part", "b", "p", F.posexplode("x").alias("d", "v")).select("part", "b", "p", F.col("d").cast("long").alias("d"), "v")
 
 
@@ -251,7 +301,18 @@ def attention_blocked(rows: DataFrame, scale: float, causal: bool = False, block
     No score is ever a row: a block of queries and a block of keys are multiplied in numpy, and the blocks of one query
     are joined by their maxima and sums.  The batches are those of the table; a fully masked row is zeros, non-finite
     input an error."""
-    return _cells(_block_sums(rows.select("b", "p", "q"), rows.drop("q"), scale, causal, block))
+    return _cells(_block_sums(_deal(rows.select("b", "p", "q"), block), _deal(rows.drop("q"), block), scale, causal))
+
+
+def attention_with_weights(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> tuple[DataFrame, Tiles]:
+    """The output ``b, p, o`` of :func:`attention_blocked` as packed rows, and the post-softmax weights.
+
+    The weights are tiles of a block of queries and a block of keys, by batch; no weight is a row.  They are made in a
+    second pass over the same blocks, with the maxima and sums of the first, which is written to the shared folder.  Every row
+    of weights sums to 1, a fully masked one to 0."""
+    queries, keys = rows.select("b", "p", "q"), _deal(rows.drop("q"), block)
+    sums = cut_lineage(_block_sums(_deal(queries, block), keys, scale, causal))
+    return sums.select("b", "p", "o"), _weight_tiles(queries, keys, sums, scale, causal, block)
 
 
 def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:

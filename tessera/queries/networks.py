@@ -120,6 +120,16 @@ def attention_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.attention_blocked(rows, 0.5).select("b", "q", "e", (F.round("v", 6) + 0.0).alias("v"))
 
 
+def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every query, its masked and causal weights: their sum, their squares' sum, the mean position of a key, and the value
+    that the weights give to position 0 of the heads, which is that of the output."""
+    rows = _heads(spark, sf_dir).withColumn("keep", F.col("p") % 3 != 0)
+    out, tiles = nn.attention_with_weights(rows, 0.5, causal=True)
+    sums = tiles.row_sums("q", total=lambda k, w: w, squares=lambda k, w: w * w, position=lambda k, w: k * w)
+    met = sums.join(out.withColumnRenamed("p", "q"), ["b", "q"])
+    return met.select("b", "q", *((F.round(c, 6) + 0.0).alias(c) for c in ("total", "squares", "position")), (F.round(F.col("o")[0], 6) + 0.0).alias("first"))
+
+
 def attention_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients for Q, K and V with V as the upstream gradient."""
     rows = _heads(spark, sf_dir).withColumn("g", F.col("v"))
@@ -232,7 +242,7 @@ def _conv_sql(stride: tuple[int, ...], pad: tuple[int, ...], dilation: tuple[int
 
 QUERIES = {
     f.__name__: f
-    for f in (convolution, convolution_transposed, convolution_backward, convolution_input_grad, attention, attention_causal, attention_masked, attention_backward, cross_entropy, cross_entropy_backward, cross_entropy_cells, convolution_2d, convolution_3d,
+    for f in (convolution, convolution_transposed, convolution_backward, convolution_input_grad, attention, attention_causal, attention_masked, attention_weights, attention_backward, cross_entropy, cross_entropy_backward, cross_entropy_cells, convolution_2d, convolution_3d,
               convolution_transposed_backward, optimizer_steps, momentum_fold)
 }
 ORACLES = {
@@ -248,6 +258,10 @@ ORACLES = {
     "attention": f"WITH {_attention_sql('0.25')} {_OUTPUT}",
     "attention_causal": f"WITH {_attention_sql('0.5', 'k <= q')} {_OUTPUT}",
     "attention_masked": f"WITH {_attention_sql('0.5', 'b < 5 AND k % 2 = 0')} {_OUTPUT}",
+    "attention_weights": f"""WITH {_attention_sql('0.5', 'k <= q AND k % 3 <> 0')},
+        r AS (SELECT w.b, w.q, sum(w) AS total, sum(w * w) AS squares, sum(w * k) AS position, sum(w * vv.v) AS first FROM w JOIN vv ON vv.b = w.b AND vv.p = w.k AND vv.d = 0 GROUP BY ALL)
+        SELECT g.b, g.p AS q, round(coalesce(total, 0), 6) + 0 AS total, round(coalesce(squares, 0), 6) + 0 AS squares, round(coalesce(position, 0), 6) + 0 AS position, round(coalesce(first, 0), 6) + 0 AS first
+        FROM vv g LEFT JOIN r ON r.b = g.b AND r.q = g.p WHERE g.d = 0""",
     "attention_backward": f"""WITH {_attention_sql("0.5")},
         gv AS (SELECT w.b, w.q, w.k, w.w, sum(g.v * vv.v) AS gv FROM w JOIN vv ON w.b = vv.b AND w.k = vv.p JOIN vv g ON g.b = w.b AND g.p = w.q AND g.d = vv.d GROUP BY ALL),
         ds AS (SELECT b, q, k, w, w * (gv - sum(w * gv) OVER (PARTITION BY b, q)) AS ds FROM gv)
