@@ -198,6 +198,11 @@ def _in_levels(parts: DataFrame, keys: list[str], part: str, most: int, merge: C
     return parts
 
 
+def _where_both(one: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Leaves out what meets nothing: the hash may have picked no row for a block."""
+    return lambda key, left, right: one(key, left, right) if len(left) and len(right) else pd.DataFrame()
+
+
 def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
     """A matrix of the one block of a group, one row per position."""
     return side[name].iloc[0].reshape(len(side[rows].iloc[0]), -1)
@@ -237,7 +242,7 @@ def _block_sums(queries: _Dealt, keys: _Dealt, scale: float, causal: bool) -> Da
                 yield pd.DataFrame({"b": b, "p": p, "top": m, "total": s, "o": list(o.reshape(len(p), -1) / np.where(s > 0, s, 1)[:, None])})
 
     left, right = _met_blocks(queries, keys)
-    met = left.cogroup(right).applyInPandas(one, "b long, qb int, kb int, p array<long>, m array<double>, s array<double>, o array<double>")
+    met = left.cogroup(right).applyInPandas(_where_both(one), "b long, qb int, kb int, p array<long>, m array<double>, s array<double>, o array<double>")
     whole = _in_levels(met, ["b", "qb"], "kb", keys.most, merge)
     return whole.select("b", "p", "m", "s", "o").mapInPandas(means, "b long, p long, top double, total double, o array<double>")
 
@@ -259,7 +264,7 @@ def _weight_tiles(queries: DataFrame, keys: _Dealt, sums: DataFrame, scale: floa
     # Maxima of fully masked rows are -inf, which blocks of finite numbers may not hold: their sums are 0.
     ready = ready.withColumn("top", F.when(F.col("total") > 0, F.col("top")).otherwise(0.0))
     left, right = _met_blocks(_deal(ready, block), keys)
-    return Tiles(left.cogroup(right).applyInPandas(one, "b long, qb int, kb int, rows array<long>, columns array<long>, x array<double>"), ("b",))
+    return Tiles(left.cogroup(right).applyInPandas(_where_both(one), "b long, qb int, kb int, rows array<long>, columns array<long>, x array<double>"), ("b",))
 
 
 def _cells(sums: DataFrame) -> DataFrame:
@@ -289,7 +294,7 @@ def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool,
                 yield pd.DataFrame({"part": part, "b": b, "p": p, "x": list(x.reshape(len(p), -1))})
 
     left, right = _met_blocks(ready, dealt)
-    met = left.cogroup(right).applyInPandas(one, "part string, b long, own int, other int, p array<long>, x array<double>")
+    met = left.cogroup(right).applyInPandas(_where_both(one), "part string, b long, own int, other int, p array<long>, x array<double>")
     sums = _in_levels(met, ["part", "b", "own"], "other", max(ready.most, dealt.most), merge)
     sums = sums.select("part", "b", "p", "x").mapInPandas(apart, "part string, b long, p long, x array<double>")
     return sums.select("part", "b", "p", F.posexplode("x").alias("d", "v")).select("part", "b", "p", F.col("d").cast("long").alias("d"), "v")
