@@ -16,10 +16,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.operators.linalg import grams
+from tessera.session import cut_lineage
+from tessera.tensor import ShapeError
 
 TOLERANCE = 1e-9
 Factors = dict[str, np.ndarray]
@@ -406,3 +411,81 @@ def tall_least_squares(rows: DataFrame, column: str, right: str) -> np.ndarray:
     r = tsqr(rows.select(both.alias("x")), "x")
     n = r.shape[1] - 1
     return np.linalg.lstsq(r[:n, :n], r[:n, n], rcond=None)[0]
+
+
+LEAF_ROWS = 4096
+
+
+def _as_matrix(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.float64).reshape(-1, columns)
+
+
+def thin_q(rows: DataFrame, key: str, column: str, leaf_rows: int = LEAF_ROWS, fan_in: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """``(key, q)`` and R of a tall matrix of packed rows: A = Q R, Q with orthonormal columns, R with a diagonal that is
+    not negative.
+
+    The same tree as :func:`tsqr`, but every node keeps its small Q.  Leaves of at most ``leaf_rows`` rows are factored where
+    they are read; ``fan_in`` triangles at a time are stacked and factored until one is left; then each node's Q, times
+    what its parent has for it, goes down again, and a leaf's Q times what it gets is its part of the whole Q.  Nothing is
+    divided by R, so Q is orthonormal whatever the condition of A.  Every level is written to the shared folder.
+
+    Rows need not have different keys.  Rows of different lengths, null rows and entries that are null are errors.  A matrix
+    with fewer rows than columns has as many columns of Q as rows; one without rows has an R without any.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    packed = rows.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("x"))
+    lengths = packed.agg(F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi"), F.count("*").alias("n"), F.coalesce(F.max(F.exists("x", lambda v: v.isNull() | F.isnan(v))), F.lit(False)).alias("bad"), F.count("x").alias("known")).first()
+    if not lengths["n"]:
+        return packed.select(F.col("key").alias(key), F.col("x").alias("q")), np.zeros((0, 0))
+    if lengths["lo"] != lengths["hi"] or lengths["known"] < lengths["n"] or lengths["bad"]:
+        raise ShapeError(f"rows of {lengths['lo']} to {lengths['hi']} entries, {lengths['n'] - lengths['known']} of them null")
+    width = lengths["hi"]
+
+    def leaves(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, len(batch), leaf_rows):
+                part = batch.iloc[at : at + leaf_rows]
+                q, r = np.linalg.qr(np.stack(part["x"].to_numpy()))
+                yield pd.DataFrame({"node": [(task << 32) + made], "keys": [[None if k is pd.NA else k for k in part["key"]]], "q": [q.tobytes()], "r": [r.tobytes()]})
+                made += 1
+
+    def stacked(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("node")
+        triangles = [_as_matrix(r, width) for r in parts["r"]]
+        q, r = np.linalg.qr(np.vstack(triangles))
+        ends = np.cumsum([len(t) for t in triangles])
+        blocks = [q[end - len(t) : end].tobytes() for t, end in zip(triangles, ends, strict=True)]
+        return pd.DataFrame({"child": parts["node"], "node": int(key[0]), "columns": q.shape[1], "q": blocks, "r": [r.tobytes()] + [None] * (len(parts) - 1)})
+
+    leaf = cut_lineage(map_batches(packed, leaves, f"node long, keys array<{kind}>, q binary, r binary"))
+    up, levels, n = leaf.select("node", "r"), [], leaf.count()
+    while n > 1:
+        groups = -(-n // fan_in)
+        level = up.withColumn("group", F.pmod(F.xxhash64("node"), F.lit(groups))).groupBy("group").applyInPandas(stacked, "child long, node long, columns int, q binary, r binary")
+        levels.append(cut_lineage(level))
+        up = levels[-1].filter("r is not null").select("node", "r")
+        n = up.count()
+    r = _as_matrix(up.first()["r"], width)
+    signs = np.where(np.diag(r) < 0, -1.0, 1.0)
+    down = rows.sparkSession.createDataFrame([(int(up.first()["node"]), len(signs), np.diag(signs).tobytes())], "node long, columns int, m binary")
+
+    def passed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            m = [(_as_matrix(q, k) @ _as_matrix(m, c)).tobytes() for q, k, m, c in zip(batch["q"], batch["columns"], batch["m"], batch["down_columns"], strict=True)]
+            yield pd.DataFrame({"node": batch["child"], "columns": batch["down_columns"], "m": m})
+
+    for level in reversed(levels):
+        above = down.select("node", F.col("columns").alias("down_columns"), "m")
+        down = cut_lineage(level.select("child", "node", "columns", "q").join(above, "node").mapInPandas(passed, "node long, columns int, m binary"))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a leaf at a time; its keys are passed on as they are
+                keys, q, m, columns = (batch.column(c).slice(i, 1) for c in ("keys", "q", "m", "columns"))
+                product = np.frombuffer(q[0].as_py(), dtype=np.float64).reshape(len(keys[0]), -1) @ _as_matrix(m[0].as_py(), columns[0].as_py())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([list(product)], pa.list_(pa.list_(pa.float64())))], ["keys", "q"])
+
+    found = leaf.select("node", "keys", "q").join(down, "node").mapInArrow(whole, f"keys array<{kind}>, q array<array<double>>")
+    each = found.select(F.explode(F.arrays_zip("keys", "q")).alias("row")).select(F.col("row.keys").alias(key), F.col("row.q").alias("q"))
+    return each, r * signs[:, None]

@@ -122,18 +122,21 @@ def matpow(a: Tensor, exponent: int) -> Tensor:
 
 def grams(rows: DataFrame, column: str, held: int = 1024) -> DataFrame:
     """``m, i, j, v``: X^T X of the packed rows of every ``m``.  Each task sums its own rows, with at most ``held``
-    matrices at once; what is shuffled is cells of partial sums, however many rows a matrix has."""
+    matrices at once; what is shuffled is cells of partial sums, however many rows a matrix has.
 
-    def cells(own: dict[int, np.ndarray]) -> pd.DataFrame:
-        at = [(np.full(g.size, m), *(k.ravel() for k in np.indices(g.shape)), g.ravel()) for m, g in own.items()]
-        return pd.DataFrame(dict(zip(("m", "i", "j", "v"), map(np.concatenate, zip(*at, strict=True)), strict=True)))
+    Null rows are left out.  Rows of one matrix that have different lengths are an error, whatever task they are in.
+    """
+
+    def cells(own: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
+        at = [(np.full(g.size, m), np.full(g.size, n), *(k.ravel() for k in np.indices(g.shape)), g.ravel()) for (m, n), g in own.items()]
+        return pd.DataFrame(dict(zip(("m", "n", "i", "j", "v"), map(np.concatenate, zip(*at, strict=True)), strict=True)))
 
     def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
+        own: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for m, part in batch.groupby("m"):
+            for at, part in batch.groupby(["m", batch["x"].map(len).rename("n")]):
                 x = np.stack(part["x"].to_numpy())
-                own[m] = own[m] + x.T @ x if m in own else x.T @ x
+                own[at] = own[at] + x.T @ x if at in own else x.T @ x
                 if len(own) >= held:
                     yield cells(own)
                     own = {}
@@ -141,7 +144,9 @@ def grams(rows: DataFrame, column: str, held: int = 1024) -> DataFrame:
             yield cells(own)
 
     packed = rows.select(F.col("m").cast("long").alias("m"), F.col(column).cast("array<double>").alias("x")).filter("x is not null")
-    return packed.mapInPandas(local, "m long, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+    sums = packed.mapInPandas(local, "m long, n int, i long, j long, v double").groupBy("m", "i", "j").agg(F.sum("v").alias("v"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    wrong = F.raise_error(F.concat(F.lit("rows of different lengths in matrix "), F.col("m").cast("string"))).cast("double")
+    return sums.select("m", "i", "j", F.when(F.col("lo") == F.col("hi"), F.col("v")).otherwise(wrong).alias("v"))
 
 
 def gram(rows: DataFrame, column: str) -> Tensor:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.tensor import ShapeError, Tensor, hinted
+from tessera.session import cut_lineage
+from tessera.tensor import SMALL, ShapeError, Tensor
 
 
 def from_csr(spark: SparkSession, values: list[float], columns: list[int], row_ptr: list[int], shape: tuple[int, int]) -> Tensor:
@@ -58,13 +59,35 @@ def to_csr(t: Tensor) -> DataFrame:
     return t.df.groupBy(F.col(i).alias("i")).agg(entry.alias("e")).select("i", F.col("e.j").alias("cols"), F.col("e.v").alias("vals"))
 
 
+HEAVY = 1 << 18  # entries of one column that meet in a task
+
+
+def _met(left: DataFrame, right: Tensor, names: tuple[str, ...]) -> DataFrame:
+    """Entries ``(i, _k, _a)`` with those of the dense side on ``_k``.
+
+    A small dense side goes to every task.  Otherwise a column of very many entries would meet in one task: such columns
+    are dealt out over as many salts as they have times ``HEAVY`` entries, and their part of the dense side is repeated once
+    for each salt.  All columns that are not heavy have one salt, so both kinds are one join.
+    """
+    cells = right.df.toDF("_k", *names, "_b")
+    if right.small:
+        return left.join(F.broadcast(cells), "_k")
+    sizes = left.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY).select("_k", F.ceil(F.col("_n") / HEAVY).cast("int").alias("_salts"))
+    # At most one heavy column for every HEAVY entries.  Few of them are broadcast, or else joined on keys that occur once.
+    sizes = cut_lineage(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(sizes, "_k", "left").withColumn("_salt", F.pmod(F.xxhash64("i"), salts).cast("int")).drop("_salts")
+    repeated = cells.join(sizes, "_k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(repeated, ["_k", "_salt"])
+
+
 def spmm(a: Tensor, b: Tensor, dense: bool = True) -> Tensor:
     """Sparse times dense ``[k, n]``.  Rows of a without entries give 0 in a dense result."""
     if a.shape[1] != b.shape[0]:
         raise ShapeError(f"{a.shape} x {b.shape}")
-    left = a.df.toDF("i", "_k", "_a")
-    right = hinted(b, b.df.toDF("_k", "j", "_b"))
-    out = Tensor(left.join(right, "_k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), (a.shape[0], b.shape[1]))
+    met = _met(a.df.toDF("i", "_k", "_a"), b, ("j",))
+    out = Tensor(met.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), (a.shape[0], b.shape[1]))
     return out.densify() if dense else out
 
 
@@ -72,8 +95,7 @@ def spmv(a: Tensor, x: Tensor, dense: bool = True) -> Tensor:
     """Sparse times a vector."""
     if a.shape[1] != x.shape[0]:
         raise ShapeError(f"{a.shape} x {x.shape}")
-    left = a.df.toDF("i", "_k", "_a")
-    out = Tensor(left.join(hinted(x, x.df.toDF("_k", "_b")), "_k").groupBy("i").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i",), (a.shape[0],))
+    out = Tensor(_met(a.df.toDF("i", "_k", "_a"), x, ()).groupBy("i").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i",), (a.shape[0],))
     return out.densify() if dense else out
 
 

@@ -39,6 +39,36 @@ def batch(df: DataFrame, reductions: dict[str, tuple[str, Column]], by: list[str
     return df.groupBy(*by).agg(*columns) if by else df.agg(*columns)
 
 
+@dataclass(frozen=True)
+class Reduction:
+    """One reduction of a mixed batch: what is reduced, and the axes that stay; none of them for a scalar."""
+
+    op: str
+    value: Column
+    keep: tuple[str, ...] = ()
+
+
+def mixed(df: DataFrame, reductions: dict[str, Reduction]) -> DataFrame:
+    """Scalar and axis reductions of one table together: ``name, <axes>, v``, where axes that do not stay are null.
+
+    One scan and one shuffle whatever the batch: grouping sets deal each row to every set of axes that some reduction
+    keeps, tasks add up their own rows, and only these sums are shuffled.  Without axes an empty table gives each scalar's
+    identity (a mean: null); with axes it gives no row.  An axis may hold nulls itself.
+    """
+    sets = list(dict.fromkeys(r.keep for r in reductions.values()))
+    axes = list(dict.fromkeys(a for keep in sets for a in keep))
+    if not axes:
+        whole = df.agg(*(aggregate(r.op, r.value).alias(name) for name, r in reductions.items()))
+        return whole.select(F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("v")) for name in reductions))))
+    # Bit k of the grouping id, from the left, is set where axis k is reduced.
+    ids = {keep: sum((axis not in keep) << (len(axes) - 1 - k) for k, axis in enumerate(axes)) for keep in sets}
+    columns = {name: f"_r{n}" for n, name in enumerate(reductions)}
+    grouped = df.groupingSets([[F.col(a) for a in keep] for keep in sets], *(F.col(a) for a in axes))
+    sums = grouped.agg(F.grouping_id().alias("_set"), *(aggregate(r.op, r.value).cast("double").alias(columns[name]) for name, r in reductions.items()))
+    own = [F.when(F.col("_set") == ids[r.keep], F.struct(F.lit(name).alias("name"), F.col(columns[name]).alias("v"))) for name, r in reductions.items()]
+    return sums.select(*axes, F.explode(F.array_compact(F.array(*own))).alias("_own")).select("_own.name", *axes, "_own.v")
+
+
 def tagged(plans: dict[str, DataFrame]) -> DataFrame:
     """Plans of one schema as one job, their order kept in ``plan``."""
     parts = [df.select(F.lit(n).alias("plan"), F.lit(name).alias("name"), *df.columns) for n, (name, df) in enumerate(plans.items())]

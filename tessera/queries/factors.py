@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import decomp, linalg
+from tessera.operators import blocked, decomp, linalg
 from tessera.session import cut_lineage
 from tessera.tensor import Tensor
 
@@ -125,6 +125,50 @@ def determinant_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sign_and_log(decomp.factor(_lopsided(spark, sf_dir), "slogdet"))
 
 
+def tall_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q R and Q^T Q of all embeddings as one tall matrix."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null").select("vec_id", "embedding")
+    q, r = decomp.thin_q(rows, "vec_id", "embedding")
+    q = cut_lineage(q)
+    back = linalg.matmul_rows(q, "q", Tensor.from_numpy(spark, r)).select(F.lit("qr").alias("part"), F.col("vec_id").alias("i"), F.posexplode("q").alias("j", "v"))
+    gram = linalg.gram(q, "q").df.select(F.lit("qtq").alias("part"), "i", "j", "v")
+    return back.unionByName(gram).select("part", "i", F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """One matrix with a row and a column for every supplier: the products of their quantities by part group, and a diagonal
+    that grows with the supplier."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.max("s_suppkey")).first()[0] + 1
+    sums = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 97).alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
+    b = Tensor(sums, ("i", "j"), (n, 97))
+    diagonal = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), (F.lit(1.0) + F.col("id") % 7).alias("v"))
+    product = linalg.matmul_blocked(b, b.rename(i="j", j="k").transpose()).df
+    return cut_lineage(product.unionByName(diagonal).groupBy("i", "j").agg(F.sum("v").alias("v"))), n
+
+
+def _upper(f: DataFrame) -> DataFrame:
+    """Cells of a factor's rows ``(k, u)``."""
+    return f.select(F.col("k"), F.posexplode("u").alias("_p", "v")).select("k", (F.col("k") + F.col("_p")).cast("long").alias("j"), "v")
+
+
+def large_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R^T R of the suppliers' matrix, whose rows stay in their tasks through all rounds."""
+    cells, n = _suppliers(spark, sf_dir)
+    r = Tensor(_upper(blocked.cholesky(blocked.rows_of(Tensor(cells, ("i", "j"), (n, n))), 64)), ("k", "j"), (n, n))
+    return linalg.matmul_blocked(r.transpose().rename(j="i"), r).df.select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+def large_lu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L U, its rows put back, of the suppliers' matrix with its lower triangle doubled and a small diagonal, so that rows change places."""
+    cells, n = _suppliers(spark, sf_dir)
+    lopsided = cells.withColumn("v", F.when(F.col("i") > F.col("j"), F.col("v") * 2).when(F.col("i") == F.col("j"), F.col("v") * 0.01234567).otherwise(F.col("v")))
+    f = cut_lineage(blocked.lu(blocked.rows_of(Tensor(lopsided, ("i", "j"), (n, n))), 64))
+    one = f.select("i", F.col("k"), F.lit(1.0).alias("v"))
+    lower = f.select("i", F.posexplode("l").alias("k", "v")).select("i", F.col("k").cast("long").alias("k"), "v").unionByName(one)
+    product = linalg.matmul_blocked(Tensor(lower, ("i", "k"), (n, n)), Tensor(_upper(f), ("k", "j"), (n, n)))
+    return product.densify().df.select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
 def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row in the place of the last costs one rank."""
     m = _lopsided(spark, sf_dir)
@@ -196,9 +240,16 @@ QUERIES = {
     "udu": _three("udu", "u", "d", False, diagonal=True), "bunch_kaufman": bunch_kaufman, "hessenberg": _three("hessenberg", "q", "h", True),
     "schur": _three("schur", "q", "t", True), "bidiagonal": _three("bidiagonal", "u", "b", True, right="v"), "svd": _three("svd", "u", "s", True, right="v", diagonal=True),
     "symmetric_eigen": _three("symmetric_eigen", "v", "w", False, diagonal=True), "inverse": inverse, "pseudo_inverse": pseudo_inverse, "determinant": determinant, "rank": rank,
-    "eigenvalue_sums": eigenvalue_sums, "solve": solve, "least_squares": least_squares, "tall_qr": tall_qr, "tall_least_squares": tall_least_squares, "matrix_exponential": matrix_exponential,
+    "eigenvalue_sums": eigenvalue_sums, "solve": solve, "least_squares": least_squares, "tall_qr": tall_qr, "tall_q": tall_q, "large_cholesky": large_cholesky, "large_lu": large_lu, "tall_least_squares": tall_least_squares, "matrix_exponential": matrix_exponential,
 }
+SUPPLIERS = """b AS (SELECT l_suppkey AS i, l_partkey % 97 AS k, sum(l_quantity) / 100 AS v FROM lineitem GROUP BY ALL), n AS (SELECT unnest(range(0, (SELECT max(s_suppkey) + 1 FROM supplier))) AS i),
+    p AS (SELECT a.i, c.i AS j, sum(a.v * c.v) AS v FROM b a JOIN b c ON a.k = c.k GROUP BY ALL),
+    s AS (SELECT x.i, y.i AS j, coalesce(p.v, 0) + CASE WHEN x.i = y.i THEN 1 + x.i % 7 ELSE 0 END AS v FROM n x CROSS JOIN n y LEFT JOIN p ON p.i = x.i AND p.j = y.i)"""
 ORACLES = {
+    "tall_q": """SELECT 'qr' AS part, vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, round(unnest(embedding)::DOUBLE, 6) + 0 AS v FROM embeddings WHERE embedding IS NOT NULL
+        UNION ALL SELECT 'qtq', a.range, b.range, (a.range = b.range)::INT::DOUBLE FROM range((SELECT max(len(embedding)) FROM embeddings)) a CROSS JOIN range((SELECT max(len(embedding)) FROM embeddings)) b""",
+    "large_cholesky": f"WITH {SUPPLIERS} SELECT i, j, round(v, 4) + 0 AS v FROM s",
+    "large_lu": f"WITH {SUPPLIERS} SELECT i, j, round(CASE WHEN i > j THEN 2 * v WHEN i = j THEN v * 0.01234567 ELSE v END, 4) + 0 AS v FROM s",
     **dict.fromkeys(("lu", "full_piv_lu", "qr", "col_piv_qr", "hessenberg", "schur", "bidiagonal", "svd", "pseudo_inverse"), A_LOP),
     **dict.fromkeys(("cholesky", "udu", "bunch_kaufman", "symmetric_eigen"), A_SPD),
     "inverse": f"WITH {SPD} SELECT m, i, j, (i = j)::INT::DOUBLE AS v FROM s",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import linalg, reduce, scan
-from tessera.plans import batch, stream
+from tessera.plans import Reduction, batch, mixed, stream
 from tessera.queries.elementwise import CELLS
 from tessera.sources import from_packed, from_table
 from tessera.tensor import Tensor
@@ -123,6 +123,17 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag", F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long").alias("day")).agg(F.sum("l_quantity").alias("v"))
 
 
+def mixed_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar, two axes of each kind and a pair of axes from one scan of the embeddings' cells."""
+    v = F.col("v")
+    cells = _embeddings(spark, sf_dir).df
+    found = mixed(cells, {
+        "total": Reduction("sum", v), "largest": Reduction("max", F.abs(v)), "column_mean": Reduction("mean", v, ("j",)), "column_squares": Reduction("sum", v * v, ("j",)),
+        "row_least": Reduction("min", v, ("i",)), "row_squares": Reduction("sum", v * v, ("i",)),
+    })
+    return found.select("name", F.coalesce("i", F.lit(-1)).cast("long").alias("i"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+
+
 def cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(_daily(spark, sf_dir), ["l_returnflag"], "day").select("l_returnflag", "day", "scan")
 
@@ -167,7 +178,7 @@ def _scan_sql(fn: str, value: str, order: str, digits: bool = False) -> str:
 QUERIES = {
     f.__name__: f
     for f in (flagship_axis_sum, full_reduction, full_product, empty_reduction, axis_reduction_0, axis_reduction_1, grouped_axis, generic_axis, dot_product, vector_norms,
-              matrix_trace, mixed_batch, cumsum, suffix_sum, cumprod, suffix_prod, running_max, long_line_scan, long_line_suffix, associative_axis,
+              matrix_trace, mixed_batch, mixed_axes, cumsum, suffix_sum, cumprod, suffix_prod, running_max, long_line_scan, long_line_suffix, associative_axis,
               associative_scan, tall_scan)
 }
 ORACLES = {
@@ -182,6 +193,10 @@ ORACLES = {
     "dot_product": "SELECT sum(q * n)::DOUBLE AS dot FROM (SELECT sum(l_quantity) AS q, sum(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)",
     "vector_norms": "SELECT round(sum(abs(c_acctbal)), 4) AS norm_l1, round(sqrt(sum(c_acctbal * c_acctbal)), 4) AS norm_l2, round(max(abs(c_acctbal)), 4) AS norm_max FROM customer",
     "matrix_trace": f"SELECT round(sum(v * v), 6) AS trace FROM ({CELLS})",
+    "mixed_axes": """WITH e AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+        SELECT 'total' AS name, -1::BIGINT AS i, -1::BIGINT AS j, round(sum(v), 6) + 0 AS v FROM e UNION ALL SELECT 'largest', -1, -1, round(max(abs(v)), 6) + 0 FROM e
+        UNION ALL SELECT 'column_mean', -1, j, round(avg(v), 6) + 0 FROM e GROUP BY j UNION ALL SELECT 'column_squares', -1, j, round(sum(v * v), 6) + 0 FROM e GROUP BY j
+        UNION ALL SELECT 'row_least', i, -1, round(min(v), 6) + 0 FROM e GROUP BY i UNION ALL SELECT 'row_squares', i, -1, round(sum(v * v), 6) + 0 FROM e GROUP BY i""",
     "mixed_batch": "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS gross, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(sum(l_discount * l_discount), 2) AS squares, round(max(l_extendedprice), 2) AS largest FROM lineitem GROUP BY l_returnflag",
     "cumsum": _scan_sql("sum", "v", ""),
     "suffix_sum": _scan_sql("sum", "v", " DESC"),

@@ -64,8 +64,8 @@ class Tensor:
 
     @property
     def small(self) -> bool:
-        """Whether every task may hold all of it."""
-        return math.prod(self.shape) <= SMALL
+        """Whether every task may hold all of it.  An axis of length 0 is one whose length was not given: it may be long."""
+        return 0 < math.prod(self.shape) <= SMALL
 
     # -- views ---------------------------------------------------------------------------------------------------
 
