@@ -31,7 +31,7 @@ PERMS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 JACCARD = 0.8
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 PAIRS = 16_384
 _BLOCK = 1024
 
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk_bytes: in
     both = dealt.join(second, ["b", "salt"]).join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "hashes", "other")
 
     def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[i : i + 1024] for b in batches for i in range(0, len(b), 1024)):
             keep = [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(batch["hashes"], batch["other"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
