@@ -2,16 +2,19 @@
 
 A page is read once into a tree of elements and blocks of text with the tags between them.  Every word of a block has the
 same score, the log odds, squeezed into (-1, 1), that such a block is content; every tag has a negative score.  One
-linear scan finds the contiguous run of words and tags with the largest sum: the content region.  Blocks next to it that
-look like content belong to it too (a headline of one word does not pay for its tags), and so do content blocks beyond
-an advert within a container of the region; blocks within it that look like boilerplate do not.
+linear scan finds the contiguous run of words and tags with the largest sum: the content region.  It grows to the element
+that holds it, where that element scores above 0 itself.  A second scan, over the region with the signs changed, finds all
+runs of boilerplate within it, and they are cut out.  Nothing else decides: content beyond more boilerplate than it is
+worth is left out, unless one element holds both.
 
 The weights come from labelled pages: :func:`labelled_pages` makes small pages in many layouts whose fragments are
 marked as content or not, and :func:`learn` fits a logistic model on
 
 * the tags, classes, ids and roles above a block.  Those of a *wrapper* say nothing: the article, whatever holds it, or, on
   pages without an article, what holds most of the words (``<body class="has-sidebar">``, ``<article class="post
-  comments-open">``).  Names that the labelled pages do not have count as unknown ones;
+  comments-open">``).  Names that the labelled pages do not have count as unknown ones.  The words of a name with three or
+  more, or with a joining word (``comment-on-law``), are features of their own kind, which say less than
+  ``user-comment``: content has such names too;
 * its share of link words, its length, whether it reads like a sentence, whether a small container with an unknown name
   holds it, and whether it lies inside the article, or outside that of a page that has one.
 
@@ -56,6 +59,7 @@ _UNSHOWN = frozenset("datalist noscript select svg template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+_JOINING = frozenset("a an and at by de for from in la of on or the to with".split())
 _BOX = frozenset("div section ul ol dl table aside".split())
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*$")
@@ -192,8 +196,10 @@ def _own(attributes: str) -> frozenset[str]:
         if key == "hidden" or (key == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
             out.add("hidden")
         elif key in ("class", "id", "role"):
-            kind = "role" if key == "role" else "name"
-            out.update(f"{kind}:{x}" for x in _PART.findall((a or b or c).lower()))
+            for token in (a or b or c).lower().split():
+                parts = _PART.findall(token)
+                kind = "role" if key == "role" else "part" if len(parts) > 2 or not _JOINING.isdisjoint(parts) else "name"
+                out.update(f"{kind}:{x}" for x in parts)
     return frozenset(out)
 
 
@@ -230,7 +236,7 @@ def features(page: Page, known: frozenset[str]) -> list[tuple[frozenset[str], tu
         if tag not in _INLINE and f"tag:{tag}" in known and not (tag == "header" and inside[e]):
             own.add(f"tag:{tag}")
         above[e] = above[up] if own <= above[up] else above[up] | own
-        strange = any(x.startswith("name:") for x in names) and not (own & names)
+        strange = any(x.startswith(("name:", "part:")) for x in names) and not (own & names)
         boxed[e] = boxed[up] or (strange and tag in _BOX and 4 * words[e] < words[0])
     out = []
     for b in page.blocks:
@@ -254,7 +260,7 @@ _NAMES = """nav navbar navigation menu breadcrumb breadcrumbs header masthead ba
     subscribe subscription signup login register account paywall pagination pager rail teaser form""".split()
 _SHAPES = [
     '<div class="X">{}</div>', '<div id="X"><p>{}</p></div>', '<p class="X">{}</p>', '<section class="X"><h3>{}</h3><p>{}</p></section>', '<ul class="X"><li>{}</li><li>{}</li></ul>',
-    '<div class="X"><a href="/a">{}</a></div>', '<div class="user-X box"><div><p>{}</p></div></div>', '<ol id="X"><li><p>{}</p></li></ol>', '<div class="post-X"><h4>{}</h4><span>{}</span></div>',
+    '<div class="X"><a href="/a">{}</a></div>', '<div class="site-X-area"><p>{}</p></div>', '<div class="user-X box"><div><p>{}</p></div></div>', '<ol id="X"><li><p>{}</p></li></ol>', '<div class="post-X"><h4>{}</h4><span>{}</span></div>',
 ]
 _PLAIN = [
     '<header><a href="/">{}</a></header>', '<header><p>{}</p></header>', '<nav><ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li></ul></nav>', '<nav><p>{}</p></nav>',
@@ -272,6 +278,8 @@ _BODIES = [
     '<article><h1>{}</h1><section class="zz"><h2>{}</h2><p>{}</p></section><section class="zz"><p>{}</p><p>{}</p></section>~<section class="zz"><h3>{}</h3><p>{}</p></section></article>',
     '<div class="content"><h1>{}</h1><div class="zz"><p>{}</p></div><div class="zz"><p>{}</p></div><div class="zz">{}</div>~<div class="zz"><p>{}</p></div><div class="zz"><h4>{}</h4><span>{}</span></div></div>',
     '<main><h1>{}</h1><p>{}</p><h3>{}</h3><ul><li>{}</li><li>{}</li><li>{}</li></ul>~<h4>{}</h4><p>{}</p><dl><dt>{}</dt><dd>{}</dd></dl></main>',
+    '<article><h1>{}</h1><p class="X-on-zz">{}</p><p>{}</p>~<p class="zz-for-X">{}</p><p>{}</p></article>', '<article><h2>{}</h2><div class="the-X-zz"><p>{}</p><p>{}</p></div>~<div class="zz-and-X"><p>{}</p></div></article>',
+    '<div class="post"><h1>{}</h1><p class="about-the-X">{}</p>~<p>{}</p><p id="X-with-zz">{}</p></div>',
     '<article><h1>{}</h1><p>{}</p><ul class="zz"><li>{}</li><li>{}</li></ul>~<h3>{}</h3><ol><li>{}</li><li>{}</li></ol><table><tr><th>{}</th><td>{}</td></tr></table></article>',
 ]
 _SLOT = re.compile(r"<(\w+)[^<>]*>\{\}")
@@ -289,13 +297,14 @@ def _filled(fragment: str, content: bool, rng: random.Random) -> str:
     return _SLOT.sub(words, fragment)
 
 
-def labelled_pages(names: list[str] = _NAMES, seed: int = 5) -> Iterator[tuple[str, list[bool]]]:
+def labelled_pages(names: list[str] = _NAMES, seed: int = 5, shapes: list[str] = _SHAPES) -> Iterator[tuple[str, list[bool]]]:
     """Pages, and for each of their blocks whether it is content: every name in every shape, and every plain fragment,
     before, within and after some body.  Some names are replaced by unknown ones, for names to come."""
     rng = random.Random(seed)
-    fragments = [shape.replace("X", name) for name in names for shape in _SHAPES] + _PLAIN * 6
+    fragments = [shape.replace("X", name) for name in names for shape in shapes] + _PLAIN * 6
     for i, fragment in enumerate(f for f in fragments for _ in range(3)):
-        first, second = _BODIES[(i * 7 + i // len(_BODIES)) % len(_BODIES)].split("~")
+        body = re.sub(r"\bX\b", lambda _: rng.choice(names), _BODIES[(i * 7 + i // len(_BODIES)) % len(_BODIES)])
+        first, second = body.split("~")
         other = fragments[(i * 31 + 17) % len(fragments)]
         if rng.random() < 0.1:
             fragment = re.sub(r"(class|id)=\"[^\"]*\"", r'\1="zz"', fragment)
@@ -343,7 +352,7 @@ class _Known(frozenset):
     """While learning, every name but the hidden one is known."""
 
     def __contains__(self, name: object) -> bool:
-        return name != "name:zz"
+        return name not in ("name:zz", "part:zz")
 
 
 def log_odds(page: Page, model: Model) -> list[float]:
@@ -359,39 +368,99 @@ def log_odds(page: Page, model: Model) -> list[float]:
     return [bias + total(above) + total(like) for above, like in features(page, known)]
 
 
+FLOOR = 12.0
+SURE = 0.5
+
+
+def scores(tree: Page, odds: list[float], tag: float) -> tuple[list[float], list[float]]:
+    """Of every block the score of its words and that of the tags before it.
+
+    A block counts at most ``FLOOR`` against the run that it lies in, however long it is: an advert or a list of comments
+    within an article does not part it.
+    """
+    return [max(b.words * float(np.tanh(o / 2)), -FLOOR) for b, o in zip(tree.blocks, odds, strict=True)], [tag * b.tags for b in tree.blocks]
+
+
+def best_run(words: list[float], tags: list[float]) -> tuple[int, int]:
+    """The contiguous run of blocks ``[first, last)`` with the largest sum of words and of the tags between them; the tags
+    before its first block do not count.  Empty if no block scores above 0; of equal runs the first that ends, as short as
+    can be.  One linear scan: the best run that ends here either goes on or starts anew."""
+    best, run, start, found = 0.0, 0.0, 0, (0, 0)
+    for i, (w, t) in enumerate(zip(words, tags, strict=True)):
+        run += t
+        if run <= 0:
+            run, start = 0.0, i
+        run += w
+        if run > best:
+            best, found = run, (start, i + 1)
+    return found
+
+
+def maximal_runs(values: list[float]) -> list[tuple[int, int, float]]:
+    """All disjoint runs ``(first, last, sum)`` with a sum that no longer or shorter run in their place exceeds, in linear
+    time (Ruzzo and Tompa, "A Linear Time Algorithm for Finding All Maximal Scoring Subsequences")."""
+    held: list[tuple[int, int, float, float]] = []  # first, last, and the sums of all values before it and to its end
+    total = 0.0
+    for i, v in enumerate(values):
+        before, total = total, total + v
+        if v <= 0:
+            continue
+        run = (i, i + 1, before, total)
+        while True:
+            k = len(held) - 1
+            while k >= 0 and held[k][2] >= run[2]:
+                k -= 1
+            if k < 0 or held[k][3] >= run[3]:
+                break
+            run = (held[k][0], run[1], held[k][2], run[3])
+            del held[k:]
+        held.append(run)
+    return [(a, b, high - low) for a, b, low, high in held]
+
+
+def grown(tree: Page, first: int, last: int, words: list[float]) -> tuple[int, int]:
+    """The run, grown to all blocks of the smallest element around the elements of its blocks: a headline of one word or a last
+    line after an advert does not pay for the tags before it.  Not to the whole page, nor to an element whose blocks score
+    below 0 together."""
+    if first == last:
+        return first, last
+    holder = tree.parent[tree.blocks[first].base]
+    for b in tree.blocks[first + 1 : last]:
+        other = tree.parent[b.base]
+        while holder != other:  # parents have smaller numbers
+            holder, other = (tree.parent[holder], other) if holder > other else (holder, tree.parent[other])
+    if tree.tag[holder] in ("", "html", "body"):
+        return first, last
+    inside = [False] * len(tree.tag)
+    inside[holder] = True
+    for e in range(holder + 1, len(inside)):
+        inside[e] = inside[tree.parent[e]]
+    within = [i for i, b in enumerate(tree.blocks) if inside[b.base]]
+    return (min(within), max(within) + 1) if sum(words[i] for i in within) > 0 else (first, last)
+
+
+def content(tree: Page, odds: list[float], tag: float) -> list[int]:
+    """The blocks of the main text: those of the best run, less the runs of boilerplate within it.
+
+    Both are the same kind of scan.  The first finds the region, so what lies beyond more boilerplate than it is worth does
+    not count, whatever it looks like, unless the same element holds it (:func:`grown`).  The second runs over the region with signs changed: what it finds is cut out if it
+    scores more than ``SURE``, so a short block that only may be boilerplate stays with the text around it, and a
+    block between two of boilerplate goes with them if it is worth less than either.
+    """
+    words, tags = scores(tree, odds, tag)
+    first, last = grown(tree, *best_run(words, tags), words)
+    out = [True] * (last - first)
+    for a, b, total in maximal_runs([-w for w in words[first:last]]):
+        if total > SURE:
+            out[a:b] = [False] * (b - a)
+    return [first + i for i, stays in enumerate(out) if stays]
+
+
 def extract(page: str | None, model: Model | None = None) -> str:
     """The main text of a page, by these weights or the learned ones."""
     model = model or learn()
     tree = read(page or "")
-    found, odds, tag = tree.blocks, log_odds(tree, model), model[2]
-    # The linear scan: the best run that ends here either goes on or starts anew.
-    best, run, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (b, o) in enumerate(zip(found, odds, strict=True)):
-        run += tag * b.tags
-        if run < 0:
-            run, start = 0.0, i
-        run += b.words * float(np.tanh(o / 2))
-        if run > best:
-            best, region = run, (start, i + 1)
-        elif run < 0:
-            run, start = 0.0, i + 1
-    first, last = region
-    # Content goes on in the blocks next to the region, and beyond boilerplate in blocks within the same containers.
-    around = {tree.parent[b.base] for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0}
-    held = [e in around and tree.tag[e] not in ("", "html", "body") for e in range(len(tree.tag))]
-    for e in range(1, len(held)):
-        held[e] = held[e] or held[tree.parent[e]]
-
-    def goes_on(b: Block) -> bool:
-        return tree.parent[b.base] in around or held[b.base]
-
-    for i in range(first - 1, -1, -1) if around else ():
-        if odds[i] > 0 and (i == first - 1 or goes_on(found[i])):
-            first = i
-    for i in range(last, len(found)) if around else ():
-        if odds[i] > 0 and (i == last or goes_on(found[i])):
-            last = i + 1
-    texts = (_SPACE.sub(" ", entities.unescape("".join(b.text))).strip() for b, o in zip(found[first:last], odds[first:last], strict=True) if o > 0)
+    texts = (_SPACE.sub(" ", entities.unescape("".join(tree.blocks[i].text))).strip() for i in content(tree, log_odds(tree, model), model[2]))
     return "\n".join(t for t in texts if t)
 
 
