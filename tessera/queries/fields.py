@@ -9,7 +9,7 @@ from tessera.operators import field, random
 from tessera.tensor import Tensor
 
 NX, NY = 2600, 20
-BOX = (48, 40, 36)
+LEAST, BOX, SPACING = 40, (40, 36), (0.5, 1.0, 2.0)
 FIRST_DAY = "1990-01-01"
 
 
@@ -27,12 +27,20 @@ def _laplacian(boundary: str, polarity: float = 1.0):
     return query
 
 
+def _box(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Line items' quantities on a grid that is the longer the more orders there are: only cells that have some."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = max(LEAST, items.agg(F.max("l_orderkey")).first()[0] // 500 + 3)
+    place = (F.floor(F.col("l_orderkey") / 500).alias("x"), (F.col("l_partkey") % BOX[0]).alias("y"), (F.col("l_suppkey") % BOX[1]).alias("z"))
+    return items.groupBy(*place).agg((F.sum("l_quantity") / 64).alias("p")), (n, *BOX)
+
+
 def fdtd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two acoustic steps on a box whose pressure comes from line items."""
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*((F.col(c) % n).alias(a) for c, n, a in zip(("l_orderkey", "l_partkey", "l_suppkey"), BOX, "xyz", strict=True))).agg((F.sum("l_quantity") / 64).alias("p"))
-    box = Tensor.full(spark, BOX, 0.0, ("x", "y", "z")).df.drop("v").join(p, ["x", "y", "z"], "left")
+    """Four acoustic steps in one shuffle, on a grid with a spacing of its own along each axis; pressure comes from line items."""
+    p, shape = _box(spark, sf_dir)
+    box = Tensor.full(spark, shape, 0.0, ("x", "y", "z")).df.drop("v").join(p, ["x", "y", "z"], "left")
     cells = box.select("x", "y", "z", F.coalesce("p", F.lit(0.0)).alias("p"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")), F.lit(2.0).alias("rho"), F.lit(1.5).alias("c"))
-    return field.fdtd(cells, BOX, 0.25, 0.5, 2).select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "vx", "vy", "vz")))
+    return field.fdtd(cells, shape, 0.125, SPACING, 4).select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "vx", "vy", "vz")))
 
 
 def ray_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +53,18 @@ def ray_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field.ray_integrals(ramp, (65, 5, 5), (0.0, 0.0, 0.0), 2.0, rays, 1.0).select("ray", F.round("v", 6).alias("v"))
 
 
+def ray_integrals_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ray along the orders for each customer, through line items on a grid whose axes have spacings of their own: with one
+    midpoint between two samples the integral is the sum of their means."""
+    p, shape = _box(spark, sf_dir)
+    samples = p.select(*(F.col(a).alias("i" + a) for a in "xyz"), F.col("p").alias("v"))
+    rays = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").alias("ray"), F.lit(-1.0).alias("ox"), (F.col("c_custkey") % BOX[0] * SPACING[1]).alias("oy"), (F.col("c_nationkey") % BOX[1] * SPACING[2]).alias("oz"),
+        F.lit(3.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"),
+    )
+    return field.ray_integrals(samples, shape, (0.0, 0.0, 0.0), SPACING, rays, SPACING[0]).select("ray", (F.round("v", 4) + 0.0).alias("v"))
+
+
 def random_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for seeded tensors: ranges, repeatability whatever the partitions, seeds that differ, moments."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
@@ -79,33 +99,36 @@ def _laplacian_sql(boundary: str, polarity: int = 1) -> str:
     return f"WITH {GRID} SELECT x, y, {polarity} * ({_second_sql('x', 'y', NX, 0.25, boundary)} + {_second_sql('y', 'x', NY, 4.0, boundary)}) AS v FROM g"
 
 
-_INSIDE = " AND ".join(f"{a} > 0 AND {a} < {n - 1}" for a, n in zip("xyz", BOX, strict=True))
+_LENGTH = f"(SELECT greatest({LEAST}, max(l_orderkey) // 500 + 3) FROM lineitem)"
+_ITEMS = f"q AS (SELECT l_orderkey // 500 AS x, l_partkey % {BOX[0]} AS y, l_suppkey % {BOX[1]} AS z, sum(l_quantity) / 64 AS p FROM lineitem GROUP BY ALL)"
+_INSIDE = " AND ".join(f"{a} > 0 AND {a} < {n} - 1" for a, n in zip("xyz", (_LENGTH, *BOX), strict=True))
 
 
 def _slope(column: str, a: str) -> str:
     rest = ", ".join(o for o in "xyz" if o != a)
     w = f"OVER (PARTITION BY {rest} ORDER BY {a})"
-    return f"(lead({column}) {w} - lag({column}) {w}) / 1.0::DOUBLE"
+    return f"(lead({column}) {w} - lag({column}) {w}) / {2 * SPACING['xyz'.index(a)]}::DOUBLE"
 
 
 def _step_sql(n: int) -> str:
-    velocity = ", ".join(f"CASE WHEN {_INSIDE} THEN v{a} - 0.125 * {_slope('p', a)} ELSE 0 END AS v{a}" for a in "xyz")
+    velocity = ", ".join(f"CASE WHEN {_INSIDE} THEN v{a} - 0.0625 * {_slope('p', a)} ELSE 0 END AS v{a}" for a in "xyz")
     return f"""v{n} AS (SELECT x, y, z, p, {velocity} FROM s{n - 1}),
-        s{n} AS (SELECT x, y, z, CASE WHEN {_INSIDE} THEN p - 0.25 * 2 * 2.25 * ({' + '.join(_slope('v' + a, a) for a in 'xyz')}) ELSE 0 END AS p, vx, vy, vz FROM v{n})"""
+        s{n} AS (SELECT x, y, z, CASE WHEN {_INSIDE} THEN p - 0.125 * 2 * 2.25 * ({' + '.join(_slope('v' + a, a) for a in 'xyz')}) ELSE 0 END AS p, vx, vy, vz FROM v{n})"""
 
 
 QUERIES = {
     "laplacian_dirichlet": _laplacian("dirichlet"), "laplacian_periodic": _laplacian("periodic"), "laplacian_neumann": _laplacian("neumann", -1.0),
-    **{f.__name__: f for f in (fdtd, ray_integrals, random_contract)},
+    **{f.__name__: f for f in (fdtd, ray_integrals, ray_integrals_items, random_contract)},
 }
 ORACLES = {
     "laplacian_dirichlet": _laplacian_sql("dirichlet"),
     "laplacian_periodic": _laplacian_sql("periodic"),
     "laplacian_neumann": _laplacian_sql("neumann", -1),
-    "fdtd": f"""WITH q AS (SELECT l_orderkey % {BOX[0]} AS x, l_partkey % {BOX[1]} AS y, l_suppkey % {BOX[2]} AS z, sum(l_quantity) / 64 AS p FROM lineitem GROUP BY ALL),
-        s0 AS (SELECT x.range AS x, y.range AS y, z.range AS z, coalesce(q.p, 0)::DOUBLE AS p, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 0::DOUBLE AS vz
-            FROM range({BOX[0]}) x CROSS JOIN range({BOX[1]}) y CROSS JOIN range({BOX[2]}) z LEFT JOIN q ON q.x = x.range AND q.y = y.range AND q.z = z.range),
-        {_step_sql(1)}, {_step_sql(2)} SELECT x, y, z, round(p, 6) + 0 AS p, round(vx, 6) + 0 AS vx, round(vy, 6) + 0 AS vy, round(vz, 6) + 0 AS vz FROM s2""",
+    "fdtd": f"""WITH {_ITEMS}, s0 AS (SELECT x.range AS x, y.range AS y, z.range AS z, coalesce(q.p, 0)::DOUBLE AS p, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 0::DOUBLE AS vz
+            FROM range({_LENGTH}) x CROSS JOIN range({BOX[0]}) y CROSS JOIN range({BOX[1]}) z LEFT JOIN q ON q.x = x.range AND q.y = y.range AND q.z = z.range),
+        {", ".join(map(_step_sql, range(1, 5)))} SELECT x, y, z, round(p, 6) + 0 AS p, round(vx, 6) + 0 AS vx, round(vy, 6) + 0 AS vy, round(vz, 6) + 0 AS vz FROM s4""",
+    "ray_integrals_items": f"""WITH {_ITEMS}, w AS (SELECT y, z, sum(CASE WHEN x = 0 OR x = {_LENGTH} - 1 THEN p / 2 ELSE p END) * {SPACING[0]} AS v FROM q GROUP BY ALL)
+        SELECT c_custkey AS ray, round(coalesce(w.v, 0)::DOUBLE, 4) + 0 AS v FROM customer LEFT JOIN w ON w.y = c_custkey % {BOX[0]} AND w.z = c_nationkey % {BOX[1]}""",
     "ray_integrals": "SELECT c_custkey AS ray, CASE WHEN c_nationkey * 0.5 <= 8 THEN 43.52 ELSE 0 END::DOUBLE AS v FROM customer",
     "random_contract": "SELECT 2 * count(*) AS n, true AS within, true AS repeatable, true AS seeded, true AS uniform_mean, true AS normal_mean, true AS normal_deviation FROM lineitem",
 }
