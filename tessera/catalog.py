@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import elementwise, factors, fields, networks, products, reductions, solvers
+from tessera.queries import elementwise, factors, fields, networks, products, reductions, solvers, streams
 
-_PARTS = (reductions, elementwise, products, networks, fields, factors, solvers)
+_PARTS = (reductions, elementwise, products, networks, fields, factors, solvers, streams)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 #: Queries without SQL.
