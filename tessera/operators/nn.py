@@ -85,8 +85,9 @@ def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, di
     return Tensor(out.df.join(F.broadcast(each) if out_channels <= SMALL else each, "o").select("b", "o", *axes, (F.col("v") + F.col("_bias")).alias("v")), out.dims, out.shape)
 
 
-def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad, dilation, transposed: bool = False, extra=()) -> dict[str, DataFrame]:
-    """Gradients for input, weight and bias: the pairs of the forward pass joined with the upstream gradient."""
+def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad, dilation, transposed: bool = False, extra=(), wanted: tuple[str, ...] = ("input", "weight", "bias")) -> dict[str, DataFrame]:
+    """Gradients for those of input, weight and bias that are wanted: the pairs of the forward pass joined with the upstream
+    gradient; the bias needs no pairs."""
     axes = AXES[: len(inputs.shape) - 2]
     plan = ConvPlan(inputs.shape[2:], weight.shape[2:], tuple(stride), tuple(pad), tuple(dilation), tuple(extra), transposed)
     if upstream.shape[2:] != plan.out:
@@ -95,11 +96,14 @@ def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad,
     met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v")))
     up = upstream.df.toDF("b", "o", *("q" + a for a in axes), "_g")
     paired = met.join(up, ["b", "o", *("q" + a for a in axes)])
-    return {
+    found = {
         "input": paired.groupBy("b", "c", *axes).agg(F.sum(F.col("_g") * F.col("_w")).alias("v")),
         "weight": paired.groupBy(o, c, *("k" + a for a in axes)).agg(F.sum(F.col("_g") * F.col("_in")).alias("v")),
         "bias": up.groupBy("o").agg(F.sum("_g").alias("v")),
     }
+    if not wanted or set(wanted) - set(found):
+        raise ShapeError(f"gradients of {wanted}")
+    return {part: found[part] for part in wanted}
 
 
 def accumulate(target: DataFrame, gradient: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,11 +145,11 @@ def attention(q: Tensor, k: Tensor, v: Tensor, scale: float | None = None, causa
     return Tensor(cells, ("b", "q", "e"), (q.shape[0], q.shape[1], v.shape[2])).densify()
 
 
-def attention_backward(q: Tensor, k: Tensor, v: Tensor, upstream: Tensor, scale: float, causal: bool = False, keep: DataFrame | None = None, block: int = 1024) -> dict[str, DataFrame]:
-    """Gradients ``b, p, d, v`` for Q, K and V."""
+def attention_backward(q: Tensor, k: Tensor, v: Tensor, upstream: Tensor, scale: float, causal: bool = False, keep: DataFrame | None = None, block: int = 1024, wanted: str = "qkv") -> dict[str, DataFrame]:
+    """Gradients ``b, p, d, v`` for those of Q, K and V that are wanted; the others are not computed."""
     queries, keys = _sides(q, k, v, keep)
-    found = cut_lineage(_gradients(queries.join(_packed(upstream, "g"), ["b", "p"]), keys, scale, causal, block))
-    return {part: found.filter(F.col("part") == part).drop("part") for part in "qkv"}
+    found = cut_lineage(_gradients(queries.join(_packed(upstream, "g"), ["b", "p"]), keys, scale, causal, block, wanted))
+    return {part: found.filter(F.col("part") == part).drop("part") for part in wanted}
 
 
 MERGE = 32  # partial results of one block that meet in a task
@@ -271,8 +275,10 @@ def _cells(sums: DataFrame) -> DataFrame:
     return sums.select("b", F.col("p").alias("q"), F.posexplode("o").alias("e", "v")).select("b", "q", F.col("e").cast("long").alias("e"), "v")
 
 
-def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int) -> DataFrame:
+def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool, block: int, wanted: str = "qkv") -> DataFrame:
     """``part, b, p, d, v`` of queries ``(b, p, q, g)`` and keys ``(b, p, k, v)``."""
+    if not wanted or set(wanted) - set("qkv"):
+        raise ShapeError(f"gradients of {wanted}")
     queries, dealt = cut_lineage(queries), _deal(cut_lineage(keys), block)
     dot = F.aggregate(F.zip_with("g", "o", lambda g, o: g * o), F.lit(0.0), lambda s, t: s + t)
     sums = _block_sums(_deal(queries.drop("g"), block), dealt, scale, causal)
@@ -281,9 +287,10 @@ def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool,
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, g, k, v = _of_block(left, "q"), _of_block(left, "g"), _of_block(right, "key_k", "key_p"), _of_block(right, "key_v", "key_p")
         w = _weights(left, right, scale, causal)
-        ds = w * (g @ v.T - left["mean"].iloc[0][:, None]) * scale
-        found = [("q", *key[1:], left["p"].iloc[0], ds @ k), ("k", *key[:0:-1], right["key_p"].iloc[0], ds.T @ q), ("v", *key[:0:-1], right["key_p"].iloc[0], w.T @ g)]
-        return pd.DataFrame([(part, key[0], own, other, p, x.ravel()) for part, own, other, p, x in found], columns=["part", "b", "own", "other", "p", "x"])
+        ds = w * (g @ v.T - left["mean"].iloc[0][:, None]) * scale if wanted != "v" else None
+        own = {"q": (*key[1:], left["p"].iloc[0]), "k": (*key[:0:-1], right["key_p"].iloc[0]), "v": (*key[:0:-1], right["key_p"].iloc[0])}
+        make = {"q": lambda: ds @ k, "k": lambda: ds.T @ q, "v": lambda: w.T @ g}
+        return pd.DataFrame([(part, key[0], *own[part], make[part]().ravel()) for part in wanted], columns=["part", "b", "own", "other", "p", "x"])
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "b": [key[1]], "own": [key[2]], "other": [key[3]], "p": [parts["p"].iloc[0]], "x": [sum(parts["x"])]})
@@ -320,9 +327,10 @@ def attention_with_weights(rows: DataFrame, scale: float, causal: bool = False,
     return sums.select("b", "p", "o"), _weight_tiles(queries, keys, sums, scale, causal, block)
 
 
-def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> DataFrame:
-    """``part, b, p, d, v``: gradients for Q, K and V of rows that also have their packed upstream gradient ``g``."""
-    return _gradients(rows.select("b", "p", "q", "g"), rows.drop("q", "g"), scale, causal, block)
+def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024, wanted: str = "qkv") -> DataFrame:
+    """``part, b, p, d, v``: gradients for those of Q, K and V that are wanted, of rows that also have their packed upstream
+    gradient ``g``."""
+    return _gradients(rows.select("b", "p", "q", "g"), rows.drop("q", "g"), scale, causal, block, wanted)
 
 
 # -- cross-entropy ------------------------------------------------------------------------------------------------------

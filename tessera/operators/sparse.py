@@ -63,14 +63,18 @@ HEAVY = 1 << 18  # entries of one column that meet in a task
 
 
 def _met(left: DataFrame, right: Tensor, names: tuple[str, ...]) -> DataFrame:
-    """Entries ``(i, _k, _a)`` with those of the dense side on ``_k``.
+    """Entries ``(i, _k, _a)`` with those of the dense side on ``_k``."""
+    return joined(left, right.df.toDF("_k", *names, "_b"), right.small)
+
+
+def joined(left: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
+    """Entries ``(i, _k, _a)`` with rows of a dense side that have their ``_k``.
 
     A small dense side goes to every task.  Otherwise a column of very many entries would meet in one task: such columns
     are dealt out over as many salts as they have times ``HEAVY`` entries, and their part of the dense side is repeated once
     for each salt.  All columns that are not heavy have one salt, so both kinds are one join.
     """
-    cells = right.df.toDF("_k", *names, "_b")
-    if right.small:
+    if small:
         return left.join(F.broadcast(cells), "_k")
     sizes = left.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY).select("_k", F.ceil(F.col("_n") / HEAVY).cast("int").alias("_salts"))
     # At most one heavy column for every HEAVY entries.  Few of them are broadcast, or else joined on keys that occur once.

@@ -138,11 +138,27 @@ USERS = "(SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS i)"
 SQUARE = f"m AS ({CELLS}), g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / 100 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL)"
 BY_SQUARE = f"WITH {SQUARE} SELECT m.i, g.j, round(sum(m.v * g.v), 6) + 0 AS v FROM m JOIN g ON m.j = g.i GROUP BY ALL"
 _SQUARE = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {0} a JOIN {1} b ON a.j = b.i GROUP BY ALL"
+def fluent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred embeddings, their product with themselves, its trace and norms, one after the other."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = from_packed(rows, "vec_id", "embedding", (1 << 40, 64))
+    gram = linalg.gram(rows.filter("embedding is not null"), "embedding")
+    sums = x.along("i", "sum")
+    both = (sums * 2 - sums).norms()
+    found = {"trace": gram.trace(), **{f"gram_{k}": v for k, v in gram.norms().items()}, **{f"sums_{k}": v for k, v in both.items()}, "squares": (x * x).reduce("sum")["sum"]}
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in found.items()], "name string, v double")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (gram, matmul, matmul_rows, matmul_transposed, matmul_blocked, batched_matmul, kron, matpow, spmv, spmm, spmv_many, sparse_violations, csr_rows, to_dense, vector_updates)
+    for f in (gram, matmul, matmul_rows, matmul_transposed, matmul_blocked, batched_matmul, kron, matpow, spmv, spmm, spmv_many, sparse_violations, csr_rows, to_dense, vector_updates, fluent)
 }
 ORACLES = {
+    "fluent": """WITH e AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+        g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.i = b.i GROUP BY ALL), s AS (SELECT j, sum(v) AS v FROM e GROUP BY j)
+        SELECT 'trace' AS name, round(sum(v), 4) AS v FROM g WHERE i = j UNION ALL SELECT 'gram_l1', round(sum(abs(v)), 4) FROM g UNION ALL SELECT 'gram_l2', round(sqrt(sum(v * v)), 4) FROM g
+        UNION ALL SELECT 'gram_max', round(max(abs(v)), 4) FROM g UNION ALL SELECT 'sums_l1', round(sum(abs(v)), 4) FROM s UNION ALL SELECT 'sums_l2', round(sqrt(sum(v * v)), 4) FROM s
+        UNION ALL SELECT 'sums_max', round(max(abs(v)), 4) FROM s UNION ALL SELECT 'squares', round(sum(v * v), 4) FROM e""",
     "gram": f"WITH m AS ({CELLS}) SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL",
     "matmul": BY_SQUARE,
     "matmul_rows": BY_SQUARE,

@@ -175,6 +175,69 @@ class Tensor:
     def __neg__(self):
         return self.map(lambda v: -v)
 
+    # -- products, norms and factors, one after the other ----------------------------------------------------------
+
+    def __matmul__(self, other: Tensor) -> Tensor:
+        from tessera.operators import linalg
+
+        return linalg.batched_matmul(self, other) if len(self.shape) == 3 else linalg.matmul(self, other)
+
+    matmul = __matmul__
+
+    def kron(self, other: Tensor) -> Tensor:
+        from tessera.operators import linalg
+
+        return linalg.kron(self, other)
+
+    def power(self, exponent: int) -> Tensor:
+        from tessera.operators import linalg
+
+        return linalg.matpow(self, exponent)
+
+    def reduce(self, *ops: str) -> dict[str, float]:
+        """Full reductions, in one job."""
+        from tessera.operators import reduce
+
+        return reduce.full(self, *ops).first().asDict()
+
+    def along(self, dim: str, op: str) -> Tensor:
+        """A reduction of one axis."""
+        from tessera.operators import reduce
+
+        return reduce.axis(self, dim, op)
+
+    def norms(self) -> dict[str, float]:
+        """The sum of magnitudes, the Euclidean norm and the largest magnitude, in one job."""
+        from tessera.operators import reduce
+
+        found = reduce.norms(self).first()
+        return {name: found[f"norm_{name}"] for name in ("l1", "l2", "max")}
+
+    def trace(self) -> float:
+        from tessera.operators import reduce
+
+        return reduce.trace(self).first()["trace"]
+
+    def lu(self, width: int | None = None) -> DataFrame:
+        """Rows of the factors of one large square matrix, see :func:`tessera.operators.blocked.lu`."""
+        from tessera.operators import blocked
+
+        return blocked.lu(blocked.rows_of(self), width)
+
+    def cholesky(self, width: int | None = None) -> DataFrame:
+        from tessera.operators import blocked
+
+        return blocked.cholesky(blocked.rows_of(self), width)
+
+    def solve(self, right: Tensor, tolerance: float = 1e-10) -> Tensor:
+        """The x of ``A x = b`` for a symmetric, positive definite A, by conjugate gradients."""
+        from tessera.operators import solve
+
+        if len(self.shape) != 2 or self.shape[0] != self.shape[1] or right.shape != self.shape[:1]:
+            raise ShapeError(f"{self.shape} and {right.shape}")
+        found = solve.conjugate_gradients(self.df.toDF("i", "j", "v"), right.df.toDF("i", "v"), tolerance)
+        return Tensor(found.x.toDF(right.dims[0], "v"), right.dims, right.shape)
+
     def _with(self, other, fn) -> Tensor:
         if isinstance(other, Tensor):
             return self.zip(other, fn)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocked, decomp, linalg, nn, solve, sparse
+from tessera.operators import blocked, decomp, linalg, nn, solve, sparse, spectral
 from tessera.plans import Reduction, mixed
 from tessera.session import shared_dir
 from tessera.tensor import ShapeError, Tensor
@@ -165,6 +165,46 @@ def test_large_factors_reject(spark):
     assert sorted((r.i, r.x) for r in blocked.rows_of(t).collect()) == [(0, [0.0, 4.0, 0.0]), (1, [0.0] * 3), (2, [5.0, 0.0, 0.0])]
 
 
+def test_singular_pairs(spark):
+    """Against all of numpy's, with repeated cells, ids that are no small numbers, and a matrix of rank 2."""
+    rng = np.random.default_rng(4)
+    u, v = np.linalg.qr(rng.normal(size=(30, 20)))[0], np.linalg.qr(rng.normal(size=(20, 20)))[0]
+    a = (u * 0.5 ** np.arange(20)) @ v.T * 8
+    df = spark.createDataFrame([((1 << 40) + i, 3 * j, float(a[i, j]) / 2) for i in range(30) for j in range(20)] * 2, "i long, j long, v double")
+    found = spectral.singular_pairs(df, 2, more=4)
+    assert found.converged and np.allclose(found.values, np.linalg.svd(a, compute_uv=False)[:2])
+    left = np.array([r.x for r in sorted(found.left.collect(), key=lambda r: r.i)])
+    right = np.array([r.x for r in sorted(found.right.collect(), key=lambda r: r.j)])
+    assert np.allclose(a @ right, left * found.values, atol=1e-5) and np.allclose(left.T @ left, np.eye(2)) and np.allclose(right.T @ right, np.eye(2))
+    assert len(spectral.singular_pairs(df.limit(0), 2).values) == 0
+    one = spectral.singular_pairs(spark.createDataFrame([(5, 7, -3.0)], "i long, j long, v double"), 2)
+    assert np.allclose(one.values, [3.0])
+
+
+def test_fluent(spark):
+    a = np.array([[4.0, 1.0], [1.0, 3.0]])
+    t, b = Tensor.from_numpy(spark, a), Tensor.from_numpy(spark, np.array([1.0, 2.0]), ("i",))
+    assert np.allclose((t @ t.transpose()).to_numpy(), a @ a.T) and np.allclose(t.power(3).to_numpy(), a @ a @ a) and t.trace() == 7
+    assert t.norms() == {"l1": 9.0, "l2": np.sqrt(27), "max": 4.0} and t.reduce("sum", "max") == {"sum": 9.0, "max": 4.0}
+    assert np.allclose(t.solve(b).to_numpy(), np.linalg.solve(a, [1.0, 2.0])) and t.along("i", "max").to_numpy().tolist() == [4, 3]
+    assert sorted((r.k, r.u) for r in t.cholesky().collect())[1][1] == [pytest.approx(np.sqrt(2.75))] and t.lu().count() == 2 and t.kron(t).shape == (4, 4)
+    with pytest.raises(ShapeError):
+        t.solve(Tensor.from_numpy(spark, np.zeros(3), ("i",)))
+
+
+def test_only_wanted_gradients(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(0, p, *(rng.normal(size=2).tolist() for _ in range(4))) for p in range(5)], "b long, p long, q array<double>, k array<double>, v array<double>, g array<double>")
+    every = {(r.part, r.p, r.d): r.v for r in nn.attention_blocked_backward(rows, 0.5).collect()}
+    for wanted in ("v", "kq"):
+        assert {(r.part, r.p, r.d): r.v for r in nn.attention_blocked_backward(rows, 0.5, wanted=wanted).collect()} == {k: v for k, v in every.items() if k[0] in wanted}
+    with pytest.raises(ShapeError):
+        nn.attention_blocked_backward(rows, 0.5, wanted="x")
+    x, w = Tensor.from_numpy(spark, rng.normal(size=(1, 1, 4)), ("b", "c", "x")), Tensor.from_numpy(spark, rng.normal(size=(1, 1, 2)), ("o", "c", "k"))
+    up = Tensor.from_numpy(spark, rng.normal(size=(1, 1, 3)), ("b", "o", "x"))
+    assert list(nn.conv_backward(x, w, up, [1], [0], [1], wanted=("bias",))) == ["bias"]
+
+
 def test_heavy_columns_are_parted(spark, monkeypatch):
     """A column with a third of all entries: the same product, and no key of the join with more than its share."""
     rng = np.random.default_rng(0)
