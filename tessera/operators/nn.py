@@ -65,19 +65,77 @@ def _met(plan: ConvPlan, inputs: DataFrame, weight: DataFrame) -> DataFrame:
     return met
 
 
+CONV_SIDES = {1: 4096, 2: 64, 3: 16}  # positions of an output tile's side, by the number of axes
+
+
+def _in_tiles(plan: ConvPlan, inputs: DataFrame, weight: np.ndarray) -> DataFrame:
+    """``b, o, q.., v`` of cells ``(b, c, x.., v)`` and a weight ``[o, c, k..]``: output tiles, each with all channels of the cells
+    that it sees.  A cell is shuffled once for each tile that sees it, and a tile is a matrix product for each tap."""
+    axes = AXES[: len(plan.n)]
+    side = CONV_SIDES[len(axes)]
+    shared = inputs.sparkSession.sparkContext.broadcast(weight)
+    dealt, tiles = inputs, [f"t{a}" for a in axes]
+    for a, t, k, s, p, d, m in zip(axes, tiles, plan.k, plan.stride, plan.pad, plan.dilation, plan.out, strict=True):
+        x = F.col(a)
+        if plan.transposed:
+            lo, hi = x * s - p, x * s - p + d * (k - 1)
+        else:
+            lo, hi = F.ceil((x + p - d * (k - 1)) / s), F.floor((x + p) / s)
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(m - 1))
+        dealt = dealt.filter(lo <= hi).withColumn(t, F.explode(F.sequence(F.floor(lo / side).cast("long"), F.floor(hi / side).cast("long"))))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        w = shared.value
+        first = [t * side for t in key[1:]]  # of the outputs
+        size = [min(side, m - q) for q, m in zip(first, plan.out, strict=True)]
+        if plan.transposed:
+            low = [-(-(q + p - d * (k - 1)) // s) for q, k, s, p, d in zip(first, plan.k, plan.stride, plan.pad, plan.dilation, strict=True)]
+            high = [(q + n - 1 + p) // s for q, n, s, p in zip(first, size, plan.stride, plan.pad, strict=True)]
+        else:
+            low = [q * s - p for q, s, p in zip(first, plan.stride, plan.pad, strict=True)]
+            high = [(q + n - 1) * s - p + d * (k - 1) for q, n, k, s, p, d in zip(first, size, plan.k, plan.stride, plan.pad, plan.dilation, strict=True)]
+        x = np.zeros((w.shape[1], *(b - a + 1 for a, b in zip(low, high, strict=True))))
+        np.add.at(x, (rows["c"].to_numpy(), *(rows[a].to_numpy() - lo for a, lo in zip(axes, low, strict=True))), rows["v"].to_numpy())
+        out = np.zeros((w.shape[0], *size))
+        for tap in np.ndindex(*plan.k):
+            source, target = [slice(None)], [slice(None)]
+            for i, (k, s, p, d) in enumerate(zip(tap, plan.stride, plan.pad, plan.dilation, strict=True)):
+                if plan.transposed:
+                    base = low[i] * s - p + d * k - first[i]  # where the first input goes
+                    start, stop = max(0, -(base // s)), (size[i] - 1 - base) // s + 1
+                    source.append(slice(start, max(start, stop)))
+                    target.append(slice(base + start * s, base + max(start, stop) * s, s))
+                else:
+                    source.append(slice(d * k, d * k + (size[i] - 1) * s + 1, s))
+                    target.append(slice(None))
+            out[tuple(target)] += np.tensordot(w[(slice(None), slice(None), *tap)], x[tuple(source)], axes=(1, 0))
+        at = np.indices(out.shape)
+        place = {"b": key[0], "o": at[0].ravel()} | {"q" + a: (at[i + 1] + q).ravel() for i, (a, q) in enumerate(zip(axes, first, strict=True))}
+        return pd.DataFrame(place | {"v": out.ravel()})
+
+    return dealt.groupBy("b", *tiles).applyInPandas(run, "b long, o long, " + ", ".join(f"q{a} long" for a in axes) + ", v double")
+
+
 def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, dilation, transposed: bool = False, extra=()) -> Tensor:
-    """Forward convolution; the transposed one takes weights ``[c, o, k..]``."""
+    """Forward convolution; the transposed one takes weights ``[c, o, k..]``.
+
+    A weight of at most ``SMALL`` cells goes to all tasks, and the input in tiles; a larger one is joined with the input.
+    """
     rank = len(inputs.shape) - 2
     axes = AXES[:rank]
     plan = ConvPlan(inputs.shape[2:], weight.shape[2:], tuple(stride), tuple(pad), tuple(dilation), tuple(extra), transposed)
     o, c = ("c", "o") if transposed else ("o", "c")
-    w = hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v"))
     if inputs.shape[1] != weight.shape[0 if transposed else 1]:
         raise ShapeError("channels do not fit")
     out_channels = weight.shape[1 if transposed else 0]
-    keys = ["b", "o", *("q" + a for a in axes)]
-    met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), w)
-    sums = met.groupBy(*keys).agg(F.sum(F.col("_in") * F.col("_w")).alias("v"))
+    if weight.small:
+        names = (o, c, *("k" + a for a in axes))
+        held = Tensor(weight.df.toDF(*names, "v"), names, weight.shape).to_numpy()
+        typed = inputs.df.toDF("b", "c", *axes, "v").select(*(F.col(d).cast("long").alias(d) for d in ("b", "c", *axes)), F.col("v").cast("double").alias("v"))
+        sums = _in_tiles(plan, typed, held.swapaxes(0, 1) if transposed else held)
+    else:
+        met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v")))
+        sums = met.groupBy("b", "o", *("q" + a for a in axes)).agg(F.sum(F.col("_in") * F.col("_w")).alias("v"))
     out = Tensor(sums.toDF("b", "o", *axes, "v"), ("b", "o", *axes), (inputs.shape[0], out_channels, *plan.out)).densify()
     if bias is None:
         return out

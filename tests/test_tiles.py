@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import nn
+from tessera.tensor import Tensor
 from tessera.tiles import Tiles
 
 
@@ -65,3 +66,28 @@ def test_tiles_read_as_lines_and_cells(spark):
     t = Tiles(spark.createDataFrame([(7, [3, 1], [10, 20, 30], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), (8, [2], [], [])], "m long, rows array<long>, columns array<long>, x array<double>"), ("m",))
     assert sorted(map(tuple, t.cells("r", "c").collect())) == [(7, 1, 10, 4.0), (7, 1, 20, 5.0), (7, 1, 30, 6.0), (7, 3, 10, 1.0), (7, 3, 20, 2.0), (7, 3, 30, 3.0)]
     assert sorted((r.m, r.i, r.x) for r in t.lines().collect()) == [(7, 1, [4.0, 5.0, 6.0]), (7, 3, [1.0, 2.0, 3.0]), (8, 2, [])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_convolution_in_tiles(spark, monkeypatch, seed):
+    """Small tiles, one to three axes, any stride, padding and dilation: the same as the join of cells with taps."""
+    rng = np.random.default_rng(seed)
+    rank, transposed = 1 + seed % 3, seed >= 3
+    monkeypatch.setitem(nn.CONV_SIDES, rank, 3)
+    n, k = rng.integers(4, 9, rank), rng.integers(1, 4, rank)
+    stride, pad, dilation = rng.integers(1, 4, rank), rng.integers(0, 3, rank), rng.integers(1, 3, rank)
+    if not transposed:
+        n = np.maximum(n, dilation * (k - 1) + 1)
+    else:
+        pad = np.minimum(pad, ((n - 1) * stride + dilation * (k - 1)) // 2)
+    axes = "xyz"[:rank]
+    x, w = rng.normal(size=(2, 2, *n)), rng.normal(size=(2, 3, *k) if transposed else (3, 2, *k))
+    x[rng.random(x.shape) < 0.3] = 0
+    t = Tensor.from_numpy(spark, x, ("b", "c", *axes))
+    t = Tensor(t.df.filter("v <> 0"), t.dims, t.shape)
+    kernel = Tensor.from_numpy(spark, w, (*(("c", "o") if transposed else ("o", "c")), *("k" + a for a in axes)))
+    args = ([int(v) for v in stride], [int(v) for v in pad], [int(v) for v in dilation], transposed)
+    got = nn.conv(t, kernel, None, *args)
+    monkeypatch.setattr("tessera.tensor.SMALL", 1)
+    want = nn.conv(t, kernel, None, *args)
+    assert got.shape == want.shape and np.allclose(got.to_numpy(), want.to_numpy()) and np.abs(want.to_numpy()).max() > 0
