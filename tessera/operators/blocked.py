@@ -35,10 +35,18 @@ def rows_of(t: Tensor) -> DataFrame:
     """Packed rows ``(i, x)`` of a square matrix of cells; absent ones are 0, and so are rows without any."""
     i, j = t.dims
     n = t.shape[1]
-    packs = t.df.groupBy(F.col(i).alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(j), F.col("v")))).alias("_m"))
-    at = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
+    packs = t.df.groupBy(F.col(i).cast("long").alias("i")).agg(F.collect_list(F.struct(F.col(j).cast("long").alias("j"), F.col("v").cast("double").alias("v"))).alias("_e"))
     every = t.df.sparkSession.range(t.shape[0]).withColumnRenamed("id", "i").join(packs, "i", "left")
-    return every.select("i", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(at, lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)))).alias("x"))
+
+    def dense(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.zeros((len(batch), n))
+            for k, (at, v) in enumerate(zip(batch["j"], batch["v"], strict=True)):
+                if at is not None:
+                    x[k, at] = v
+            yield pd.DataFrame({"i": batch["i"], "x": list(x)})
+
+    return every.select("i", F.col("_e.j").alias("j"), F.col("_e.v").alias("v")).mapInPandas(dense, "i long, x array<double>")
 
 
 def lu(rows: DataFrame, width: int | None = None) -> DataFrame:
