@@ -10,7 +10,8 @@ Rounds of ``width`` columns, each of which leaves the rows where they are:
 3. Every other row gets its multipliers and subtracts its share of the pivot rows.
 
 What is shuffled is candidates, never the matrix.  The rows that are left are written to the shared folder after each round,
-in two tables that take turns, and finished rows are appended to a third.
+in two tables that take turns, and each round's finished rows to a folder of a third.  Pivot rows are eliminated in a task: the driver
+only passes them on.
 """
 
 from __future__ import annotations
@@ -78,17 +79,18 @@ def _rounds(rows: DataFrame, width: int | None, pivoting: bool) -> DataFrame:
     while done < n:
         t = min(width, n - done)
         left = spark.read.schema(_STATE).parquet(f"{folder}/left-{at}")
-        pivots = _tournament(left, t) if pivoting else _in_order(left, done, t)
-        found = _eliminated(pivots, t, pivoting)
-        last = [(done + k, int(i), [*l, *own], u.tolist()) for k, (i, l, own, u) in enumerate(found)]
-        spark.createDataFrame(last, FACTOR).coalesce(1).write.mode("append").parquet(f"{folder}/factor")
+        pivots = _tournament(left, t) if pivoting else left.filter(F.col("i").between(done, done + t - 1)).repartition(1)
+        round_ = f"{folder}/factor/from={done}"
+        _eliminated(pivots, done, t, pivoting).write.parquet(round_)
+        found = spark.read.schema(FACTOR).parquet(round_).select("k", "i", "u").orderBy("k").toPandas()  # `t` rows, at most `SMALL` cells
+        if found["u"].isna().any():
+            raise ShapeError("the matrix is singular" if pivoting else "the matrix is not positive definite")
         done += t
         if done < n:
-            ids = np.array([i for i, *_ in found])
-            upper = np.array([np.concatenate([np.zeros(k), u]) for k, (*_, u) in enumerate(found)])
-            _updated(left, ids, upper, t, pivoting).write.mode("overwrite").parquet(f"{folder}/left-{1 - at}")
+            upper = np.array([np.concatenate([np.zeros(k), u]) for k, u in enumerate(found["u"])])
+            _updated(left, found["i"].to_numpy(), upper, t, pivoting).write.mode("overwrite").parquet(f"{folder}/left-{1 - at}")
             at = 1 - at
-    return spark.read.schema(FACTOR).parquet(f"{folder}/factor")
+    return spark.read.schema(FACTOR).parquet(f"{folder}/factor").drop("from")
 
 
 def _pick(x: np.ndarray, t: int) -> np.ndarray:
@@ -103,8 +105,8 @@ def _pick(x: np.ndarray, t: int) -> np.ndarray:
     return order[:t]
 
 
-def _tournament(left: DataFrame, t: int) -> pd.DataFrame:
-    """The pivot rows in order."""
+def _tournament(left: DataFrame, t: int) -> DataFrame:
+    """The pivot rows, in one partition."""
 
     def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -121,32 +123,46 @@ def _tournament(left: DataFrame, t: int) -> pd.DataFrame:
     while n > 1:
         n = -(-n // FAN_IN)
         winners = winners.repartition(n).mapInPandas(best, _STATE)
-    found = pd.DataFrame([r.asDict() for r in winners.collect()], columns=["i", "l", "x"])  # at most `t` rows
-    return found.iloc[_pick(np.array(found["x"].tolist()), t)].reset_index(drop=True)
-
-
-def _in_order(left: DataFrame, done: int, t: int) -> pd.DataFrame:
-    rows = left.filter(F.col("i").between(done, done + t - 1)).orderBy("i").collect()
-    return pd.DataFrame([r.asDict() for r in rows], columns=["i", "l", "x"])
-
-
-def _eliminated(pivots: pd.DataFrame, t: int, pivoting: bool) -> list[tuple[int, list[float], list[float], np.ndarray]]:
-    """``i, l, multipliers within the pivot rows, row of the factor`` of each pivot row."""
-    a = np.array(pivots["x"].tolist())
-    if not pivoting:
-        try:
-            upper = np.linalg.cholesky(np.triu(a[:, :t]) + np.triu(a[:, :t], 1).T).T
-        except np.linalg.LinAlgError:
-            raise ShapeError("the matrix is not positive definite") from None
-        a = np.hstack([upper, np.linalg.solve(upper.T, a[:, t:])])
-        return [(i, l, [], a[k, k:]) for k, (i, l) in enumerate(zip(pivots["i"], pivots["l"], strict=True))]
-    m = np.zeros((t, t))
-    for k in range(t):
-        if not a[k, k]:
-            raise ShapeError("the matrix is singular")
-        m[k + 1 :, k] = a[k + 1 :, k] / a[k, k]
-        a[k + 1 :, k:] -= np.outer(m[k + 1 :, k], a[k, k:])
-    return [(i, l, m[k, :k].tolist(), a[k, k:]) for k, (i, l) in enumerate(zip(pivots["i"], pivots["l"], strict=True))]
+    return winners
+
+
+def _substituted(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The x of ``lower x = b`` row by row.  A threaded LAPACK solve with many right sides can wait for ever in a process that
+    has forked, as Spark's drivers and Python daemons have."""
+    x = np.empty_like(b)
+    for k in range(len(b)):
+        x[k] = (b[k] - lower[k, :k] @ x[:k]) / lower[k, k]
+    return x
+
+
+def _eliminated(pivots: DataFrame, done: int, t: int, pivoting: bool) -> DataFrame:
+    """The factor's rows of the pivot rows, which are one partition.  Without a ``u``: there is no such factor."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        held = pd.concat(parts, ignore_index=True)
+        held = held.iloc[_pick(np.stack(held["x"].to_numpy()), t)] if pivoting else held.sort_values("i")
+        a = np.stack(held["x"].to_numpy())
+        m, fine = np.zeros((t, t)), True
+        if pivoting:
+            for k in range(t):
+                if not a[k, k]:
+                    fine = False
+                    break
+                m[k + 1 :, k] = a[k + 1 :, k] / a[k, k]
+                a[k + 1 :, k:] -= np.outer(m[k + 1 :, k], a[k, k:])
+        else:
+            try:
+                upper = np.linalg.cholesky(np.triu(a[:, :t]) + np.triu(a[:, :t], 1).T).T
+                a = np.hstack([upper, _substituted(upper.T, a[:, t:])])
+            except np.linalg.LinAlgError:
+                fine = False
+        l = [np.concatenate([old, m[k, :k]]) if pivoting else old for k, old in enumerate(held["l"])]
+        yield pd.DataFrame({"k": np.arange(done, done + t), "i": held["i"].to_numpy(), "l": l, "u": [a[k, k:] if fine else None for k in range(t)]})
+
+    return pivots.mapInPandas(run, FACTOR)
 
 
 def _updated(left: DataFrame, pivots: np.ndarray, upper: np.ndarray, t: int, pivoting: bool) -> DataFrame:
@@ -161,7 +177,7 @@ def _updated(left: DataFrame, pivots: np.ndarray, upper: np.ndarray, t: int, piv
                 continue
             x = np.stack(batch["x"].to_numpy())
             if pivoting:
-                m = np.linalg.solve(upper[:, :t].T, x[:, :t].T).T
+                m = _substituted(upper[:, :t].T, x[:, :t].T).T
             else:  # only the upper triangle is read: the multipliers are columns of R
                 m = upper[:, batch["i"].to_numpy() - pivots[0]].T
             l = [np.concatenate([old, new]) for old, new in zip(batch["l"], m, strict=True)] if pivoting else batch["l"]
