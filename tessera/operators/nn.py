@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.batches import map_batches
 from tessera.session import cut_lineage
-from tessera.tensor import SMALL, ShapeError, Tensor, hinted
+from tessera.tensor import SMALL, ShapeError, Tensor
 from tessera.tiles import Tiles
 
 AXES = ("x", "y", "z")
@@ -50,8 +50,7 @@ class ConvPlan:
 def _met(plan: ConvPlan, inputs: DataFrame, weight: DataFrame) -> DataFrame:
     """Every (input, weight) pair with the output it adds to: ``b, c, o, x.., k.., q.., _in, _w``.
 
-    One row of input meets one row per tap of its channel.  Channels are few and hot keys, so weights are broadcast if
-    they are small by their shape.
+    One row of input meets one row per tap of its channel: for weights too large to go to all tasks.
     """
     met = inputs.withColumnRenamed("v", "_in").join(weight.withColumnRenamed("v", "_w"), "c")
     for a, n, k, s, p, d, m in zip(AXES, plan.n, plan.k, plan.stride, plan.pad, plan.dilation, plan.out, strict=False):
@@ -68,52 +67,129 @@ def _met(plan: ConvPlan, inputs: DataFrame, weight: DataFrame) -> DataFrame:
 CONV_SIDES = {1: 4096, 2: 64, 3: 16}  # positions of an output tile's side, by the number of axes
 
 
-def _in_tiles(plan: ConvPlan, inputs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """``b, o, q.., v`` of cells ``(b, c, x.., v)`` and a weight ``[o, c, k..]``: output tiles, each with all channels of the cells
-    that it sees.  A cell is shuffled once for each tile that sees it, and a tile is a matrix product for each tap."""
-    axes = AXES[: len(plan.n)]
-    side = CONV_SIDES[len(axes)]
-    shared = inputs.sparkSession.sparkContext.broadcast(weight)
-    dealt, tiles = inputs, [f"t{a}" for a in axes]
-    for a, t, k, s, p, d, m in zip(axes, tiles, plan.k, plan.stride, plan.pad, plan.dilation, plan.out, strict=True):
+def _dealt(plan: ConvPlan, inputs: DataFrame, side: int) -> DataFrame:
+    """Input cells with the output tiles ``tx..`` that see them, once for each."""
+    for a, k, s, p, d, m in zip(AXES, plan.k, plan.stride, plan.pad, plan.dilation, plan.out, strict=False):
         x = F.col(a)
         if plan.transposed:
             lo, hi = x * s - p, x * s - p + d * (k - 1)
         else:
             lo, hi = F.ceil((x + p - d * (k - 1)) / s), F.floor((x + p) / s)
         lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(m - 1))
-        dealt = dealt.filter(lo <= hi).withColumn(t, F.explode(F.sequence(F.floor(lo / side).cast("long"), F.floor(hi / side).cast("long"))))
+        inputs = inputs.filter(lo <= hi).withColumn("t" + a, F.explode(F.sequence(F.floor(lo / side).cast("long"), F.floor(hi / side).cast("long"))))
+    return inputs
+
+
+def _window(plan: ConvPlan, first: list[int], size: list[int]) -> tuple[list[int], list[int]]:
+    """First and length of the inputs that a tile of outputs sees, along each axis."""
+    low, high = [], []
+    for q, n, k, s, p, d in zip(first, size, plan.k, plan.stride, plan.pad, plan.dilation, strict=True):
+        low.append(-(-(q + p - d * (k - 1)) // s) if plan.transposed else q * s - p)
+        high.append((q + n - 1 + p) // s if plan.transposed else (q + n - 1) * s - p + d * (k - 1))
+    return low, [b - a + 1 for a, b in zip(low, high, strict=True)]
+
+
+def _taps(plan: ConvPlan, first: list[int], size: list[int], low: list[int]) -> Iterator[tuple[tuple, tuple, tuple]]:
+    """Each tap, the inputs that it reads and the outputs that it adds to, all channels of both."""
+    for tap in np.ndindex(*plan.k):
+        source, target = [slice(None)], [slice(None)]
+        for i, (k, s, p, d) in enumerate(zip(tap, plan.stride, plan.pad, plan.dilation, strict=True)):
+            if plan.transposed:
+                base = low[i] * s - p + d * k - first[i]  # where the first input goes
+                start, stop = max(0, -(base // s)), (size[i] - 1 - base) // s + 1
+                source.append(slice(start, max(start, stop)))
+                target.append(slice(base + start * s, base + max(start, stop) * s, s))
+            else:
+                source.append(slice(d * k, d * k + (size[i] - 1) * s + 1, s))
+                target.append(slice(None))
+        yield tap, tuple(source), tuple(target)
+
+
+def _placed(rows: pd.DataFrame, channel: str, axes: tuple[str, ...], low: list[int], shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells as an array, and where there are any."""
+    at = (rows[channel].to_numpy(), *(rows[a].to_numpy() - lo for a, lo in zip(axes, low, strict=True)))
+    x, there = np.zeros(shape), np.zeros(shape, bool)
+    np.add.at(x, at, rows["v"].to_numpy())
+    there[at] = True
+    return x, there
+
+
+def _in_tiles(plan: ConvPlan, inputs: DataFrame, weight: np.ndarray) -> DataFrame:
+    """``b, o, q.., v`` of cells ``(b, c, x.., v)`` and a weight ``[o, c, k..]``: output tiles, each with all channels of the cells
+    that it sees.  A cell is shuffled once for each tile that sees it, and a tile is a matrix product for each tap."""
+    axes = AXES[: len(plan.n)]
+    side = CONV_SIDES[len(axes)]
+    shared = inputs.sparkSession.sparkContext.broadcast(weight)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w = shared.value
         first = [t * side for t in key[1:]]  # of the outputs
         size = [min(side, m - q) for q, m in zip(first, plan.out, strict=True)]
-        if plan.transposed:
-            low = [-(-(q + p - d * (k - 1)) // s) for q, k, s, p, d in zip(first, plan.k, plan.stride, plan.pad, plan.dilation, strict=True)]
-            high = [(q + n - 1 + p) // s for q, n, s, p in zip(first, size, plan.stride, plan.pad, strict=True)]
-        else:
-            low = [q * s - p for q, s, p in zip(first, plan.stride, plan.pad, strict=True)]
-            high = [(q + n - 1) * s - p + d * (k - 1) for q, n, k, s, p, d in zip(first, size, plan.k, plan.stride, plan.pad, plan.dilation, strict=True)]
-        x = np.zeros((w.shape[1], *(b - a + 1 for a, b in zip(low, high, strict=True))))
-        np.add.at(x, (rows["c"].to_numpy(), *(rows[a].to_numpy() - lo for a, lo in zip(axes, low, strict=True))), rows["v"].to_numpy())
+        low, seen = _window(plan, first, size)
+        x, _ = _placed(rows, "c", axes, low, (w.shape[1], *seen))
         out = np.zeros((w.shape[0], *size))
-        for tap in np.ndindex(*plan.k):
-            source, target = [slice(None)], [slice(None)]
-            for i, (k, s, p, d) in enumerate(zip(tap, plan.stride, plan.pad, plan.dilation, strict=True)):
-                if plan.transposed:
-                    base = low[i] * s - p + d * k - first[i]  # where the first input goes
-                    start, stop = max(0, -(base // s)), (size[i] - 1 - base) // s + 1
-                    source.append(slice(start, max(start, stop)))
-                    target.append(slice(base + start * s, base + max(start, stop) * s, s))
-                else:
-                    source.append(slice(d * k, d * k + (size[i] - 1) * s + 1, s))
-                    target.append(slice(None))
-            out[tuple(target)] += np.tensordot(w[(slice(None), slice(None), *tap)], x[tuple(source)], axes=(1, 0))
+        for tap, source, target in _taps(plan, first, size, low):
+            out[target] += np.tensordot(w[(slice(None), slice(None), *tap)], x[source], axes=(1, 0))
         at = np.indices(out.shape)
         place = {"b": key[0], "o": at[0].ravel()} | {"q" + a: (at[i + 1] + q).ravel() for i, (a, q) in enumerate(zip(axes, first, strict=True))}
         return pd.DataFrame(place | {"v": out.ravel()})
 
-    return dealt.groupBy("b", *tiles).applyInPandas(run, "b long, o long, " + ", ".join(f"q{a} long" for a in axes) + ", v double")
+    return _dealt(plan, inputs, side).groupBy("b", *("t" + a for a in axes)).applyInPandas(run, "b long, o long, " + ", ".join(f"q{a} long" for a in axes) + ", v double")
+
+
+def _gradients_in_tiles(plan: ConvPlan, inputs: DataFrame, upstream: DataFrame, weight: np.ndarray, wanted: set[str]) -> DataFrame:
+    """``part, n, m, x.., v``: gradients of input cells as ``b, c, x..`` and of the weight as ``o, c, k..``.
+
+    An output tile holds its upstream gradient, once, and the input cells that it sees.  It adds a share to each of these and to
+    the weight, so what is shuffled again is one row for an input cell and tile, and the small weight once for each tile."""
+    axes = AXES[: len(plan.n)]
+    side = CONV_SIDES[len(axes)]
+    shared = inputs.sparkSession.sparkContext.broadcast(weight)
+    tiles = [F.floor(F.col(a) / side).cast("long").alias("t" + a) for a in axes]
+    above = upstream.select("b", F.col("o").alias("c"), *axes, "v", *tiles, F.lit(True).alias("_up"))
+    met = _dealt(plan, inputs, side).withColumn("_up", F.lit(False)).unionByName(above)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        w = shared.value
+        first = [t * side for t in key[1:]]
+        size = [min(side, m - q) for q, m in zip(first, plan.out, strict=True)]
+        low, seen = _window(plan, first, size)
+        up = rows["_up"].to_numpy()
+        x, held = _placed(rows[~up], "c", axes, low, (w.shape[1], *seen))
+        g, given = _placed(rows[up], "c", axes, first, (w.shape[0], *size))
+        given_any, spatial = given.any(axis=0, keepdims=True), tuple(range(1, len(axes) + 1))
+        dx, touched, dw, pairs = np.zeros(x.shape), np.zeros((1, *seen), bool), np.zeros(w.shape), np.zeros(w.shape)
+        for tap, source, target in _taps(plan, first, size, low):
+            at = (slice(None), slice(None), *tap)
+            if "input" in wanted:
+                dx[source] += np.tensordot(w[at], g[target], axes=(0, 0))
+                touched[source] |= given_any[target]
+            if "weight" in wanted:
+                dw[at] = np.tensordot(g[target], x[source], axes=(spatial, spatial))
+                pairs[at] = np.tensordot(given[target].astype(float), held[source].astype(float), axes=(spatial, spatial))
+        found = []
+        for part, values, there, start in (("input", dx, held & touched, low), ("weight", dw, pairs > 0, [0] * len(axes))):
+            at = np.nonzero(there)
+            if part == "input":
+                lead = {"n": key[0], "m": at[0]}
+            else:
+                lead = {"n": at[0], "m": at[1]}
+            place = {a: at[len(at) - len(axes) + i] + lo for i, (a, lo) in enumerate(zip(axes, start, strict=True))}
+            found.append(pd.DataFrame({"part": part} | lead | place | {"v": values[at]}))
+        return pd.concat(found, ignore_index=True)
+
+    schema = "part string, n long, m long, " + ", ".join(f"{a} long" for a in axes) + ", v double"
+    return met.groupBy("b", *("t" + a for a in axes)).applyInPandas(run, schema).groupBy("part", "n", "m", *axes).agg(F.sum("v").alias("v"))
+
+
+def _typed(df: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    return df.toDF(*dims, "v").select(*(F.col(d).cast("long").alias(d) for d in dims), F.col("v").cast("double").alias("v"))
+
+
+def _held(weight: Tensor, transposed: bool) -> np.ndarray:
+    """A small weight as ``[o, c, k..]``."""
+    w = Tensor(weight.df.toDF(*weight.dims, "v"), weight.dims, weight.shape).to_numpy()  # columns count by their order
+    return w.swapaxes(0, 1) if transposed else w
 
 
 def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, dilation, transposed: bool = False, extra=()) -> Tensor:
@@ -129,12 +205,9 @@ def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, di
         raise ShapeError("channels do not fit")
     out_channels = weight.shape[1 if transposed else 0]
     if weight.small:
-        names = (o, c, *("k" + a for a in axes))
-        held = Tensor(weight.df.toDF(*names, "v"), names, weight.shape).to_numpy()
-        typed = inputs.df.toDF("b", "c", *axes, "v").select(*(F.col(d).cast("long").alias(d) for d in ("b", "c", *axes)), F.col("v").cast("double").alias("v"))
-        sums = _in_tiles(plan, typed, held.swapaxes(0, 1) if transposed else held)
+        sums = _in_tiles(plan, _typed(inputs.df, ("b", "c", *axes)), _held(weight, transposed))
     else:
-        met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v")))
+        met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), weight.df.toDF(o, c, *("k" + a for a in axes), "v"))
         sums = met.groupBy("b", "o", *("q" + a for a in axes)).agg(F.sum(F.col("_in") * F.col("_w")).alias("v"))
     out = Tensor(sums.toDF("b", "o", *axes, "v"), ("b", "o", *axes), (inputs.shape[0], out_channels, *plan.out)).densify()
     if bias is None:
@@ -144,23 +217,33 @@ def conv(inputs: Tensor, weight: Tensor, bias: DataFrame | None, stride, pad, di
 
 
 def conv_backward(inputs: Tensor, weight: Tensor, upstream: Tensor, stride, pad, dilation, transposed: bool = False, extra=(), wanted: tuple[str, ...] = ("input", "weight", "bias")) -> dict[str, DataFrame]:
-    """Gradients for those of input, weight and bias that are wanted: the pairs of the forward pass joined with the upstream
-    gradient; the bias needs no pairs."""
+    """Gradients for those of input, weight and bias that are wanted: of the input's cells that are there, and of the weight's
+    that any pair of an input cell and an upstream one meets.
+
+    With a weight of at most ``SMALL`` cells the pairs meet in output tiles; with a larger one, the pairs of the forward pass are
+    joined with the upstream gradient.  The bias needs no pairs.
+    """
     axes = AXES[: len(inputs.shape) - 2]
     plan = ConvPlan(inputs.shape[2:], weight.shape[2:], tuple(stride), tuple(pad), tuple(dilation), tuple(extra), transposed)
     if upstream.shape[2:] != plan.out:
         raise ShapeError(f"gradient {upstream.shape[2:]} for an output of {plan.out}")
-    o, c = ("c", "o") if transposed else ("o", "c")
-    met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), hinted(weight, weight.df.toDF(o, c, *("k" + a for a in axes), "v")))
-    up = upstream.df.toDF("b", "o", *("q" + a for a in axes), "_g")
-    paired = met.join(up, ["b", "o", *("q" + a for a in axes)])
-    found = {
-        "input": paired.groupBy("b", "c", *axes).agg(F.sum(F.col("_g") * F.col("_w")).alias("v")),
-        "weight": paired.groupBy(o, c, *("k" + a for a in axes)).agg(F.sum(F.col("_g") * F.col("_in")).alias("v")),
-        "bias": up.groupBy("o").agg(F.sum("_g").alias("v")),
-    }
-    if not wanted or set(wanted) - set(found):
+    if not wanted or set(wanted) - {"input", "weight", "bias"}:
         raise ShapeError(f"gradients of {wanted}")
+    o, c = ("c", "o") if transposed else ("o", "c")
+    outputs, taps = ["q" + a for a in axes], ["k" + a for a in axes]
+    found = {"bias": upstream.df.toDF("b", "o", *outputs, "_g").groupBy("o").agg(F.sum("_g").alias("v"))}
+    paired = set(wanted) - {"bias"}
+    if paired and weight.small:
+        sums = _gradients_in_tiles(plan, _typed(inputs.df, ("b", "c", *axes)), _typed(upstream.df, ("b", "o", *axes)), _held(weight, transposed), paired)
+        sums = cut_lineage(sums) if len(paired) > 1 else sums
+        found["input"] = sums.filter("part = 'input'").select(F.col("n").alias("b"), F.col("m").alias("c"), *axes, "v")
+        of_weight = sums.filter("part = 'weight'").select(F.col("n").alias("o"), F.col("m").alias("c"), *(F.col(a).alias(k) for a, k in zip(axes, taps, strict=True)), "v")
+        found["weight"] = of_weight.select(o, c, *taps, "v")
+    elif paired:
+        met = _met(plan, inputs.df.toDF("b", "c", *axes, "v"), weight.df.toDF(o, c, *taps, "v"))
+        pairs = met.join(upstream.df.toDF("b", "o", *outputs, "_g"), ["b", "o", *outputs])
+        found["input"] = pairs.groupBy("b", "c", *axes).agg(F.sum(F.col("_g") * F.col("_w")).alias("v"))
+        found["weight"] = pairs.groupBy(o, c, *taps).agg(F.sum(F.col("_g") * F.col("_in")).alias("v"))
     return {part: found[part] for part in wanted}
 
 

@@ -91,3 +91,41 @@ def test_convolution_in_tiles(spark, monkeypatch, seed):
     monkeypatch.setattr("tessera.tensor.SMALL", 1)
     want = nn.conv(t, kernel, None, *args)
     assert got.shape == want.shape and np.allclose(got.to_numpy(), want.to_numpy()) and np.abs(want.to_numpy()).max() > 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_gradients_in_tiles(spark, monkeypatch, seed):
+    """Gradients of input and weight from small tiles: the same rows as the join of pairs with the upstream gradient."""
+    rng = np.random.default_rng(10 + seed)
+    rank, transposed = 1 + seed % 3, seed >= 3
+    monkeypatch.setitem(nn.CONV_SIDES, rank, 3)
+    n, k = rng.integers(4, 8, rank), rng.integers(1, 4, rank)
+    stride, pad, dilation = rng.integers(1, 4, rank), rng.integers(0, 3, rank), rng.integers(1, 3, rank)
+    if not transposed:
+        n = np.maximum(n, dilation * (k - 1) + 1)
+    else:
+        pad = np.minimum(pad, ((n - 1) * stride + dilation * (k - 1)) // 2)
+    args = [[int(v) for v in each] for each in (stride, pad, dilation)]
+    extra = tuple(int(v) for v in rng.integers(0, 3, rank)) if transposed else ()
+    out = nn.ConvPlan(tuple(map(int, n)), tuple(map(int, k)), *map(tuple, args), extra, transposed).out
+    axes = tuple("xyz"[:rank])
+
+    def sparse_cells(shape, dims):
+        t = Tensor.from_numpy(spark, rng.normal(size=shape) * (rng.random(shape) > 0.3), dims)
+        return Tensor(t.df.filter("v <> 0").repartition(3), t.dims, t.shape)
+
+    x, up = sparse_cells((2, 2, *map(int, n)), ("b", "c", *axes)), sparse_cells((2, 3, *out), ("b", "o", *axes))
+    lead = ("c", "o") if transposed else ("o", "c")
+    w = Tensor.from_numpy(spark, rng.normal(size=(2, 3, *k) if transposed else (3, 2, *k)), (*lead, *("k" + a for a in axes)))
+
+    def rows(wanted):
+        got = nn.conv_backward(x, w, up, *args, transposed, extra, wanted)
+        assert list(got) == list(wanted)
+        return {part: (df.columns, {tuple(r)[:-1]: r.v for r in df.collect()}) for part, df in got.items()}
+
+    tiles, alone = rows(("input", "weight", "bias")), rows(("input",)) | rows(("weight",))
+    monkeypatch.setattr("tessera.tensor.SMALL", 1)
+    joined = rows(("input", "weight", "bias"))
+    for part, (columns, want) in joined.items():
+        for at, got in (tiles.get(part), alone.get(part, tiles[part])):
+            assert at == columns and got.keys() == want.keys() and np.allclose([got[key] for key in want], list(want.values()))
