@@ -92,8 +92,8 @@ def erf(x: Column) -> Column:
 def erfc(x: Column) -> Column:
     """1 - erf(x), also where that is too small to be seen beside 1."""
     a = F.abs(x)
-    small = 1 - x * _ratio(x * x, _ERF_SMALL)
-    return F.when(F.isnan(x), x).when(a <= 0.46875, small).when(x > 0, _erfc_of_positive(a)).otherwise(2 - _erfc_of_positive(a))
+    small, side = 1 - x * _ratio(x * x, _ERF_SMALL), F.signum(x)
+    return F.when(F.isnan(x), x).when(a <= 0.46875, small).otherwise((1 - side) + side * _erfc_of_positive(a))
 
 
 # Lanczos approximation of the gamma function, g = 7, nine terms.
@@ -114,8 +114,9 @@ def lgamma(x: Column) -> Column:
         t = z + 7.5
         return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
 
-    mirrored = math.log(math.pi) - F.log(F.abs(F.sin(math.pi * x))) - right(1 - x)
-    return F.when((x <= 0) & (x == F.floor(x)), _f(INF)).when(x < 0.5, mirrored).otherwise(right(x))
+    known = right(F.greatest(x, 1 - x))  # one of the two is at least 0.5; written once, as branches are not shared in generated code
+    mirror = F.when(x < 0.5, math.log(math.pi) - F.log(F.abs(F.sin(math.pi * x)))).otherwise(_f(0))
+    return F.when((x <= 0) & (x == F.floor(x)), _f(INF)).otherwise(mirror + F.when(x < 0.5, _f(-1)).otherwise(_f(1)) * known)
 
 
 UNARY: dict[str, Callable[[Column], Column]] = {
