@@ -195,16 +195,20 @@ _SAMPLES = 1 << 16
 def ray_integrals(field: DataFrame, shape: tuple[int, int, int], origin: tuple[float, float, float], spacing: Spacing, rays: DataFrame, step: float) -> DataFrame:
     """``ray, v``: line integrals of a field ``(ix, iy, iz, v)`` along rays ``(ray, ox, oy, oz, dx, dy, dz)``.
 
-    A ray is clipped to the box of samples, cut into midpoints of at most the step, and sampled trilinearly; a miss is
-    0, and so are absent samples.  It is walked through the tiles of the field: a row is a ray in a tile, with the
+    A ray is clipped to the box of samples, cut into midpoints of at most the step, and sampled trilinearly; a miss, also by null, is
+    0, and so are absent samples.  Rays with equal origins and directions have one integral, which is taken once.  It is walked through the tiles of the field: a row is a ray in a tile, with the
     midpoints that it has there, so what is shuffled is the field once and a row for each tile that a ray crosses.
     Samples are taken in numpy.  A tile that very many rays cross is repeated for every ``RAYS`` of them.
     """
     each = _each(spacing)
     if min(shape) < 1 or not (math.isfinite(step) and step > 0):
         raise ShapeError(f"rays through {shape} in steps of {step}")
-    kind, side = rays.schema["ray"].dataType.simpleString(), TILES[3]
-    r = rays.withColumn("_len", F.sqrt(sum((F.col("d" + a) ** 2 for a in AXES), F.lit(0.0))))
+    side, ends = TILES[3], [c + a for c in "od" for a in AXES]
+    rays = rays.select("ray", *(F.col(c).cast("double").alias(c) for c in ends))
+    # Different rays may be few and long: a number of partitions by name is not coalesced into one task.
+    parts = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = cut_lineage(rays.select(*ends).dropna().distinct().repartition(parts, *ends).withColumn("ray", F.monotonically_increasing_id()))
+    r = lines.withColumn("_len", F.sqrt(sum((F.col("d" + a) ** 2 for a in AXES), F.lit(0.0))))
     near, far, hit = F.lit(0.0), F.lit(float("inf")), F.lit(True)
     for a, n, o, d in zip(AXES, shape, origin, each, strict=True):
         r = r.withColumn("_u" + a, F.col("d" + a) / F.col("_len"))
@@ -256,7 +260,7 @@ def ray_integrals(field: DataFrame, shape: tuple[int, int, int], origin: tuple[f
                 yield batch[["ray", *names]].iloc[own].reset_index(drop=True).assign(**found)
 
     numbers = ", ".join(f"{c} double" for c in names[1:])
-    rows = cut_lineage(map_batches(through, walk, f"ray {kind}, t0 long, t1 long, t2 long, s0 long, s1 long, n long, {numbers}"))
+    rows = cut_lineage(map_batches(through, walk, f"ray long, t0 long, t1 long, t2 long, s0 long, s1 long, n long, {numbers}"))
     tiles = ["t0", "t1", "t2"]
     salts = rows.groupBy(*tiles).agg(F.ceil(F.count("*") / RAYS).cast("int").alias("salts"))
     dealt = rows.join(salts, tiles).withColumn("salt", F.pmod(F.xxhash64("ray", "s0"), F.col("salts")).cast("int"))
@@ -285,6 +289,7 @@ def ray_integrals(field: DataFrame, shape: tuple[int, int, int], origin: tuple[f
             sums += np.bincount(row, weights=value * rows["dl"][row], minlength=len(sums))
         return pd.DataFrame({"ray": own["ray"], "v": sums})
 
-    met = dealt.groupBy(*tiles, "salt").cogroup(seen.groupBy(*("to_" + t for t in tiles), "copy")).applyInPandas(sample, f"ray {kind}, v double")
+    met = dealt.groupBy(*tiles, "salt").cogroup(seen.groupBy(*("to_" + t for t in tiles), "copy")).applyInPandas(sample, "ray long, v double")
     sums = met.groupBy("ray").agg(F.sum("v").alias("v"))
-    return rays.select("ray").join(sums, "ray", "left").select("ray", F.coalesce("v", F.lit(0.0)).alias("v"))
+    found = lines.join(sums, "ray").select(*ends, "v")
+    return rays.join(found, ends, "left").select("ray", F.coalesce("v", F.lit(0.0)).alias("v"))

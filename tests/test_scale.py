@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import linalg
+from tessera.operators import field, linalg
+from tessera.session import cut_lineage
 from tessera.tensor import Tensor
 
 
@@ -26,3 +27,14 @@ def test_block_products_meet_as_blocks(spark):
         sparse = linalg.matmul_blocked(holes, y, 4)
         want = np.where((np.add.outer(np.arange(9), np.arange(k)) % 5 == 0), a, 0) @ b
         assert np.allclose(sparse.to_numpy(), want)
+
+
+def test_equal_rays_are_walked_once(spark, monkeypatch):
+    """What is walked and met grows with the different rays, and a ray that is there twice keeps its own integral."""
+    cells = spark.range(40).select(F.col("id").alias("ix"), F.lit(0).alias("iy"), F.lit(0).alias("iz"), F.lit(2.0).alias("v"))
+    rays = spark.createDataFrame([(k % 5, -1.0, 0.0, 0.0, 1.0 + k % 2, 0.0, 0.0) for k in range(60)] + [(9, -1.0, 5.0, 0.0, 1.0, 0.0, 0.0), (8, None, 0.0, 0.0, 1.0, 0.0, 0.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    written = []
+    monkeypatch.setattr(field, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    got = [tuple(r) for r in field.ray_integrals(cells, (40, 1, 1), (0.0, 0.0, 0.0), 1.0, rays, 1.0).collect()]
+    assert sorted(got) == sorted([(k % 5, 78.0) for k in range(60)] + [(9, 0.0), (8, 0.0)])
+    assert written[-1].count() == 2 * 2  # two rays in two tiles
