@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -113,3 +119,109 @@ def spmv_many(a: Tensor, xs: list[Tensor]) -> list[Tensor]:
         whole = whole.unionByName(t)
     out = spmm(a, Tensor(whole.select("k", "j", "v"), ("k", "j"), (a.shape[1], len(xs))))
     return [Tensor(out.df.filter(F.col("j") == n).select("i", "v"), ("i",), (a.shape[0],)) for n in range(len(xs))]
+
+
+# -- many products with one matrix: its entries are packed once and stay where they are ---------------------------------
+
+GROUPS = 64  # groups of rows times groups of columns
+PIECE = 1 << 20  # entries that are packed together, and in one group at least
+
+
+def _group(key: str, of: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(of)).cast("int")
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their rows' sums, of several ``(keys, rows)``."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    x = np.concatenate([x for _, x in parts])
+    return keys, np.stack([np.bincount(at, weights=column, minlength=len(keys)) for column in x.T], axis=1)
+
+
+def _as_rows(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.float64).reshape(n, -1)
+
+
+@dataclass(frozen=True)
+class Packed:
+    """Entries dealt into groups of rows and of columns, at most ``GROUPS`` pairs of groups, in packed pieces that are kept by
+    the executors.  A product moves each vector entry once for every group across, and as many partial sums, never an entry
+    of the matrix; what it moves grows with the vectors, however many entries there are."""
+
+    df: DataFrame
+    rows: int
+    columns: int
+
+    def times(self, vectors: DataFrame, transposed: bool = False) -> DataFrame:
+        """``key, x``: the matrix, or its transpose, times packed rows ``(key, x)`` with unique keys; rows without entries are
+        left out."""
+        own, across = (self.columns, self.rows) if transposed else (self.rows, self.columns)
+        into, out_of = ("c", "r") if transposed else ("r", "c")
+        id_into, id_out_of = ("j", "i") if transposed else ("i", "j")
+
+        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("key")
+            return pd.DataFrame({"_across": [key[0]], "keys": [part["key"].to_numpy().tobytes()], "x": [np.stack(part["x"].to_numpy()).tobytes()]})
+
+        def multiply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            group, held = None, []
+
+            def done() -> pd.DataFrame:
+                keys, x = _added(held)
+                return pd.DataFrame({"_own": [group], "keys": [keys.tobytes()], "x": [x.tobytes()]})
+
+            for batch in batches:
+                for g, to, of, r, c, v, keys, x in zip(*(batch[n] for n in ("_own", id_into, id_out_of, into, out_of, "v", "keys", "x")), strict=True):
+                    to, of, keys = (np.frombuffer(b, dtype=np.int64) for b in (to, of, keys))
+                    r, c, v = np.frombuffer(r, dtype=np.int32), np.frombuffer(c, dtype=np.int32), np.frombuffer(v, dtype=np.float64)
+                    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+                    seen = np.where((keys[at] == of)[:, None], _as_rows(x, len(keys))[at], 0.0)
+                    if held and g != group:
+                        yield done()
+                        held = []
+                    group = g
+                    part = np.stack([np.bincount(r, weights=v * column[c], minlength=len(to)) for column in np.ascontiguousarray(seen.T)], axis=1)
+                    held = [_added([*held, (to, part)])]
+            if held:
+                yield done()
+
+        def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            each = [(np.frombuffer(k, dtype=np.int64), x) for k, x in zip(parts["keys"], parts["x"], strict=True)]
+            keys, x = _added([(k, _as_rows(x, len(k))) for k, x in each])
+            return pd.DataFrame({"key": keys, "x": list(x)})
+
+        typed = vectors.select(F.col("key").cast("long").alias("key"), F.col("x").cast("array<double>").alias("x"))
+        chunks = typed.groupBy(_group("key", across).alias("_across")).applyInPandas(pack, "_across int, keys binary, x binary")
+        pairs = chunks.withColumn("_own", F.explode(F.sequence(F.lit(0), F.lit(own - 1))))
+        p, q = ("_across", "_own") if transposed else ("_own", "_across")
+        pairs = pairs.select((F.col(p) * self.columns + F.col(q)).alias("g"), "_own", "keys", "x")
+        met = self.df.join(pairs.hint("shuffle_hash"), "g")
+        sums = met.select("_own", "i", "j", "r", "c", "v", "keys", "x").mapInPandas(multiply, "_own int, keys binary, x binary")
+        return sums.groupBy("_own").applyInPandas(whole, "key long, x array<double>")
+
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
+
+def packed(cells: DataFrame, groups: int | None = None) -> Packed:
+    """Entries ``(i, j, v)``, each position once, for many products.  There are the more groups of rows the more rows there are
+    beside columns.  Read twice: write the cells to the shared folder if they are not a table."""
+    seen = cells.agg(F.count("*").alias("n"), F.approx_count_distinct("i").alias("i"), F.approx_count_distinct("j").alias("j")).first()
+    groups = groups or max(1, min(GROUPS, seen["n"] * 16 // PIECE))
+    rows = min(groups, max(1, round((groups * max(seen["i"], 1) / max(seen["j"], 1)) ** 0.5)))
+    columns = max(1, groups // rows)
+    dealt = cells.select((_group("i", rows) * columns + _group("j", columns)).alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    sizes = {r["g"]: -(-r["n"] // PIECE) for r in dealt.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    pieces = F.element_at(F.array(*(F.lit(sizes.get(g, 1)) for g in range(rows * columns))), F.col("g") + 1)
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        i, r = np.unique(part["i"].to_numpy(), return_inverse=True)
+        j, c = np.unique(part["j"].to_numpy(), return_inverse=True)
+        own = {"i": i, "j": j, "r": r.astype(np.int32), "c": c.astype(np.int32), "v": part["v"].to_numpy()}
+        return pd.DataFrame({"g": [key[0]], **{n: [x.tobytes()] for n, x in own.items()}})
+
+    of = dealt.withColumn("piece", F.pmod(F.xxhash64("i", "j"), pieces).cast("int")).groupBy("g", "piece")
+    each = of.applyInPandas(pack, "g int, i binary, j binary, r binary, c binary, v binary")
+    return Packed(each.repartition(2 * rows * columns, "g").sortWithinPartitions("g").persist(StorageLevel.MEMORY_AND_DISK), rows, columns)

@@ -1,8 +1,8 @@
 """Leading singular values and vectors of a sparse matrix, by subspace iteration (Halko, Martinsson and Tropp, "Finding
 Structure with Randomness").
 
-A block of vectors is a table of packed rows.  A step multiplies it with the matrix and with its transpose, each one join
-and one grouped sum of the block's columns, and orthonormalizes both products by the tree of :func:`tessera.operators.decomp.thin_q`,
+A block of vectors is a table of packed rows.  A step multiplies it with the matrix and with its transpose, whose entries are
+packed once and stay in their tasks (:class:`tessera.operators.sparse.Packed`), and orthonormalizes both products by the tree of :func:`tessera.operators.decomp.thin_q`,
 which does not lose small vectors beside large ones.  Only triangles as wide as the block reach the driver, where the singular
 values of the last one are the estimates; the iteration stops when they stand still.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.decomp import thin_q
 from tessera.operators.linalg import matmul_rows
-from tessera.operators.sparse import joined
+from tessera.operators.sparse import Packed, packed
 from tessera.session import cut_lineage
 from tessera.tensor import ShapeError, Tensor
 
@@ -34,13 +34,6 @@ class SingularPairs:
     converged: bool
 
 
-def packed_product(cells: DataFrame, block: DataFrame, width: int) -> DataFrame:
-    """``key, x``: the cells ``(i, _k, _a)`` times packed rows ``(_k, x)``, rows without entries left out."""
-    met = joined(cells, block, small=False)
-    sums = met.groupBy("i").agg(*(F.sum(F.col("_a") * F.col("x")[t]).alias(f"_{t}") for t in range(width)))
-    return sums.select(F.col("i").alias("key"), F.array(*(F.col(f"_{t}") for t in range(width))).alias("x"))
-
-
 def singular_pairs(cells: DataFrame, k: int, more: int = 8, tolerance: float = 1e-12, most: int = 100, seed: int = 0) -> SingularPairs:
     """The ``k`` largest singular values of cells ``(i, j, v)`` and their vectors, from a block of ``k + more`` vectors.
 
@@ -51,29 +44,34 @@ def singular_pairs(cells: DataFrame, k: int, more: int = 8, tolerance: float = 1
         raise ShapeError(f"{k} singular values")
     whole = cells.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("v").cast("double")).alias("v"))
     whole = cut_lineage(whole.filter("v <> 0"))
-    forward, back = whole.select("i", F.col("j").alias("_k"), F.col("v").alias("_a")), whole.select(F.col("j").alias("i"), F.col("i").alias("_k"), F.col("v").alias("_a"))
+    matrix = packed(whole)
+    try:
+        return _iterated(matrix, whole, k, more, tolerance, most, seed)
+    finally:
+        matrix.unpersist()
+
+
+def _iterated(matrix: Packed, whole: DataFrame, k: int, more: int, tolerance: float, most: int, seed: int) -> SingularPairs:
     width = k + more
 
     def spread(t: int):
-        return F.pmod(F.xxhash64("_k", F.lit(t), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 39)) - 1
+        return F.pmod(F.xxhash64("key", F.lit(t), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 39)) - 1
 
-    block, q, r = cut_lineage(forward.select("_k").distinct().select("_k", F.array(*map(spread, range(width))).alias("x"))), None, np.zeros((0, 0))
+    block, q, r = cut_lineage(whole.select(F.col("j").alias("key")).distinct().select("key", F.array(*map(spread, range(width))).alias("x"))), None, np.zeros((0, 0))
     before, steps, converged = np.zeros(0), 0, False
     while steps < most and not converged:
-        q, upper = thin_q(packed_product(forward, block, width), "key", "x")
+        q, upper = thin_q(cut_lineage(matrix.times(block)), "key", "x")
         if not len(upper):
             return SingularPairs(np.zeros(0), q.select(F.col("key").alias("i"), F.col("q").alias("x")), q.select(F.col("key").alias("j"), F.col("q").alias("x")), 0, True)
-        width = len(upper)
-        q = cut_lineage(q)
-        found, r = thin_q(packed_product(back, q.select(F.col("key").alias("_k"), F.col("q").alias("x")), width), "key", "x")
-        width = len(r)
-        block = cut_lineage(found.select(F.col("key").alias("_k"), F.col("q").alias("x")))
+        q = cut_lineage(q.withColumnRenamed("q", "x"))
+        found, r = thin_q(cut_lineage(matrix.times(q, transposed=True)), "key", "x")
+        block = cut_lineage(found.withColumnRenamed("q", "x"))
         values = np.linalg.svd(r, compute_uv=False)[:k]
         converged = len(values) == len(before) and bool((np.abs(values - before) <= tolerance * values[0]).all())
         before, steps = values, steps + 1
     u, s, wt = np.linalg.svd(r.T)  # A = Q R^T X^T
     there = min(k, int((s > 1e-14 * s[0]).sum()))
-    spark = cells.sparkSession
-    left = matmul_rows(q.select(F.col("key").alias("i"), F.col("q").alias("x")), "x", Tensor.from_numpy(spark, u[:, :there]))
-    right = matmul_rows(block.select(F.col("_k").alias("j"), "x"), "x", Tensor.from_numpy(spark, wt[:there].T))
+    spark = whole.sparkSession
+    left = matmul_rows(q.withColumnRenamed("key", "i"), "x", Tensor.from_numpy(spark, u[:, :there]))
+    right = matmul_rows(block.withColumnRenamed("key", "j"), "x", Tensor.from_numpy(spark, wt[:there].T))
     return SingularPairs(s[:there], left, right, steps, converged)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import field, linalg
+from tessera.operators import field, linalg, sparse
 from tessera.session import cut_lineage
 from tessera.tensor import Tensor
 
@@ -38,3 +38,22 @@ def test_equal_rays_are_walked_once(spark, monkeypatch):
     got = [tuple(r) for r in field.ray_integrals(cells, (40, 1, 1), (0.0, 0.0, 0.0), 1.0, rays, 1.0).collect()]
     assert sorted(got) == sorted([(k % 5, 78.0) for k in range(60)] + [(9, 0.0), (8, 0.0)])
     assert written[-1].count() == 2 * 2  # two rays in two tiles
+
+
+def test_packed_products_move_vectors_only(spark, monkeypatch):
+    """Entries stay in their tasks: what a product shuffles does not grow with them."""
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((60, 20)) < 0.4, rng.normal(size=(60, 20)), 0)
+    a[7] = a[:, 3] = 0
+    cells = spark.createDataFrame([(int(i) - 30, int(j) * 1000, float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v double")
+    x, y = rng.normal(size=(20, 3)), rng.normal(size=(60, 2))
+    monkeypatch.setattr(sparse, "PIECE", 10)
+    for groups in (1, 7, None):
+        matrix = sparse.packed(cells, groups)
+        for m, v, into, of, back in ((a, x, lambda i: i - 30, lambda j: j * 1000, False), (a.T, y, lambda j: j * 1000, lambda i: i - 30, True)):
+            out = matrix.times(spark.createDataFrame([(of(k), row.tolist()) for k, row in enumerate(v)], "key long, x array<double>"), back)
+            assert plan(out).count("InMemoryTableScan") == 1 and plan(out).split("InMemoryRelation")[0].count("Exchange hashpartitioning(g") <= 1  # the vectors'
+            got = {r.key: r.x for r in out.collect()}
+            want = {into(k): row for k, row in enumerate(m @ v) if m[k].any()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        matrix.unpersist()
