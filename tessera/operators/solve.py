@@ -10,8 +10,8 @@ The state ``(i, x, r, u, p, s, w)`` lies in the shared folder, in two tables tha
 scalars of each finished step.  A step reads the last table only: a lost executor repeats tasks of the present step, and
 :func:`conjugate_gradients` with the same ``state`` folder goes on after the last finished step when the driver is lost.
 
-The matrix is dealt out by column once and stays so; a step shuffles one number for each unknown, and for each task
-the partial sums of the rows that it has.
+The matrix is packed once and stays in its tasks (:class:`tessera.operators.sparse.Packed`); a step shuffles the state once, and
+numbers for each unknown.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tessera.operators.sparse import Packed, packed
 from tessera.session import cut_lineage, shared_dir
 from tessera.tensor import ShapeError
 
@@ -58,28 +58,28 @@ def conjugate_gradients(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, mo
     """
     spark = a.sparkSession
     folder = state or f"{shared_dir(spark)}/solve-{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = a.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("a"))
-    cells = cut_lineage(cells.groupBy("i", "j").agg(F.sum("a").alias("a"))).repartition(n, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    cells = cut_lineage(cells.groupBy("i", "j").agg(F.sum("a").alias("a")))
+    matrix = packed(cells.withColumnRenamed("a", "v"))
     try:
         done = _log(spark, folder)
         if not done:
-            done = [_begin(cells, b, folder)]
+            done = [_begin(matrix, cells, b, folder)]
         while True:
             last = done[-1]
             if last["rr"] <= tolerance**2 * last["bb"] or last["step"] >= most:
                 break
-            done.append(_step(spark, cells, folder, last))
+            done.append(_step(spark, matrix, folder, last))
         found = spark.read.parquet(f"{folder}/state-{last['at']}").select("i", "x")
         residual = (last["rr"] / last["bb"]) ** 0.5 if last["bb"] else 0.0
         return Solution(found, last["step"], residual, residual <= tolerance)
     finally:
-        cells.unpersist()
+        matrix.unpersist()
 
 
-def _multiplied(state: DataFrame, cells: DataFrame) -> DataFrame:
+def _multiplied(state: DataFrame, matrix: Packed) -> DataFrame:
     """The state with w = A u."""
-    product = cells.join(state.select(F.col("i").alias("j"), "u"), "j").groupBy("i").agg(F.sum(F.col("a") * F.col("u")).alias("w"))
+    product = matrix.times(state.select(F.col("i").alias("key"), F.array("u").alias("x"))).select(F.col("key").alias("i"), F.col("x")[0].alias("w"))
     return state.drop("w").join(product, "i", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
@@ -91,18 +91,18 @@ def _written(state: DataFrame, path: str) -> dict:
     return seen.get
 
 
-def _begin(cells: DataFrame, b: DataFrame, folder: str) -> dict:
+def _begin(matrix: Packed, cells: DataFrame, b: DataFrame, folder: str) -> dict:
     """Step 0: x = 0 and r = b."""
     right = b.select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("r"))
     diagonal = cells.filter("i = j").select("i", F.col("a").alias("d"))
     positive = F.when(F.col("d") > 0, F.col("d")).otherwise(F.raise_error(F.lit("the diagonal is not positive")).cast("double"))
     start = right.join(diagonal, "i", "left").withColumn("d", positive)
     start = start.select("i", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("u"), *(F.lit(0.0).alias(c) for c in "psw"))
-    found = _written(_multiplied(cut_lineage(start), cells), f"{folder}/state-0")
+    found = _written(_multiplied(cut_lineage(start), matrix), f"{folder}/state-0")
     return _logged(cells.sparkSession, folder, {"step": 0, "at": 0, "alpha": 0.0, "beta": 0.0, "bb": found["rr"], **found})
 
 
-def _step(spark, cells: DataFrame, folder: str, last: dict) -> dict:
+def _step(spark, matrix: Packed, folder: str, last: dict) -> dict:
     beta = last["beta"]
     below = last["delta"] - (beta * last["gamma"] / last["alpha"] if last["step"] else 0.0)
     if not below > 0:
@@ -111,7 +111,7 @@ def _step(spark, cells: DataFrame, folder: str, last: dict) -> dict:
     old = spark.read.parquet(f"{folder}/state-{last['at']}")
     moved = old.withColumns({"p": F.col("u") + beta * F.col("p"), "s": F.col("w") + beta * F.col("s")})
     moved = moved.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("s")}).withColumn("u", F.col("r") / F.col("d"))
-    found = _written(_multiplied(moved, cells), f"{folder}/state-{at}")
+    found = _written(_multiplied(moved, matrix), f"{folder}/state-{at}")
     return _logged(spark, folder, {"step": last["step"] + 1, "at": at, "alpha": alpha, "beta": found["gamma"] / last["gamma"], "bb": last["bb"], **found})
 
 
