@@ -40,7 +40,10 @@ def running_sums(events: DataFrame, time: str, key: str, value: str, window: str
 
 
 class _InOrder(StatefulProcessor):
-    """Gradients of a key wait until the watermark has passed them, and are folded by event time and number."""
+    """Gradients of a key wait until the watermark has passed them, and are folded by event time and number.
+
+    A timer stands at the earliest of a batch and, when some are left, at the earliest of those: one for each key and batch,
+    not one for each gradient."""
 
     def __init__(self, start: float, lr: float, momentum: float):
         self._start, self._lr, self._momentum = start, lr, momentum
@@ -53,8 +56,7 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         found = pd.concat(list(rows))
         self._waiting.appendList([(int(a), int(o), float(g)) for a, o, g in zip(found["at"], found["o"], found["g"], strict=True)])
-        for a in sorted({int(a) for a in found["at"]}):
-            self._handle.registerTimer(a)
+        self._handle.registerTimer(int(found["at"].min()))  # the first that is due; it sees to the others
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -70,6 +72,8 @@ class _InOrder(StatefulProcessor):
         self._now.update((p, s, n + len(due)))
         rest = [r for r in rows if r[0] > passed]
         self._waiting.put(rest) if rest else self._waiting.clear()
+        if rest:
+            self._handle.registerTimer(min(r[0] for r in rest))
         yield pd.DataFrame({"k": [key[0]], "p": [p], "s": [s], "steps": [n + len(due)]})
 
     def close(self) -> None:

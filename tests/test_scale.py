@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import field, linalg, sparse
 from tessera.session import cut_lineage
+from tessera.streaming import _InOrder
 from tessera.tensor import Tensor
 
 
@@ -57,3 +61,16 @@ def test_packed_products_move_vectors_only(spark, monkeypatch):
             want = {into(k): row for k, row in enumerate(m @ v) if m[k].any()}
             assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
         matrix.unpersist()
+
+
+def test_one_timer_for_a_key_and_batch():
+    """Timers are calls to the state server: gradients of a batch and what is left after a fold share one."""
+    kept, waiting, timers = [], [], []
+    now = SimpleNamespace(get=lambda: kept[-1], exists=lambda: bool(kept), update=kept.append)
+    store = SimpleNamespace(get=lambda: iter(list(waiting)), appendList=waiting.extend, put=lambda rows: waiting.__setitem__(slice(None), rows), clear=waiting.clear)
+    own = _InOrder(1.0, 0.1, 0.9)
+    own.init(SimpleNamespace(getValueState=lambda *_: now, getListState=lambda *_: store, registerTimer=timers.append))
+    list(own.handleInputRows((1,), iter([pd.DataFrame({"at": range(10, 110), "o": range(100), "g": 1.0})]), None))
+    assert timers == [10]
+    out = list(own.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 59), None))
+    assert out[0]["steps"].tolist() == [50] and timers == [10, 60] and len(waiting) == 50
