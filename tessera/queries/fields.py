@@ -11,6 +11,7 @@ from tessera.tensor import Tensor
 NX, NY = 2600, 20
 LEAST, BOX, SPACING = 40, (40, 36), (0.5, 1.0, 2.0)
 FIRST_DAY = "1990-01-01"
+ROWS = 1 << 20  # that meet in a task
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -70,7 +71,11 @@ def random_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     u, again = random.uniform(spark, (rows, 2), -1.0, 2.0, 42), random.uniform(spark, (rows, 2), -1.0, 2.0, 42)
     other, z = random.uniform(spark, (rows, 2), -1.0, 2.0, 43), random.normal(spark, (rows, 2), 1.0, 2.0, 42)
-    same = u.df.join(again.df.repartition(3).withColumnRenamed("v", "w"), ["i", "j"]).join(other.df.withColumnRenamed("v", "x"), ["i", "j"]).join(z.df.withColumnRenamed("v", "z"), ["i", "j"])
+    # The second copy in other partitions, more of them the more rows there are; all meet in as many as keep a task small.
+    few, parts = max(3, rows // ROWS), max(4, 2 * rows // ROWS)
+    again = again.df.repartition(few).withColumnRenamed("v", "w")
+    one, two, three = (t.repartition(parts, "i", "j") for t in (u.df, other.df.withColumnRenamed("v", "x"), z.df.withColumnRenamed("v", "z")))
+    same = one.join(again, ["i", "j"]).join(two, ["i", "j"]).join(three, ["i", "j"])
     return same.agg(
         F.count("*").alias("n"), F.min((F.col("v") >= -1) & (F.col("v") < 2)).alias("within"), F.min(F.col("v") == F.col("w")).alias("repeatable"),
         (F.avg((F.col("v") == F.col("x")).cast("int")) < 0.001).alias("seeded"), (F.abs(F.avg("v") - 0.5) < 0.05).alias("uniform_mean"),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import field, linalg, sparse
+from tessera.queries import fields
 from tessera.session import cut_lineage
 from tessera.streaming import _InOrder
 from tessera.tensor import Tensor
@@ -74,3 +75,11 @@ def test_one_timer_for_a_key_and_batch():
     assert timers == [10]
     out = list(own.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 59), None))
     assert out[0]["steps"].tolist() == [50] and timers == [10, 60] and len(waiting) == 50
+
+
+def test_random_contract_parts_grow_with_rows(spark, monkeypatch):
+    """No task gets a fixed share of all rows."""
+    monkeypatch.setattr(fields, "ROWS", 500)
+    df = fields.random_contract(spark, "/root/testdata/sf0.001")
+    rows = df.first().n // 2
+    assert f"RoundRobinPartitioning({rows // 500})" in plan(df) and plan(df).count(f", {2 * rows // 500}), REPARTITION_BY_NUM") >= 3
