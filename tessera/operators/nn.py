@@ -282,7 +282,7 @@ def _sides(q: Tensor, k: Tensor, v: Tensor, keep: DataFrame | None) -> tuple[Dat
 def attention(q: Tensor, k: Tensor, v: Tensor, scale: float | None = None, causal: bool = False, keep: DataFrame | None = None, block: int = 1024) -> Tensor:
     """Weighted values of Q (b, q, d), K (b, k, d) and V (b, k, e); a fully masked row is zeros, non-finite input an error."""
     queries, keys = _sides(q, k, v, keep)
-    cells = _cells(_block_sums(_deal(queries, block), _deal(keys, block), 1 / math.sqrt(q.shape[2]) if scale is None else scale, causal))
+    cells = _cells(_block_sums(_deal(queries, block, ACROSS), _deal(keys, block, ACROSS), 1 / math.sqrt(q.shape[2]) if scale is None else scale, causal))
     return Tensor(cells, ("b", "q", "e"), (q.shape[0], q.shape[1], v.shape[2])).densify()
 
 
@@ -294,6 +294,9 @@ def attention_backward(q: Tensor, k: Tensor, v: Tensor, upstream: Tensor, scale:
 
 
 MERGE = 32  # partial results of one block that meet in a task
+ACROSS = 8  # blocks of a sequence, so a row is repeated as often, until blocks have LONGEST rows
+LONGEST = 1 << 16
+SLICE = 1024  # queries, and keys, whose scores are held at once
 
 
 @dataclass(frozen=True)
@@ -305,9 +308,15 @@ class _Dealt:
     most: int
 
 
-def _deal(rows: DataFrame, block: int) -> _Dealt:
+def _blocks_of(n: Column, block: int, across: int | None) -> Column:
+    many = F.ceil(n / block)
+    return (many if across is None else F.greatest(F.least(many, F.lit(across)), F.ceil(n / LONGEST))).cast("int")
+
+
+def _deal(rows: DataFrame, block: int, across: int | None = None) -> _Dealt:
     """``b, own`` and the columns of all rows of a block as one row each.  Blocks of about ``block`` rows are picked by a
-    hash of the position, so a sequence of any length is dealt out evenly.  The rows are counted once."""
+    hash of the position, so a sequence of any length is dealt out evenly.  The rows are counted once.  With ``across`` a
+    longer sequence has that many larger blocks, up to ``LONGEST`` rows each: what is repeated then grows with the rows."""
     names = [c for c in rows.columns if c != "b"]
     packs = {c for c, t in rows.dtypes if t.startswith("array")}
 
@@ -318,7 +327,7 @@ def _deal(rows: DataFrame, block: int) -> _Dealt:
             raise ValueError(f"batch {key[0]} has non-finite entries")
         return pd.DataFrame({"b": [key[0]], "own": [key[1]], **{c: [x] for c, x in out.items()}})
 
-    counts = cut_lineage(rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")))
+    counts = cut_lineage(rows.groupBy("b").agg(_blocks_of(F.count("*"), block, across).alias("_n")))
     batches, most = counts.agg(F.count("*"), F.max("_n")).first()
     counts = F.broadcast(counts) if batches <= SMALL else counts  # batches are few, and so hot keys, or many
     dealt = rows.join(counts, "b").withColumn("_own", F.pmod(F.xxhash64("p"), F.col("_n")).cast("int"))
@@ -353,6 +362,15 @@ def _of_block(side: pd.DataFrame, name: str, rows: str = "p"):
     return side[name].iloc[0].reshape(len(side[rows].iloc[0]), -1)
 
 
+def _slices(side: pd.DataFrame, rows: str) -> Iterator[tuple[slice, pd.DataFrame]]:
+    """The one block of a group, ``SLICE`` rows at a time."""
+    n = len(side[rows].iloc[0])
+    packs = [c for c in side.columns if isinstance(side[c].iloc[0], np.ndarray)]
+    for at in range(0, n, SLICE):
+        own = slice(at, min(n, at + SLICE))
+        yield own, side.assign(**{c: [side[c].iloc[0].reshape(n, -1)[own].ravel()] for c in packs})
+
+
 def _scores(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool):
     """Scaled products of a block of queries and one of keys; -inf where the key does not count."""
     s = _of_block(left, "q") @ _of_block(right, "key_k", "key_p").T * scale
@@ -367,11 +385,18 @@ def _block_sums(queries: _Dealt, keys: _Dealt, scale: float, causal: bool) -> Da
     """``b, p, top, total, o``: of every query the maximum, the sum and the weighted mean of the values over all keys."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = _scores(left, right, scale, causal)
-        m = s.max(axis=1)
-        x = np.exp(s - np.where(np.isfinite(m), m, 0)[:, None])
-        o = x @ _of_block(right, "key_v", "key_p")
-        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "p": [left["p"].iloc[0]], "m": [m], "s": [x.sum(axis=1)], "o": [o.ravel()]})
+        n, width = len(left["p"].iloc[0]), _of_block(right, "key_v", "key_p").shape[1]
+        top, total, out = np.full(n, -np.inf), np.zeros(n), np.zeros((n, width))
+        for own, q in _slices(left, "p"):
+            for _, k in _slices(right, "key_p"):
+                s = _scores(q, k, scale, causal)
+                m = np.maximum(top[own], s.max(axis=1))
+                base = np.where(np.isfinite(m), m, 0)
+                x, f = np.exp(s - base[:, None]), np.exp(top[own] - base)
+                total[own] = total[own] * f + x.sum(axis=1)
+                out[own] = out[own] * f[:, None] + x @ _of_block(k, "key_v", "key_p")
+                top[own] = m
+        return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "p": [left["p"].iloc[0]], "m": [top], "s": [total], "o": [out.ravel()]})
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         top = np.max(np.stack(parts["m"].to_numpy()), axis=0)
@@ -398,6 +423,12 @@ def _weights(left: pd.DataFrame, right: pd.DataFrame, scale: float, causal: bool
     return np.exp(_scores(left, right, scale, causal) - np.where(np.isfinite(top), top, 0)[:, None]) / np.where(total > 0, total, 1)[:, None]
 
 
+def _ready(queries: DataFrame, sums: DataFrame) -> DataFrame:
+    """Queries with their maxima and sums.  Maxima of fully masked rows are -inf, which blocks of finite numbers may not hold:
+    their sums are 0."""
+    return queries.join(sums.select("b", "p", "top", "total"), ["b", "p"]).withColumn("top", F.when(F.col("total") > 0, F.col("top")).otherwise(0.0))
+
+
 def _weight_tiles(queries: DataFrame, keys: _Dealt, sums: DataFrame, scale: float, causal: bool, block: int) -> Tiles:
     """The second pass: maxima and sums are known, so every block yields its weights as they are."""
 
@@ -405,10 +436,7 @@ def _weight_tiles(queries: DataFrame, keys: _Dealt, sums: DataFrame, scale: floa
         w = _weights(left, right, scale, causal)
         return pd.DataFrame({"b": [key[0]], "qb": [key[1]], "kb": [key[2]], "rows": [left["p"].iloc[0]], "columns": [right["key_p"].iloc[0]], "x": [w.ravel()]})
 
-    ready = queries.join(sums.select("b", "p", "top", F.col("total").alias("total")), ["b", "p"])
-    # Maxima of fully masked rows are -inf, which blocks of finite numbers may not hold: their sums are 0.
-    ready = ready.withColumn("top", F.when(F.col("total") > 0, F.col("top")).otherwise(0.0))
-    left, right = _met_blocks(_deal(ready, block), keys)
+    left, right = _met_blocks(_deal(_ready(queries, sums), block), keys)
     return Tiles(left.cogroup(right).applyInPandas(_where_both(one), "b long, qb int, kb int, rows array<long>, columns array<long>, x array<double>"), ("b",))
 
 
@@ -420,18 +448,28 @@ def _gradients(queries: DataFrame, keys: DataFrame, scale: float, causal: bool,
     """``part, b, p, d, v`` of queries ``(b, p, q, g)`` and keys ``(b, p, k, v)``."""
     if not wanted or set(wanted) - set("qkv"):
         raise ShapeError(f"gradients of {wanted}")
-    queries, dealt = cut_lineage(queries), _deal(cut_lineage(keys), block)
+    queries, dealt = cut_lineage(queries), _deal(cut_lineage(keys), block, ACROSS)
     dot = F.aggregate(F.zip_with("g", "o", lambda g, o: g * o), F.lit(0.0), lambda s, t: s + t)
-    sums = _block_sums(_deal(queries.drop("g"), block), dealt, scale, causal)
-    ready = _deal(cut_lineage(queries.join(sums, ["b", "p"]).withColumn("mean", dot).drop("o")), block)
+    sums = _block_sums(_deal(queries.drop("g"), block, ACROSS), dealt, scale, causal)
+    ready = _deal(cut_lineage(queries.join(sums, ["b", "p"]).withColumn("mean", dot).drop("o")), block, ACROSS)
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q, g, k, v = _of_block(left, "q"), _of_block(left, "g"), _of_block(right, "key_k", "key_p"), _of_block(right, "key_v", "key_p")
-        w = _weights(left, right, scale, causal)
-        ds = w * (g @ v.T - left["mean"].iloc[0][:, None]) * scale if wanted != "v" else None
+        sides = {"q": (left, "p", "q"), "k": (right, "key_p", "key_k"), "v": (right, "key_p", "key_v")}
+        sums = {part: np.zeros_like(_of_block(side, name, rows)) for part, (side, rows, name) in sides.items() if part in wanted}
+        for at, queries in _slices(left, "p"):
+            q, g = _of_block(queries, "q"), _of_block(queries, "g")
+            for to, keys in _slices(right, "key_p"):
+                w = _weights(queries, keys, scale, causal)
+                if "v" in sums:
+                    sums["v"][to] += w.T @ g
+                if wanted != "v":
+                    ds = w * (g @ _of_block(keys, "key_v", "key_p").T - queries["mean"].iloc[0][:, None]) * scale
+                    if "q" in sums:
+                        sums["q"][at] += ds @ _of_block(keys, "key_k", "key_p")
+                    if "k" in sums:
+                        sums["k"][to] += ds.T @ q
         own = {"q": (*key[1:], left["p"].iloc[0]), "k": (*key[:0:-1], right["key_p"].iloc[0]), "v": (*key[:0:-1], right["key_p"].iloc[0])}
-        make = {"q": lambda: ds @ k, "k": lambda: ds.T @ q, "v": lambda: w.T @ g}
-        return pd.DataFrame([(part, key[0], *own[part], make[part]().ravel()) for part in wanted], columns=["part", "b", "own", "other", "p", "x"])
+        return pd.DataFrame([(part, key[0], *own[part], sums[part].ravel()) for part in wanted], columns=["part", "b", "own", "other", "p", "x"])
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "b": [key[1]], "own": [key[2]], "other": [key[3]], "p": [parts["p"].iloc[0]], "x": [sum(parts["x"])]})
@@ -454,7 +492,7 @@ def attention_blocked(rows: DataFrame, scale: float, causal: bool = False, block
     No score is ever a row: a block of queries and a block of keys are multiplied in numpy, and the blocks of one query
     are joined by their maxima and sums.  The batches are those of the table; a fully masked row is zeros, non-finite
     input an error."""
-    return _cells(_block_sums(_deal(rows.select("b", "p", "q"), block), _deal(rows.drop("q"), block), scale, causal))
+    return _cells(_block_sums(_deal(rows.select("b", "p", "q"), block, ACROSS), _deal(rows.drop("q"), block, ACROSS), scale, causal))
 
 
 def attention_with_weights(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024) -> tuple[DataFrame, Tiles]:
@@ -468,6 +506,28 @@ def attention_with_weights(rows: DataFrame, scale: float, causal: bool = False,
     return sums.select("b", "p", "o"), _weight_tiles(queries, keys, sums, scale, causal, block)
 
 
+def attention_row_sums(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024, **sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``b, p, o`` of :func:`attention_with_weights` and, for each ``name=f`` of ``sums``, the sum of ``f(key positions, weights)``
+    along a query's weights; ``f`` takes numpy arrays and is applied where the weights are made, so they never leave the task."""
+    queries, keys = rows.select("b", "p", "q"), _deal(rows.drop("q"), block, ACROSS)
+    found = cut_lineage(_block_sums(_deal(queries, block, ACROSS), keys, scale, causal))
+    names = list(sums)
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(names), len(left["p"].iloc[0])))
+        for own, q in _slices(left, "p"):
+            for _, k in _slices(right, "key_p"):
+                w, at = _weights(q, k, scale, causal), k["key_p"].iloc[0][None, :]
+                for n, name in enumerate(names):
+                    out[n, own] += sums[name](at, w).sum(axis=1)
+        return pd.DataFrame({"b": [key[0]], "p": [left["p"].iloc[0]], **{name: [x] for name, x in zip(names, out, strict=True)}})
+
+    left, right = _met_blocks(_deal(_ready(queries, found), block, ACROSS), keys)
+    parts = left.cogroup(right).applyInPandas(_where_both(one), "b long, p array<long>, " + ", ".join(f"{name} array<double>" for name in names))
+    each = parts.select("b", F.explode(F.arrays_zip("p", *names)).alias("_e")).select("b", "_e.*")
+    return found.select("b", "p", "o").join(each.groupBy("b", "p").agg(*(F.sum(name).alias(name) for name in names)), ["b", "p"])
+
+
 def attention_blocked_backward(rows: DataFrame, scale: float, causal: bool = False, block: int = 1024, wanted: str = "qkv") -> DataFrame:
     """``part, b, p, d, v``: gradients for those of Q, K and V that are wanted, of rows that also have their packed upstream
     gradient ``g``."""

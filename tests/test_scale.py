@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.operators import field, linalg, sparse
+from tessera.operators import field, linalg, nn, sparse
 from tessera.queries import fields
 from tessera.session import cut_lineage
 from tessera.streaming import _InOrder
@@ -83,3 +83,33 @@ def test_random_contract_parts_grow_with_rows(spark, monkeypatch):
     df = fields.random_contract(spark, "/root/testdata/sf0.001")
     rows = df.first().n // 2
     assert f"RoundRobinPartitioning({rows // 500})" in plan(df) and plan(df).count(f", {2 * rows // 500}), REPARTITION_BY_NUM") >= 3
+
+
+def _attended(spark, n):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 4, 3))
+    return spark.createDataFrame([(0, k, *(a.tolist() for a in r), k % 3 != 0) for k, r in enumerate(x)], "b long, p long, q array<double>, k array<double>, v array<double>, g array<double>, keep boolean")
+
+
+def test_attention_repeats_rows_a_bounded_number_of_times(spark, monkeypatch):
+    """Long sequences have larger blocks, not more of them; scores are still held a slice at a time."""
+    rows = _attended(spark, 90)
+    whole = {(r.part, r.p, r.d): r.v for r in nn.attention_blocked_backward(rows, 0.5, True).collect()}
+    out = {(r.q, r.e): r.v for r in nn.attention_blocked(rows.drop("g"), 0.5, True).collect()}
+    monkeypatch.setattr(nn, "SLICE", 7)
+    dealt = nn._deal(rows.drop("q", "g"), 4, nn.ACROSS)
+    assert dealt.most == nn.ACROSS and nn._deal(rows.drop("q", "g"), 4).most == 23
+    got = {(r.part, r.p, r.d): r.v for r in nn.attention_blocked_backward(rows, 0.5, True, block=4).collect()}
+    assert got.keys() == whole.keys() and np.allclose([got[k] for k in whole], list(whole.values()))
+    parts = {(r.q, r.e): r.v for r in nn.attention_blocked(rows.drop("g"), 0.5, True, block=4).collect()}
+    assert parts.keys() == out.keys() and np.allclose([parts[k] for k in out], list(out.values()))
+
+
+def test_attention_row_sums_keep_weights_in_their_tasks(spark):
+    rows = _attended(spark, 40).drop("g")
+    out, tiles = nn.attention_with_weights(rows, 0.5, True, block=8)
+    want = {r.q: (r.total, r.position) for r in tiles.row_sums("q", total=lambda k, w: w, position=lambda k, w: k * w).collect()}
+    got = nn.attention_row_sums(rows, 0.5, True, block=8, total=lambda k, w: w, position=lambda k, w: k * w).collect()
+    assert {r.p for r in got} == want.keys() and np.allclose([(r.total, r.position) for r in got], [want[r.p] for r in got])
+    means = {r.p: r.o for r in out.collect()}
+    assert all(np.allclose(r.o, means[r.p]) for r in got)
