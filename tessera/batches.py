@@ -22,12 +22,13 @@ def longs(values: Iterable[int | None]) -> pd.Series:
     return pd.Series(pd.array([None if v is None or v is pd.NA else int(v) for v in values], dtype="Int64"))
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``df.mapInPandas(work, schema)`` in which longs are exact beside nulls."""
+def map_batches(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, at_once: int | None = None) -> DataFrame:
+    """``df.mapInPandas(work, schema)`` in which longs are exact beside nulls, at most ``at_once`` rows in a batch: an Arrow
+    batch of long texts or arrays is then never wholly in Python objects."""
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in work(b.to_pandas(types_mapper=_EXACT.get) for b in batches):
+        for frame in work(b.slice(at, step).to_pandas(types_mapper=_EXACT.get) for b in batches for step in [at_once or max(1, b.num_rows)] for at in range(0, b.num_rows, step)):
             yield pa.RecordBatch.from_pandas(frame, schema=made, preserve_index=False)
 
     return df.mapInArrow(rows, schema)

@@ -33,6 +33,7 @@ BANDS, ROWS = 25, 5
 JACCARD = 0.8
 CHUNK_BYTES = 1 << 19
 PAIRS = 16_384
+AT_ONCE = 256  # texts or pairs of sets that are Python objects in a task
 _BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk_bytes: in
             yield pd.DataFrame({"doc_id": batch["doc_id"][own], "hashes": [s.tobytes() for s, keep in zip(sets, own, strict=True) if keep]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(map_batches(texts, sign, "doc_id long, whole string, size long, bands array<long>"))
+    signed = cut_lineage(map_batches(texts, sign, "doc_id long, whole string, size long, bands array<long>", AT_ONCE))
     nodes = cut_lineage(signed.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     total = signed.count()
 
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk_bytes: in
     some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     reps = nodes.join(some, "node", "left_semi").select(F.col("node").alias("doc_id"), "whole")
     found = texts.join(reps, "doc_id").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
-    sets = write_shared(found.select("doc_id", "text", "whole").mapInPandas(hashed, "doc_id long, hashes binary"), "minhash-sets")
+    sets = write_shared(map_batches(found.select("doc_id", "text", "whole"), hashed, "doc_id long, hashes binary", AT_ONCE), "minhash-sets")
     # A node with very many pairs: its set comes once for every so many of them.
     copies = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", F.ceil(F.col("n") / pairs_at_once).cast("int").alias("of"))
     dealt = join_hubs(pairs, copies, "b", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("of")).cast("int").alias("salt"))
@@ -178,11 +179,11 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, chunk_bytes: in
     both = dealt.join(second, ["b", "salt"]).join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "hashes", "other")
 
     def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (b.iloc[i : i + 1024] for b in batches for i in range(0, len(b), 1024)):
+        for batch in batches:
             keep = [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(batch["hashes"], batch["other"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    edges = cut_lineage(both.mapInPandas(near, "a long, b long"))
+    edges = cut_lineage(map_batches(both, near, "a long, b long", AT_ONCE))
     parts = cut_lineage(connected_components(edges))
 
     placed = slots.join(parts, "node", "left").select("slot", "node", "size", F.coalesce("component", "node").alias("component"))

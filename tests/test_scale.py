@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.batches import map_batches
 from tessera.operators import field, linalg, nn, sparse
 from tessera.queries import fields
 from tessera.session import cut_lineage
@@ -113,3 +114,11 @@ def test_attention_row_sums_keep_weights_in_their_tasks(spark):
     assert {r.p for r in got} == want.keys() and np.allclose([(r.total, r.position) for r in got], [want[r.p] for r in got])
     means = {r.p: r.o for r in out.collect()}
     assert all(np.allclose(r.o, means[r.p]) for r in got)
+
+
+def test_batches_in_slices(spark):
+    """An Arrow batch of long texts is taken some rows at a time, longs beside nulls exact."""
+    df = spark.createDataFrame([(None if k == 3 else (1 << 60) + k, "x" * k) for k in range(25)], "a long, t string").coalesce(1)
+    sized = lambda batches: (b.assign(n=len(b))[["a", "n"]] for b in batches)
+    got = [(r.a, r.n) for r in map_batches(df, sized, "a long, n long", 10).collect()]
+    assert got == [(None if k == 3 else (1 << 60) + k, 5 if k >= 20 else 10) for k in range(25)]
