@@ -136,6 +136,14 @@ def _dealt(cells: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], belo
     return cells
 
 
+PART = 1 << 18  # cells of a grid that are sorted in one task
+
+
+def parts_of(cells: DataFrame, shape: tuple[int, ...]) -> int:
+    """A number of partitions that grows with the grid, so that what a task holds does not."""
+    return max(cells.sparkSession.sparkContext.defaultParallelism, math.prod(shape) // PART)
+
+
 def fdtd_steps(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: Spacing, steps: int) -> DataFrame:
     """Several steps in one shuffle: a tile takes as many cells of the tiles around it as the steps reach, two for each, does
     all steps in numpy, and returns its own cells.  At most 16 steps at once, as a tile sees no farther than its
@@ -177,7 +185,8 @@ def fdtd_steps(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: Spa
         return pd.DataFrame(where | {f: grid[f][own].ravel() for f in fields})
 
     typed = cells.select(*(F.col(a).cast("long").alias(a) for a in AXES), *(F.col(f).cast("double").alias(f) for f in fields))
-    return _dealt(typed, AXES, shape, halo, halo).groupBy("t0", "t1", "t2").applyInPandas(run, "x long, y long, z long, p double, vx double, vy double, vz double, rho double, c double")
+    seen = _dealt(typed, AXES, shape, halo, halo).repartition(parts_of(typed, shape), "t0", "t1", "t2")
+    return seen.groupBy("t0", "t1", "t2").applyInPandas(run, "x long, y long, z long, p double, vx double, vy double, vz double, rho double, c double")
 
 
 def fdtd(cells: DataFrame, shape: tuple[int, int, int], dt: float, dx: Spacing, steps: int, at_once: int = 4) -> DataFrame:

@@ -39,7 +39,8 @@ def _box(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, i
 def fdtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four acoustic steps in one shuffle, on a grid with a spacing of its own along each axis; pressure comes from line items."""
     p, shape = _box(spark, sf_dir)
-    box = Tensor.full(spark, shape, 0.0, ("x", "y", "z")).df.drop("v").join(p, ["x", "y", "z"], "left")
+    parts = field.parts_of(p, shape)
+    box = Tensor.full(spark, shape, 0.0, ("x", "y", "z")).df.drop("v").repartition(parts, "x", "y", "z").join(p.repartition(parts, "x", "y", "z"), ["x", "y", "z"], "left")
     cells = box.select("x", "y", "z", F.coalesce("p", F.lit(0.0)).alias("p"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")), F.lit(2.0).alias("rho"), F.lit(1.5).alias("c"))
     return field.fdtd(cells, shape, 0.125, SPACING, 4).select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in ("p", "vx", "vy", "vz")))
 

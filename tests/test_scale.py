@@ -122,3 +122,10 @@ def test_batches_in_slices(spark):
     sized = lambda batches: (b.assign(n=len(b))[["a", "n"]] for b in batches)
     got = [(r.a, r.n) for r in map_batches(df, sized, "a long, n long", 10).collect()]
     assert got == [(None if k == 3 else (1 << 60) + k, 5 if k >= 20 else 10) for k in range(25)]
+
+
+def test_grid_parts_grow_with_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(field, "PART", 100)
+    cells = Tensor.full(spark, (20, 8, 5), 0.0, ("x", "y", "z")).df.select("x", "y", "z", *(F.lit(1.0).alias(c) for c in ("p", "vx", "vy", "vz", "rho", "c")))
+    out = field.fdtd_steps(cells, (20, 8, 5), 0.1, 1.0, 1)
+    assert ", 8), REPARTITION_BY_NUM" in plan(out) and out.count() == 800
