@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import lines
 from tessera.session import cut_lineage
 from tessera.tensor import ShapeError, Tensor
 
@@ -16,8 +17,8 @@ from tessera.tensor import ShapeError, Tensor
 def matmul(a: Tensor, b: Tensor) -> Tensor:
     """``[m, k] x [k, n]``; absent entries are zero, and a contraction over nothing gives zeros.
 
-    A side of at most ``SMALL`` cells by its shape is broadcast, so only products that are already summed per task are
-    shuffled; two larger sides go to :func:`matmul_blocked`.
+    A side of at most ``SMALL`` cells by its shape is broadcast, and the lines of the other are shuffled and multiplied
+    within their tasks; two larger sides go to :func:`matmul_blocked`.
     """
     (i, k), (k2, j) = a.dims, b.dims
     if a.shape[1] != b.shape[0]:
@@ -27,10 +28,9 @@ def matmul(a: Tensor, b: Tensor) -> Tensor:
         return Tensor.full(a.df.sparkSession, shape, 0.0, ("i", "j"))
     if not a.small and not b.small:
         return matmul_blocked(a, b)
-    left = a.df.select(F.col(i).alias("i"), F.col(k).alias("_k"), F.col("v").alias("_a"))
-    right = b.df.select(F.col(k2).alias("_k"), F.col(j).alias("j"), F.col("v").alias("_b"))
-    met = left.join(F.broadcast(right), "_k") if b.small else F.broadcast(left).join(right, "_k")
-    return Tensor(met.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")), ("i", "j"), shape)
+    one = F.lit(0).cast("long")
+    left, right = a.df.select(one, i, k, "v"), b.df.select(one, k2, j, "v")
+    return Tensor(_with_small(left, right, b.small, paired=False, spread=False).select("i", "j", "v"), ("i", "j"), shape)
 
 
 def matmul_rows(rows: DataFrame, column: str, b: Tensor) -> DataFrame:
@@ -55,23 +55,27 @@ def matmul_rows(rows: DataFrame, column: str, b: Tensor) -> DataFrame:
 
 def batched_matmul(a: Tensor, b: Tensor) -> Tensor:
     """``[batch, m, k] x [batch, k, n]``; a batch of one is broadcast by leaving it out of the key, a side of at most
-    ``SMALL`` cells by its shape is broadcast to the tasks, and two larger ones meet in blocks."""
+    ``SMALL`` cells by its shape is broadcast to the tasks, and two larger ones meet in blocks.  Entries that are there twice
+    add up where a side is broadcast."""
     if a.shape[2] != b.shape[1] or (a.shape[0] != b.shape[0] and 1 not in (a.shape[0], b.shape[0])):
         raise ShapeError(f"{a.shape} x {b.shape}")
     batch = max(a.shape[0], b.shape[0]) if a.shape[0] and b.shape[0] else 0
     if not a.small and not b.small:
         return _large_batches(a, b, batch)
-    left = a.df.toDF("_p", "i", "_k", "_a")
-    right = b.df.toDF("_q", "_k2", "j", "_b")
-    on = [F.col("_k") == F.col("_k2")]
-    if a.shape[0] == b.shape[0]:
-        on.append(F.col("_p") == F.col("_q"))
-    which = F.col("_p") if a.shape[0] == batch else F.col("_q")
-    met = left.join(F.broadcast(right), on) if b.small else F.broadcast(left).join(right, on)
-    out = met.groupBy(which.alias("b"), "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    paired = a.shape[0] == b.shape[0]
+    spread = (b if b.small else a).shape[0] == batch and not paired
+    out = _with_small(a.df.select(*a.dims, "v"), b.df.select(*b.dims, "v"), b.small, paired, spread)
     return Tensor(out, ("b", "i", "j"), (batch, a.shape[1], b.shape[2]))
 
 
+def _with_small(left: DataFrame, right: DataFrame, of_right: bool, paired: bool, spread: bool) -> DataFrame:
+    """``b, i, j, v`` of ``(batch, i, k, v)`` and ``(batch, k, j, v)``; the right or the left one is small, see :func:`lines.times`."""
+    if of_right:
+        return lines.times(left.toDF("_p", "_line", "_k", "v"), right.toDF("_q", "_k", "_other", "v"), paired, spread).toDF("b", "i", "j", "v")
+    turned = lines.times(right.toDF("_p", "_k", "_line", "v"), left.toDF("_q", "_other", "_k", "v"), paired, spread)
+    return turned.toDF("b", "j", "i", "v").select("b", "i", "j", "v")
+
+
 def _large_batches(a: Tensor, b: Tensor, batch: int) -> Tensor:
     """Batches in blocks; to a batch of one, the other side's batches are more rows or columns of one product."""
     m, n = a.shape[1], b.shape[2]

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.batches import map_batches
-from tessera.operators import field, linalg, nn, sparse
-from tessera.queries import fields
+from tessera.operators import field, linalg, lines, nn, sparse
+from tessera.queries import fields, products
 from tessera.session import cut_lineage
 from tessera.streaming import _InOrder
 from tessera.tensor import Tensor
@@ -129,3 +129,52 @@ def test_grid_parts_grow_with_the_grid(spark, monkeypatch):
     cells = Tensor.full(spark, (20, 8, 5), 0.0, ("x", "y", "z")).df.select("x", "y", "z", *(F.lit(1.0).alias(c) for c in ("p", "vx", "vy", "vz", "rho", "c")))
     out = field.fdtd_steps(cells, (20, 8, 5), 0.1, 1.0, 1)
     assert ", 8), REPARTITION_BY_NUM" in plan(out) and out.count() == 800
+
+
+def test_no_product_with_a_small_side_is_a_row_of_a_hash_table(spark):
+    for query in (products.batched_matmul, products.matmul):
+        out = plan(query(spark, "/root/testdata/sf0.001"))
+        assert "HashAggregate" not in out and "BroadcastHashJoin" not in out and out.count("Exchange hashpartitioning") == 1
+
+
+def _joined(left, right, paired, which):
+    """Sums over k of (p, i, k, v) and (q, k, j, v): the join, written out."""
+    sums = {}
+    for p, i, k, v in left:
+        for q, m, j, w in right:
+            if k is not None and k == m and (not paired or (p is not None and p == q)):
+                sums.setdefault((p if which == "p" else q, i, j), []).append(None if v is None or w is None else v * w)
+    known = {at: [x for x in xs if x is not None] for at, xs in sums.items()}
+    return {at: sum(xs) if xs else None for at, xs in known.items()}
+
+
+def _same(got, want):
+    return got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or np.isclose(got[k], want[k], equal_nan=True)) for k in want)
+
+
+def test_lines_meet_a_small_side_as_in_a_join(spark, monkeypatch):
+    """Holes, repeated and null entries, values that are not finite, and lines that go on from one step or batch to the next."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    rng = np.random.default_rng(4)
+    odd = [None, float("nan"), float("inf"), 0.0, 1.5, -2.0]
+
+    def cells(batches, m, n):
+        at = [(b, i, k) for b in range(batches) for i in range(m) for k in range(n) if rng.random() < 0.6]
+        at += at[::7] + [(0, None, 1), (0, 1, None)]
+        return [(*at[x], odd[rng.integers(6)] if rng.random() < 0.1 else float(rng.integers(-9, 9))) for x in rng.permutation(len(at))]
+
+    for step in (1, 7, 1 << 18):
+        monkeypatch.setattr(lines, "STEP", step)
+        for p, q in ((3, 3), (3, 1), (1, 3)):
+            left, right = cells(p, 9, 5), cells(q, 5, 6)
+            a = Tensor(spark.createDataFrame(left, "b long, i long, k long, v double"), ("b", "i", "k"), (p, 9, 5))
+            b = Tensor(spark.createDataFrame(right, "b long, k long, j long, v double"), ("b", "k", "j"), (q, 5, 6))
+            want = _joined(left, right, p == q, "p" if p == 3 else "q")
+            for x, y in ((a, b), (Tensor(a.df, a.dims, (p, 1 << 40, 5)), b), (a, Tensor(b.df, b.dims, (q, 5, 1 << 40)))):
+                assert _same({(r.b, r.i, r.j): r.v for r in linalg.batched_matmul(x, y).df.collect()}, want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nothing = Tensor(b.df.filter("false"), b.dims, b.shape)
+    assert linalg.batched_matmul(a, nothing).df.collect() == [] and linalg.batched_matmul(Tensor(a.df.filter("false"), a.dims, a.shape), b).df.collect() == []
+    wide = Tensor(spark.createDataFrame([(0, 5000 * k, float(k)) for k in range(20)], "k long, j long, v double").select((F.col("j") / 5000).cast("long").alias("k"), "j", "v"), ("k", "j"), (20, 50000))
+    line = Tensor.from_numpy(spark, np.ones((2, 20)))
+    assert {(r.i, r.j): r.v for r in linalg.matmul(line, wide).df.collect()} == {(i, 5000 * k): float(k) for i in range(2) for k in range(20)}
