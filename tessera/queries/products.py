@@ -66,7 +66,7 @@ def matmul_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batched_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of matrices, one per label, times a single broadcast matrix.  Vectors of one label and row add up in the product."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null")
-    cells = rows.select("label", F.floor(F.col("vec_id") / 10).alias("i"), F.posexplode("embedding").alias("k", "v"))
+    cells = rows.select("label", F.expr("vec_id div 10").alias("i"), F.posexplode("embedding").alias("k", "v"))
     a = from_table(cells, {"b": "label", "i": "i", "k": "k"}, "v", (10, 1 << 40, 64))
     one = Tensor(_square(spark, sf_dir).df.select(F.lit(0).cast("long").alias("b"), "k", "c", "v"), ("b", "k", "c"), (1, 64, 64))
     return linalg.batched_matmul(a, one).df.select("b", "i", "j", (F.round("v", 6) + 0.0).alias("v"))

@@ -40,3 +40,12 @@ def test_against_sql(spark, db, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
+
+
+def test_batches_have_the_rows_of_whole_number_division(spark, tmp_path):
+    """Ids below zero and beyond 2^53."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CASE WHEN vec_id < 40 THEN -vec_id WHEN vec_id < 80 THEN vec_id + 9007199254740993 ELSE vec_id END AS vec_id, embedding, label FROM '{DATA}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = sorted((r.b, r.i, r.j, text(r.v)) for r in __spark_entry__.queries()["batched_matmul"](spark, str(tmp_path)).collect())
+    assert got == sorted((b, i, j, text(v)) for b, i, j, v in con.execute(catalog.ORACLES["batched_matmul"]).fetchall())
