@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import blocked, decomp, linalg, nn, solve, sparse, spectral
 from tessera.plans import Reduction, mixed
+from tessera.queries import factors
 from tessera.session import shared_dir
 from tessera.tensor import ShapeError, Tensor
 
@@ -165,6 +168,31 @@ def test_large_factors_reject(spark):
     assert sorted((r.i, r.x) for r in blocked.rows_of(t).collect()) == [(0, [0.0, 4.0, 0.0]), (1, [0.0] * 3), (2, [5.0, 0.0, 0.0])]
 
 
+@pytest.mark.parametrize("name,kept", [("large_cholesky", 0.5), ("large_lu", 1.0)])
+def test_large_factors_keep_their_tiles_only(spark, tmp_path, name, kept):
+    """Of n^2 entries none is shuffled or written, but those of the factors, once."""
+    n, rng = 300, np.random.default_rng(3)
+    items = {"l_suppkey": rng.integers(0, n - 1, 4000), "l_partkey": rng.integers(0, 500, 4000), "l_quantity": rng.integers(1, 50, 4000).astype(float)}
+    pq.write_table(pa.table({"s_suppkey": np.arange(n)}), tmp_path / "supplier.parquet")  # the last one has no line items
+    pq.write_table(pa.table(items), tmp_path / "lineitem.parquet")
+
+    def size():
+        return sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+    before = size()
+    found = factors.QUERIES[name](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert size() - before < 1.5 * kept * n * n * 8
+    b = np.zeros((n, 97))
+    np.add.at(b, (items["l_suppkey"], items["l_partkey"] % 97), items["l_quantity"] / 100)
+    want = b @ b.T + np.diag(1.0 + np.arange(n) % 7)
+    if name == "large_lu":
+        want = np.tril(want, -1) * 2 + np.diag(np.diag(want) * 0.01234567) + np.triu(want, 1)
+    got = found.toPandas()
+    assert sorted(zip(got["i"], got["j"], strict=True)) == [(i, j) for i in range(n) for j in range(n)]
+    assert np.allclose(got["v"], want[got["i"], got["j"]], atol=6e-5)
+
+
 def test_singular_pairs(spark):
     """Against all of numpy's, with repeated cells, ids that are no small numbers, and a matrix of rank 2."""
     rng = np.random.default_rng(4)
