@@ -205,12 +205,58 @@ class Packed:
         self.df.unpersist()
 
 
-def packed(cells: DataFrame, groups: int | None = None) -> Packed:
+@dataclass(frozen=True)
+class Group:
+    """The packed pieces of whole rows of a matrix, within a task."""
+
+    number: int
+    rows: np.ndarray
+    columns: np.ndarray
+    pieces: list[tuple[np.ndarray, ...]]
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """A x, of a row for each of the columns."""
+        return self._folded(x, len(self.rows), 0)
+
+    def transposed(self, y: np.ndarray) -> np.ndarray:
+        """A^T y, of a row for each of the rows."""
+        return self._folded(y, len(self.columns), 1)
+
+    def _folded(self, x: np.ndarray, n: int, into: int) -> np.ndarray:
+        out = np.zeros((x.shape[1], n))
+        for v, *at in self.pieces:
+            for own, column in zip(out, x.T, strict=True):
+                own += np.bincount(at[into], weights=v * column[at[1 - into]], minlength=n)
+        return out.T
+
+
+def whole_rows(batches: Iterable[pd.DataFrame]) -> Iterator[Group]:
+    """The groups in a partition of a matrix that was packed with one group of columns."""
+
+    def group(g: int, held: list[tuple[np.ndarray, ...]]) -> Group:
+        rows, columns = (np.unique(np.concatenate([h[n] for h in held])) for n in (0, 1))
+        places = [(v, np.searchsorted(rows, i)[r], np.searchsorted(columns, j)[c]) for i, j, r, c, v in held]
+        return Group(g, rows, columns, places)
+
+    at, held = None, []
+    for batch in batches:
+        for g, *parts in zip(*(batch[n] for n in ("g", "i", "j", "r", "c", "v")), strict=True):
+            if held and g != at:
+                yield group(at, held)
+                held = []
+            at = g
+            held.append(tuple(np.frombuffer(b, dtype=t) for b, t in zip(parts, (np.int64, np.int64, np.int32, np.int32, np.float64), strict=True)))
+    if held:
+        yield group(at, held)
+
+
+def packed(cells: DataFrame, groups: int | None = None, whole: bool = False) -> Packed:
     """Entries ``(i, j, v)``, each position once, for many products.  There are the more groups of rows the more rows there are
-    beside columns.  Read twice: write the cells to the shared folder if they are not a table."""
+    beside columns; ``whole``: there is one group of columns, and a partition has whole groups for :func:`whole_rows`.  Read
+    twice: write the cells to the shared folder if they are not a table."""
     seen = cells.agg(F.count("*").alias("n"), F.approx_count_distinct("i").alias("i"), F.approx_count_distinct("j").alias("j")).first()
     groups = groups or max(1, min(GROUPS, seen["n"] * 16 // PIECE))
-    rows = min(groups, max(1, round((groups * max(seen["i"], 1) / max(seen["j"], 1)) ** 0.5)))
+    rows = groups if whole else min(groups, max(1, round((groups * max(seen["i"], 1) / max(seen["j"], 1)) ** 0.5)))
     columns = max(1, groups // rows)
     dealt = cells.select((_group("i", rows) * columns + _group("j", columns)).alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
     sizes = {r["g"]: -(-r["n"] // PIECE) for r in dealt.groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -222,6 +268,10 @@ def packed(cells: DataFrame, groups: int | None = None) -> Packed:
         own = {"i": i, "j": j, "r": r.astype(np.int32), "c": c.astype(np.int32), "v": part["v"].to_numpy()}
         return pd.DataFrame({"g": [key[0]], **{n: [x.tobytes()] for n, x in own.items()}})
 
-    of = dealt.withColumn("piece", F.pmod(F.xxhash64("i", "j"), pieces).cast("int")).groupBy("g", "piece")
-    each = of.applyInPandas(pack, "g int, i binary, j binary, r binary, c binary, v binary")
-    return Packed(each.repartition(2 * rows * columns, "g").sortWithinPartitions("g").persist(StorageLevel.MEMORY_AND_DISK), rows, columns)
+    of = dealt.withColumn("piece", F.pmod(F.xxhash64("i", "j"), pieces).cast("int"))
+    if whole:  # nothing is joined with them: one shuffle
+        of = of.repartition(2 * rows, "g")
+    each = of.groupBy("g", "piece").applyInPandas(pack, "g int, i binary, j binary, r binary, c binary, v binary")
+    if not whole:
+        each = each.repartition(2 * rows * columns, "g").sortWithinPartitions("g")
+    return Packed(each.persist(StorageLevel.MEMORY_AND_DISK), rows, columns)

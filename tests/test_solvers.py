@@ -209,6 +209,35 @@ def test_singular_pairs(spark):
     assert np.allclose(one.values, [3.0])
 
 
+def test_singular_pairs_leave_the_long_side_in_its_tasks(spark):
+    """More steps write no more vectors of the longer side, be it rows or columns."""
+    n, width = 3000, 4
+    a = np.random.default_rng(8).normal(size=(n, 6))
+    tall = cells(spark, a).persist()
+
+    def size():
+        return sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+    written = []
+    for most in (1, 5):
+        before = size()
+        found = spectral.singular_pairs(tall, 1, more=width - 1, tolerance=0.0, most=most)
+        assert found.steps == most
+        written.append(size() - before)
+    assert written[1] - written[0] < n * width * 8
+    wide = spectral.singular_pairs(tall.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), 2, more=4)
+    left = np.array([r.x for r in sorted(wide.left.collect(), key=lambda r: r.i)])
+    right = np.array([r.x for r in sorted(wide.right.collect(), key=lambda r: r.j)])
+    assert wide.converged and np.allclose(wide.values, np.linalg.svd(a, compute_uv=False)[:2])
+    assert np.allclose(a.T @ right, left * wide.values, atol=1e-5) and np.allclose(right.T @ right, np.eye(2))
+
+
+def test_singular_pairs_of_a_long_block(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK", 0)
+    a = np.random.default_rng(9).normal(size=(30, 20))
+    assert np.allclose(spectral.singular_pairs(cells(spark, a), 1, most=4, tolerance=0.0).values, np.linalg.svd(a, compute_uv=False)[:1], rtol=0.05)
+
+
 def test_fluent(spark):
     a = np.array([[4.0, 1.0], [1.0, 3.0]])
     t, b = Tensor.from_numpy(spark, a), Tensor.from_numpy(spark, np.array([1.0, 2.0]), ("i",))
